@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
 from .packing import pack_documents
+from .simhash import near_duplicates
 from .tokenbin import read_tokens, write_tokens
 
 #: Tokenizers of the queries: file, what it does with spaces, end id.
@@ -21,12 +24,23 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, shards).drop("shard")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *WORDS, capacity=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_mix_sources": op2_mix_sources,
+    "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
