@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_of
 
@@ -115,7 +116,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_novelty: fl
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=[*keep, "found"])
 
     rows = docs.select(*(F.col(c) for c in keep), text_of().alias("__text"))
-    schema = rows.drop("__text").schema.add("found", "array<struct<start: bigint, end: bigint, kind: string>>")
+    schema = rows.drop("__text").schema.add(T.StructType.fromDDL("found array<struct<start: bigint, end: bigint, kind: string>>")[0])
     return rows.mapInArrow(look, schema)
 
 
