@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets
+from . import media, mixing, secrets
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -41,11 +41,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *WORDS, capacity=4096)
 
 
+def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.with_media(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_media_avi": op9_media_avi,
 }
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
