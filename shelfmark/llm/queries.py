@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import media, mixing, secrets
 from .common import table
+from .embeddings import near_duplicate_vectors
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .tokenbin import read_tokens, write_tokens
@@ -45,6 +46,10 @@ def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.with_media(table(spark, sf_dir, "documents")))
 
 
+def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
@@ -52,5 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_media_avi": op9_media_avi,
+    "op10_embedding_near_dup": op10_embedding_near_dup,
 }
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
