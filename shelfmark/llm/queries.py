@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets
+from . import media, mixing, secrets, suffixdedup, toxicity
 from .common import table
 from .embeddings import near_duplicate_vectors
 from .packing import pack_documents
@@ -42,6 +42,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *WORDS, capacity=4096)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(suffixdedup.mark_repeats(table(spark, sf_dir, "documents")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.with_media(table(spark, sf_dir, "documents")))
 
@@ -56,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_toxicity": op7_toxicity,
     "op9_media_avi": op9_media_avi,
     "op10_embedding_near_dup": op10_embedding_near_dup,
 }
