@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word enters as the sum of a word vector (for words of the fitted sample's vocabulary) and the mean
-of the vectors of its character trigrams, so unseen spellings still carry their letters. Two gated recurrent layers read
+A word enters as the sum of a word vector, a vector of its first five letters (both for what the
+fitted sample's vocabulary holds) and the mean of the vectors of its character trigrams, so unseen
+words still carry their letters. Two gated recurrent layers read
 a window of words, one from each end; attention weighs their states, and a logistic unit scores the
 window. All windows of a text are scored, each overlapping the next, and the highest is the text's.
 
@@ -29,7 +30,9 @@ WINDOW, STRIDE = 32, 24
 HIDDEN, INPUT = 8, 12
 TRIGRAMS = 1 << 13
 #: Documents of either label that are fitted, rounds over them; documents that make a word known.
-PER_CLASS, ROUNDS, LEAST_DOCS = 800, 12, 8
+PER_CLASS, ROUNDS, LEAST_DOCS = 800, 12, 5
+#: Steps of a round.
+BATCHES = 13
 #: Distinct words whose inputs a worker keeps before it starts anew.
 KNOWN_WORDS = 200_000
 
@@ -41,6 +44,11 @@ def plain(word: str) -> str:
     return word if word.isalpha() else LETTERS.sub("", word)
 
 
+def forms(stem: str) -> tuple[str, str]:
+    """What of a plain word can be in a vocabulary: itself and its first letters."""
+    return stem, f"{stem[:5]}~"
+
+
 def trigrams(word: str) -> list[int]:
     """Hashed character trigrams of a plain word with its ends marked."""
     data = f"^{word}$".encode("utf-8", "replace")
@@ -81,11 +89,11 @@ class Model:
         stems = list(map(plain, words))
         tri = list(map(trigrams, stems))
         n = np.fromiter(map(len, tri), np.int64, len(tri))
-        return np.array([self.vocabulary.get(w, 0) for w in stems], np.int64), np.fromiter(itertools.chain.from_iterable(tri), np.int64, n.sum()), n
+        return np.array([[self.vocabulary.get(f, 0) for f in forms(w)] for w in stems], np.int64).reshape(-1, 2), np.fromiter(itertools.chain.from_iterable(tri), np.int64, n.sum()), n
 
     def combine(self, word: np.ndarray, tri: np.ndarray, n: np.ndarray) -> np.ndarray:
         mean = np.add.reduceat(self.weights["tri"].take(tri, axis=0), np.cumsum(n) - n, axis=0) / n[:, None]
-        return (self.weights["word"].take(word, axis=0) + mean).astype(np.float32)
+        return (self.weights["word"].take(word, axis=0).sum(axis=1) + mean).astype(np.float32)
 
     def run(self, side: str, steps: list[np.ndarray], keep: bool = False):
         """States after each step of (batch, 3 * HIDDEN) projected inputs; gates too if kept."""
@@ -123,11 +131,11 @@ class Model:
         x = np.concatenate([np.zeros((1, INPUT), np.float32), vectors.astype(np.float32)])
         return {s: x @ self.weights[f"w{s}"] + self.weights[f"c{s}"] for s in "fb"}
 
-    def gradient(self, ids: np.ndarray, tables: dict[str, np.ndarray], y: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-        """Gradients of the mean logistic loss: of the weights, and of the projected inputs."""
+    def gradient(self, ids: np.ndarray, tables: dict[str, np.ndarray], y: np.ndarray, share: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Gradients of the logistic loss, weighed by ``share``: of the weights, and of the projected inputs."""
         w = self.weights
         logit, (h, weight, pooled, gates_f, gates_b) = self.forward(ids, tables, keep=True)
-        d = ((sigmoid(logit) - y) / len(y)).astype(np.float32)
+        d = ((sigmoid(logit) - y) * share).astype(np.float32)
         out = {"bias": d.sum(keepdims=True), "out": pooled.T @ d}
         dpool = d[:, None] * w["out"]
         dweight = (h * dpool[:, None]).sum(axis=2)
@@ -190,9 +198,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
         return Model(float(y.mean()) if len(y) else 0.0)
     data = Texts(texts)
     stems = list(map(plain, data.words))
-    seen = [{stems[k - 1] for k in np.unique(data.ids[data.owner == d]) if k} for d in range(len(texts))]
+    seen = [{f for k in np.unique(data.ids[data.owner == d]) if k for f in forms(stems[k - 1])} for d in range(len(texts))]
     counts = [Counter(itertools.chain.from_iterable(s for s, c in zip(seen, labels) if c == label)) for label in (0, 1)]
-    known = sorted(w for w, c in (counts[0] + counts[1]).items() if c >= LEAST_DOCS and w)
+    known = sorted(w for w, c in (counts[0] + counts[1]).items() if c >= LEAST_DOCS and w not in ("", "~"))
     model = Model.start({w: k for k, w in enumerate(known, 1)})
     w = model.weights
     # a first guess at each word: how much more often texts of label 1 hold it
@@ -202,27 +210,28 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     word, tri, n = model.numbers(data.words)
     size = np.bincount(data.owner)
     first = np.cumsum(size) - size
-    strength = np.concatenate([[-9], w["word"][word, 0]])[data.ids].max(axis=1)
+    strength = np.concatenate([[-9], w["word"][word, 0].sum(axis=1)])[data.ids].max(axis=1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+    share = np.where(y == 1, (y == 0).sum(), (y == 1).sum())  # both labels weigh the same
     step, rng = 0, np.random.default_rng(11)
     for turn in range(rounds):
         if turn:
             tables = model.project(model.combine(word, tri, n))
             strength = np.concatenate([model.forward(data.ids[a : a + 4096], tables) for a in range(0, len(data.ids), 4096)])
         best = np.array([s + strength[s:e].argmax() for s, e in zip(first, [*first[1:], len(strength)])])
-        for chosen in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 128)):
+        for chosen in np.array_split(rng.permutation(len(texts)), min(BATCHES, len(texts))):
             ids = data.ids[best[chosen]]
             local, inverse = np.unique(np.append(ids, 0), return_inverse=True)
             at = local[1:] - 1
             pick = np.concatenate([np.arange(s, s + c) for s, c in zip((np.cumsum(n) - n)[at], n[at])])
             x = np.concatenate([np.zeros((1, INPUT), np.float32), model.combine(word[at], tri[pick], n[at])])
             tables = {s: x @ w[f"w{s}"] + w[f"c{s}"] for s in "fb"}
-            grad, dtables = model.gradient(inverse[:-1].reshape(ids.shape), tables, y[chosen])
+            grad, dtables = model.gradient(inverse[:-1].reshape(ids.shape), tables, y[chosen], share[chosen] / share[chosen].sum())
             dx = sum(dtables[s] @ w[f"w{s}"].T for s in "fb")[1:]
             for s in "fb":
                 grad |= {f"w{s}": x.T @ dtables[s], f"c{s}": dtables[s].sum(axis=0)}
             grad["word"], grad["tri"] = np.zeros_like(w["word"]), np.zeros_like(w["tri"])
-            np.add.at(grad["word"], word[at], dx)
+            np.add.at(grad["word"], word[at], dx[:, None])
             grad["word"][0] = 0
             np.add.at(grad["tri"], tri[pick], np.repeat(dx / n[at][:, None], n[at], axis=0))
             step += 1
