@@ -10,9 +10,10 @@ them. A group that a pass leaves alone holds no repeat and goes.
 1. By the gram's 32 bytes. What occurs once is dropped.
 2. By all that any window with this gram can hold (168 bytes on either side). Two alike: every
    window with the gram is a repeat.
-3. By 84 more bytes to the left or to the right, one of which each window holds.
-4. Through all 200 bytes, for each place of the gram in the window, within groups of step 3. Groups
-   of over ``LOCAL`` contexts do this by a shuffle on the windows themselves.
+3. Where a gram has over ``LOCAL`` different surroundings: by 84 more bytes to the left or to the
+   right, one of which each window holds.
+4. Through all 200 bytes, for each place of the gram in the window, within what is still together.
+   Groups that are still over ``LOCAL`` do this by a shuffle on the windows themselves.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from .common import materialize, new_folder, text_of
 DEPTH, GRAM = 200, 32
 REACH = DEPTH - GRAM
 HALF = REACH // 2
-#: Contexts that step 4 compares within a task.
-LOCAL = 1000
+#: Contexts that step 4 compares within a task (368 bytes each).
+LOCAL = 20_000
+#: Files of the table of texts, from which on its rows are dealt to their buckets before writing.
+FILES = 20_000
 #: Bytes that are hashed at a time.
 AT_ONCE = 1 << 19
 
@@ -87,12 +90,16 @@ def coded(rows: np.ndarray) -> np.ndarray:
     return (CODE[rows] * POWER[: rows.shape[1]]).sum(axis=1, dtype=np.uint64)
 
 
-def marks(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all around, of what is HALF to the left, and HALF to the right (0: not there)."""
-    whole = coded(rows) + (left.astype(np.uint64) * np.uint64(512) + right.astype(np.uint64)) * CODE[0]
+def wholes_of(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of all around a gram."""
+    return coded(rows) + (left.astype(np.uint64) * np.uint64(512) + right.astype(np.uint64)) * CODE[0]
+
+
+def halves_of(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes with HALF more bytes to the left and to the right (0: not there)."""
     to_left = np.where(left >= HALF, coded(rows[:, REACH - HALF : REACH + GRAM]), np.uint64(0))
     to_right = np.where(right >= HALF, coded(rows[:, REACH : REACH + GRAM + HALF]), np.uint64(0))
-    return whole, to_left, to_right
+    return to_left, to_right
 
 
 def window_codes(rows: np.ndarray, left: np.ndarray, right: np.ndarray, to_left: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -112,7 +119,9 @@ def store(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"shelfmark_{uuid.uuid4().hex}"
     rows = docs.select(*(F.col(c) for c in keep), text_of().cast("binary").alias("__data")).withColumn("__row", F.monotonically_increasing_id())
-    rows.repartition(n, "__row").write.bucketBy(n, "__row").sortBy("__row").option("path", new_folder(spark, "texts")).saveAsTable(name)
+    if rows.rdd.getNumPartitions() * n > FILES:
+        rows = rows.repartition(n, "__row")
+    rows.write.bucketBy(n, "__row").sortBy("__row").option("path", new_folder(spark, "texts")).saveAsTable(name)
     return spark.table(name), n
 
 
@@ -147,20 +156,40 @@ def with_places(texts: DataFrame, places: DataFrame, n: int, *more: str) -> Data
 
 
 def around(texts: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
-    """Steps 2 and 3: hashes around each repeated gram."""
+    """Step 2: a hash of all around each repeated gram, and where a window with it ends at most."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row, data, at, gram in zip(*(c.to_pylist() for c in batch.columns)):
-                at, order = np.unique(np.array(at, np.int64), return_index=True)
+                at, gram = np.array(at, np.int64), np.array(gram, np.int64)
+                for k in range(0, len(at), 4096):
+                    cut = at[k : k + 4096]
+                    found = contexts(np.frombuffer(data, np.uint8), cut)
+                    rows.append((gram[k : k + 4096], np.full(len(cut), row), cut, cut + GRAM + found[2], wholes_of(*found).view(np.int64)))
+            for columns in batched(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "row", "at", "end", "whole"])
+
+    return with_places(texts, repeated, n, "gram").mapInArrow(look, "gram long, row long, at long, end long, whole long")
+
+
+def beside(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Step 3: (gram, side, mark) of each place in ``wanted``, both sides where they are."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, data, at, gram, count in zip(*(c.to_pylist() for c in batch.columns)):
+                at, gram, count = (np.array(x, np.int64) for x in (at, gram, count))
                 for k in range(0, len(at), 4096):
-                    found = contexts(np.frombuffer(data, np.uint8), at[k : k + 4096])
-                    rows.append((np.array(gram, np.int64)[order][k : k + 4096], np.full(len(found[1]), row), at[k : k + 4096], found[1], found[2], *(m.view(np.int64) for m in marks(*found))))
+                    cut = slice(k, k + 4096)
+                    for side, mark in enumerate(halves_of(*contexts(np.frombuffer(data, np.uint8), at[cut]))):
+                        some = np.flatnonzero(mark)
+                        rows.append((gram[cut][some], np.full(len(some), side), mark.view(np.int64)[some], np.full(len(some), row), at[cut][some], count[cut][some]))
             for columns in batched(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["gram", "row", "at", "left", "right", "whole", "to_left", "to_right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "side", "mark", "row", "at", "n"])
 
-    return with_places(texts, repeated, n, "gram").mapInArrow(look, "gram long, row long, at long, left long, right long, whole long, to_left long, to_right long")
+    return with_places(texts, wanted, n, "gram", "n").mapInArrow(look, "gram long, side long, mark long, row long, at long, n long")
 
 
 def compare_local(dealt: DataFrame) -> DataFrame:
@@ -172,8 +201,8 @@ def compare_local(dealt: DataFrame) -> DataFrame:
         left, right = t["left"].to_numpy(), t["right"].to_numpy()
         rows = np.frombuffer(b"".join(t["context"].to_pylist()), np.uint8).reshape(len(t), -1)
         low, high = np.full(len(t), DEPTH), np.full(len(t), -1)
-        for side in (0, 1):
-            of = np.flatnonzero(key[:, 1] == side)
+        for side in (0, 1):  # 2: both
+            of = np.flatnonzero((key[:, 1] == side) | (key[:, 1] == 2))
             if not len(of):
                 continue
             for place, some, code in window_codes(rows[of], left[of], right[of], side == 0):
@@ -237,25 +266,29 @@ def repeated_spans(texts: DataFrame, n: int) -> DataFrame:
     more = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     seen = materialize(around(texts, found.join(more, "gram", "left_semi"), n), "around")
 
-    wholes = seen.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "left", "right", "to_left", "to_right")).alias("one"))
-    wholes = materialize(wholes, "wholes")
-    repeats = seen.join(wholes.filter("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
-    full = repeats.select("row", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + GRAM + F.col("right")).alias("end"))
-
-    # one of each context; groups of step 3 that hold a context seen once and another
-    side = lambda k, c: F.struct(F.lit(k).cast("long").alias("side"), F.col(f"one.{c}").alias("mark"))
-    single = wholes.select("gram", "n", "one", F.explode(F.array(side(0, "to_left"), side(1, "to_right"))).alias("s")).select("gram", "s.*", "n", "one.row", "one.at").filter("mark <> 0")
-    size = single.groupBy("gram", "side", "mark").agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")).filter("contexts > 1 and fewest = 1")
-    wanted = materialize(single.join(size, ["gram", "side", "mark"]), "wanted")
-
-    dealt = fetch(texts, wanted.filter(F.col("contexts") <= LOCAL), n, False).repartition("gram", "side", "mark").sortWithinPartitions("gram", "side", "mark")
-    spans = full.unionByName(compare_local(dealt))
-    hot = wanted.filter(F.col("contexts") > LOCAL)
-    if not hot.isEmpty():
-        windows = materialize(fetch(texts, hot, n, True), "windows")
-        keys = ["gram", "side", "mark", "place", "code"]
-        twice = windows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
-        ends = windows.join(twice, keys, "left_semi").groupBy("row", "at").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    wholes = seen.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    wholes = materialize(wholes.select("gram", "whole", "n", "one.row", "one.at"), "wholes")
+    repeats = seen.join(wholes.filter("n > 1").select("whole"), "whole", "left_semi")
+    spans = repeats.select("row", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"), "end")
+
+    # one of each context, where a context seen once has company
+    size = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")).filter("contexts > 1 and fewest = 1").drop("fewest")
+    wanted = materialize(wholes.drop("whole").join(size(wholes, "gram"), "gram"), "wanted")
+    keys = ["gram", "side", "mark"]
+    few = wanted.filter(F.col("contexts") <= LOCAL).withColumns({"side": F.lit(2).cast("long"), "mark": F.lit(0).cast("long")}).select(*keys, "row", "at")
+    many, windows = wanted.filter(F.col("contexts") > LOCAL), None
+    if not many.isEmpty():
+        sided = materialize(beside(texts, many.select("gram", "row", "at", "n"), n), "sided")
+        sided = materialize(sided.join(size(sided, *keys), keys), "sided")
+        few = few.unionByName(sided.filter(F.col("contexts") <= LOCAL).select(*keys, "row", "at"))
+        hot = sided.filter(F.col("contexts") > LOCAL)
+        windows = None if hot.isEmpty() else materialize(fetch(texts, hot, n, True), "windows")
+    dealt = fetch(texts, few, n, False).repartition(*keys).sortWithinPartitions(*keys)
+    spans = spans.unionByName(compare_local(dealt))
+    if windows is not None:
+        at = [*keys, "place", "code"]
+        twice = windows.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1").select(*at)
+        ends = windows.join(twice, at, "left_semi").groupBy("row", "at").agg(F.min("place").alias("low"), F.max("place").alias("high"))
         spans = spans.unionByName(ends.select("row", (F.col("at") - F.col("high")).alias("start"), (F.col("at") + DEPTH - F.col("low")).alias("end")))
     return spans
 
