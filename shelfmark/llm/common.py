@@ -49,13 +49,3 @@ def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
-
-def fresh(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like ``wanted`` that clash with no column of ``df`` (case is ignored, as Spark does)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out

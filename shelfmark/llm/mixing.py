@@ -85,11 +85,19 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int
     return placed.select(*keep, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with the columns of ``docs``."""
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
+    taken = mix(rows, ("__row",), weights, cap, seed).filter("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")
+
+
 #: The same mix in DuckDB's SQL.
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS skey, coalesce(doc_id, -1) AS id,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size
   FROM documents),
 classed AS (
   SELECT *, lpad(length(bin(size))::VARCHAR, 2, '0') || substring(bin(size), 2, 3) AS class,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, secrets, suffixdedup, toxicity
+from . import licenses, media, mixing, secrets, suffixdedup, toxicity
 from .common import table
 from .embeddings import near_duplicate_vectors
 from .packing import pack_documents
@@ -53,6 +53,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.with_media(table(spark, sf_dir, "documents")))
 
@@ -69,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_media_avi": op9_media_avi,
     "op10_embedding_near_dup": op10_embedding_near_dup,
+    "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op8_license_scan": licenses.oracle()}

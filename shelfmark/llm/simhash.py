@@ -197,3 +197,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit:
     labelled = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return made.join(labelled.join(smallest, "label").select("fingerprint", "component_id"), "fingerprint").select(key, "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 4, limit: int = 4) -> DataFrame:
+    """The rows of ``docs``, one of each class of near-duplicates: that with the smallest doc_id.
+
+    Of repeated doc_ids the first row stays; null doc_ids come last.
+    """
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("place", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select("place", "text"), "place", size, limit)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("place")
+    kept = rows.select("place", "doc_id").join(found, "place").groupBy("component_id").agg(first).select("place")
+    return rows.join(kept, "place", "left_semi").select("row.*")

@@ -311,3 +311,18 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     rows = docs.select(*(F.col(c) for c in keep), text_of().alias("__text"))
     return rows.mapInArrow(apply, rows.drop("__text").schema.add("score", "double"))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, as they are."""
+    where = docs.columns.index("text")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [t or "" for t in part.column(where).to_pylist()]
+                yield part.filter(pa.array(scorer.score(texts) < threshold))
+
+    return docs.mapInArrow(apply, docs.schema)
