@@ -199,13 +199,151 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit:
     return made.join(labelled.join(smallest, "label").select("fingerprint", "component_id"), "fingerprint").select(key, "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 4, limit: int = 4) -> DataFrame:
+# ---- texts of a similarity or more ----
+
+#: Bins of a sketch: each keeps the least hash of the shingles that fall into it.
+BINS, EMPTY = 256, 0xFFFF
+#: Differing bits of 128 up to which a pair is verified, and what its sketches may lack.
+WIDE_LIMIT, SLACK = 30, 0.01
+#: Part of the pairs at the least similarity that the tables may miss.
+MISS = 0.02
+#: Groups up to this size verify every pair; larger ones two of each member.
+ALL_PAIRS = 64
+
+
+def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints (n, 2) and sketches (n, BINS) of ``texts``; words and shingles as in ``simhash``."""
+    digest, made, counts = xxhash.xxh3_128_digest, [], []
+    for text in texts:
+        words = text.encode().translate(LOWER).split()
+        joined = b" ".join(words)
+        starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+        found = [digest(joined[s : e - 1]) for s, e in zip(starts, starts[size:])] if len(words) > size else [digest(joined)] if words else []
+        made += found
+        counts.append(len(found))
+    n = np.array(counts, np.int64)
+    prints, sketch = np.zeros((len(n), 2), np.uint64), np.full((len(n), BINS), EMPTY, np.uint16)
+    if made:
+        hashes = np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
+        some = n > 0
+        bits = np.unpackbits(hashes.view("u1").reshape(-1, 16), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
+        prints[some] = np.packbits(2 * sums > n[some, None], axis=1, bitorder="little").view("<u8")
+        owner = np.repeat(np.arange(len(n)), n)
+        value = np.minimum((hashes[:, 0] >> np.uint64(8)) & np.uint64(0xFFFF), EMPTY - 1).astype(np.uint16)
+        np.minimum.at(sketch.reshape(-1), owner * BINS + (hashes[:, 0] & np.uint64(BINS - 1)).astype(np.int64), value)
+    return prints, sketch
+
+
+def tables_for(n: int, similarity: float) -> list[np.ndarray]:
+    """Bit choices of the tables: each parts ``n`` fingerprints into groups of about 32, and all of
+    them together miss ``MISS`` of the pairs of just ``similarity``."""
+    bits = max(4, math.ceil(math.log2(max(n, 1) / 32)))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    count = math.ceil(math.log(MISS) / math.log(1 - agree**bits))
+    rng = np.random.default_rng(9)
+    return [np.sort(rng.permutation(128)[:bits]) for _ in range(count)]
+
+
+def close_pairs(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group within the limit: all of a small group; of a larger one each
+    member's first earlier neighbour and its nearest one."""
+    if len(x) <= ALL_PAIRS:
+        a, b = np.triu_indices(len(x), 1)
+        near = np.bitwise_count(x[a] ^ x[b]).sum(axis=1, dtype=np.int64) <= limit
+        return a[near], b[near]
+    out_a, out_b = [], []
+    for at in range(0, len(x), step := max(1, (1 << 21) // len(x))):
+        q = np.arange(at, min(len(x), at + step))
+        far = np.bitwise_count(x[q, None, 0] ^ x[None, :, 0]).astype(np.int16) + np.bitwise_count(x[q, None, 1] ^ x[None, :, 1])
+        far[np.arange(len(q)), q] = 999
+        nearest = far.argmin(axis=1)
+        first = (far <= limit).argmax(axis=1)
+        for k in (nearest, first):
+            hit = far[np.arange(len(q)), k] <= limit
+            out_a.append(q[hit])
+            out_b.append(k[hit])
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(node, component)`` of the keys in ``docs(key, text)`` with a text of that similarity or more.
+
+    Similarity is the shared part of the two texts' distinct shingles, as sketches of ``BINS`` bins
+    tell it. Keys must be unique.
+    """
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                prints, sketch = profiles(part.column(1).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["node", "p0", "p1", "sketch"])
+
+    rows = docs.select(F.col(key).cast("long").alias("node"), text_of().alias("text"))
+    made = materialize(rows.mapInArrow(profile, "node long, p0 long, p1 long, sketch binary"), "profiles")
+    same = made.groupBy("p0", "p1").agg(F.min("node").alias("first"))
+    chosen = tables_for(same.count(), similarity)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(x).view("u1").reshape(-1, 16), axis=1, bitorder="little")
+            for t, pick in enumerate(chosen):
+                group = (bits[:, pick].astype(np.int64) << np.arange(len(pick))).sum(axis=1) | t << 48
+                yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], names=["group", "p0", "p1", "first"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def close():
+            x, node = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            if len(x) > 1:
+                a, b = close_pairs(x, WIDE_LIMIT)
+                yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+
+        for batch in batches:
+            group, p0, p1, node = (c.to_numpy() for c in batch.columns)
+            x = np.stack([p0, p1], axis=1).view(np.uint64)
+            out = []
+            for s, e in itertools.pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]):
+                if e > s:
+                    if held and group[s] != last:
+                        out += close()
+                        held = []
+                    held.append((x[s:e], node[s:e]))
+                    last = group[s]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+        if held:
+            for a, b in close():
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in (2, 3))
+                some = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
+                share = ((x == y) & (x != EMPTY)).sum(axis=1) / np.maximum(some, 1)
+                yield batch.select(["a", "b"]).filter(pa.array(share >= similarity - SLACK))
+
+    dealt = same.mapInArrow(deal, "group long, p0 long, p1 long, first long").repartition("group").sortWithinPartitions("group")
+    met = materialize(dealt.select("group", "p0", "p1", "first").mapInArrow(pairs, "a long, b long").distinct(), "met")
+    known = made.select("node", "sketch")
+    both = met.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    equal = made.join(same, ["p0", "p1"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return connected_components(linked.unionByName(equal))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each class of near-duplicates: that with the smallest doc_id.
 
-    Of repeated doc_ids the first row stays; null doc_ids come last.
+    Of repeated doc_ids the first row stays; null doc_ids come last. Null text is empty.
     """
     rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("place", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select("place", "text"), "place", size, limit)
+    found = similar(rows.select("place", "text"), "place", size, similarity)
+    found = materialize(rows.select("place", "doc_id").join(found, F.col("place") == F.col("node")).select("place", "doc_id", "component"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("place")
-    kept = rows.select("place", "doc_id").join(found, "place").groupBy("component_id").agg(first).select("place")
-    return rows.join(kept, "place", "left_semi").select("row.*")
+    gone = found.join(found.groupBy("component").agg(first).select("place"), "place", "left_anti").select("place")
+    return rows.join(gone, "place", "left_anti").select("row.*")
