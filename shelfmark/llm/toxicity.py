@@ -223,6 +223,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
             ids = data.ids[best[chosen]]
             local, inverse = np.unique(np.append(ids, 0), return_inverse=True)
             at = local[1:] - 1
+            if not len(at):  # no words at all
+                continue
             pick = np.concatenate([np.arange(s, s + c) for s, c in zip((np.cumsum(n) - n)[at], n[at])])
             x = np.concatenate([np.zeros((1, INPUT), np.float32), model.combine(word[at], tri[pick], n[at])])
             tables = {s: x @ w[f"w{s}"] + w[f"c{s}"] for s in "fb"}
