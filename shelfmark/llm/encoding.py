@@ -16,7 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Chunks and pieces that a worker's caches hold before they start anew (about 200 bytes each).
-CHUNKS, PIECES = 1_200_000, 800_000
+CHUNKS, PIECES = 700_000, 400_000
 
 # The pieces of a byte-level BPE, and of a lower-cased BPE with word ends.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

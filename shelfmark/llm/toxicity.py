@@ -34,7 +34,7 @@ PER_CLASS, ROUNDS, LEAST_DOCS = 800, 12, 5
 #: Steps of a round.
 BATCHES = 13
 #: Distinct words whose inputs a worker keeps before it starts anew.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 
 LETTERS = re.compile(r"[\W\d_]+")
 
