@@ -519,7 +519,7 @@ def _(index, held):
     return R.mark_outcomes(index, guards(index, held))
 
 
-@query("P10_item_failure", "remote_index", "SELECT account_id, provider, remote_id, CASE WHEN attempts + 1 >= 4 THEN 'gone' ELSE 'failed' END AS state, attempts + 1 AS attempts, substring('Timeout: ' || repeat(remote_id || ' ', 100), 1, 500) AS last_error FROM remote_index WHERE remote_bytes % 2000 = 0")
+@query("P10_item_failure_transition", "remote_index", "SELECT account_id, provider, remote_id, CASE WHEN attempts + 1 >= 4 THEN 'gone' ELSE 'failed' END AS state, attempts + 1 AS attempts, substring('Timeout: ' || repeat(remote_id || ' ', 100), 1, 500) AS last_error FROM remote_index WHERE remote_bytes % 2000 = 0")
 def _(index):
     failures = index.filter("remote_bytes % 2000 = 0").select(*R.KEY, F.lit("Timeout").alias("error_type"), F.repeat(F.concat("remote_id", F.lit(" ")), F.lit(100)).alias("message"))
     return R.item_failures(index, failures)
@@ -626,7 +626,7 @@ def _(accounts, files, log):
     return media.select(F.lit("media").alias("child"), "id", F.col("duplicate_of").alias("ref")).unionByName(events.select(F.lit("events").alias("child"), "id", F.lit(None).cast("long").alias("ref")))
 
 
-@query("J14_apply_patch", "accounts", "SELECT id, CASE WHEN id % 3 = 0 THEN 9 ELSE priority END AS priority, CASE WHEN id % 4 = 0 THEN true ELSE scrape_enabled END AS scrape_enabled, CASE WHEN id % 4 = 0 THEN NULL ELSE next_eligible_at END AS next_eligible_at, CASE WHEN id % 4 = 0 THEN 0 ELSE consecutive_failures END AS consecutive_failures FROM accounts")
+@query("J14_apply_account_patch", "accounts", "SELECT id, CASE WHEN id % 3 = 0 THEN 9 ELSE priority END AS priority, CASE WHEN id % 4 = 0 THEN true ELSE scrape_enabled END AS scrape_enabled, CASE WHEN id % 4 = 0 THEN NULL ELSE next_eligible_at END AS next_eligible_at, CASE WHEN id % 4 = 0 THEN 0 ELSE consecutive_failures END AS consecutive_failures FROM accounts")
 def _(accounts):
     patch = accounts.filter("id % 3 = 0 OR id % 4 = 0").select("id", F.when(F.col("id") % 3 == 0, 9).alias("priority"), F.when(F.col("id") % 4 == 0, True).alias("scrape_enabled"))
     return A.apply_patch(accounts, patch).select("id", "priority", "scrape_enabled", "next_eligible_at", "consecutive_failures")

@@ -33,6 +33,13 @@ def tables_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, path, files.schema).select("id", "account_id", "rel_path", "bytes")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (log,) = tables(spark, sf_dir, "event_log")
+    stream = _landed(spark, log.select("id", "ts", "level", "account_id"), "events")
+    out = S.run_to_table(stream, shared_folder(spark, "stream"), "append")
+    return out.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "level", "account_id")
+
+
 def coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     (log,) = tables(spark, sf_dir, "event_log")
     stream = _landed(spark, log.select("id", "ts", "level", "account_id", "event", "error_type", "message").orderBy("ts").coalesce(1), "events")
@@ -73,6 +80,7 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S3_tables_io": tables_io,
+    "S5_event_stream": event_stream,
     "T1_stream_coalesce": coalesce,
     "T2_stream_liveness": liveness,
     "T3_stream_counters": counters,
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "S3_tables_io": with_tables("SELECT id, account_id, rel_path, bytes FROM media_files", "media_files"),
+    "S5_event_stream": with_tables("SELECT id, ts, level, account_id FROM event_log", "event_log"),
     "T1_stream_coalesce": with_tables(
         f"""SELECT fingerprint, level, min_by(id, (ts, id)) AS id, count(*) AS occurrences, min(ts) AS first_seen_at, max(ts) AS ts, max_by(message, (ts, id)) AS message
     FROM (SELECT *, sum(s) OVER (PARTITION BY fingerprint, level ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run
