@@ -211,9 +211,10 @@ MISS = 0.02
 ALL_PAIRS = 64
 
 
-def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints (n, 2) and sketches (n, BINS) of ``texts``; words and shingles as in ``simhash``."""
-    digest, made, counts = xxhash.xxh3_128_digest, [], []
+def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit fingerprints (n, 2), sketches (n, BINS) and digests of the whole set of shingles (n, 2)
+    of ``texts``; words and shingles as in ``simhash``."""
+    digest, made, counts, whole = xxhash.xxh3_128_digest, [], [], []
     for text in texts:
         words = text.encode().translate(LOWER).split()
         joined = b" ".join(words)
@@ -221,6 +222,7 @@ def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         found = [digest(joined[s : e - 1]) for s, e in zip(starts, starts[size:])] if len(words) > size else [digest(joined)] if words else []
         made += found
         counts.append(len(found))
+        whole.append(digest(b"".join(sorted(set(found)))))
     n = np.array(counts, np.int64)
     prints, sketch = np.zeros((len(n), 2), np.uint64), np.full((len(n), BINS), EMPTY, np.uint16)
     if made:
@@ -232,7 +234,7 @@ def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(n)), n)
         value = np.minimum((hashes[:, 0] >> np.uint64(8)) & np.uint64(0xFFFF), EMPTY - 1).astype(np.uint16)
         np.minimum.at(sketch.reshape(-1), owner * BINS + (hashes[:, 0] & np.uint64(BINS - 1)).astype(np.int64), value)
-    return prints, sketch
+    return prints, sketch, np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
 
 
 def tables_for(n: int, similarity: float) -> list[np.ndarray]:
@@ -277,12 +279,14 @@ def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                prints, sketch = profiles(part.column(1).to_pylist(), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary())], names=["node", "p0", "p1", "sketch"])
+                prints, sketch, whole = profiles(part.column(1).to_pylist(), size)
+                numbers = [pa.array(x[:, k].view(np.int64)) for x in (prints, whole) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["node", "p0", "p1", "s0", "s1", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("node"), text_of().alias("text"))
-    made = materialize(rows.mapInArrow(profile, "node long, p0 long, p1 long, sketch binary"), "profiles")
-    same = made.groupBy("p0", "p1").agg(F.min("node").alias("first"))
+    made = materialize(rows.mapInArrow(profile, "node long, p0 long, p1 long, s0 long, s1 long, sketch binary"), "profiles")
+    # rows are one node only if their whole sets are equal; equal fingerprints alone prove nothing
+    same = made.groupBy("s0", "s1", "p0", "p1").agg(F.min("node").alias("first"))
     chosen = tables_for(same.count(), similarity)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,12 +331,12 @@ def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -
                 share = ((x == y) & (x != EMPTY)).sum(axis=1) / np.maximum(some, 1)
                 yield batch.select(["a", "b"]).filter(pa.array(share >= similarity - SLACK))
 
-    dealt = same.mapInArrow(deal, "group long, p0 long, p1 long, first long").repartition("group").sortWithinPartitions("group")
+    dealt = same.select("p0", "p1", "first").mapInArrow(deal, "group long, p0 long, p1 long, first long").repartition("group").sortWithinPartitions("group")
     met = materialize(dealt.select("group", "p0", "p1", "first").mapInArrow(pairs, "a long, b long").distinct(), "met")
     known = made.select("node", "sketch")
     both = met.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
-    equal = made.join(same, ["p0", "p1"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    equal = made.join(same.select("s0", "s1", "first"), ["s0", "s1"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     return connected_components(linked.unionByName(equal))
 
 

@@ -42,6 +42,21 @@ def test_similar_finds_planted_copies(spark):
     assert kept & want == set() and kept == set(range(300))
 
 
+def draw(rng, n):
+    return [f"w{v}" for v in rng.integers(0, 10**9, n)]
+
+
+def test_equal_fingerprints_are_no_proof(spark):
+    """Texts that share one line, repeated often, have few shingles in common."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for k, length in enumerate((9, 11, 13)):
+        line = draw(rng, length) * 40
+        docs += [(2 * k + side, " ".join(line + draw(rng, 100))) for side in (0, 1)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == set(range(6))
+
+
 def test_mixing_repeats_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     copies = mixing.mix(docs.select("doc_id", "source", "text")).groupBy().sum("copies").first()[0]
