@@ -212,17 +212,18 @@ ALL_PAIRS = 64
 
 
 def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128-bit fingerprints (n, 2), sketches (n, BINS) and digests of the whole set of shingles (n, 2)
-    of ``texts``; words and shingles as in ``simhash``."""
+    """128-bit fingerprints (n, 2), sketches (n, BINS) and digests (n, 2) of the distinct shingles of
+    ``texts``; words and shingles as in ``simhash``, repeats of a shingle count once."""
     digest, made, counts, whole = xxhash.xxh3_128_digest, [], [], []
     for text in texts:
         words = text.encode().translate(LOWER).split()
         joined = b" ".join(words)
         starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
         found = [digest(joined[s : e - 1]) for s, e in zip(starts, starts[size:])] if len(words) > size else [digest(joined)] if words else []
+        found = sorted(set(found))
         made += found
         counts.append(len(found))
-        whole.append(digest(b"".join(sorted(set(found)))))
+        whole.append(digest(b"".join(found)))
     n = np.array(counts, np.int64)
     prints, sketch = np.zeros((len(n), 2), np.uint64), np.full((len(n), BINS), EMPTY, np.uint16)
     if made:

@@ -57,6 +57,16 @@ def test_equal_fingerprints_are_no_proof(spark):
     assert kept == set(range(6))
 
 
+def test_repeated_words_do_not_hide_copies(spark):
+    """A text and the same with its first words repeated differ in few distinct shingles."""
+    rng = np.random.default_rng(6)
+    base = [draw(rng, 200) for _ in range(12)]
+    docs = [(k, " ".join(b)) for k, b in enumerate(base)]
+    docs += [(100 + k, " ".join(b[:12] * (10 + 3 * k) + b)) for k, b in enumerate(base)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == set(range(12))
+
+
 def test_mixing_repeats_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     copies = mixing.mix(docs.select("doc_id", "source", "text")).groupBy().sum("copies").first()[0]
