@@ -203,27 +203,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit:
 
 #: Bins of a sketch: each keeps the least hash of the shingles that fall into it.
 BINS, EMPTY = 256, 0xFFFF
-#: Differing bits of 128 up to which a pair is verified, and what its sketches may lack.
-WIDE_LIMIT, SLACK = 30, 0.01
+#: Differing bits of 128 up to which a pair is verified, and what its sketches may lack (four standard
+#: errors) to be compared by its exact sets.
+WIDE_LIMIT, SLACK = 30, 0.1
 #: Part of the pairs at the least similarity that the tables may miss.
 MISS = 0.02
 #: Groups up to this size verify every pair; larger ones two of each member.
 ALL_PAIRS = 64
 
 
+def shingles(text: str, size: int) -> list[bytes]:
+    """Sorted distinct 128-bit digests of the shingles of ``text``."""
+    words = text.encode().translate(LOWER).split()
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return [xxhash.xxh3_128_digest(joined)] if words else []
+    starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+    return sorted({xxhash.xxh3_128_digest(joined[s : e - 1]) for s, e in zip(starts, starts[size:])})
+
+
 def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """128-bit fingerprints (n, 2), sketches (n, BINS) and digests (n, 2) of the distinct shingles of
     ``texts``; words and shingles as in ``simhash``, repeats of a shingle count once."""
-    digest, made, counts, whole = xxhash.xxh3_128_digest, [], [], []
+    made, counts, whole = [], [], []
     for text in texts:
-        words = text.encode().translate(LOWER).split()
-        joined = b" ".join(words)
-        starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
-        found = [digest(joined[s : e - 1]) for s, e in zip(starts, starts[size:])] if len(words) > size else [digest(joined)] if words else []
-        found = sorted(set(found))
+        found = shingles(text, size)
         made += found
         counts.append(len(found))
-        whole.append(digest(b"".join(found)))
+        whole.append(xxhash.xxh3_128_digest(b"".join(found)))
     n = np.array(counts, np.int64)
     prints, sketch = np.zeros((len(n), 2), np.uint64), np.full((len(n), BINS), EMPTY, np.uint16)
     if made:
@@ -238,6 +245,19 @@ def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return prints, sketch, np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of each row's two sketches."""
+    some = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
+    return ((x == y) & (x != EMPTY)).sum(axis=1) / np.maximum(some, 1)
+
+
+def overlap(x: bytes, y: bytes) -> float:
+    """Shared part of two sets of distinct 64-bit numbers."""
+    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
 def tables_for(n: int, similarity: float) -> list[np.ndarray]:
     """Bit choices of the tables: each parts ``n`` fingerprints into groups of about 32, and all of
     them together miss ``MISS`` of the pairs of just ``similarity``."""
@@ -272,8 +292,8 @@ def close_pairs(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(node, component)`` of the keys in ``docs(key, text)`` with a text of that similarity or more.
 
-    Similarity is the shared part of the two texts' distinct shingles, as sketches of ``BINS`` bins
-    tell it. Keys must be unique.
+    Similarity is the shared part of the two texts' distinct shingles. Sketches only spare pairs that
+    are far from it; all others are decided on their exact sets. Keys must be unique.
     """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,19 +344,40 @@ def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -
             for a, b in close():
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in (2, 3))
-                some = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-                share = ((x == y) & (x != EMPTY)).sum(axis=1) / np.maximum(some, 1)
-                yield batch.select(["a", "b"]).filter(pa.array(share >= similarity - SLACK))
+                yield batch.select(["a", "b"]).filter(pa.array(alike(x, y) >= similarity - SLACK))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held = [np.unique(np.frombuffer(b"".join(shingles(t, size)), "<u8")[::2]).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["node", "held"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                far = [overlap(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield part.select(["a", "b"]).filter(pa.array(np.array(far) >= similarity))
+
+    def attach(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        ends = [values.select(F.col("node").alias(k), F.col(name).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+        return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "x", "y")
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` whose exact sets are similar enough."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = materialize(rows.join(ends, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, held binary"), "sets")
+        return attach(pairs, held, "held").mapInArrow(exact, "a long, b long")
 
     dealt = same.select("p0", "p1", "first").mapInArrow(deal, "group long, p0 long, p1 long, first long").repartition("group").sortWithinPartitions("group")
     met = materialize(dealt.select("group", "p0", "p1", "first").mapInArrow(pairs, "a long, b long").distinct(), "met")
-    known = made.select("node", "sketch")
-    both = met.join(known.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    linked = both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    near = materialize(attach(met, made.select("node", "sketch"), "sketch").mapInArrow(loose, "a long, b long"), "near")
+    linked = proven(near)
     equal = made.join(same.select("s0", "s1", "first"), ["s0", "s1"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     return connected_components(linked.unionByName(equal))
 

@@ -67,6 +67,28 @@ def test_repeated_words_do_not_hide_copies(spark):
     assert kept == set(range(12))
 
 
+def plain_set(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_similarity_is_decided_exactly(spark):
+    """Pairs from 0.76 to 0.84, against a brute-force version over exact sets."""
+    rng = np.random.default_rng(8)
+    docs, near = [], {}
+    for k in range(120):
+        base = draw(rng, 404)
+        cut = 30 + k % 21  # 400 shingles, of which cut + 4 change
+        copy = base[:100] + draw(rng, cut) + base[100 + cut :]
+        docs += [(k, " ".join(base)), (1000 + k, " ".join(copy))]
+        x, y = (plain_set(t) for _, t in docs[-2:])
+        near[k] = len(x & y) / len(x | y)
+    gone = {d for d, _ in docs} - {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = {1000 + k for k, v in near.items() if v >= 0.8}
+    assert min(near.values()) < 0.78 and max(near.values()) > 0.83
+    assert gone <= want and len(want - gone) <= 0.05 * len(want)
+
+
 def test_mixing_repeats_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     copies = mixing.mix(docs.select("doc_id", "source", "text")).groupBy().sum("copies").first()[0]
