@@ -208,8 +208,9 @@ BINS, EMPTY = 256, 0xFFFF
 WIDE_LIMIT, SLACK = 30, 0.1
 #: Part of the pairs at the least similarity that the tables may miss.
 MISS = 0.02
-#: Groups up to this size verify every pair; larger ones two of each member.
-ALL_PAIRS = 64
+#: Groups up to this size verify every pair at once; larger ones two of each member, and then every
+#: pair not yet in one class, in blocks of at most BLOCK x BLOCK.
+ALL_PAIRS, BLOCK = 64, 2048
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -270,7 +271,7 @@ def tables_for(n: int, similarity: float) -> list[np.ndarray]:
 
 def close_pairs(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one group within the limit: all of a small group; of a larger one each
-    member's first earlier neighbour and its nearest one."""
+    member's first earlier neighbour and its nearest one, to which ``open_pairs`` adds the others."""
     if len(x) <= ALL_PAIRS:
         a, b = np.triu_indices(len(x), 1)
         near = np.bitwise_count(x[a] ^ x[b]).sum(axis=1, dtype=np.int64) <= limit
@@ -289,6 +290,34 @@ def close_pairs(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Each run of rows with equal values in the first ``width`` columns."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(width)], axis=1)
+        edges = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), len(key)]
+        for s, e in itertools.pairwise(edges):
+            if held and tuple(key[s]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = tuple(key[s])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def open_pairs(x: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int, room: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows ``left`` x ``right`` within the limit whose labels differ."""
+    for at in range(0, len(left), step := max(1, room // max(len(right), 1))):
+        q = left[at : at + step]
+        far = np.bitwise_count(x[q, None, 0] ^ x[None, right, 0]) + np.bitwise_count(x[q, None, 1] ^ x[None, right, 1])
+        a, b = np.nonzero((far <= limit) & (label[q, None] != label[None, right]))
+        for k in range(0, len(a), 1 << 14):
+            yield q[a[k : k + (1 << 14)]], right[b[k : k + (1 << 14)]]
+
+
 def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(node, component)`` of the keys in ``docs(key, text)`` with a text of that similarity or more.
 
@@ -319,30 +348,26 @@ def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -
                 yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], names=["group", "p0", "p1", "first"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-
-        def close():
-            x, node = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            if len(x) > 1:
-                a, b = close_pairs(x, WIDE_LIMIT)
-                yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-
-        for batch in batches:
-            group, p0, p1, node = (c.to_numpy() for c in batch.columns)
-            x = np.stack([p0, p1], axis=1).view(np.uint64)
-            out = []
-            for s, e in itertools.pairwise([0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]):
-                if e > s:
-                    if held and group[s] != last:
-                        out += close()
-                        held = []
-                    held.append((x[s:e], node[s:e]))
-                    last = group[s]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
-        if held:
-            for a, b in close():
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        """Pairs a < b; the members of a large group come as a = b, with the group and fingerprint."""
+        names = ["a", "b", "group", "p0", "p1"]
+        for t in runs(batches, 1):
+            group, p0, p1, node = (c.to_numpy() for c in t.columns)
+            if len(node) > 1:
+                a, b = close_pairs(np.stack([p0, p1], axis=1).view(np.uint64), WIDE_LIMIT)
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), none, none, none], names=names)
+            if len(node) > ALL_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node, node, group, p0, p1)], names=names)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            i, j, mine, p0, p1, node, label = (t[c].to_numpy() for c in ("i", "j", "mine", "p0", "p1", "node", "label"))
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
+            left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+            for a, b in open_pairs(np.stack([p0, p1], axis=1).view(np.uint64), label, left, right, WIDE_LIMIT):
+                hit = alike(sketch[a], sketch[b]) >= similarity - SLACK
+                a, b = node[a[hit]], node[b[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,9 +400,21 @@ def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -
         return attach(pairs, held, "held").mapInArrow(exact, "a long, b long")
 
     dealt = same.select("p0", "p1", "first").mapInArrow(deal, "group long, p0 long, p1 long, first long").repartition("group").sortWithinPartitions("group")
-    met = materialize(dealt.select("group", "p0", "p1", "first").mapInArrow(pairs, "a long, b long").distinct(), "met")
-    near = materialize(attach(met, made.select("node", "sketch"), "sketch").mapInArrow(loose, "a long, b long"), "near")
-    linked = proven(near)
+    met = materialize(dealt.select("group", "p0", "p1", "first").mapInArrow(pairs, "a long, b long, group long, p0 long, p1 long"), "met")
+    sketches = made.select("node", "sketch")
+    near = materialize(attach(met.filter("a < b").select("a", "b").distinct(), sketches, "sketch").mapInArrow(loose, "a long, b long"), "near")
+    linked = materialize(proven(near), "linked")
+    members = met.filter("a = b").select("group", F.col("a").alias("node"), "p0", "p1")
+    if not members.isEmpty():
+        # pairs proven so far make classes; of large groups, every pair between two classes is left
+        members = members.join(connected_components(linked), "node", "left").withColumn("label", F.coalesce("component", "node"))
+        cut = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        mine = F.pmod(F.xxhash64("node"), F.col("m")).alias("mine")
+        split = members.join(cut.select("group", "m"), "group").join(sketches, "node").select("group", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other"), "p0", "p1", "node", "label", "sketch")
+        split = split.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "p0", "p1", "node", "label", "sketch")
+        split = split.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+        more = materialize(split.mapInArrow(rest, "a long, b long").distinct(), "more")
+        linked = linked.unionByName(proven(more))
     equal = made.join(same.select("s0", "s1", "first"), ["s0", "s1"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     return connected_components(linked.unionByName(equal))
 

@@ -89,6 +89,24 @@ def test_similarity_is_decided_exactly(spark):
     assert gone <= want and len(want - gone) <= 0.05 * len(want)
 
 
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """a-b and c-d are nearest to each other, b-c links the two: one class, however large the group."""
+    rng = np.random.default_rng(10)
+    docs, size = [], 40
+    for k in range(size):
+        chain = [draw(rng, 404)]
+        for cut in (12, 28, 12):  # similarity 0.92, 0.85 and 0.92; a-c, b-d are below 0.8
+            at = 100 * len(chain)
+            chain.append(chain[-1][:at] + draw(rng, cut) + chain[-1][at + cut :])
+        docs += [(1000 * side + k, " ".join(c)) for side, c in enumerate(chain)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    # one table of one group: nothing but the group's own pairs can find a link; blocks of a few rows
+    monkeypatch.setattr(simhash, "tables_for", lambda n, similarity: [np.arange(0)])
+    monkeypatch.setattr(simhash, "BLOCK", 50, raising=False)
+    kept = {r["doc_id"] for r in simhash.keep_one(rows).collect()}
+    assert kept == set(range(size))
+
+
 def test_mixing_repeats_rows(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     copies = mixing.mix(docs.select("doc_id", "source", "text")).groupBy().sum("copies").first()[0]
