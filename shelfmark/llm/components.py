@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,11 +23,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while (now := tuple(links.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())) != before:
         before = now
         both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
-        nearest = both.groupBy("high").agg(F.min("low").alias("m")).select(F.col("high").alias("low"), F.least("m", "high").alias("m"))
-        large = links.join(nearest, "low").select("high", F.col("m").alias("low")).distinct()
+        # written, so that both sides of the join are plain exchanges, which adaptive execution splits where many links share an end
+        nearest = materialize(both.groupBy("high").agg(F.min("low").alias("m")).select(F.col("high").alias("low"), F.least("m", "high").alias("m")), "nearest")
+        large = materialize(links.join(nearest, "low").select("high", F.col("m").alias("low")).distinct(), "large")
         smallest = large.groupBy("high").agg(F.min("low").alias("m"))
         side = large.join(smallest, "high").filter("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
-        links = materialize(smallest.select("high", F.col("m").alias("low")).unionByName(side).distinct(), "links")
+        after = materialize(smallest.select("high", F.col("m").alias("low")).unionByName(side).distinct(), "links")
+        discard(links, nearest, large)
+        links = after
     roots = links.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
     return links.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(roots)
 

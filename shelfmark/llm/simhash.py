@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import attach, discard, keyed, materialize, text_of
 from .components import connected_components, join_labels
 
 FAN_OUT = 16
@@ -103,6 +103,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(x: np.ndarray) -> np.ndarray:
+    """Order of the rows of ``x`` (n, words), each row one long number, by Gray rank."""
+    ranks, odd = [], np.zeros(len(x), np.uint64)
+    for word in x.T:
+        ranks.append(gray_rank(word) ^ (np.uint64(0) - odd))  # an odd number of bits before turns the order round
+        odd = odd ^ (np.bitwise_count(word).astype(np.uint64) & np.uint64(1))
+    return np.lexsort(ranks[::-1])
+
+
+def apart(x: np.ndarray) -> np.ndarray:
+    """Bits set in each row."""
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int16)
+
+
 def index_levels(sorted_: np.ndarray, wanted: int = FAN_OUT) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Nodes from the leaves' parents up: pattern, mask of shared bits, first member of each."""
     ones, any_, first, levels = sorted_, sorted_, np.arange(len(sorted_)), []
@@ -113,40 +127,57 @@ def index_levels(sorted_: np.ndarray, wanted: int = FAN_OUT) -> list[tuple[np.nd
     return levels
 
 
+def below(q: np.ndarray, node: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each query with the children of its node; a level has ``width`` nodes."""
+    q, node = np.repeat(q, FAN_OUT), (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
+    return q[node < width], node[node < width]
+
+
 def group_forest(found: np.ndarray, limit: int, room: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the distinct fingerprints at most ``limit`` bits apart: (members, their roots).
 
     ``room`` bounds the candidate pairs in memory at a time.
     """
-    x = found[np.argsort(gray_rank(found))]
+    x = found[:, None][gray_order(found[:, None])]
     n, label, levels = len(x), np.arange(len(x)), index_levels(x)
-    dense = [np.bitwise_count(~mask) <= limit for _, mask, _ in levels]
+    dense = [apart(~mask) <= limit for _, mask, _ in levels]
     ends = [np.append(first[1:], n) for _, _, first in levels]
     for k, (_, _, first) in enumerate(levels):  # members of a dense node are linked to its first
         for node in np.flatnonzero(dense[k]):
             members = np.arange(first[node] + 1, ends[k][node])
             label = join_labels(label, members, np.full(len(members), first[node]))
     step = max(1, room // max(n, 1))
-    for at in range(0, n, step):
-        q = np.repeat(np.arange(at, min(n, at + step)), len(levels[-1][0]) if levels else 1)
-        node = np.tile(np.arange(len(levels[-1][0])) if levels else np.zeros(1, int), min(n, at + step) - at)
+    for at in range(0, n if levels else 0, step):
+        q = np.repeat(np.arange(at, min(n, at + step)), len(levels[-1][0]))
+        node = np.tile(np.arange(len(levels[-1][0])), min(n, at + step) - at)
         for k in range(len(levels) - 1, -1, -1):
             pattern, mask, first = levels[k]
-            keep = (ends[k][node] > q + 1) & (np.bitwise_count((x[q] ^ pattern[node]) & mask[node]) <= limit)
+            keep = (ends[k][node] > q + 1) & (apart((x[q] ^ pattern[node]) & mask[node]) <= limit)
             q, node = q[keep], node[keep]
             # all members are within the limit, and linked among themselves
-            whole = dense[k][node] & (np.bitwise_count((x[q] ^ pattern[node]) | ~mask[node]) <= limit)
+            whole = dense[k][node] & (apart((x[q] ^ pattern[node]) | ~mask[node]) <= limit)
             label = join_labels(label, q[whole], first[node[whole]])
-            q, node = q[~whole], node[~whole]
-            width = len(levels[k - 1][0]) if k else n
-            q = np.repeat(q, FAN_OUT)
-            node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            q, node = q[node < width], node[node < width]
-        if levels:
-            linked = (node > q) & (np.bitwise_count(x[q] ^ x[node]) <= limit)
-            label = join_labels(label, q[linked], node[linked])
+            q, node = below(q[~whole], node[~whole], len(levels[k - 1][0]) if k else n)
+        linked = (node > q) & (apart(x[q] ^ x[node]) <= limit)
+        label = join_labels(label, q[linked], node[linked])
     off = label != np.arange(n)
-    return x[off], x[label[off]]
+    return x[off, 0], x[label[off], 0]
+
+
+def near_pairs(asked: np.ndarray, held: np.ndarray, limit: int, room: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of ``asked``, row of ``held``) at most ``limit`` bits apart, through an index on ``held``."""
+    order = gray_order(held)
+    x = held[order]
+    levels = index_levels(x)
+    for at in range(0, len(asked), step := max(1, room // max(len(x), 1))):
+        q = np.arange(at, min(len(asked), at + step))
+        node = np.zeros(len(q), int)
+        for k in range(len(levels) - 1, -1, -1):
+            pattern, mask, _ = levels[k]
+            keep = apart((asked[q] ^ pattern[node]) & mask[node]) <= limit
+            q, node = below(q[keep], node[keep], len(levels[k - 1][0]) if k else len(x))
+        near = apart(asked[q] ^ x[node]) <= limit
+        yield q[near], order[node[near]]
 
 
 def group_edges(dealt: DataFrame, limit: int) -> DataFrame:
@@ -201,95 +232,88 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit:
 
 # ---- texts of a similarity or more ----
 
-#: Bins of a sketch: each keeps the least hash of the shingles that fall into it.
-BINS, EMPTY = 256, 0xFFFF
-#: Differing bits of 128 up to which a pair is verified, and what its sketches may lack (four standard
-#: errors) to be compared by its exact sets.
-WIDE_LIMIT, SLACK = 30, 0.1
-#: Part of the pairs at the least similarity that the tables may miss.
-MISS = 0.02
-#: Groups up to this size verify every pair at once; larger ones two of each member, and then every
-#: pair not yet in one class, in blocks of at most BLOCK x BLOCK.
-ALL_PAIRS, BLOCK = 64, 2048
-
-
-def shingles(text: str, size: int) -> list[bytes]:
-    """Sorted distinct 128-bit digests of the shingles of ``text``."""
-    words = text.encode().translate(LOWER).split()
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh3_128_digest(joined)] if words else []
-    starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
-    return sorted({xxhash.xxh3_128_digest(joined[s : e - 1]) for s, e in zip(starts, starts[size:])})
-
-
-def profiles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128-bit fingerprints (n, 2), sketches (n, BINS) and digests (n, 2) of the distinct shingles of
-    ``texts``; words and shingles as in ``simhash``, repeats of a shingle count once."""
-    made, counts, whole = [], [], []
-    for text in texts:
-        found = shingles(text, size)
-        made += found
-        counts.append(len(found))
-        whole.append(xxhash.xxh3_128_digest(b"".join(found)))
-    n = np.array(counts, np.int64)
-    prints, sketch = np.zeros((len(n), 2), np.uint64), np.full((len(n), BINS), EMPTY, np.uint16)
-    if made:
-        hashes = np.frombuffer(b"".join(made), "<u8").reshape(-1, 2)
-        some = n > 0
-        bits = np.unpackbits(hashes.view("u1").reshape(-1, 16), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
-        prints[some] = np.packbits(2 * sums > n[some, None], axis=1, bitorder="little").view("<u8")
-        owner = np.repeat(np.arange(len(n)), n)
-        value = np.minimum((hashes[:, 0] >> np.uint64(8)) & np.uint64(0xFFFF), EMPTY - 1).astype(np.uint16)
-        np.minimum.at(sketch.reshape(-1), owner * BINS + (hashes[:, 0] & np.uint64(BINS - 1)).astype(np.int64), value)
-    return prints, sketch, np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
-
-
-def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarity of each row's two sketches."""
-    some = ((x != EMPTY) | (y != EMPTY)).sum(axis=1)
-    return ((x == y) & (x != EMPTY)).sum(axis=1) / np.maximum(some, 1)
+#: Differing bits of 128 up to which a pair is compared by its exact sets: four standard deviations
+#: over the mean of a pair of just 0.8, whatever the number of rows.
+WIDE_LIMIT = 36
+#: Least hashes in a key, and keys of a text: a pair of just 0.8 shares none of them once in 66.
+KEY_HASHES, KEYS = 4, 8
+#: Rows, and shingles of their sets, that one side of a block has about.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+
+_draw = np.random.default_rng(9)
+ODD = _draw.integers(0, 1 << 63, KEY_HASHES * KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _draw.integers(0, 1 << 63, KEY_HASHES * KEYS, np.uint64)
+PLACE = _draw.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words whose hashes a task keeps.
+WORDS_KEPT = 1 << 18
+
+
+def stir(x: np.ndarray) -> np.ndarray:
+    """Spread every bit of each number over all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words(dict):
+    """Word -> its 64-bit hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+def shingle_sets(texts: list[str], size: int, known: Words) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text; words and shingles as in ``simhash``."""
+    split = [t.encode().translate(LOWER).split() for t in texts]
+    n = np.array(list(map(len, split)))
+    ends = np.cumsum(n)
+    h = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(n.sum()))
+    made = np.zeros(max(len(h) - size + 1, 0), np.uint64)
+    for k in range(size):
+        made += h[k : k + len(made)] * PLACE[k % len(PLACE)]
+    made = stir(made)
+    out = []
+    for words, e in zip(split, ends.tolist()):
+        if len(words) >= size:
+            own = np.sort(made[e - len(words) : e - size + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        else:  # a text of fewer words is one shingle
+            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(words), 43)] if words else [], np.uint64))
+    return out
 
 
-def overlap(x: bytes, y: bytes) -> float:
-    """Shared part of two sets of distinct 64-bit numbers."""
-    a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-    both = len(np.intersect1d(a, b, assume_unique=True))
+def profiles(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set of shingles: its 128-bit digest (n, 2), 128-bit fingerprint (n, 2), size, and keys
+    (n, KEYS). A key joins KEY_HASHES least hashes; sets with none have the keys 0."""
+    n = np.array(list(map(len, sets)))
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<u8").reshape(-1, 2)
+    prints, least = np.zeros((len(n), 2), np.uint64), np.zeros((len(n), len(ODD)), np.uint64)
+    some = n > 0
+    if some.any():
+        h = np.concatenate(sets)
+        starts = (np.cumsum(n) - n)[some]
+        for k in range(2):
+            bits = np.unpackbits((h if not k else stir(h + np.uint64(k))).view("u1").reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+            prints[some, k] = np.packbits(2 * sums > n[some, None], axis=1, bitorder="little").view("<u8").ravel()
+        for k, (a, b) in enumerate(zip(ODD, PLUS)):
+            least[some, k] = np.minimum.reduceat(h * a + b, starts)
+    keys = np.stack([stir(sum(stir(least[:, t * KEY_HASHES + k] + np.uint64(k)) for k in range(KEY_HASHES)) + np.uint64(t)) for t in range(KEYS)], axis=1)
+    return digest, prints, n, np.where(some[:, None], keys, np.uint64(0))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    both = int((b[at] == a).sum()) if len(b) else 0
     return both / max(len(a) + len(b) - both, 1)
 
 
-def tables_for(n: int, similarity: float) -> list[np.ndarray]:
-    """Bit choices of the tables: each parts ``n`` fingerprints into groups of about 32, and all of
-    them together miss ``MISS`` of the pairs of just ``similarity``."""
-    bits = max(4, math.ceil(math.log2(max(n, 1) / 32)))
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-    count = math.ceil(math.log(MISS) / math.log(1 - agree**bits))
-    rng = np.random.default_rng(9)
-    return [np.sort(rng.permutation(128)[:bits]) for _ in range(count)]
-
-
-def close_pairs(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group within the limit: all of a small group; of a larger one each
-    member's first earlier neighbour and its nearest one, to which ``open_pairs`` adds the others."""
-    if len(x) <= ALL_PAIRS:
-        a, b = np.triu_indices(len(x), 1)
-        near = np.bitwise_count(x[a] ^ x[b]).sum(axis=1, dtype=np.int64) <= limit
-        return a[near], b[near]
-    out_a, out_b = [], []
-    for at in range(0, len(x), step := max(1, (1 << 21) // len(x))):
-        q = np.arange(at, min(len(x), at + step))
-        far = np.bitwise_count(x[q, None, 0] ^ x[None, :, 0]).astype(np.int16) + np.bitwise_count(x[q, None, 1] ^ x[None, :, 1])
-        far[np.arange(len(q)), q] = 999
-        nearest = far.argmin(axis=1)
-        first = (far <= limit).argmax(axis=1)
-        for k in (nearest, first):
-            hit = far[np.arange(len(q)), k] <= limit
-            out_a.append(q[hit])
-            out_b.append(k[hit])
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
 def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
     """Each run of rows with equal values in the first ``width`` columns."""
     held, last = [], None
@@ -308,125 +332,164 @@ def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def open_pairs(x: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int, room: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows ``left`` x ``right`` within the limit whose labels differ."""
-    for at in range(0, len(left), step := max(1, room // max(len(right), 1))):
-        q = left[at : at + step]
-        far = np.bitwise_count(x[q, None, 0] ^ x[None, right, 0]) + np.bitwise_count(x[q, None, 1] ^ x[None, right, 1])
-        a, b = np.nonzero((far <= limit) & (label[q, None] != label[None, right]))
-        for k in range(0, len(a), 1 << 14):
-            yield q[a[k : k + (1 << 14)]], right[b[k : k + (1 << 14)]]
+BLOCK = "k0 long, k1 long, k2 long, left boolean, node long, label long, w0 long, w1 long, weight long"
 
 
-def similar(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(node, component)`` of the keys in ``docs(key, text)`` with a text of that similarity or more.
+def candidates(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (left, right) of a block's rows whose labels differ and whose fingerprints and sizes allow ``similarity``."""
+    side, label, weight = (t[c].to_numpy() for c in ("left", "label", "weight"))
+    x = np.stack([t["w0"].to_numpy(), t["w1"].to_numpy()], axis=1).view(np.uint64)
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    if len(left) and len(right):
+        for a, b in near_pairs(x[left], x[right], WIDE_LIMIT):
+            a, b = left[a], right[b]
+            may = (label[a] != label[b]) & (np.minimum(weight[a], weight[b]) >= similarity * np.maximum(weight[a], weight[b]))
+            yield a[may], b[may]
 
-    Similarity is the shared part of the two texts' distinct shingles. Sketches only spare pairs that
-    are far from it; all others are decided on their exact sets. Keys must be unique.
-    """
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                prints, sketch, whole = profiles(part.column(1).to_pylist(), size)
-                numbers = [pa.array(x[:, k].view(np.int64)) for x in (prints, whole) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *numbers, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["node", "p0", "p1", "s0", "s1", "sketch"])
+def in_question(blocks: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``blocks`` that are in a pair of ``candidates``."""
 
-    rows = docs.select(F.col(key).cast("long").alias("node"), text_of().alias("text"))
-    made = materialize(rows.mapInArrow(profile, "node long, p0 long, p1 long, s0 long, s1 long, sketch binary"), "profiles")
-    # rows are one node only if their whole sets are equal; equal fingerprints alone prove nothing
-    same = made.groupBy("s0", "s1", "p0", "p1").agg(F.min("node").alias("first"))
-    chosen = tables_for(same.count(), similarity)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            met = np.zeros(len(t), bool)
+            for a, b in candidates(t, similarity):
+                met[a] = met[b] = True
+            if met.any():
+                yield from t.filter(pa.array(met)).to_batches()
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (0, 1)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(x).view("u1").reshape(-1, 16), axis=1, bitorder="little")
-            for t, pick in enumerate(chosen):
-                group = (bits[:, pick].astype(np.int64) << np.arange(len(pick))).sum(axis=1) | t << 48
-                yield pa.RecordBatch.from_arrays([pa.array(group), *batch.columns], names=["group", "p0", "p1", "first"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs a < b; the members of a large group come as a = b, with the group and fingerprint."""
-        names = ["a", "b", "group", "p0", "p1"]
-        for t in runs(batches, 1):
-            group, p0, p1, node = (c.to_numpy() for c in t.columns)
-            if len(node) > 1:
-                a, b = close_pairs(np.stack([p0, p1], axis=1).view(np.uint64), WIDE_LIMIT)
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), none, none, none], names=names)
-            if len(node) > ALL_PAIRS:
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node, node, group, p0, p1)], names=names)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return blocks.repartition("k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2").mapInArrow(work, BLOCK)
+
+
+def verified(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of ``blocks`` whose exact sets are similar enough: a forest over each block's labels."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
-            i, j, mine, p0, p1, node, label = (t[c].to_numpy() for c in ("i", "j", "mine", "p0", "p1", "node", "label"))
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(-1, BINS)
-            left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
-            for a, b in open_pairs(np.stack([p0, p1], axis=1).view(np.uint64), label, left, right, WIDE_LIMIT):
-                hit = alike(sketch[a], sketch[b]) >= similarity - SLACK
-                a, b = node[a[hit]], node[b[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(alike(x, y) >= similarity - SLACK))
+            node, held = t["node"].to_numpy(), t["held"].combine_chunks()
+            class_ = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
+            out, opened = [], {}
+
+            def of(k: int) -> np.ndarray:
+                if k not in opened:
+                    opened[k] = np.frombuffer(held[k].as_buffer(), "<u8")
+                return opened[k]
+
+            for a, b in candidates(t, similarity):
+                for p, q in zip(a.tolist(), b.tolist()):
+                    if class_[p] != class_[q] and overlap(of(p), of(q)) >= similarity:
+                        class_[class_ == class_[q]] = class_[p]
+                        out.append((node[p], node[q]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = blocks.join(sets, "node").select("k0", "k1", "k2", "left", "node", "label", "w0", "w1", "weight", "held")
+    return dealt.repartition("k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2").mapInArrow(work, "a long, b long")
+
+
+def parts(rows: Column, weight: Column) -> Column:
+    """Blocks for so many rows and shingles."""
+    return F.ceil(rows / BLOCK_ROWS + weight / BLOCK_SHINGLES)
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def part_of(many: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), many)
+
+
+def each_part(many: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+
+
+def links_of(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between ``nodes``, as many as join every class of texts of that similarity.
+
+    Nodes that share a key form a group. First all of a group are compared with its least node; what
+    that joins is one class. Then, in groups that still hold several classes, every row outside the
+    least node's class is compared with every row of another class. Both go block by block: no
+    task holds a group, and a group's blocks are as many as its rows need.
+    """
+    own = ("node", "w0", "w1", "weight")
+    dealt = nodes.filter("weight > 0").select(F.explode(F.array(*(f"b{t}" for t in range(KEYS)))).alias("group"), *own).distinct()
+    groups = dealt.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
+    groups = materialize(groups.select("group", "lead"), "groups")
+    members = materialize(dealt.join(groups, "group"), "members")
+
+    wanted = members.select("node").distinct().join(nodes, "node").select("node", "__id", "__mark")
+    known_sets = materialize(attach(keyed(docs, "text").select("__id", "__mark", text_of().alias("text")), wanted).select("node", "text").mapInArrow(set_writer(size), "node long, held binary"), "sets")
+
+    # each member against its groups' least nodes
+    pairs = materialize(members.filter("node <> lead").select("lead", *own).distinct(), "pairs")
+    leads = pairs.groupBy("lead").agg(parts(F.count("*"), F.sum("weight")).alias("many"))
+    leads = materialize(leads.join(nodes.select(F.col("node").alias("lead"), *(F.col(c).alias(f"lead_{c}") for c in own[1:])), "lead"), "leads")
+    zero = F.lit(0).cast("long")
+    right = pairs.join(leads.select("lead", "many"), "lead").select(F.col("lead").alias("k0"), part_of(F.col("many"), 1).alias("k1"), zero.alias("k2"), F.lit(False).alias("left"), "node", F.col("node").alias("label"), *own[1:])
+    left = leads.select(F.col("lead").alias("k0"), each_part(F.col("many")).alias("k1"), zero.alias("k2"), F.lit(True).alias("left"), F.col("lead").alias("node"), F.col("lead").alias("label"), *(F.col(f"lead_{c}").alias(c) for c in own[1:]))
+    first = materialize(verified(in_question(right.unionByName(left), similarity), known_sets, similarity), "first")
+    discard(pairs, leads)
+
+    # in groups of several classes, each row outside the least node's class against all of another class
+    classes = materialize(connected_components(first), "classes")
+    labelled = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = materialize(labelled, "labelled")
+    outside = F.col("label") != F.col("lead_label")
+    lead_label = classes.select(F.col("node").alias("lead"), F.col("component").alias("lead_label"))
+    open_groups = groups.join(lead_label, "lead", "left").select("group", F.coalesce("lead_label", "lead").alias("lead_label"))
+    labelled = labelled.join(materialize(open_groups, "open"), "group")
+    count = lambda c: parts(F.count(F.when(c, 1)), F.sum(F.when(c, F.col("weight"))))
+    cut = materialize(labelled.groupBy("group").agg(count(outside).alias("i"), count(F.lit(True)).alias("j")).filter("i > 0"), "cut")
+    labelled = labelled.join(cut, "group")
+    asking = labelled.filter(outside).withColumns({"k1": part_of(F.col("i"), 1), "k2": each_part(F.col("j")), "left": F.lit(True)})
+    asked = labelled.withColumns({"k1": each_part(F.col("i")), "k2": part_of(F.col("j"), 2), "left": F.lit(False)})
+    blocks = asking.unionByName(asked).select(F.col("group").alias("k0"), "k1", "k2", "left", "node", "label", *own[1:])
+    second = materialize(verified(in_question(blocks, similarity), known_sets, similarity), "second")
+    discard(known_sets, members, classes)
+    return first.unionByName(second)
+
+
+def set_writer(size: int):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                held = [np.unique(np.frombuffer(b"".join(shingles(t, size)), "<u8")[::2]).tobytes() for t in part.column(1).to_pylist()]
+                held = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist(), size, known)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["node", "held"])
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return write
+
+
+def nodes_of(docs: DataFrame, size: int) -> DataFrame:
+    """One row for each distinct set of shingles of ``docs``: its least row, fingerprint, size and keys."""
+    names = ["d0", "d1", "w0", "w1", "weight", *(f"b{t}" for t in range(KEYS))]
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                far = [overlap(x, y) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(np.array(far) >= similarity))
-
-    def attach(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-        ends = [values.select(F.col("node").alias(k), F.col(name).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
-        return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "x", "y")
-
-    def proven(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` whose exact sets are similar enough."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = materialize(rows.join(ends, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, held binary"), "sets")
-        return attach(pairs, held, "held").mapInArrow(exact, "a long, b long")
-
-    dealt = same.select("p0", "p1", "first").mapInArrow(deal, "group long, p0 long, p1 long, first long").repartition("group").sortWithinPartitions("group")
-    met = materialize(dealt.select("group", "p0", "p1", "first").mapInArrow(pairs, "a long, b long, group long, p0 long, p1 long"), "met")
-    sketches = made.select("node", "sketch")
-    near = materialize(attach(met.filter("a < b").select("a", "b").distinct(), sketches, "sketch").mapInArrow(loose, "a long, b long"), "near")
-    linked = materialize(proven(near), "linked")
-    members = met.filter("a = b").select("group", F.col("a").alias("node"), "p0", "p1")
-    if not members.isEmpty():
-        # pairs proven so far make classes; of large groups, every pair between two classes is left
-        members = members.join(connected_components(linked), "node", "left").withColumn("label", F.coalesce("component", "node"))
-        cut = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        mine = F.pmod(F.xxhash64("node"), F.col("m")).alias("mine")
-        split = members.join(cut.select("group", "m"), "group").join(sketches, "node").select("group", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("other"), "p0", "p1", "node", "label", "sketch")
-        split = split.select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "p0", "p1", "node", "label", "sketch")
-        split = split.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-        more = materialize(split.mapInArrow(rest, "a long, b long").distinct(), "more")
-        linked = linked.unionByName(proven(more))
-    equal = made.join(same.select("s0", "s1", "first"), ["s0", "s1"]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    return connected_components(linked.unionByName(equal))
+                digest, prints, n, keys = profiles(shingle_sets(part.column(3).to_pylist(), size, known))
+                numbers = [*digest.T.view(np.int64), *prints.T.view(np.int64), n, *keys.T.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(np.ascontiguousarray(v)) for v in numbers)], names=["none", "__id", "__mark", *names])
+
+    narrow = keyed(docs, "text").select(F.col("doc_id").isNull().alias("none"), "__id", "__mark", text_of().alias("text"))
+    made = narrow.mapInArrow(profile, "none boolean, __id long, __mark long, " + ", ".join(f"{c} long" for c in names))
+    # rows are one node only if their whole sets are equal
+    least = F.min(F.struct("none", "__id", "__mark")).alias("least")
+    nodes = made.groupBy("d0", "d1").agg(least, *(F.first(c).alias(c) for c in names[2:])).withColumn("node", F.monotonically_increasing_id())
+    return materialize(nodes.select("node", "least", "least.__id", "least.__mark", *names[2:]), "nodes")
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each class of near-duplicates: that with the smallest doc_id.
 
-    Of repeated doc_ids the first row stays; null doc_ids come last. Null text is empty.
+    Texts are linked if they share ``similarity`` of their distinct shingles of ``size`` words, decided
+    on the exact sets; texts with equal sets are one node, those without words among themselves.
+    Null text is empty. Null doc_ids come last; of rows that repeat a doc_id one stays, any of those
+    with the same text being as good. No rows give no rows.
     """
-    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("place", F.monotonically_increasing_id()), "rows")
-    found = similar(rows.select("place", "text"), "place", size, similarity)
-    found = materialize(rows.select("place", "doc_id").join(found, F.col("place") == F.col("node")).select("place", "doc_id", "component"), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("place")
-    gone = found.join(found.groupBy("component").agg(first).select("place"), "place", "left_anti").select("place")
-    return rows.join(gone, "place", "left_anti").select("row.*")
+    nodes = nodes_of(docs, size)
+    found = connected_components(links_of(nodes, docs, size, similarity))
+    chosen = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
+    chosen = materialize(chosen.select("least.__id", "least.__mark"), "chosen")
+    discard(nodes)
+    return attach(keyed(docs, "text"), chosen).select(*docs.columns)

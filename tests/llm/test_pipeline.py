@@ -5,8 +5,10 @@ import collections
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
-from shelfmark.llm import mixing, simhash
+from shelfmark.llm import components, mixing, simhash
 
 
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
@@ -100,11 +102,33 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
             chain.append(chain[-1][:at] + draw(rng, cut) + chain[-1][at + cut :])
         docs += [(1000 * side + k, " ".join(c)) for side, c in enumerate(chain)]
     rows = spark.createDataFrame(docs, "doc_id long, text string")
-    # one table of one group: nothing but the group's own pairs can find a link; blocks of a few rows
-    monkeypatch.setattr(simhash, "tables_for", lambda n, similarity: [np.arange(0)])
-    monkeypatch.setattr(simhash, "BLOCK", 50, raising=False)
-    kept = {r["doc_id"] for r in simhash.keep_one(rows).collect()}
-    assert kept == set(range(size))
+    # one group of all rows: nothing but its own pairs can find a link; blocks of a few rows
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    nodes = simhash.nodes_of(rows, 5)
+    one = nodes.withColumns({f"b{t}": F.lit(7).cast("long") for t in range(simhash.KEYS)})
+    classes = collections.Counter(r["component"] for r in components.connected_components(simhash.links_of(one, rows, 5, 0.8)).collect())
+    assert len(classes) == size and set(classes.values()) == {4}
+
+
+def test_pairs_of_each_similarity(spark):
+    """Recall of pairs, by similarity, among texts with nothing else in common: at least 0.9 from 0.8 on, none below."""
+    rng = np.random.default_rng(18)
+    docs, near = [], {}
+    for k in range(1500):
+        n = int(rng.integers(60, 300))
+        base = draw(rng, n + 4)
+        cut = round(n * (0.10 - 0.05 * (k % 3)) / 1.9 * 1.1) or 1  # about 0.80 to 0.83, 0.9, 0.95
+        at = int(rng.integers(5, n - cut - 5))
+        copy = base[:at] + draw(rng, cut) + base[at + cut :]
+        docs += [(k, " ".join(base)), (10_000 + k, " ".join(copy))]
+        x, y = (plain_set(t) for _, t in docs[-2:])
+        near[k] = len(x & y) / len(x | y)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {k for k in near if 10_000 + k not in kept}
+    assert all(near[k] >= 0.8 for k in found) and set(range(1500)) <= kept
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        there = {k for k, v in near.items() if low <= v < high}
+        assert len(there) > 30 and len(found & there) >= 0.95 * len(there)
 
 
 def test_mixing_repeats_rows(spark, odd):
