@@ -2,7 +2,7 @@
 
 BPE never merges across the pieces its pre-tokenizer makes, so a text's ids are those of its
 space-separated chunks joined, as long as each cut is a single space between two other
-characters. Each worker keeps the ids of chunks and of pieces it has met and asks the tokenizers
+characters, and that it holds none of the tokenizer's added tokens. Each worker keeps the ids of chunks and of pieces it has met and asks the tokenizers
 library for the others only. A chunk that white space adjoins is no clean cut: such a text goes to
 the library whole.
 """
@@ -10,13 +10,15 @@ the library whole.
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks and pieces that a worker's caches hold before they start anew (about 200 bytes each).
-CHUNKS, PIECES = 700_000, 400_000
+#: Chunks and pieces that a worker's caches hold before they start anew, and the longest they keep
+#: (about 200 bytes each, 400 at most).
+CHUNKS, PIECES, LONGEST = 700_000, 400_000, 48
 
 # The pieces of a byte-level BPE, and of a lower-cased BPE with word ends.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,8 +47,19 @@ class _Chunks(dict):
     def __missing__(self, chunk: str):
         if len(self) >= CHUNKS:
             self.clear()
-        out = self.owner.chunk(self.lead + chunk) if self.owner.clean(chunk) else None
-        self[chunk] = out
+        owner = self.owner
+        word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
+        if word.isalpha() and (word.isascii() or max(word) < "\u0100"):  # the most frequent forms need no pattern
+            word = self.lead + (word.lower() if owner.lower else word)
+            out = owner.known.get(word) or owner.piece(word)
+            if mark:
+                out += owner.known.get(mark) or owner.piece(mark)
+        elif owner.dropped or chunk and not (chunk[0].isspace() or chunk[-1].isspace()):
+            out = owner.chunk(self.lead + chunk)
+        else:
+            out = None
+        if len(chunk) <= LONGEST:
+            self[chunk] = out
         return out
 
 
@@ -59,32 +72,33 @@ class Encoder:
 
     def __init__(self, path: str, spaces: str, dtype: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype(dtype)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.dropped = spaces == "dropped"
         self.normal = self.tokenizer.normalizer
-        self.model = self.tokenizer.model
+        self.lower = self.normal is not None
+        self.tokenize = self.tokenizer.model.tokenize
         self.pieces = regex.compile(DROPPED if self.dropped else SPACED).findall
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
         self.first, self.rest = _Chunks(self, ""), _Chunks(self, "" if self.dropped else " ")
 
-    def clean(self, chunk: str) -> bool:
-        return self.dropped or bool(chunk) and not (chunk[0].isspace() or chunk[-1].isspace())
-
     def chunk(self, text: str) -> bytes:
-        word, mark = (text[:-1], text[-1]) if text[-1:] in _MARKS else (text, "")
-        if word.isascii() and word.removeprefix(" ").isalpha():  # the most frequent forms need no pattern
-            word = word.lower() if self.normal is not None else word
-            found = [word, mark] if mark else [word]
-        else:
-            found = self.pieces(self.normal.normalize_str(text) if self.normal is not None else text)
-        return b"".join([self.known.get(x) or self.piece(x) for x in found])
+        if self.lower:
+            text = text.lower() if text.isascii() else self.normal.normalize_str(text)
+        return b"".join([self.known.get(x) or self.piece(x) for x in self.pieces(text)])
 
     def piece(self, text: str) -> bytes:
         if len(self.known) >= PIECES:
             self.known.clear()
-        spelled = text.encode().decode("latin-1").translate(byte_letters())
-        self.known[text] = out = np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
+        if text.isascii() and text.isprintable():  # only a space is spelled otherwise
+            spelled = text.replace(" ", self.letters[32])
+        else:
+            spelled = text.encode().decode("latin-1").translate(self.letters)
+        out = array(self.code, [t.id for t in self.tokenize(spelled)]).tobytes()
+        if len(text) <= LONGEST:
+            self.known[text] = out
         return out
 
     def whole(self, text: str) -> bytes:
@@ -93,6 +107,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(mark in text for mark in self.added):  # found before anything else is cut
+            return self.whole(text)
         head, *tail = text.split(" ")
         try:
             return self.first[head] + b"".join(map(self.rest.__getitem__, tail))

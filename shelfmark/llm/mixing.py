@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_of
+from .common import WORD, attach, keyed, materialize, text_of
 
 #: Weights by rank of the source, repeating; the most copies of a source.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -55,11 +55,11 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int
         *(F.col(c) for c in keep),
         F.col("source").cast("string").alias("__source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("__doc"),
     )
     # eight classes to each doubling of the size; 256 bins by digest
     base = base.withColumn("__class", F.concat(F.lpad(F.length(binary).cast("string"), 2, "0"), F.substring(binary, 2, 3)))
-    base = base.withColumn("__bin", F.substring(F.md5(F.col("__id").cast("string")), 1, 2))
+    base = base.withColumn("__bin", F.substring(F.md5(F.col("__doc").cast("string")), 1, 2))
     base = base.withColumn("__key", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("")))
     base = materialize(base, "sizes")
 
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int
 
     starts = bin_starts.join(class_starts, ["__key", "__class"]).withColumn("__start", F.col("__class_start") + F.col("__bin_start"))
     starts = starts.join(rates, "__key").drop("__class_start", "__bin_start")
-    place = F.row_number().over(Window.partitionBy("__key", "__class", "__bin").orderBy("size", "__id"))
+    place = F.row_number().over(Window.partitionBy("__key", "__class", "__bin").orderBy("size", "__doc"))
     placed = base.withColumn("__place", place).join(starts, ["__key", "__class", "__bin"]).withColumn("__upto", F.col("__start") + F.col("__place"))
     crossed = F.floor(F.col("__draw") + F.col("__rate") * F.col("__upto")) - F.floor(F.col("__draw") + F.col("__rate") * (F.col("__upto") - 1))
     copies = F.least(crossed, F.lit(cap).cast("long")).alias("copies")
@@ -86,18 +86,22 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
-    """The rows of the mix, each as often as it is taken, with the columns of ``docs``."""
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("__row"))
-    taken = mix(rows, ("__row",), weights, cap, seed).filter("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")
+    """The rows of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    Copies are dealt among narrow rows; texts move once, when the copies meet them. Rows that are equal
+    in every column are taken together. Null text has size 0; no rows give no rows.
+    """
+    rows = keyed(docs, *docs.columns)
+    taken = mix(rows, ("__id", "__mark"), weights, cap, seed).groupBy("__id", "__mark").agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    taken = materialize(taken, "taken")
+    return attach(rows, taken).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
 #: The same mix in DuckDB's SQL.
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce('=' || source, '') AS skey, coalesce(doc_id, -1) AS id,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::BIGINT AS size
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 classed AS (
   SELECT *, lpad(length(bin(size))::VARCHAR, 2, '0') || substring(bin(size), 2, 3) AS class,
