@@ -2,33 +2,40 @@
 
 Vectors are scaled to length 1. Each half has a codebook of its own, and a vector's cell is its
 nearest code of either half. Cells of the product grid are visited in the order of the summed
-distances of their two codes (the multi-sequence order). How many cells are visited is measured:
-sampled queries are compared with all vectors, and the traversal goes on until TARGET of their true
-links have their cell visited. Every pair met in a cell is verified by its cosine in double
-precision. A pair is met if either vector visits the other's cell.
+distances of their two codes (the multi-sequence order). Every pair met in a cell is verified by its
+cosine in double precision. A pair is met if either vector visits the other's cell.
 
-Cells are cut into blocks of at most ``BLOCK`` members by as many visitors; a block reports counts
-and a spanning forest, never its pairs.
+How many cells are visited is measured on two sets of pairs, and the larger number holds: partners
+planted at just the threshold from sampled vectors (so the figure doesn't hang on how many links a
+sample happens to hold), and the true links of sampled queries among all vectors, by brute force, each
+query counting as one. TARGET of either must be met. Nothing bounds the number but the grid itself.
+
+Cells are cut into blocks of at most MEMBERS members by VISITORS visitors; a block reports counts and a
+spanning forest, never its pairs. Vectors of different length have no cosine: each length has an
+index of its own.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import connected_components, join_labels
+from .simhash import runs
 
-#: Rows that the codebooks are fitted on, queries that the traversal is measured with (both by hash).
-FIT_ROWS, QUERIES = 20_000, 256
-TARGET = 0.99
-BLOCK = 512
-MEMBERS_PER_CELL = 32
+#: Rows that the codebooks are fitted on, queries and planted pairs that the traversal is measured with.
+FIT_ROWS, QUERIES, PLANTED = 20_000, 1024, 4000
+TARGET = 0.97
+MEMBERS, VISITORS = 2048, 8192
+#: A grid has no more cells than CODES * CODES, whatever the number of vectors.
+MEMBERS_PER_CELL, CODES = 2048, 1024
+#: Numbers that a step of the traversal or of a block holds, and what ties of distances may differ by.
+ROOM, TIE = 1 << 21, 1e-9
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -51,113 +58,142 @@ def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(axis=1)
 
 
-def traverse(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> np.ndarray:
-    """The ``visits`` nearest cells of each row, nearest first.
+def half_distances(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    half = books[0].shape[1]
+    return distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
+
 
-    Only codes i, j of ranks with (i + 1)(j + 1) <= visits can be among them, as all cells of
+def traverse(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells visited, as (row, cell), and how far each row went: all cells at most that far, at least ``visits``.
+
+    Only codes i, j of ranks with (i + 1)(j + 1) <= visits can be among the nearest ones, as all cells of
     lower ranks come before.
     """
-    half = books[0].shape[1]
-    first, second = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
-    rank1, rank2 = (np.argsort(d, axis=1, kind="stable")[:, :visits] for d in (first, second))
-    pairs = np.array([(i, j) for i in range(rank1.shape[1]) for j in range(min(rank2.shape[1], visits // (i + 1)))])
-    rows = np.arange(len(x))[:, None]
-    i, j = rank1[:, pairs[:, 0]], rank2[:, pairs[:, 1]]
-    order = np.argsort(first[rows, i] + second[rows, j], axis=1, kind="stable")[:, :visits]
-    return (i * len(books[1]) + j)[rows, order]
-
+    n1, n2 = map(len, books)
+    visits = min(visits, n1 * n2)
+    ranks = np.array([(i, j) for i in range(min(n1, visits)) for j in range(min(n2, visits // (i + 1)))])
+    out, reach = [], np.empty(len(x))
+    for at in range(0, len(x), step := max(1, ROOM // max(len(ranks), n1 + n2))):
+        first, second = half_distances(x[at : at + step], books)
+        rows = np.arange(len(first))[:, None]
+        order1, order2 = (np.argsort(d, axis=1, kind="stable") for d in (first, second))
+        i, j = order1[:, ranks[:, 0]], order2[:, ranks[:, 1]]
+        far = first[rows, i] + second[rows, j]
+        reach[at : at + step] = edge = np.partition(far, visits - 1, axis=1)[:, visits - 1] + TIE
+        row, k = np.nonzero(far <= edge[:, None])
+        out.append((row + at, i[row, k] * n2 + j[row, k]))
+    return *(np.concatenate([o[k] for o in out] or [np.zeros(0, int)]) for k in (0, 1)), reach
+
+
+def homes(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The nearest cell of each row."""
+    first, second = half_distances(x, books)
+    return first.argmin(axis=1) * len(books[1]) + second.argmin(axis=1)
+
+
+def ranks_of(x: np.ndarray, cells: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The place of ``cells[k]`` in the traversal from ``x[k]``: how many cells are as near or nearer."""
+    first, second = half_distances(x, books)
+    out = np.empty(len(x), np.int64)
+    for k, (a, b) in enumerate(zip(first, np.sort(second, axis=1))):
+        i, j = divmod(int(cells[k]), len(books[1]))
+        out[k] = np.searchsorted(b, first[k, i] + second[k, j] + TIE - a, "right").sum()
+    return out
+
+
+def array_of(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors that travel as the bytes of their doubles."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
+
+
+def usable(vector: str) -> Column:
+    """Whether a vector can have a cosine: not null, no null or non-finite component, not zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.col(vector).isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x.isNotNull() & (x != 0)), F.lit(False))
 
-def array_of(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 1))
 
+def fit(vectors: DataFrame, total: int, width: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Codebooks of the two halves, from at most FIT_ROWS rows in the order of a hash, and those rows."""
+    size = int(np.clip(round((total / MEMBERS_PER_CELL) ** 0.5), 1, CODES))
+    sample = unit(np.array([r[0] for r in vectors.select("vector").orderBy(F.xxhash64("vector"), "node").limit(FIT_ROWS if size > 1 else 1).collect()], np.float64))
+    half = max(1, width // 2)
+    return (codebook(sample[:, :half], size), codebook(sample[:, half:], size)), sample
 
-def usable(rows: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vectors can have a cosine: not null, no null or non-finite component, not zero.
 
-    They must have the length that most rows have; a vector of another length links with nothing.
-    """
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.filter(F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0))
-    most = good.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size(vector) == (most["n"] if most else 0))
+def planted_ranks(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Places at which vectors and partners at a cosine of just ``threshold`` in random directions meet."""
+    rng = np.random.default_rng(8)
+    x = sample[rng.integers(0, len(sample), PLANTED)]
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    y = unit(threshold * x + (1 - threshold**2) ** 0.5 * np.divide(away, size, out=np.zeros_like(away), where=size > 0))
+    return np.minimum(ranks_of(x, homes(y, books), books), ranks_of(y, homes(x, books), books))
 
 
-def fit(vectors: DataFrame, total: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codebooks of the two halves, from at most FIT_ROWS rows in the order of a hash."""
-    size = int(np.clip(round((total / MEMBERS_PER_CELL) ** 0.5), 1, 1024))
-    sample = unit(np.array([r[0] for r in vectors.select("vector").orderBy(F.xxhash64("vector"), "node").limit(FIT_ROWS).collect()], np.float64))
-    half = max(1, dim // 2)
-    return codebook(sample[:, :half], size), codebook(sample[:, half:], size)
+def enough(ranks: np.ndarray, weights: np.ndarray) -> int:
+    """The least number of visits that meets TARGET of the weights."""
+    order = np.argsort(ranks)
+    share = np.cumsum(weights[order]) / weights.sum()
+    return int(ranks[order][min(np.searchsorted(share, TARGET - 1e-12), len(order) - 1)])
 
 
-def measured_visits(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: float) -> int:
-    """Cells to visit: brute force of sampled queries over all rows, and the rank of each link's cell."""
+def measured_visits(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray], sample: np.ndarray, threshold: float) -> int:
+    """Cells to visit, from planted pairs and from the true links of sampled queries."""
+    visits = enough(planted_ranks(sample, books, threshold), np.ones(PLANTED))
     ask = [(r[0], r[1]) for r in vectors.select("node", "vector").orderBy(F.xxhash64("vector", F.lit(1)), "node").limit(QUERIES).collect()]
     nodes, queries = np.array([a for a, _ in ask]), unit(np.array([v for _, v in ask], np.float64))
-    cells = len(books[0]) * len(books[1])
-    top = min(cells, 1024)
-    rank = np.full((len(ask), cells), top, np.int32)
-    np.put_along_axis(rank, traverse(queries, books, top), np.arange(top, dtype=np.int32)[None], axis=1)
 
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = unit(array_of(batch.column(1)))
+                x = unit(array_of(batch.column(1), queries.shape[1]))
                 q, k = np.nonzero((queries @ x.T >= threshold) & (nodes[:, None] != batch.column(0).to_numpy()[None]))
-                home = traverse(x, books, 1)[:, 0]
-                value, count = np.unique(rank[q, home[k]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int32)), pa.array(count)], names=["rank", "n"])
+                met, count = np.unique(np.stack([q, homes(x, books)[k]], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(met[:, 0]), pa.array(ranks_of(queries[met[:, 0]], met[:, 1], books)), pa.array(count)], names=["q", "rank", "n"])
 
-    found = vectors.select("node", "vector").mapInArrow(ranks, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
-    need, seen = TARGET * sum(r["n"] for r in found), 0
-    for rank_, n in sorted(map(tuple, found)):
-        seen += n
-        if seen >= need:
-            return int(min(cells, max(rank_ + 1, 4)))
-    return min(cells, 8)
+    found = vectors.select("node", "packed").mapInArrow(links, "q long, rank long, n long").groupBy("q", "rank").agg(F.sum("n").alias("n")).collect()
+    if found:
+        q, rank, n = np.array(found, np.int64).T
+        visits = max(visits, enough(rank, n / np.bincount(q, n)[q]))
+    return visits
 
 
-def compare(rows: DataFrame, threshold: float) -> DataFrame:
+def compare(rows: DataFrame, index: dict[int, tuple], threshold: float) -> DataFrame:
     """Links within each block: (node, links, peer), peer being in the same component."""
 
-    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts).combine_chunks()
+    def block(t: pa.Table) -> pa.RecordBatch | None:
         member = t["member"].to_numpy()
-        if not member.any():
-            return None
-        node, copies, home = (t[c].to_numpy() for c in ("node", "copies", "home"))
-        x = unit(array_of(t["vector"].combine_chunks()))
+        node, copies, home, reach = (t[c].to_numpy() for c in ("node", "copies", "home", "reach"))
+        width = t["width"][0].as_py()
+        books = index[width][0]
         m, v = np.flatnonzero(member), np.flatnonzero(~member)
-        b, a = np.nonzero(x[v] @ x[m].T >= threshold)
-        a, b = m[a], v[b]
-        if not len(a):
+        if not len(m) or not len(v):
             return None
-        # a pair that is met in both cells counts in the lower one; within a cell, from the lower node
-        both = np.array([h in p for h, p in zip(home[b], t["cells"].take(pa.array(a)).to_pylist())])
-        once = np.where(home[a] == home[b], node[a] < node[b], ~both | (home[a] < home[b]))
-        a, b = a[once], b[once]
-        links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
-        order = np.unique(node, return_inverse=True)
-        label = join_labels(np.arange(len(order[0])), order[1][a], order[1][b])
+        x = unit(array_of(t["packed"].combine_chunks(), width))
+        links = np.zeros(len(node), np.int64)
+        names, same = np.unique(node, return_inverse=True)
+        label = np.arange(len(names))
+        near = half_distances(x[m], books)  # of members, to know which visitors' cells they visit themselves
+        row = np.zeros(len(node), np.int64)
+        row[m] = np.arange(len(m))
+        for at in range(0, len(v), step := max(1, ROOM // len(m))):
+            b, a = np.nonzero(x[v[at : at + step]] @ x[m].T >= threshold)
+            a, b = m[a], v[at + b]
+            # a pair met in both cells counts in the lower one; within a cell, from the lower node
+            i, j = np.divmod(home[b], len(books[1]))
+            both = near[0][row[a], i] + near[1][row[a], j] <= reach[a]
+            once = np.where(home[a] == home[b], node[a] < node[b], ~both | (home[a] < home[b]))
+            a, b = a[once], b[once]
+            links += (np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))).astype(np.int64)
+            label = join_labels(label, same[a], same[b])
         some = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(order[0][label[order[1][some]]])], names=["node", "links", "peer"])
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(names[label[same[some]]])], names=["node", "links", "peer"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            edges = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), len(key)]
-            for s, e in itertools.pairwise(edges):
-                if e == s:
-                    continue
-                if held and tuple(key[s]) != last:
-                    if out := block(held):
-                        yield out
-                    held = []
-                held.append(batch.slice(s, e - s))
-                last = tuple(key[s])
-        if held and (out := block(held)):
-            yield out
+        for t in runs(batches, 4):
+            if (out := block(t)) is not None:
+                yield out
 
     return rows.mapInArrow(blocks, "node long, links long, peer long")
 
@@ -166,42 +202,72 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
     """``(key, n_links, component_id, kept)`` of every row.
 
     Vectors that can have no cosine (see ``usable``) link with nothing. Equal vectors are one node
-    that counts as often as it occurs. A null key is nobody's smallest.
+    that counts as often as it occurs. A null key is nobody's smallest. No rows give no rows.
     """
     spark = rows.sparkSession
-    rows = materialize(rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")), "vectors")
-    nodes = usable(rows, "vector").groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    total = nodes.count()
-    if total:
-        dim = len(nodes.select("vector").first()[0])
-        books = fit(nodes, total, dim)
-        visits = measured_visits(nodes, books, threshold)
-
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            data = (values - 0.0 + 0.0).astype("<f8").tobytes()  # no negative zero
+            start = ends[0]
+            packed = [data[8 * (s - start) : 8 * (e - start)] for s, e in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["key", "packed"])
+
+    values = rows.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    good = materialize(values.filter(usable("vector")).mapInArrow(pack, "key long, packed binary"), "vectors")
+    nodes = good.groupBy("packed").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), (F.octet_length("packed") / 8).cast("int").alias("width"), "least", "copies", "packed"), "nodes")
+
+    def unpacked(width: int) -> DataFrame:
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    cells = traverse(unit(array_of(batch.column(2))), books, visits)
-                    listed = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells[:, 0]), listed], names=["node", "copies", "vector", "home", "cells"])
-
-        indexed = materialize(nodes.select("node", "copies", "vector").mapInArrow(visit, "node long, copies long, vector array<double>, home long, cells array<long>"), "index")
-        members = indexed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n"))
-        visitors = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-        cut = members.select("cell", F.ceil(F.col("n") / BLOCK).alias("m")).join(visitors.select("cell", F.ceil(F.col("n") / BLOCK).alias("v")), "cell")
-        part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
-        stay = indexed.withColumn("cell", F.col("home")).join(cut, "cell").withColumns({"a": part(F.col("m"), 1), "b": F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1)), "member": F.lit(True)})
-        come = indexed.withColumn("cell", F.explode("cells")).join(cut, "cell").withColumns({"a": F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)), "b": part(F.col("v"), 2), "member": F.lit(False)})
-        columns = ("cell", "a", "b", "node", "copies", "home", "member", "vector", "cells")
-        dealt = stay.select(*columns).unionByName(come.select(*columns)).repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
-        met = materialize(compare(dealt, threshold), "met")
-    else:
-        met = spark.createDataFrame([], "node long, links long, peer long")
+                x = array_of(batch.column(1), width)
+                made = pa.ListArray.from_arrays(np.arange(0, x.size + 1, width, dtype=np.int32), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["node", "packed", "vector"])
+
+        return nodes.filter(F.col("width") == width).select("node", "packed").mapInArrow(unpack, "node long, packed binary, vector array<double>")
+
+    index: dict[int, tuple] = {}
+    for width, total in sorted(map(tuple, nodes.groupBy("width").count().collect())):
+        vectors = unpacked(width)
+        books, sample = fit(vectors, total, width)
+        index[width] = books, measured_visits(vectors, books, sample, threshold) if len(books[0]) * len(books[1]) > 1 else 1
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = batch.column(1).to_numpy()
+            for width in np.unique(widths).tolist():
+                part = batch.filter(pa.array(widths == width))
+                books, visits = index[width]
+                x = unit(array_of(part.column(3), width))
+                row, cell, reach = traverse(x, books, visits)
+                order = np.argsort(row, kind="stable")
+                listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(row, minlength=len(x)))).astype(np.int32), pa.array(cell[order]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(homes(x, books)), pa.array(reach), listed], names=["node", "width", "copies", "packed", "home", "reach", "cells"])
+
+    indexed = nodes.select("node", "width", "copies", "packed").mapInArrow(visit, "node long, width int, copies long, packed binary, home long, reach double, cells array<long>")
+    indexed = materialize(indexed, "index")
+    members = indexed.groupBy("width", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).alias("m"))
+    visitors = indexed.select("width", F.explode("cells").alias("cell")).groupBy("width", "cell").agg(F.ceil(F.count("*") / VISITORS).alias("v"))
+    # one row a cell at most: bounded by the codebooks, so it may be broadcast
+    cut = F.broadcast(materialize(members.join(visitors, ["width", "cell"]), "cut"))
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    stay = indexed.withColumn("cell", F.col("home")).join(cut, ["width", "cell"]).withColumns({"a": part(F.col("m"), 1), "b": every(F.col("v")), "member": F.lit(True)})
+    come = indexed.withColumn("cell", F.explode("cells")).join(cut, ["width", "cell"]).withColumns({"a": every(F.col("m")), "b": part(F.col("v"), 2), "member": F.lit(False)})
+    columns = ("width", "cell", "a", "b", "node", "copies", "home", "reach", "member", "packed")
+    dealt = stay.select(*columns).unionByName(come.select(*columns)).repartition("width", "cell", "a", "b").sortWithinPartitions("width", "cell", "a", "b")
+    met = materialize(compare(dealt, index, threshold), "met")
     found = connected_components(met.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
-    labelled = nodes.join(links, "node", "left").join(found, "node", "left").select("vector", "least", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = labelled.join(smallest, "label").select("vector", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
-    # null and unusable vectors join nothing
-    out = rows.join(known, "vector", "left").select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    labelled = nodes.join(links, "node", "left").join(found, "node", "left").select("packed", "least", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("label"))
+    labelled = materialize(labelled, "labelled")
+    # written, so that a join on a label that many share is between plain exchanges
+    smallest = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
+    known = labelled.join(smallest, "label").select("packed", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = materialize(good.join(known, "packed").select(F.col("key").alias(key), "n_links", "component_id"), "linked")
+    discard(good, nodes, indexed, met, labelled, smallest)
+    # vectors that can have no cosine are alone
+    alone = values.filter(~usable("vector")).select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

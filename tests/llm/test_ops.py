@@ -9,6 +9,8 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -339,13 +341,67 @@ def test_embeddings(spark, odd):
     assert {r for r in got if r[0] is not None and r[0] >= 50} == {(k, 0, k, True) for k in range(50, 57)}
 
 
-def test_embedding_recall(spark):
-    rng = np.random.default_rng(6)
-    centres = rng.standard_normal((150, 32))
-    x = np.concatenate([rng.standard_normal((2000, 32)), centres[rng.integers(0, 150, 1500)] + 0.15 * rng.standard_normal((1500, 32))]).astype(np.float32)
-    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = embeddings.near_duplicate_vectors(rows).toPandas().sort_values("vec_id")
+def vectors_of(spark, folder, x):
+    ids = pa.array(np.arange(len(x)))
+    values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": ids, "embedding": values}), f"{folder}/embeddings.parquet", row_group_size=8192)
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+def plain_links(x, threshold=0.9):
+    """Links of each row, and the smallest row reachable, by brute force."""
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
-    true = (u @ u.T >= 0.9).sum(axis=1) - 1
-    assert (got.n_links.to_numpy() <= true).all() and got.n_links.sum() >= 0.9 * true.sum()
+    a, b = (np.concatenate(v) for v in zip(*((k + p, q) for k in range(0, len(u), 500) for p, q in [np.nonzero(u[k : k + 500] @ u.T >= threshold)])))
+    label = np.arange(len(u))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            return np.bincount(a, minlength=len(u)) - 1, label
+        label = new
+
+
+def test_embedding_recall(spark, tmp_path):
+    """Clusters of many sizes, one of them large, and links of all strengths."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((150, 32))
+    x = [rng.standard_normal((6000, 32)), centres[rng.integers(0, 150, 3500)] + 0.3 * rng.standard_normal((3500, 32)), centres[0] + 0.1 * rng.standard_normal((3000, 32))]
+    x = rng.permutation(np.concatenate(x).astype(np.float32))
+    got = embeddings.near_duplicate_vectors(vectors_of(spark, tmp_path, x)).toPandas().sort_values("vec_id")
+    links, label = plain_links(x)
+    some = links > 0
+    assert (got.n_links.to_numpy() <= links).all() and (got.n_links.to_numpy()[some] / links[some]).mean() >= 0.95
+    assert (got.component_id.to_numpy() >= label).all() and (got.component_id.to_numpy() == label)[some].mean() >= 0.95
+    assert (got.kept == (got.vec_id == got.component_id)).all()
+
+
+def test_embedding_recall_of_rare_links(spark, tmp_path):
+    """120 pairs at a cosine of 0.905 among 100,000 vectors; hardly any sampled query has a link."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((100_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.standard_normal((120, 64))
+    away -= (away * x[:120]).sum(axis=1)[:, None] * x[:120]
+    x[-120:] = 0.905 * x[:120] + (1 - 0.905**2) ** 0.5 * away / np.linalg.norm(away, axis=1)[:, None]
+    got = embeddings.near_duplicate_vectors(vectors_of(spark, tmp_path, x)).toPandas().sort_values("vec_id")
+    assert got.n_links[:120].sum() >= 0.92 * 120 and got.n_links.sum() == 2 * got.n_links[:120].sum()
+    found = got.n_links.to_numpy()[-120:] == 1
+    assert (got.component_id.to_numpy()[-120:] == np.where(found, np.arange(120), np.arange(99_880, 100_000))).all()
+
+
+def test_embedding_lengths_have_their_own_index(spark):
+    rows = [(k, [1.0, 0.01 * k]) for k in range(5)] + [(10 + k, [1.0, 0.0, 0.001 * k]) for k in range(3)] + [(20, [2.0])]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, 4, 0) for k in range(5)} | {(10 + k, 2, 10) for k in range(3)} | {(20, 0, 20)}
+
+
+def test_traversal_visits_the_nearest_cells():
+    rng = np.random.default_rng(9)
+    books, x = (rng.standard_normal((7, 3)), rng.standard_normal((5, 4))), rng.standard_normal((50, 7))
+    first, second = embeddings.half_distances(x, books)
+    far = (first[:, :, None] + second[:, None, :]).reshape(50, -1)
+    row, cell, reach = embeddings.traverse(x, books, 9)
+    for k in range(50):
+        assert set(cell[row == k]) == set(np.argsort(far[k])[:9]) and set(np.flatnonzero(far[k] <= reach[k])) == set(cell[row == k])
+        assert embeddings.ranks_of(x[k : k + 1], np.argsort(far[k])[3:4], books) == [4]
