@@ -2,7 +2,12 @@
 
 A text's sentences are normalised and looked up among known licence sentences; the identifiers of
 those found, in the order of the text, are matched against rules: a rule holds if its identifiers
-occur in its order, others in between allowed.
+occur in its order, others in between allowed, and none of those that it excludes occurs.
+
+Sentences end at marks before white space and at lines without a letter or digit (so that a blank
+comment line counts); a single line break is white space, and what a line begins with before its
+first letter or digit (comment leaders, bullets) is dropped. What isn't a known sentence is looked
+up line by line too, for declarations of one line without a mark.
 """
 
 from __future__ import annotations
@@ -29,8 +34,17 @@ SENTENCES: dict[str, str] = {
     "gpl3-work": "this work is licensed under the gnu general public license version 3",
     "gpl3-named": "licensed under the gnu general public license version 3",
     "gpl-free": "this program is free software",
-    "gpl2-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-free-it": "this is free software",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-later": "either version 2 of the license or at your option any later version",
+    "gpl3-later-part": "either version 3 of the license or at your option any later version",
     "gpl3-later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-later-long": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl-free": "this library is free software",
+    "lgpl-terms": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl21-later": "either version 2.1 of the license or at your option any later version",
+    "lgpl3-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
@@ -40,49 +54,102 @@ SENTENCES: dict[str, str] = {
     "cc-by-sa-named": "licensed under cc by sa 4.0",
     "cc-by-nc-named": "licensed under cc by nc 4.0",
     "cc0-named": "licensed under cc0 1.0",
+    "cc-by-work": "this work is licensed under a creative commons attribution 4.0 international license",
+    "cc-by-sa-work": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+    "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "boost-named": "distributed under the boost software license version 1.0",
+    "epl-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0",
+    "spdx-mit": "spdx license identifier mit",
+    "spdx-apache": "spdx license identifier apache 2.0",
+    "spdx-gpl2": "spdx license identifier gpl 2.0 only",
+    "spdx-gpl2-later": "spdx license identifier gpl 2.0 or later",
+    "spdx-gpl3": "spdx license identifier gpl 3.0 only",
+    "spdx-gpl3-later": "spdx license identifier gpl 3.0 or later",
+    "spdx-bsd2": "spdx license identifier bsd 2 clause",
+    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "spdx-isc": "spdx license identifier isc",
+    "spdx-mpl": "spdx license identifier mpl 2.0",
     "mpl-form": "this source code form is subject to the terms of the mozilla public license v 2.0",
 }
 
-# Licence, kind, identifiers in order. A licence may have several rules.
-RULES: list[tuple[str, str, tuple[str, ...]]] = [
-    ("MIT", "permissive", ("mit-named",)),
-    ("MIT", "permissive", ("mit-licensed",)),
-    ("MIT", "permissive", ("mit-grant", "mit-notice")),
-    ("Apache-2.0", "permissive", ("apache-named",)),
-    ("Apache-2.0", "permissive", ("apache-long", "apache-use", "apache-copy")),
-    ("GPL-3.0", "copyleft", ("gpl3-work",)),
-    ("GPL-3.0", "copyleft", ("gpl3-named",)),
-    ("GPL-3.0", "copyleft", ("gpl-free", "gpl3-later")),
-    ("GPL-2.0", "copyleft", ("gpl-free", "gpl2-later")),
-    ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
-    ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("ISC", "permissive", ("isc-grant",)),
-    ("CC-BY-4.0", "permissive", ("cc-by-named",)),
-    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-named",)),
-    ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-named",)),
-    ("CC0-1.0", "permissive", ("cc0-named",)),
-    ("MPL-2.0", "copyleft", ("mpl-form",)),
+# Licence, kind, identifiers in order, identifiers that must not occur. A licence may have several rules.
+RULES: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = [
+    ("MIT", "permissive", ("mit-named",), ()),
+    ("MIT", "permissive", ("mit-licensed",), ()),
+    ("MIT", "permissive", ("mit-grant", "mit-notice"), ()),
+    ("MIT", "permissive", ("spdx-mit",), ()),
+    ("Apache-2.0", "permissive", ("apache-named",), ()),
+    ("Apache-2.0", "permissive", ("apache-long", "apache-use", "apache-copy"), ()),
+    ("Apache-2.0", "permissive", ("spdx-apache",), ()),
+    ("GPL-3.0", "copyleft", ("gpl3-work",), ()),
+    ("GPL-3.0", "copyleft", ("gpl3-named",), ()),
+    ("GPL-3.0", "copyleft", ("gpl3-later",), ()),
+    ("GPL-3.0", "copyleft", ("gpl-terms", "gpl3-later-part"), ()),
+    ("GPL-3.0", "copyleft", ("spdx-gpl3",), ()),
+    ("GPL-3.0", "copyleft", ("spdx-gpl3-later",), ()),
+    ("GPL-2.0", "copyleft", ("gpl-terms", "gpl2-later"), ()),
+    ("GPL-2.0", "copyleft", ("gpl2-later-long",), ()),
+    ("GPL-2.0", "copyleft", ("spdx-gpl2",), ()),
+    ("GPL-2.0", "copyleft", ("spdx-gpl2-later",), ()),
+    ("LGPL-2.1", "copyleft", ("lgpl-terms", "lgpl21-later"), ()),
+    ("LGPL-3.0", "copyleft", ("lgpl3-later",), ()),
+    ("AGPL-3.0", "copyleft", ("agpl3-later",), ()),
+    ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ()),
+    ("BSD-3-Clause", "permissive", ("spdx-bsd3",), ()),
+    ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary"), ("bsd-names",)),
+    ("BSD-2-Clause", "permissive", ("spdx-bsd2",), ()),
+    ("ISC", "permissive", ("isc-grant",), ()),
+    ("ISC", "permissive", ("spdx-isc",), ()),
+    ("CC-BY-4.0", "permissive", ("cc-by-named",), ()),
+    ("CC-BY-4.0", "permissive", ("cc-by-work",), ()),
+    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-named",), ()),
+    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-work",), ()),
+    ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-named",), ()),
+    ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-work",), ()),
+    ("CC0-1.0", "permissive", ("cc0-named",), ()),
+    ("Unlicense", "permissive", ("unlicense-free",), ()),
+    ("Zlib", "permissive", ("zlib-as-is", "zlib-grant"), ()),
+    ("BSL-1.0", "permissive", ("boost-grant",), ()),
+    ("BSL-1.0", "permissive", ("boost-named",), ()),
+    ("EPL-2.0", "copyleft", ("epl-terms",), ()),
+    ("MPL-2.0", "copyleft", ("mpl-form",), ()),
+    ("MPL-2.0", "copyleft", ("spdx-mpl",), ()),
 ]
 
 #: Every known sentence holds one of these, so a text without them has none.
 HINTS = ("licens", "permission", "copyright", "software", "redistribut")
 
-ENDS = r"[.!?;:]+([\x20\x09-\x0D]+|$)|[\x0A\x0D]+"
+#: Steps before the split at END, which no lower-cased text holds: (pattern, what takes its place).
+END = "Z"
+STEPS = [
+    (r"\x0D\x0A?", "\n"),
+    (r"\x0A[^a-z0-9\x0A]+", "\n"),  # what a line begins with
+    (r"\x0A\x0A+", END),
+    (r"[\x20\x09-\x0D]v\.[\x20\x09-\x0D]", " v "),
+    (r"license-identifier:", "license-identifier"),
+    (r"[.!?;:]+([\x20\x09-\x0DZ]+|\z)", END),
+]
 APART = r"[^a-z0-9.]+"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: ended by marks before white space or the end, or by a new line."""
-    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    parts = F.split(F.regexp_replace(low, ENDS, "\n"), "\n")
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, APART, " ")))
+def sentences(low: Column) -> Column:
+    """Sentences of a lower-cased text, with the line breaks inside them."""
+    for found, new in STEPS:
+        low = F.regexp_replace(low, found, new)
+    return F.split(low, END)
 
 
 def known(text: Column) -> Column:
     """Identifiers of the known sentences of ``text``, in its order."""
     lookup = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    found = F.filter(F.transform(sentences(text), lambda s: F.try_element_at(lookup, s)), lambda x: x.isNotNull())
+    named = lambda s: F.try_element_at(lookup, F.trim(F.regexp_replace(s, APART, " ")))
+    each = lambda s: F.when(named(s).isNotNull(), F.array(named(s))).otherwise(F.transform(F.split(s, "\n"), named))
     low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    found = F.filter(F.flatten(F.transform(sentences(low), each)), lambda x: x.isNotNull())
     hinted = F.lit(False)
     for hint in HINTS:
         hinted = hinted | F.contains(low, F.lit(hint))
@@ -103,7 +170,14 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = docs.select(*(F.col(c) for c in keep), known(text_of()).alias("__found"))
     marked = F.concat_ws("", F.transform("__found", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
     rows = rows.withColumn("__marked", marked)
-    hold = lambda k: F.array_join(F.array_distinct(F.filter(F.array(*(F.when(F.col("__marked").like(pattern(r[2])), F.lit(r[k])) for r in RULES)), lambda x: x.isNotNull())), ",")
+
+    def holds(rule: tuple) -> Column:
+        out = F.col("__marked").like(pattern(rule[2]))
+        for other in rule[3]:
+            out = out & ~F.col("__marked").like(pattern((other,)))
+        return out
+
+    hold = lambda k: F.array_join(F.array_distinct(F.filter(F.array(*(F.when(holds(r), F.lit(r[k])) for r in RULES)), lambda x: x.isNotNull())), ",")
     return rows.select(
         *keep,
         F.size("__found").cast("long").alias("n_known"),
@@ -117,13 +191,18 @@ def oracle() -> str:
     """The scan in DuckDB's SQL."""
     low = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     lookup = "MAP {" + ", ".join(f"'{s}': '{n}'" for n, s in SENTENCES.items()) + "}"
+    parts = low
+    for found, new in STEPS:
+        parts = f"regexp_replace({parts}, '{found}', {'chr(10)' if new == chr(10) else repr(new)}, 'g')"
+    named = lambda x: f"{lookup}[trim(regexp_replace({x}, '{APART}', ' ', 'g'))]"
     first = lambda k: f"array_to_string(list_filter(l{k}, lambda x, i: list_position(l{k}, x) = i), ',')"
-    each = lambda k: "list_filter([" + ", ".join(f"CASE WHEN marked LIKE '{pattern(r[2])}' THEN '{r[k]}' END" for r in RULES) + "], lambda x: x IS NOT NULL)"
+    hold = lambda r: " AND ".join([f"marked LIKE '{pattern(r[2])}'", *(f"marked NOT LIKE '{pattern((x,))}'" for x in r[3])])
+    each = lambda k: "list_filter([" + ", ".join(f"CASE WHEN {hold(r)} THEN '{r[k]}' END" for r in RULES) + "], lambda x: x IS NOT NULL)"
     return f"""
-WITH parts AS (
-  SELECT doc_id, string_split(regexp_replace({low}, '{ENDS}', chr(10), 'g'), chr(10)) AS s FROM documents),
+WITH parts AS (SELECT doc_id, string_split({parts}, '{END}') AS s FROM documents),
 known AS (
-  SELECT doc_id, list_filter(list_transform(s, lambda x: {lookup}[trim(regexp_replace(x, '{APART}', ' ', 'g'))]), lambda x: x IS NOT NULL) AS f FROM parts),
+  SELECT doc_id, list_filter(flatten(list_transform(s, lambda x: CASE WHEN {named("x")} IS NOT NULL THEN [{named("x")}]
+    ELSE list_transform(string_split(x, chr(10)), lambda y: {named("y")}) END)), lambda x: x IS NOT NULL) AS f FROM parts),
 marked AS (SELECT doc_id, f, array_to_string(list_transform(f, lambda x: '<' || x || '>'), '') AS marked FROM known),
 held AS (SELECT doc_id, f, {each(0)} AS l0, {each(1)} AS l1 FROM marked)
 SELECT doc_id, len(f)::BIGINT AS n_known, array_to_string(f, ',') AS sentence_ids, {first(0)} AS licenses, {first(1)} AS kinds FROM held

@@ -4,6 +4,7 @@ import collections
 import functools
 import hashlib
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -307,6 +308,83 @@ def test_license_rules_need_their_order(spark):
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+}
+
+
+@pytest.mark.parametrize(("leader", "end"), [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\n"), (";; ", "\n"), ("-- ", "\n")])
+def test_wrapped_licenses(spark, leader, end, tmp_path):
+    """Notices as they are shipped, in files of several languages, and every rule's sentences wrapped."""
+    docs = {k: v for k, v in enumerate(NOTICES.items())}
+    for k, rule in enumerate(licenses.RULES):
+        text = "\n\n".join(textwrap.fill(licenses.SENTENCES[s].replace("spdx license identifier ", "spdx-license-identifier: ").capitalize() + ".", 60) for s in rule[2])
+        docs[100 + k] = rule[0], text
+    rows = [(k, "Some words first.\n\n".replace("\n", end) + "".join((leader + x).rstrip() + end for x in t.splitlines()) + end + "Code here") for k, (_, t) in docs.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(df).collect()}
+    assert {k: v[2] for k, v in got.items()} == {k: n for k, (n, _) in docs.items()}
+    con = duckdb.connect()
+    df.coalesce(1).write.parquet(f"{tmp_path}/d")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(licenses.oracle()).fetchall()} == got
+
+
 @given(st.lists(st.binary(max_size=1500), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_media_round_trip(data):
