@@ -180,40 +180,101 @@ def near_pairs(asked: np.ndarray, held: np.ndarray, limit: int, room: int = 1 <<
         yield q[near], order[node[near]]
 
 
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Each run of rows with equal values in the first ``width`` columns."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in range(width)], axis=1)
+        edges = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), len(key)]
+        for s, e in itertools.pairwise(edges):
+            if held and tuple(key[s]) != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = tuple(key[s])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def group_edges(dealt: DataFrame, limit: int) -> DataFrame:
-    """Forests of the groups of ``dealt(group, fingerprint)``, which is partitioned and sorted by group."""
+    """Forests of the parts of ``dealt(group, part, fingerprint)``, each within one task."""
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last = None
-
-        def close():
-            if (whole := np.concatenate(held)).size > 1:
-                a, b = group_forest(whole, limit)
+        for t in runs(batches, 2):
+            x = np.unique(t["fingerprint"].to_numpy().view(np.uint64))
+            if len(x) > 1:
+                a, b = group_forest(x, limit)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
-            group, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for s, e in itertools.pairwise(cuts):
-                if e > s:
-                    if held and group[s] != last:
-                        yield from close()
-                        held = []
-                    held.append(value[s:e])
-                    last = group[s]
-        if held:
-            yield from close()
-
-    return dealt.select("group", "fingerprint").mapInArrow(forest, "a long, b long")
-
-
-def link_fingerprints(distinct: DataFrame, limit: int = 4, leaf: int = 2048) -> DataFrame:
-    """``(node, component)`` of the distinct fingerprints that link with another one."""
+    return dealt.select("group", "part", "fingerprint").repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(forest, "a long, b long")
+
+
+def part_of(many: Column, seed: int, node: str = "node") -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(seed)), many)
+
+
+def each_part(many: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+
+
+def open_blocks(members: DataFrame, classes: DataFrame, columns: tuple[str, ...], parts) -> DataFrame:
+    """Blocks of those groups of ``members(group, lead, node, *columns)`` that hold several ``classes``.
+
+    In each, every row outside the class of the lead meets every row of the group, as left and right
+    side of the blocks (k0, k1, k2). ``parts(condition)`` is an aggregate: the blocks that such rows fill.
+    """
+    named = classes.select(F.col("node").alias("lead"), F.col("component").alias("lead_label"))
+    labelled = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    leads = materialize(members.select("group", "lead").distinct().join(named, "lead", "left").select("group", F.coalesce("lead_label", "lead").alias("lead_label")), "leads")
+    labelled = materialize(labelled.join(leads, "group"), "labelled")
+    outside = F.col("label") != F.col("lead_label")
+    cut = materialize(labelled.groupBy("group").agg(parts(outside).alias("i"), parts(F.lit(True)).alias("j")).filter("i > 0"), "cut")
+    rows = labelled.join(cut, "group")
+    asking = rows.filter(outside).withColumns({"k1": part_of(F.col("i"), 1), "k2": each_part(F.col("j")), "left": F.lit(True)})
+    asked = rows.withColumns({"k1": each_part(F.col("i")), "k2": part_of(F.col("j"), 2), "left": F.lit(False)})
+    return asking.unionByName(asked).select(F.col("group").alias("k0"), "k1", "k2", "left", "node", "label", *columns)
+
+
+def block_edges(blocks: DataFrame, limit: int) -> DataFrame:
+    """Links between the labels of ``blocks(k0, k1, k2, left, node, label)``, nodes being fingerprints."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            side, x = t["left"].to_numpy(), t["node"].to_numpy().view(np.uint64)[:, None]
+            names, own = np.unique(t["label"].to_numpy(), return_inverse=True)
+            label, left, right = np.arange(len(names)), np.flatnonzero(side), np.flatnonzero(~side)
+            for a, b in near_pairs(x[left], x[right], limit) if len(left) and len(right) else ():
+                label = join_labels(label, own[left[a]], own[right[b]])
+            off = label != np.arange(len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[label[off]])], names=["a", "b"])
+
+    return blocks.repartition("k0", "k1", "k2").sortWithinPartitions("k0", "k1", "k2").mapInArrow(work, "a long, b long")
+
+
+def link_fingerprints(distinct: DataFrame, limit: int = 4, leaf: int = 2048, most: int = 16_384) -> DataFrame:
+    """``(node, component)`` of the distinct fingerprints that link with another one.
+
+    A group of more than ``most`` is cut into parts, each with the group's least fingerprint; what is
+    then still in several classes is compared across the parts, block by block.
+    """
     keys = group_keys(distinct.count(), limit, leaf)
     dealt = distinct.select(F.explode(F.array(*keys)).alias("group"), "fingerprint") if len(keys) > 1 else distinct.select(keys[0].alias("group"), "fingerprint")
-    dealt = dealt.repartition("group").sortWithinPartitions("group")
-    return connected_components(group_edges(dealt, limit))
+    large = dealt.groupBy("group").agg(F.count("*").alias("n"), F.min("fingerprint").alias("lead")).filter(F.col("n") > most)
+    large = materialize(large.select("group", F.ceil(F.col("n") / most).alias("many"), "lead"), "large")
+    found = large.count()
+    if not found:
+        return connected_components(group_edges(dealt.withColumn("part", F.lit(0)), limit))
+    cut = F.broadcast(large) if found <= 100_000 else large
+    parted = dealt.join(cut, "group", "left").withColumn("part", F.coalesce(part_of(F.col("many"), 1, "fingerprint"), F.lit(0)))
+    leads = large.select("group", each_part(F.col("many")).alias("part"), F.col("lead").alias("fingerprint"))
+    first = materialize(group_edges(parted.select("group", "part", "fingerprint").unionByName(leads), limit), "first")
+    classes = materialize(connected_components(first), "classes")
+    members = dealt.join(cut, "group").select("group", "lead", F.col("fingerprint").alias("node"))
+    parts = lambda c: F.ceil(F.count(F.when(c, 1)) / most)
+    second = block_edges(open_blocks(members, classes, (), parts), limit)
+    return connected_components(first.unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit: int = 4) -> DataFrame:
@@ -226,7 +287,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit:
     distinct = materialize(made.groupBy("fingerprint").agg(F.min(key).alias("least")), "distinct")
     found = link_fingerprints(distinct.select("fingerprint"), limit)
     labelled = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written, so that a join on a label that many share is between plain exchanges
+    labelled = materialize(labelled, "labelled")
+    smallest = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
     return made.join(labelled.join(smallest, "label").select("fingerprint", "component_id"), "fingerprint").select(key, "fingerprint", "component_id")
 
 
@@ -314,24 +377,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(len(a) + len(b) - both, 1)
 
 
-def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
-    """Each run of rows with equal values in the first ``width`` columns."""
-    held, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(c).to_numpy() for c in range(width)], axis=1)
-        edges = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1).tolist(), len(key)]
-        for s, e in itertools.pairwise(edges):
-            if held and tuple(key[s]) != last:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = tuple(key[s])
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 BLOCK = "k0 long, k1 long, k2 long, left boolean, node long, label long, w0 long, w1 long, weight long"
 
 
@@ -392,14 +437,6 @@ def parts(rows: Column, weight: Column) -> Column:
     return F.ceil(rows / BLOCK_ROWS + weight / BLOCK_SHINGLES)
 
 
-def part_of(many: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64("node", F.lit(seed)), many)
-
-
-def each_part(many: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
-
-
 def links_of(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` between ``nodes``, as many as join every class of texts of that similarity.
 
@@ -429,18 +466,8 @@ def links_of(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
 
     # in groups of several classes, each row outside the least node's class against all of another class
     classes = materialize(connected_components(first), "classes")
-    labelled = members.join(classes, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    labelled = materialize(labelled, "labelled")
-    outside = F.col("label") != F.col("lead_label")
-    lead_label = classes.select(F.col("node").alias("lead"), F.col("component").alias("lead_label"))
-    open_groups = groups.join(lead_label, "lead", "left").select("group", F.coalesce("lead_label", "lead").alias("lead_label"))
-    labelled = labelled.join(materialize(open_groups, "open"), "group")
-    count = lambda c: parts(F.count(F.when(c, 1)), F.sum(F.when(c, F.col("weight"))))
-    cut = materialize(labelled.groupBy("group").agg(count(outside).alias("i"), count(F.lit(True)).alias("j")).filter("i > 0"), "cut")
-    labelled = labelled.join(cut, "group")
-    asking = labelled.filter(outside).withColumns({"k1": part_of(F.col("i"), 1), "k2": each_part(F.col("j")), "left": F.lit(True)})
-    asked = labelled.withColumns({"k1": each_part(F.col("i")), "k2": part_of(F.col("j"), 2), "left": F.lit(False)})
-    blocks = asking.unionByName(asked).select(F.col("group").alias("k0"), "k1", "k2", "left", "node", "label", *own[1:])
+    count = lambda c: parts(F.count(F.when(c, 1)), F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0)))
+    blocks = open_blocks(members, classes, own[1:], count)
     second = materialize(verified(in_question(blocks, similarity), known_sets, similarity), "second")
     discard(known_sets, members, classes)
     return first.unionByName(second)

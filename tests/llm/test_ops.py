@@ -203,6 +203,21 @@ def test_links_across_groups(spark):
     assert {frozenset(np.array(list(v), np.int64).view(np.uint64).tolist()) for v in got.values()} == want
 
 
+@pytest.mark.parametrize("spread", [3, 6])
+def test_large_groups_are_cut(spark, spread):
+    """One group, cut into parts of 50: chains and clusters across parts are found all the same."""
+    rng = np.random.default_rng(spread)
+    centre = rng.integers(0, 1 << 63, 8, np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, spread, np.uint64)) for _ in range(900)])
+    x = np.unique(centre[rng.integers(0, 8, 900)] ^ flips)
+    rows = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fingerprint long")
+    got = collections.defaultdict(set)
+    for r in simhash.link_fingerprints(rows, leaf=10_000, most=50).collect():
+        got[r["component"]].add(r["node"])
+    want = {c for c in plain_classes(x, 4) if len(c) > 1}
+    assert {frozenset(np.array(list(v), np.int64).view(np.uint64).tolist()) for v in got.values()} == want
+
+
 def test_packing(spark, odd):
     got = run(spark, "op5_best_fit_packing", odd)
     want = collections.Counter()
