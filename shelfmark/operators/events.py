@@ -15,17 +15,20 @@ def with_fingerprint(events: DataFrame) -> DataFrame:
 def coalesce_events(events: DataFrame, minutes: int = 30) -> DataFrame:
     """One row for repeats of a fingerprint and level, each under ``minutes`` after the one before.
 
-    Occurrences, first and last time, last message and last detail that isn't null, first source.
+    A resolution between two repeats starts a new row: what was resolved at one time (or is still
+    open) is one epoch. Occurrences, first and last time, last message, last detail and job that aren't
+    null; source, error type, traceback and retryable of the first.
     """
     rows = with_fingerprint(events)
-    by = Window.partitionBy("fingerprint", "level").orderBy("ts", "id")
+    by = Window.partitionBy("fingerprint", "level", "resolved_at").orderBy("ts", "id")
     gap = F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(by).cast("timestamp").cast("double")
     rows = rows.withColumn("starts", F.coalesce((gap >= minutes * 60).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("starts").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     last = F.struct("ts", "id")
-    return rows.groupBy("fingerprint", "level", "run").agg(
+    return rows.groupBy("fingerprint", "level", "resolved_at", "run").agg(
         F.min_by("id", last).alias("id"), F.count("*").alias("occurrences"), F.min("ts").alias("first_seen_at"), F.max("ts").alias("ts"),
-        F.max_by("message", last).alias("message"), F.max_by("detail", F.when(F.col("detail").isNotNull(), last)).alias("detail"), F.min_by("source", last).alias("source"),
+        F.max_by("message", last).alias("message"), F.max_by("detail", F.when(F.col("detail").isNotNull(), last)).alias("detail"), F.max_by("job_id", F.when(F.col("job_id").isNotNull(), last)).alias("job_id"),
+        *(F.min_by(c, last).alias(c) for c in ("source", "error_type", "traceback", "retryable")),
     ).drop("run")
 
 

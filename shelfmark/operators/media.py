@@ -32,15 +32,34 @@ def scan_reconcile(manifest: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("account_id", "rel_path", "id", F.coalesce("new_bytes", "bytes").alias("bytes"), action.alias("action"))
 
 
+def scan_duplicates(actions: DataFrame, manifest: DataFrame, index: DataFrame) -> DataFrame:
+    """``actions`` with ``is_duplicate``: new or changed files whose content the account holds already.
+
+    Rows that the scan leaves as they are hold their hash; else the first by path parts does.
+    ``manifest`` has content_hash.
+    """
+    fresh = actions.filter(F.col("action").isin("new", "changed")).join(manifest.select("account_id", "rel_path", F.col("content_hash").alias("new_hash")), ["account_id", "rel_path"])
+    stays = actions.filter(~F.col("action").isin("new", "changed")).select("id")
+    held = index.filter("content_hash IS NOT NULL AND deleted_at IS NULL").join(stays, "id").select("account_id", F.col("content_hash").alias("new_hash")).distinct().withColumn("held", F.lit(True))
+    first = fresh.groupBy("account_id", "new_hash").agg(F.min(F.split("rel_path", "/")).alias("first"))
+    rows = fresh.join(held, ["account_id", "new_hash"], "left").join(first, ["account_id", "new_hash"])
+    again = rows.filter(F.col("held") | (F.split("rel_path", "/") != F.col("first"))).select("account_id", "rel_path", F.lit(True).alias("is_duplicate"))
+    return actions.join(again, ["account_id", "rel_path"], "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
+
+
 def scan_report(actions: DataFrame) -> DataFrame:
-    """Counts of each account's actions, and of all (account null)."""
-    count = lambda a: F.count_if(F.col("action") == a)
+    """Counts of each account's actions (see ``scan_duplicates``), and of all (account null).
+
+    A duplicate is neither added nor updated.
+    """
+    count = lambda a: F.count_if((F.col("action") == a) & ~F.col("is_duplicate"))
     listed = ~F.col("action").isin("missing", "none")
     return actions.rollup("account_id").agg(
         F.count_if(listed).alias("files_seen"),
         count("new").alias("files_added"),
         count("changed").alias("files_updated"),
-        (count("new") + count("changed")).alias("files_rehashed"),
+        F.count_if(F.col("action").isin("new", "changed")).alias("files_rehashed"),
+        F.count_if("is_duplicate").alias("duplicates_found"),
         count("missing").alias("files_marked_missing"),
         count("restored").alias("files_restored"),
         F.coalesce(F.sum(F.when(listed, F.col("bytes"))), F.lit(0)).alias("bytes_indexed"),
@@ -52,13 +71,13 @@ def vanished_paths(index: DataFrame, manifest: DataFrame) -> DataFrame:
     return index.filter(PRESENT).join(manifest.select("account_id", "rel_path").distinct(), ["account_id", "rel_path"], "left_anti").select("id", "account_id", "rel_path")
 
 
-def dedup_keeper(files: DataFrame) -> DataFrame:
-    """One holder for each hash of an account, by path parts; the others point at it.
+def dedup_keeper(files: DataFrame, holds: Column | None = None) -> DataFrame:
+    """One holder for each hash of an account; the others point at it.
 
-    The holder comes from an aggregate, so a hot hash isn't sorted in one task.
+    A row that ``holds`` the hash already keeps it; else the first by path parts does. The holder comes from an aggregate, so a hot hash isn't sorted in one task.
     """
-    hashed = files.filter("deleted_at IS NULL AND content_hash IS NOT NULL").select("id", "account_id", "rel_path", "content_hash")
-    first = hashed.groupBy("account_id", "content_hash").agg(F.min(F.struct(F.split("rel_path", "/").alias("parts"), "id"))["id"].alias("keeper"))
+    hashed = files.filter("deleted_at IS NULL AND content_hash IS NOT NULL").select("id", "account_id", "rel_path", "content_hash", (F.lit(False) if holds is None else holds).alias("holds"))
+    first = hashed.groupBy("account_id", "content_hash").agg(F.min(F.struct((~F.col("holds")).alias("later"), F.split("rel_path", "/").alias("parts"), "id"))["id"].alias("keeper"))
     return hashed.join(first, ["account_id", "content_hash"]).select(
         "id", "account_id", "rel_path",
         F.when(F.col("id") == F.col("keeper"), F.col("content_hash")).alias("content_hash"),

@@ -93,17 +93,62 @@ def item_failures(index: DataFrame, failures: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.when(F.col("attempts") + 1 >= TRIES, "gone").otherwise("failed").alias("state"), (F.col("attempts") + 1).alias("attempts"), text.alias("last_error"))
 
 
-def mark_outcomes(index: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The remote rows after a run: state, note and one more attempt where there is an outcome."""
-    done = outcomes.select(*KEY, "outcome", "note")
-    rows = index.join(done, KEY, "left")
-    state = F.when(F.col("outcome").isin("adopted", "downloaded"), "downloaded").otherwise(F.coalesce("outcome", "state"))
-    return rows.select(*KEY, state.alias("state"), (F.col("attempts") + F.col("outcome").isNotNull().cast("int")).alias("attempts"), F.col("note").alias("last_error"))
+def index_media(media: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """The media rows after ``files`` were fetched or adopted.
+
+    A file whose path has no row and whose content no live row of the account holds is inserted (the
+    first of its content and path by remote id); any other only fills what its path's row doesn't know
+    of where it came from. New rows have no id yet.
+    """
+    hash_ = media.filter("deleted_at IS NULL AND content_hash IS NOT NULL").select("account_id", "content_hash").distinct().withColumn("held", F.lit(True))
+    turn = F.struct("provider", "remote_id")
+    first = lambda *keys: files.groupBy("account_id", *keys).agg(F.min(turn).alias(f"first_{keys[0]}"))
+    rows = files.join(hash_, ["account_id", "content_hash"], "left").join(first("content_hash"), ["account_id", "content_hash"]).join(first("rel_path"), ["account_id", "rel_path"])
+    fresh = rows.filter(F.col("held").isNull() & (turn == F.col("first_content_hash")) & (turn == F.col("first_rel_path")))
+    at = ["account_id", "rel_path"]
+    known = files.groupBy(*at).agg(*(F.min_by(c, turn).alias(f"n_{c}") for c in ("provider", "remote_id", "url")))
+    kept = media.join(known, at, "left")
+    met = F.col("n_remote_id").isNotNull()
+    kept = kept.select(
+        "id", *at, "media_type", "bytes", "content_hash",
+        F.coalesce("source_provider", "n_provider").alias("source_provider"), F.coalesce("remote_id", "n_remote_id").alias("remote_id"), F.coalesce("remote_url", "n_url").alias("remote_url"),
+        "captured_at", "downloaded_at", "imported_at", F.when(met, now).otherwise(F.col("last_verified_at")).alias("last_verified_at"), "deleted_at",
+    )
+    added = fresh.join(media.select(*at), at, "left_anti").select(
+        F.lit(None).cast("long").alias("id"), *at, "media_type", "bytes", "content_hash", F.col("provider").alias("source_provider"), "remote_id", F.col("url").alias("remote_url"),
+        F.col("posted_at").alias("captured_at"), F.when(F.col("downloaded"), now).alias("downloaded_at"), F.when(~F.col("downloaded"), now).alias("imported_at"), now.alias("last_verified_at"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
+    )
+    return kept.unionByName(added)
+
+
+def mark_outcomes(index: DataFrame, outcomes: DataFrame, media: DataFrame) -> DataFrame:
+    """The remote rows after a run: state, note, one more attempt and the media row of finished items.
+
+    Items that were only chosen to be fetched, or not reached, stay as they are.
+    """
+    done = outcomes.filter(F.col("outcome").isin("duplicate", "adopted", "downloaded")).select(*KEY, "outcome", "note")
+    live = media.filter("deleted_at IS NULL AND remote_id IS NOT NULL").groupBy("account_id", "remote_id").agg(F.min("id").alias("media_id"))
+    rows = index.join(done, KEY, "left").join(live, ["account_id", "remote_id"], "left")
+    met = F.col("outcome").isNotNull()
+    state = F.when(F.col("outcome") == "duplicate", "duplicate").when(met, "downloaded").otherwise(F.col("state"))
+    return rows.select(
+        *KEY, state.alias("state"), (F.col("attempts") + met.cast("int")).alias("attempts"), F.when(met, F.col("note")).otherwise(F.col("last_error")).alias("last_error"),
+        F.when(met, F.coalesce("media_id", "media_file_id")).otherwise(F.col("media_file_id")).alias("media_file_id"),
+    )
 
 
-def run_summary(outcomes: DataFrame, by: str = "account_id") -> DataFrame:
+def run_summary(outcomes: DataFrame, discovered: DataFrame, backlog: DataFrame, by: str = "account_id") -> DataFrame:
+    """Counts of final outcomes of each run, with what was discovered and what stays of the backlog.
+
+    ``discovered(by)`` has a row an item, ``backlog(by)`` one an item that was open before the run.
+    """
     count = lambda o: F.count_if(F.col("outcome") == o)
-    return outcomes.groupBy(by).agg(count("fetch").alias("downloaded"), count("duplicate").alias("skipped_duplicate"), count("adopted").alias("skipped_existing"), F.coalesce(F.sum(F.when(F.col("outcome") == "fetch", F.col("remote_bytes"))), F.lit(0)).alias("bytes_downloaded"), F.count("*").alias("processed"))
+    done = outcomes.groupBy(by).agg(
+        count("downloaded").alias("downloaded"), count("duplicate").alias("skipped_duplicate"), count("adopted").alias("skipped_existing"), count("failed").alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("outcome") == "downloaded", F.col("remote_bytes"))), F.lit(0)).alias("bytes_downloaded"), F.count("*").alias("processed"),
+    )
+    out = done.join(discovered.groupBy(by).agg(F.count("*").alias("discovered")), by, "left").join(backlog.groupBy(by).agg(F.count("*").alias("open")), by, "left")
+    return out.fillna(0, ["discovered", "open"]).withColumn("remaining", F.greatest(F.col("open") - F.col("processed"), F.lit(0))).drop("open")
 
 
 def path_collisions(items: DataFrame) -> DataFrame:

@@ -95,12 +95,17 @@ def _(manifest, files):
 
 @query(
     "A8_scan_report", "manifest media_files",
-    f"""SELECT account_id, count(*) FILTER (action NOT IN ('missing', 'none')) AS files_seen, count(*) FILTER (action = 'new') AS files_added, count(*) FILTER (action = 'changed') AS files_updated,
-      count(*) FILTER (action IN ('new', 'changed')) AS files_rehashed, count(*) FILTER (action = 'missing') AS files_marked_missing, count(*) FILTER (action = 'restored') AS files_restored,
-      coalesce(sum(bytes) FILTER (action NOT IN ('missing', 'none')), 0)::BIGINT AS bytes_indexed FROM ({SCAN}) GROUP BY ROLLUP (account_id)""",
+    f"""SELECT account_id, count(*) FILTER (action NOT IN ('missing', 'none')) AS files_seen, count(*) FILTER (action = 'new' AND NOT d) AS files_added, count(*) FILTER (action = 'changed' AND NOT d) AS files_updated,
+      count(*) FILTER (action IN ('new', 'changed')) AS files_rehashed, count(*) FILTER (d) AS duplicates_found, count(*) FILTER (action = 'missing') AS files_marked_missing, count(*) FILTER (action = 'restored') AS files_restored,
+      coalesce(sum(bytes) FILTER (action NOT IN ('missing', 'none')), 0)::BIGINT AS bytes_indexed
+    FROM (SELECT s.*, s.action IN ('new', 'changed') AND (EXISTS (SELECT 1 FROM media_files h JOIN ({SCAN}) k ON k.id = h.id WHERE k.action NOT IN ('new', 'changed') AND h.deleted_at IS NULL AND h.account_id = s.account_id AND h.content_hash = s.new_hash)
+        OR row_number() OVER (PARTITION BY s.account_id, s.new_hash, s.action IN ('new', 'changed') ORDER BY string_split(s.rel_path, '/')) > 1) AS d
+      FROM (SELECT x.*, sha256(m.content) AS new_hash FROM ({SCAN}) x LEFT JOIN manifest m ON m.account_id = x.account_id AND m.rel_path = x.rel_path) s)
+    GROUP BY ROLLUP (account_id)""",
 )
 def _(manifest, files):
-    return M.scan_report(M.scan_reconcile(manifest, files))
+    hashed = manifest.withColumn("content_hash", fh.content_hash(F.col("content")))
+    return M.scan_report(M.scan_duplicates(M.scan_reconcile(manifest, files), hashed, files))
 
 
 @query("U2_vanished_paths", "media_files manifest", f"SELECT id, account_id, rel_path FROM media_files f WHERE {PRESENT} AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.account_id = f.account_id AND m.rel_path = f.rel_path)")
@@ -111,10 +116,10 @@ def _(files, manifest):
 @query(
     "W7_dedup_keeper", "media_files",
     """SELECT id, account_id, rel_path, CASE WHEN id = keeper THEN content_hash END AS content_hash, CASE WHEN id <> keeper THEN keeper END AS duplicate_of
-    FROM (SELECT *, first_value(id) OVER (PARTITION BY account_id, content_hash ORDER BY string_split(rel_path, '/'), id) AS keeper FROM media_files WHERE deleted_at IS NULL AND content_hash IS NOT NULL)""",
+    FROM (SELECT *, first_value(id) OVER (PARTITION BY account_id, content_hash ORDER BY id % 4 <> 3, string_split(rel_path, '/'), id) AS keeper FROM media_files WHERE deleted_at IS NULL AND content_hash IS NOT NULL)""",
 )
 def _(files):
-    return M.dedup_keeper(files)
+    return M.dedup_keeper(files, F.col("id") % 4 == 3)
 
 
 EFFECTIVE = "SELECT m.*, coalesce(m.content_hash, o.content_hash) AS h, m.duplicate_of IS NOT NULL AS is_duplicate FROM media_files m LEFT JOIN media_files o ON o.id = m.duplicate_of WHERE m.deleted_at IS NULL AND coalesce(m.content_hash, o.content_hash) IS NOT NULL"
@@ -365,13 +370,19 @@ def _(log):
     return E.with_fingerprint(log).select("id", "fingerprint")
 
 
-@query(
-    "E2_coalesce_events", "event_log",
-    f"""SELECT fingerprint, level, min_by(id, (ts, id)) AS id, count(*) AS occurrences, min(ts) AS first_seen_at, max(ts) AS ts, max_by(message, (ts, id)) AS message, max_by(detail, (ts, id)) FILTER (detail IS NOT NULL) AS detail, min_by(source, (ts, id)) AS source
-    FROM (SELECT *, sum(s) OVER (PARTITION BY fingerprint, level ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run
-      FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY fingerprint, level ORDER BY ts, id)) < 86400000000 THEN 0 ELSE 1 END AS s FROM (SELECT *, {PRINT} AS fingerprint FROM event_log)))
-    GROUP BY fingerprint, level, run""",
-)
+COALESCED = """SELECT fingerprint, level, resolved_at, min_by(id, (ts, id)) AS id, count(*) AS occurrences, min(ts) AS first_seen_at, max(ts) AS ts, max_by(message, (ts, id)) AS message, max_by(detail, (ts, id)) FILTER (detail IS NOT NULL) AS detail,
+      max_by(job_id, (ts, id)) FILTER (job_id IS NOT NULL) AS job_id, first(source ORDER BY ts, id) AS source, first(error_type ORDER BY ts, id) AS error_type, first(traceback ORDER BY ts, id) AS traceback, first(retryable ORDER BY ts, id) AS retryable
+    FROM (SELECT *, sum(s) OVER (PARTITION BY fingerprint, level, resolved_at ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY fingerprint, level, resolved_at ORDER BY ts, id)) < {minutes} * 60000000::BIGINT THEN 0 ELSE 1 END AS s FROM (SELECT *, {print} AS fingerprint FROM event_log)))
+    GROUP BY fingerprint, level, resolved_at, run"""
+
+
+@query("E2_coalesce_events", "event_log", COALESCED.format(minutes=30, print=PRINT))
+def _(log):
+    return E.coalesce_events(log)
+
+
+@query("E2_coalesce_events_day", "event_log", COALESCED.format(minutes=24 * 60, print=PRINT))
 def _(log):
     return E.coalesce_events(log, minutes=24 * 60)
 
@@ -514,9 +525,34 @@ def _(index, held):
     return R.post_fetch_dedup(fetched, held).select(*R.KEY, "outcome")
 
 
-@query("G2_index_media", "remote_index held", f"SELECT account_id, provider, remote_id, CASE outcome WHEN 'adopted' THEN 'downloaded' ELSE outcome END AS state, r.attempts + 1 AS attempts, note AS last_error FROM ({GUARDS}) g JOIN remote_index r USING (account_id, provider, remote_id)")
+# final outcomes: what the guards settle, and what is fetched after them, oldest first; every eleventh is empty
+OUTCOMES = f"""SELECT account_id, provider, remote_id, remote_bytes, note, CASE WHEN outcome <> 'fetch' THEN outcome WHEN size <= 0 THEN 'failed' WHEN seq > min(seq) FILTER (outcome = 'fetch' AND size > 0) OVER (PARTITION BY account_id, remote_hash) THEN 'duplicate' ELSE 'downloaded' END AS outcome
+  FROM (SELECT g.*, r.remote_hash, row_number() OVER (PARTITION BY account_id ORDER BY r.posted_at, provider, remote_id) AS seq, CASE WHEN g.remote_bytes % 11000 = 0 THEN 0 ELSE g.remote_bytes END AS size FROM ({GUARDS}) g JOIN remote_index r USING (account_id, provider, remote_id))"""
+
+
+def outcomes(index: DataFrame, held: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    before = guards(index, held)
+    seq = F.row_number().over(Window.partitionBy("account_id").orderBy("posted_at", "provider", "remote_id"))
+    size = F.when(F.col("remote_bytes") % 11000 == 0, 0).otherwise(F.col("remote_bytes"))
+    fetched = before.withColumn("seq", seq).filter("outcome = 'fetch'").select(*R.KEY, "remote_bytes", "note", "seq", F.col("remote_hash").alias("content_hash"), size.alias("size"))
+    after = R.post_fetch_dedup(fetched, held).select(*R.KEY, "remote_bytes", "note", "outcome")
+    return before.filter("outcome <> 'fetch'").select(*after.columns).unionByName(after)
+
+
+@query(
+    "G2_index_media", "remote_index held",
+    f"""SELECT account_id, provider, remote_id, CASE WHEN o IS NULL THEN state WHEN o = 'duplicate' THEN o ELSE 'downloaded' END AS state, attempts + (o IS NOT NULL)::INT AS attempts, CASE WHEN o IS NULL THEN last_error ELSE note END AS last_error, CASE WHEN o IS NULL THEN file ELSE coalesce(m, file) END AS media_file_id
+    FROM (SELECT r.*, CASE WHEN r.attempts > 2 THEN 'timed out' END AS last_error, CASE WHEN r.attempts = 3 THEN 7::BIGINT END AS file, CASE WHEN g.outcome <> 'failed' THEN g.outcome END AS o, g.note,
+      (SELECT min(strlen(h.content_hash) + 100)::BIGINT FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.remote_id = r.remote_id) AS m
+      FROM remote_index r JOIN ({OUTCOMES}) g USING (account_id, provider, remote_id))""",
+)
 def _(index, held):
-    return R.mark_outcomes(index, guards(index, held))
+    done = outcomes(index, held)
+    index = index.withColumns({"last_error": F.when(F.col("attempts") > 2, "timed out"), "media_file_id": F.when(F.col("attempts") == 3, F.lit(7).cast("long"))})
+    media = held.select("account_id", "remote_id", (F.length("content_hash") + 100).cast("long").alias("id"), F.when(F.col("is_tombstone"), at(JOBS_NOW)).alias("deleted_at"))
+    return R.mark_outcomes(index, done, media)
 
 
 @query("P10_item_failure_transition", "remote_index", "SELECT account_id, provider, remote_id, CASE WHEN attempts + 1 >= 4 THEN 'gone' ELSE 'failed' END AS state, attempts + 1 AS attempts, substring('Timeout: ' || repeat(remote_id || ' ', 100), 1, 500) AS last_error FROM remote_index WHERE remote_bytes % 2000 = 0")
@@ -525,9 +561,17 @@ def _(index):
     return R.item_failures(index, failures)
 
 
-@query("A10_sync_run_summary", "remote_index held", f"SELECT account_id, count(*) FILTER (outcome = 'fetch') AS downloaded, count(*) FILTER (outcome = 'duplicate') AS skipped_duplicate, count(*) FILTER (outcome = 'adopted') AS skipped_existing, coalesce(sum(remote_bytes) FILTER (outcome = 'fetch'), 0)::BIGINT AS bytes_downloaded, count(*) AS processed FROM ({GUARDS}) GROUP BY 1")
+@query(
+    "A10_sync_run_summary", "remote_index held",
+    f"""SELECT o.*, coalesce(d.n, 0) AS discovered, greatest(coalesce(b.n, 0) - processed, 0) AS remaining
+    FROM (SELECT account_id, count(*) FILTER (outcome = 'downloaded') AS downloaded, count(*) FILTER (outcome = 'duplicate') AS skipped_duplicate, count(*) FILTER (outcome = 'adopted') AS skipped_existing, count(*) FILTER (outcome = 'failed') AS failed,
+      coalesce(sum(remote_bytes) FILTER (outcome = 'downloaded'), 0)::BIGINT AS bytes_downloaded, count(*) AS processed FROM (SELECT o.* FROM ({OUTCOMES}) o JOIN ({BACKLOG}) k USING (account_id, provider, remote_id) WHERE k.place <= 5) GROUP BY 1) o
+    LEFT JOIN (SELECT account_id, count(*) AS n FROM remote_index WHERE attempts = 0 GROUP BY 1) d USING (account_id) LEFT JOIN (SELECT account_id, count(*) AS n FROM ({BACKLOG}) GROUP BY 1) b USING (account_id)""",
+)
 def _(index, held):
-    return R.run_summary(guards(index, held))
+    backlog = R.pending_backlog(index, held)
+    done = outcomes(index, held).join(backlog.filter("place <= 5").select(*R.KEY), R.KEY, "left_semi")
+    return R.run_summary(done, index.filter("attempts = 0"), backlog)
 
 
 @query(

@@ -10,20 +10,34 @@ from pyspark.sql import functions as F
 from ..sources.fixtures import tables, with_tables
 from ..sources.listing import read_table, shared_folder, write_table
 from ..streaming import streams as S
-from .catalog import PRINT
+from .catalog import COALESCED, PRINT
 
 
-def _landed(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """Write rows as files and read them as a stream with event time."""
+#: Batches that a stream's rows land in, and files of each.
+BATCHES, FILES = 6, 2
+
+
+def _landed(spark: SparkSession, rows: DataFrame, label: str, order: str | None = "ts") -> DataFrame:
+    """Land rows as files, BATCHES slices one after the other, and read them as a stream with event time.
+
+    Slices go by the time in ``order``, or by hash (None), as rows do that come in no order.
+    """
     folder = shared_folder(spark, label)
-    rows.write.parquet(folder)
-    return S.event_stream(spark, folder, rows.schema)
+    if order:
+        seconds = F.unix_micros(F.col(order).cast("timestamp"))
+        first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+        slice_ = F.least(F.floor((seconds - F.lit(first or 0)) * BATCHES / F.lit(max((last or 0) - (first or 0), 1))), F.lit(BATCHES - 1))
+    else:
+        slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
+    for k in range(BATCHES):
+        rows.filter(F.coalesce(slice_, F.lit(0)) == k).repartition(FILES, F.rand(k)).write.mode("append").parquet(folder)
+    return S.event_stream(spark, folder, rows.schema, FILES)
 
 
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
     """The latest version of each key."""
     others = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("batch", *(["occurrences"] if "occurrences" in others else []))).alias("v")).select(*keys, "v.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct("batch", *(c for c in ("occurrences", "closed") if c in others))).alias("v")).select(*keys, "v.*")
 
 
 def tables_io(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,39 +56,40 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     (log,) = tables(spark, sf_dir, "event_log")
-    stream = _landed(spark, log.select("id", "ts", "level", "account_id", "event", "error_type", "message").orderBy("ts").coalesce(1), "events")
+    stream = _landed(spark, log.select("id", "ts", "level", "account_id", "event", "error_type", "message", "detail", "job_id", "source", "resolved_at"), "events")
     out = S.run_to_table(S.stream_coalesce(stream, minutes=24 * 60), shared_folder(spark, "coalesced"))
     runs = _last(out, "fingerprint", "level", "id")
-    return runs.select("fingerprint", "level", "id", "occurrences", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen_at"), F.col("ts").cast("timestamp_ntz").alias("ts"), "message")
+    back = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return runs.select("fingerprint", "level", "id", "occurrences", back("first_us").alias("first_seen_at"), back("last_us").alias("ts"), "message", "detail", "job_id", "source", "error_type")
 
 
 def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     (beats,) = tables(spark, sf_dir, "heartbeats")
     stream = _landed(spark, beats.withColumnRenamed("beat_at", "ts"), "beats")
     out = S.run_to_table(S.stream_liveness(stream), shared_folder(spark, "liveness"))
-    return _last(out, "worker_id").select("worker_id", "status", F.col("beat_at").cast("timestamp_ntz").alias("beat_at"))
+    return _last(out, "worker_id").select("worker_id", "status", F.col("beat_at").cast("timestamp_ntz").alias("beat_at"), "online")
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     (files,) = tables(spark, sf_dir, "media_files")
     changes = files.select("account_id", "media_type", "bytes", F.lit(1).alias("sign"), F.col("first_seen_at").alias("ts"))
     gone = files.filter("deleted_at IS NOT NULL").select("account_id", "media_type", "bytes", F.lit(-1).alias("sign"), F.col("first_seen_at").alias("ts"))
-    out = S.run_to_table(S.stream_counters(_landed(spark, changes.unionByName(gone), "changes")), shared_folder(spark, "counters"))
+    out = S.run_to_table(S.stream_counters(_landed(spark, changes.unionByName(gone), "changes", None)), shared_folder(spark, "counters"))
     return _last(out, "account_id").select("account_id", "image_count", "video_count", "other_count", "total_bytes")
 
 
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     (jobs,) = tables(spark, sf_dir, "scrape_jobs")
-    stream = _landed(spark, jobs.select("account_id", "status", "finished_at", F.col("finished_at").alias("ts")).orderBy("ts").coalesce(1), "jobs")
+    stream = _landed(spark, jobs.select("account_id", "status", "finished_at", F.col("finished_at").alias("ts")), "jobs", None)
     out = S.run_to_table(S.stream_job_outcomes(stream), shared_folder(spark, "outcomes"))
     return _last(out, "account_id").select("account_id", F.timestamp_micros("last_success_us").cast("timestamp_ntz").alias("last_success_at"), F.timestamp_micros("last_error_us").cast("timestamp_ntz").alias("last_error_at"), "consecutive_failures")
 
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (listing,) = tables(spark, sf_dir, "listing")
+    listing, index = tables(spark, sf_dir, "listing", "remote_index")
     # one instant of arrival, so that all rows are within the watermark of each other
     rows = listing.select("account_id", "provider", "remote_id", F.to_timestamp_ntz(F.lit("2001-08-02 00:00:00")).alias("ts"))
-    out = S.run_to_table(S.stream_first_seen(_landed(spark, rows, "listing")), shared_folder(spark, "seen"), "append")
+    out = S.run_to_table(S.stream_first_seen(_landed(spark, rows, "listing", None), index.filter("remote_bytes > 25000")), shared_folder(spark, "seen"), "append")
     return out.select("account_id", "provider", "remote_id")
 
 
@@ -92,13 +107,10 @@ ORACLES: dict[str, str] = {
     "S3_tables_io": with_tables("SELECT id, account_id, rel_path, bytes FROM media_files", "media_files"),
     "S5_event_stream": with_tables("SELECT id, ts, level, account_id FROM event_log", "event_log"),
     "T1_stream_coalesce": with_tables(
-        f"""SELECT fingerprint, level, min_by(id, (ts, id)) AS id, count(*) AS occurrences, min(ts) AS first_seen_at, max(ts) AS ts, max_by(message, (ts, id)) AS message
-    FROM (SELECT *, sum(s) OVER (PARTITION BY fingerprint, level ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run
-      FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY fingerprint, level ORDER BY ts, id)) < 86400000000 THEN 0 ELSE 1 END AS s FROM (SELECT *, {PRINT} AS fingerprint FROM event_log)))
-    GROUP BY fingerprint, level, run""",
+        f"SELECT fingerprint, level, id, occurrences, first_seen_at, ts, message, detail, job_id, source, error_type FROM ({COALESCED.format(minutes=24 * 60, print=PRINT)})",
         "event_log",
     ),
-    "T2_stream_liveness": with_tables("SELECT worker_id, arg_max(status, (beat_at, status)) AS status, max(beat_at) AS beat_at FROM heartbeats GROUP BY 1", "heartbeats"),
+    "T2_stream_liveness": with_tables("SELECT worker_id, arg_max(status, (beat_at, status)) AS status, max(beat_at) AS beat_at, max(beat_at) + INTERVAL 90 SECOND >= (SELECT max(beat_at) FROM heartbeats) - INTERVAL 10 MINUTE AS online FROM heartbeats GROUP BY 1", "heartbeats"),
     "T3_stream_counters": with_tables(
         """SELECT account_id, count(*) FILTER (t = 'image') AS image_count, count(*) FILTER (t = 'video') AS video_count, count(*) FILTER (t = 'other') AS other_count, coalesce(sum(b), 0)::BIGINT AS total_bytes
     FROM (SELECT account_id, CASE WHEN deleted_at IS NULL THEN media_type END AS t, CASE WHEN deleted_at IS NULL THEN bytes END AS b FROM media_files) GROUP BY 1""",
@@ -109,5 +121,5 @@ ORACLES: dict[str, str] = {
     FROM (SELECT *, max(finished_at) FILTER (status = 'succeeded') OVER (PARTITION BY account_id) AS ok FROM scrape_jobs WHERE status IN ('succeeded', 'failed')) GROUP BY 1""",
         "scrape_jobs",
     ),
-    "T5_stream_first_seen": with_tables("SELECT DISTINCT account_id, provider, remote_id FROM listing", "listing"),
+    "T5_stream_first_seen": with_tables("SELECT DISTINCT account_id, provider, remote_id FROM listing l WHERE NOT EXISTS (SELECT 1 FROM remote_index r WHERE r.remote_bytes > 25000 AND r.account_id = l.account_id AND r.provider = l.provider AND r.remote_id = l.remote_id)", "listing", "remote_index"),
 }

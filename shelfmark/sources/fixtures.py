@@ -82,7 +82,7 @@ SELECTS: dict[str, str] = {
         CASE WHEN event_id % 2 = 0 THEN 'scraper' ELSE 'api' END AS source, user_id AS account_id, event_id % 40 AS job_id, event_type AS event,
         concat('User ''', CAST(user_id AS STRING), ''' sent ', CAST(event_id % 100 AS STRING), ' of ', event_type) AS message,
         CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN 'not json' END AS detail,
-        CASE WHEN event_type IN ('error', 'signup') THEN 'AdapterError' END AS error_type, event_id % 2 = 0 AS retryable,
+        CASE WHEN event_type IN ('error', 'signup') THEN 'AdapterError' END AS error_type, event_id % 2 = 0 AS retryable, CASE WHEN event_id % 5 = 0 THEN concat('line ', CAST(event_id AS STRING)) END AS traceback,
         CASE WHEN event_id % 11 = 0 THEN ts END AS resolved_at
       FROM {events}""",
     "heartbeats": """

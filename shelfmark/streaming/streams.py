@@ -18,48 +18,74 @@ from ..functions.events import fingerprint
 WATERMARK = "10 minutes"
 
 
-def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """Events that land as Parquet files in ``folder``, with event time and watermark."""
-    rows = spark.readStream.schema(schema).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, schema, files: int | None = None) -> DataFrame:
+    """Events that land as Parquet files in ``folder``, with event time and watermark; ``files`` a batch."""
+    source = spark.readStream.schema(schema)
+    rows = (source.option("maxFilesPerTrigger", files) if files else source).parquet(folder)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
 
 
 def stream_coalesce(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """Repeats of a fingerprint and level under ``minutes`` apart as one row (update mode).
+    """Repeats of a fingerprint, level and resolution under ``minutes`` apart as one row (update mode).
 
-    A row comes whenever its run changes, and again with ``closed`` when no repeat can follow;
-    state is kept for a key only until then.
+    A row comes whenever its run changes, and again with ``closed`` when no repeat can follow; state is
+    kept for a key only until then. Message, detail and job are the last that aren't null, the other
+    fields the first row's, as in the batch operator.
     """
-    schema = "fingerprint string, level string, id long, occurrences long, first_seen_at timestamp, ts timestamp, message string, closed boolean"
-    state = "id long, occurrences long, first_us long, last_us long, message string"
-    us = lambda t: t.value // 1000
-    back = lambda n: pd.Timestamp(n, unit="us")
+    fields = "fingerprint string, level string, epoch long, id long, occurrences long, first_us long, last_us long, message string, detail string, job_id long, source string, error_type string, closed boolean"
+    names = [c.split()[0] for c in fields.split(", ")]
+    state = ", ".join(fields.split(", ")[3:-1])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         run, out = (list(kept.get) if kept.exists else None), []
-        row = lambda closed: (*key, run[0], run[1], back(run[2]), back(run[3]), run[4], closed)
         if kept.hasTimedOut:
             kept.remove()
-            yield pd.DataFrame([row(True)], columns=[c.split()[0] for c in schema.split(", ")])
+            yield pd.DataFrame([(*key, *run, True)], columns=names)
             return
-        for r in pd.concat(list(batches)).sort_values(["ts", "id"]).itertuples():
-            at = us(r.ts)
-            if run and at - run[3] >= minutes * 60_000_000:
-                out.append(row(True))
+        some = lambda new, old: old if pd.isna(new) else new
+        for r in pd.concat(list(batches)).sort_values(["us", "id"]).itertuples():
+            if run and r.us - run[3] >= minutes * 60_000_000:
+                out.append((*key, *run, True))
                 run = None
-            run = [run[0], run[1] + 1, run[2], max(at, run[3]), r.message] if run else [int(r.id), 1, at, at, r.message]
-        out.append(row(False))
+            if run:
+                run = [run[0], run[1] + 1, run[2], max(r.us, run[3]), r.message, some(r.detail, run[5]), some(r.job_id, run[6]), *run[7:]]
+            else:
+                run = [int(r.id), 1, r.us, r.us, r.message, *(some(v, None) for v in (r.detail, r.job_id, r.source, r.error_type))]
+            run[6] = None if run[6] is None else int(run[6])
+        out.append((*key, *run, False))
         kept.update(tuple(run))
         kept.setTimeoutTimestamp(max(run[3] // 1000 + minutes * 60_000, kept.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+        yield pd.DataFrame(out, columns=names).astype({"job_id": "Int64"})
 
     keyed = events.withColumn("fingerprint", fingerprint(F.col("account_id"), F.col("event"), F.col("error_type"), F.col("message")))
-    return keyed.select("fingerprint", "level", "id", "ts", "message").groupBy("fingerprint", "level").applyInPandasWithState(step, schema, state, "update", GroupStateTimeout.EventTimeTimeout)
+    keyed = keyed.withColumns({"us": F.unix_micros("ts"), "epoch": F.coalesce(F.unix_micros(F.col("resolved_at").cast("timestamp")), F.lit(-1))})
+    rows = keyed.select("fingerprint", "level", "epoch", "id", "us", "ts", "message", "detail", "job_id", "source", "error_type").groupBy("fingerprint", "level", "epoch")
+    return rows.applyInPandasWithState(step, fields, state, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_liveness(beats: DataFrame, timeout_seconds: int = 90) -> DataFrame:
+    """Latest beat of each worker, and whether it is online (update mode).
+
+    A worker goes offline when the watermark is ``timeout_seconds`` past its last beat; a later beat
+    brings it back.
+    """
+    schema = "worker_id string, status string, beat_at timestamp, online boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        at, status = kept.get if kept.exists else (-1, "")
+        if kept.hasTimedOut:  # the state stays, so that an older beat that comes late changes nothing
+            yield pd.DataFrame([(*key, status, pd.Timestamp(at, unit="us"), False)], columns=names)
+            return
+        for rows in batches:
+            if len(rows):
+                at, status = max((at, status), max(zip(rows.ts.astype("datetime64[us]").astype("int64"), rows.status)))
+        kept.update((int(at), status))
+        kept.setTimeoutTimestamp(max(int(at) // 1000 + timeout_seconds * 1000, kept.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, status, pd.Timestamp(at, unit="us"), True)], columns=names)
 
-def stream_liveness(beats: DataFrame) -> DataFrame:
-    """Latest beat of each worker (update mode)."""
-    return beats.groupBy("worker_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("beat_at"))
+    rows = beats.select("worker_id", "status", "ts")
+    return rows.groupBy("worker_id").applyInPandasWithState(step, schema, "at long, status string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_counters(changes: DataFrame) -> DataFrame:
@@ -69,26 +95,30 @@ def stream_counters(changes: DataFrame) -> DataFrame:
 
 
 def stream_job_outcomes(jobs: DataFrame) -> DataFrame:
-    """Last success, last error and failures since of each account from finished jobs (update mode)."""
+    """Last success, last error and failures since of each account from finished jobs (update mode).
+
+    Jobs may come in any order: the state holds the last success and the times of failures after it.
+    """
     schema = "account_id long, last_success_us long, last_error_us long, consecutive_failures long"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        ok, bad, fails = kept.get if kept.exists else (None, None, 0)
-        for r in pd.concat(list(batches)).sort_values(["us", "status"]).itertuples():
-            if r.status == "succeeded":
-                ok, fails = r.us, 0
-            else:
-                bad, fails = r.us, fails + 1
-        kept.update((ok, bad, fails))
-        yield pd.DataFrame([(*key, ok, bad, fails)], columns=[c.split()[0] for c in schema.split(", ")]).astype({"last_success_us": "Int64", "last_error_us": "Int64"})
+        ok, bad, since = kept.get if kept.exists else (None, None, [])
+        since = list(since)
+        for rows in batches:
+            won, lost = (rows.us[(rows.status == "succeeded") == w].tolist() for w in (True, False))
+            ok, bad = (max([*([old] if old is not None else []), *new], default=None) for old, new in ((ok, won), (bad, lost)))
+            since = [t for t in since + lost if ok is None or t > ok]
+        kept.update((ok, bad, since))
+        yield pd.DataFrame([(*key, ok, bad, len(since))], columns=[c.split()[0] for c in schema.split(", ")]).astype({"last_success_us": "Int64", "last_error_us": "Int64"})
 
     rows = jobs.filter("status IN ('succeeded', 'failed') AND account_id IS NOT NULL").select("account_id", "status", F.unix_micros(F.col("finished_at").cast("timestamp")).alias("us"))
-    return rows.groupBy("account_id").applyInPandasWithState(step, schema, "ok long, bad long, fails long", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("account_id").applyInPandasWithState(step, schema, "ok long, bad long, since array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_first_seen(listing: DataFrame) -> DataFrame:
-    """Each remote key once within the watermark (append mode)."""
-    return listing.dropDuplicatesWithinWatermark(["account_id", "provider", "remote_id"])
+def stream_first_seen(listing: DataFrame, known: DataFrame) -> DataFrame:
+    """Each remote key that the table ``known`` lacks, once within the watermark (append mode)."""
+    key = ["account_id", "provider", "remote_id"]
+    return listing.join(known.select(*key), key, "left_anti").dropDuplicatesWithinWatermark(key)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:

@@ -74,7 +74,15 @@ def test_guards_in_order(spark):
 
 def log(spark, *rows):
     text = "id long, ts timestamp_ntz, level string, source string, account_id long, event string, message string, detail string, error_type string, resolved_at timestamp_ntz"
-    return spark.createDataFrame(rows, text.replace("timestamp_ntz", "string")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "resolved_at")})
+    return spark.createDataFrame(rows, text.replace("timestamp_ntz", "string")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "resolved_at")} | {"job_id": F.col("id") * 10, "traceback": F.concat(F.lit("line "), "id"), "retryable": F.col("id") % 2 == 0})
+
+
+def test_a_resolution_starts_a_new_row(spark):
+    at = ["2024-01-01 00:00:00", "2024-01-01 00:05:00", "2024-01-01 00:10:00"]
+    done = ["2024-01-01 00:07:00", "2024-01-01 00:07:00", None]
+    rows = [(k, t, "error", "s", 1, "e", "429", None, "X", r) for k, (t, r) in enumerate(zip(at, done))]
+    found = E.coalesce_events(log(spark, *rows)).orderBy("id").collect()
+    assert [(r["id"], r["occurrences"], r["job_id"], r["traceback"], r["retryable"]) for r in found] == [(0, 2, 10, "line 0", True), (2, 1, 20, "line 2", True)]
 
 
 def test_coalescing_is_strict_at_thirty_minutes(spark):
@@ -96,6 +104,32 @@ def test_errors_resolve_forward_only(spark):
     assert set(found) == {1, 2} and found[1] is not None and found[2] is None
 
 
+def test_indexing_inserts_and_fills(spark):
+    """A new file is a row; known content isn't; a known path only learns where it came from."""
+    media = spark.createDataFrame([(1, 1, "a.jpg", "h1", None, None), (2, 1, "b.jpg", "h2", "p", "x")], "id long, account_id long, rel_path string, content_hash string, source_provider string, remote_id string")
+    media = media.withColumns({"media_type": F.lit("image"), "bytes": F.lit(5).cast("long"), "remote_url": F.lit(None).cast("string")} | {c: F.lit(None).cast("timestamp_ntz") for c in ("captured_at", "downloaded_at", "imported_at", "last_verified_at", "deleted_at")})
+    files = [(1, "a.jpg", "h1", "p", "r1", True), (1, "c.jpg", "h2", "p", "r2", True), (1, "d.jpg", "h3", "p", "r3", True), (1, "e.jpg", "h3", "p", "r4", True), (1, "f.jpg", "h4", "p", "r5", False)]
+    files = spark.createDataFrame(files, "account_id long, rel_path string, content_hash string, provider string, remote_id string, downloaded boolean")
+    files = files.withColumns({"media_type": F.lit("image"), "bytes": F.lit(7).cast("long"), "url": F.lit("u"), "posted_at": F.lit("2024-01-01").cast("timestamp_ntz")})
+    got = {r["rel_path"]: r for r in R.index_media(media, files, F.lit("2024-02-01").cast("timestamp_ntz")).collect()}
+    assert set(got) == {"a.jpg", "b.jpg", "d.jpg", "f.jpg"}
+    assert [(got[k]["remote_id"], got[k]["id"], got[k]["last_verified_at"] is not None) for k in sorted(got)] == [("r1", 1, True), ("x", 2, False), ("r3", None, True), ("r5", None, True)]
+    assert got["d.jpg"]["downloaded_at"] is not None and got["f.jpg"]["downloaded_at"] is None and got["f.jpg"]["imported_at"] is not None
+
+
+def test_unfinished_items_keep_their_state(spark):
+    index = spark.createDataFrame([(1, "p", k, "pending", 1, "old", None) for k in "abcd"], "account_id long, provider string, remote_id string, state string, attempts int, last_error string, media_file_id long")
+    done = spark.createDataFrame([(1, "p", "a", "downloaded", None), (1, "p", "b", "duplicate", "known"), (1, "p", "c", "fetch", None)], "account_id long, provider string, remote_id string, outcome string, note string")
+    media = spark.createDataFrame([(9, 1, "a", None)], "id long, account_id long, remote_id string, deleted_at string")
+    got = {r["remote_id"]: tuple(r)[3:] for r in R.mark_outcomes(index, done, media).collect()}
+    assert got == {"a": ("downloaded", 2, None, 9), "b": ("duplicate", 2, "known", None), "c": ("pending", 1, "old", None), "d": ("pending", 1, "old", None)}
+
+
+def test_a_holder_keeps_its_hash(spark):
+    rows = spark.createDataFrame([(1, 1, "z.jpg", "h", None), (2, 1, "a.jpg", "h", None)], "id long, account_id long, rel_path string, content_hash string, deleted_at string")
+    assert {r["id"]: r["duplicate_of"] for r in M.dedup_keeper(rows, F.col("id") == 1).collect()} == {1: None, 2: 1}
+
+
 def test_keeper_goes_by_path_parts(spark):
     rows = spark.createDataFrame([(1, 1, "a-b/x.jpg", "h", None), (2, 1, "a/b.jpg", "h", None), (3, 1, "c.jpg", None, None)], "id long, account_id long, rel_path string, content_hash string, deleted_at string")
     assert {r["id"]: r["duplicate_of"] for r in M.dedup_keeper(rows).collect()} == {1: 2, 2: None}
