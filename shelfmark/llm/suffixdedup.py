@@ -8,12 +8,15 @@ the same place, so the suffixes that start at chosen grams (one in 85) stand for
 them. A group that a pass leaves alone holds no repeat and goes.
 
 1. By the gram's 32 bytes. What occurs once is dropped.
-2. By all that any window with this gram can hold (168 bytes on either side). Two alike: every
-   window with the gram is a repeat.
+2. By a 128-bit digest of all that any window with this gram can hold (168 bytes on either side). Two
+   alike: every window with the gram is a repeat.
 3. Where a gram has over ``LOCAL`` different surroundings: by 84 more bytes to the left or to the
    right, one of which each window holds.
-4. Through all 200 bytes, for each place of the gram in the window, within what is still together.
-   Groups that are still over ``LOCAL`` do this by a shuffle on the windows themselves.
+4. Through all 200 bytes, for each place of the gram in the window, within what is still together:
+   passes over the bytes themselves split the groups digit by digit, first over the bytes that all of
+   the windows hold (eight a pass), then one byte further to the left and to the right. Windows whose
+   groups of both sides agree are equal; no hash decides here. Groups that are still over ``LOCAL`` do
+   this by a shuffle on 128-bit digests of the windows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +95,9 @@ def coded(rows: np.ndarray) -> np.ndarray:
 
 
 def wholes_of(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hash of all around a gram."""
-    return coded(rows) + (left.astype(np.uint64) * np.uint64(512) + right.astype(np.uint64)) * CODE[0]
+    """128-bit digests (n, 2) of all around a gram, and of how much that is."""
+    size = np.stack([left, right], axis=1).astype("<i4")
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(a.tobytes() + b.tobytes()) for a, b in zip(rows, size)), "<i8").reshape(-1, 2)
 
 
 def halves_of(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,15 +107,68 @@ def halves_of(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
     return to_left, to_right
 
 
-def window_codes(rows: np.ndarray, left: np.ndarray, right: np.ndarray, to_left: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the gram in the window, rows that have such a window, its hash) for one half of the places."""
-    offset = 0 if to_left else REACH - HALF
-    part = rows[:, offset : offset + REACH + HALF + GRAM]
-    sums = np.concatenate([np.zeros((len(rows), 1), np.uint64), np.cumsum(CODE[part] * POWER[: part.shape[1]], axis=1, dtype=np.uint64)], axis=1)
+def split_classes(class_: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """Class numbers after one more digit; only classes in which the digit differs are looked at."""
+    size = int(class_.max(initial=0)) + 1
+    shown = np.zeros(size, digit.dtype)
+    shown[class_] = digit
+    differ = np.zeros(size, bool)
+    differ[class_[digit != shown[class_]]] = True
+    some = np.flatnonzero(differ[class_])
+    if not len(some):
+        return class_
+    order = some[np.lexsort((digit[some], class_[some]))]
+    new = (class_[order][1:] != class_[order][:-1]) | (digit[order][1:] != digit[order][:-1])
+    out = class_.copy()
+    out[order] = size + np.append(0, np.cumsum(new))
+    return np.unique(out, return_inverse=True)[1] if size + len(some) > 4 * len(class_) else out
+
+
+def shared(class_: np.ndarray) -> np.ndarray:
+    """Rows whose class has another row."""
+    return np.bincount(class_)[class_] > 1 if len(class_) else np.zeros(0, bool)
+
+
+def equal_windows(rows: np.ndarray, left: np.ndarray, right: np.ndarray, class_: np.ndarray, to_left: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the gram in the window, rows whose window there equals another row's) for one half of the places."""
+    places = range(HALF, REACH + 1) if to_left else range(HALF + 1)
+    some = np.flatnonzero((left >= places[0]) & (right >= REACH - places[-1]))
+    # bytes that all windows hold: the gram and HALF more on one side
+    first = REACH - HALF if to_left else REACH
+    for at in range(first, first + GRAM + HALF, 8):
+        some = some[shared(class_[some])]
+        width = min(8, first + GRAM + HALF - at)
+        digit = np.zeros((len(some), 8), np.uint8)
+        digit[:, :width] = rows[some, at : at + width]
+        class_ = class_.copy()
+        class_[some] = split_classes(class_[some], digit.view(np.uint64).ravel()) + int(class_.max(initial=0)) + 1
+        class_ = np.unique(class_, return_inverse=True)[1]
+    some = some[shared(class_[some])]
+    rows, left, right, class_ = rows[some], left[some], right[some], np.unique(class_[some], return_inverse=True)[1]
+    if not len(some):
+        return
+    fewest = REACH - places[-1]  # bytes to the right that the last place needs
+    to_right = [class_]
+    for q in range(fewest, REACH - places[0]):
+        to_right.append(split_classes(to_right[-1], rows[:, REACH + GRAM + q]))
+    for place in places:
+        if place > places[0]:
+            class_ = split_classes(class_, rows[:, REACH - place])
+        beside_ = to_right[REACH - place - fewest]
+        here = np.flatnonzero((left >= place) & (right >= REACH - place))
+        here = here[shared(class_[here]) & shared(beside_[here])]
+        key = class_[here] * (int(beside_.max()) + 1) + beside_[here]
+        order = np.argsort(key)
+        same = np.flatnonzero(key[order][1:] == key[order][:-1])
+        yield place, some[here[order[np.union1d(same, same + 1)]]]
+
+
+def window_digests(rows: np.ndarray, left: np.ndarray, right: np.ndarray, to_left: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the gram in the window, rows that have such a window, its 128-bit digest) for one half of the places."""
     for place in range(HALF, REACH + 1) if to_left else range(HALF + 1):
         some = np.flatnonzero((left >= place) & (right >= REACH - place))
-        first = REACH - place - offset
-        yield place, some, sums[some, first + DEPTH] - sums[some, first]
+        cut = np.ascontiguousarray(rows[some, REACH - place : REACH - place + DEPTH])
+        yield place, some, np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in cut), "<i8").reshape(-1, 2)
 
 
 def store(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
@@ -122,7 +180,9 @@ def store(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
     if rows.rdd.getNumPartitions() * n > FILES:
         rows = rows.repartition(n, "__row")
     rows.write.bucketBy(n, "__row").sortBy("__row").option("path", new_folder(spark, "texts")).saveAsTable(name)
-    return spark.table(name), n
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows them; the catalogue keeps nothing
+    return texts, n
 
 
 def batched(rows: list[tuple]) -> Iterator[list[np.ndarray]]:
@@ -166,11 +226,11 @@ def around(texts: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
                 for k in range(0, len(at), 4096):
                     cut = at[k : k + 4096]
                     found = contexts(np.frombuffer(data, np.uint8), cut)
-                    rows.append((gram[k : k + 4096], np.full(len(cut), row), cut, cut + GRAM + found[2], wholes_of(*found).view(np.int64)))
+                    rows.append((gram[k : k + 4096], np.full(len(cut), row), cut, cut + GRAM + found[2], *np.ascontiguousarray(wholes_of(*found).T)))
             for columns in batched(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "row", "at", "end", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "row", "at", "end", "w0", "w1"])
 
-    return with_places(texts, repeated, n, "gram").mapInArrow(look, "gram long, row long, at long, end long, whole long")
+    return with_places(texts, repeated, n, "gram").mapInArrow(look, "gram long, row long, at long, end long, w0 long, w1 long")
 
 
 def beside(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -197,7 +257,7 @@ def compare_local(dealt: DataFrame) -> DataFrame:
 
     def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key = np.stack([t[c].to_numpy() for c in ("gram", "side", "mark")], axis=1)
-        group = np.cumsum(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(axis=1)])).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        group = np.cumsum(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(axis=1)]))
         left, right = t["left"].to_numpy(), t["right"].to_numpy()
         rows = np.frombuffer(b"".join(t["context"].to_pylist()), np.uint8).reshape(len(t), -1)
         low, high = np.full(len(t), DEPTH), np.full(len(t), -1)
@@ -205,12 +265,8 @@ def compare_local(dealt: DataFrame) -> DataFrame:
             of = np.flatnonzero((key[:, 1] == side) | (key[:, 1] == 2))
             if not len(of):
                 continue
-            for place, some, code in window_codes(rows[of], left[of], right[of], side == 0):
-                some = of[some]
-                code = code * BASE + group[some]
-                order = np.argsort(code)
-                same = np.flatnonzero(code[order][1:] == code[order][:-1])
-                twice = some[order[np.union1d(same, same + 1)]]
+            for place, some in equal_windows(rows[of], left[of], right[of], group[of], side == 0):
+                twice = of[some]
                 low[twice], high[twice] = np.minimum(low[twice], place), np.maximum(high[twice], place)
         hit = np.flatnonzero(high >= 0)
         at = t["at"].to_numpy()[hit]
@@ -252,28 +308,29 @@ def fetch(texts: DataFrame, wanted: DataFrame, n: int, shuffled: bool) -> DataFr
                     for s in (0, 1):
                         of = np.flatnonzero(sides == s)
                         grams, marked = np.array(gram[cut])[of], np.array(mark[cut])[of]
-                        for place, some, code in window_codes(around_[of], left[of], right[of], s == 0):
-                            columns = [grams[some], np.full(len(some), s), marked[some], np.full(len(some), row), places[of][some], np.full(len(some), place), code.view(np.int64)]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names[:5], "place", "code"])
+                        for place, some, code in window_digests(around_[of], left[of], right[of], s == 0):
+                            columns = [grams[some], np.full(len(some), s), marked[some], np.full(len(some), row), places[of][some], np.full(len(some), place), *np.ascontiguousarray(code.T)]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names[:5], "place", "c0", "c1"])
 
-    longs = ", ".join(f"{c} long" for c in (names[:5] + ["place", "code"] if shuffled else names))
+    longs = ", ".join(f"{c} long" for c in (names[:5] + ["place", "c0", "c1"] if shuffled else names))
     return with_places(texts, wanted, n, "gram", "side", "mark").mapInArrow(look, longs if shuffled else f"{longs}, context binary")
 
 
 def repeated_spans(texts: DataFrame, n: int) -> DataFrame:
     """``(row, start, end)``: spans that repeated windows cover together; they may overlap."""
     found = materialize(find_anchors(texts), "anchors")
-    more = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join on grams that many places share is between plain exchanges
+    more = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "more")
     seen = materialize(around(texts, found.join(more, "gram", "left_semi"), n), "around")
 
-    wholes = seen.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
-    wholes = materialize(wholes.select("gram", "whole", "n", "one.row", "one.at"), "wholes")
-    repeats = seen.join(wholes.filter("n > 1").select("whole"), "whole", "left_semi")
+    wholes = seen.groupBy("gram", "w0", "w1").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
+    wholes = materialize(wholes.select("gram", "w0", "w1", "n", "one.row", "one.at"), "wholes")
+    repeats = seen.join(wholes.filter("n > 1").select("gram", "w0", "w1"), ["gram", "w0", "w1"], "left_semi")
     spans = repeats.select("row", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"), "end")
 
     # one of each context, where a context seen once has company
     size = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")).filter("contexts > 1 and fewest = 1").drop("fewest")
-    wanted = materialize(wholes.drop("whole").join(size(wholes, "gram"), "gram"), "wanted")
+    wanted = materialize(wholes.drop("w0", "w1").join(materialize(size(wholes, "gram"), "companies"), "gram"), "wanted")
     keys = ["gram", "side", "mark"]
     few = wanted.filter(F.col("contexts") <= LOCAL).withColumns({"side": F.lit(2).cast("long"), "mark": F.lit(0).cast("long")}).select(*keys, "row", "at")
     many, windows = wanted.filter(F.col("contexts") > LOCAL), None
@@ -286,7 +343,7 @@ def repeated_spans(texts: DataFrame, n: int) -> DataFrame:
     dealt = fetch(texts, few, n, False).repartition(*keys).sortWithinPartitions(*keys)
     spans = spans.unionByName(compare_local(dealt))
     if windows is not None:
-        at = [*keys, "place", "code"]
+        at = [*keys, "place", "c0", "c1"]
         twice = windows.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1").select(*at)
         ends = windows.join(twice, at, "left_semi").groupBy("row", "at").agg(F.min("place").alias("low"), F.max("place").alias("high"))
         spans = spans.unionByName(ends.select("row", (F.col("at") - F.col("high")).alias("start"), (F.col("at") + DEPTH - F.col("low")).alias("end")))
