@@ -147,9 +147,11 @@ def known(text: Column) -> Column:
     """Identifiers of the known sentences of ``text``, in its order."""
     lookup = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
     named = lambda s: F.try_element_at(lookup, F.trim(F.regexp_replace(s, APART, " ")))
-    each = lambda s: F.when(named(s).isNotNull(), F.array(named(s))).otherwise(F.transform(F.split(s, "\n"), named))
+    # a sentence that isn't known is looked at line by line, if it has several
+    each = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).when(F.contains(x["text"], F.lit("\n")), F.transform(F.split(x["text"], "\n"), named))
     low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    found = F.filter(F.flatten(F.transform(sentences(low), each)), lambda x: x.isNotNull())
+    looked = F.transform(sentences(low), lambda s: F.struct(named(s).alias("id"), s.alias("text")))
+    found = F.filter(F.flatten(F.filter(F.transform(looked, each), lambda x: x.isNotNull())), lambda x: x.isNotNull())
     hinted = F.lit(False)
     for hint in HINTS:
         hinted = hinted | F.contains(low, F.lit(hint))
