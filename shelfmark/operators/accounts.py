@@ -21,12 +21,13 @@ def pending_counts(accounts: DataFrame, index: DataFrame, links: DataFrame, log:
 
 
 def dashboard(accounts: DataFrame, files: DataFrame, index: DataFrame, jobs: DataFrame, log: DataFrame, links: DataFrame) -> DataFrame:
-    """One row an account. Every child is brought to one row an account once, then joined."""
+    """One row an account. Every child is read once and brought to one row an account, then joined."""
     out = accounts.withColumnRenamed("id", "account_id")
-    for child in (M.account_counters(files), M.cover_media(files), J.active_job(jobs), E.last_open_error(log)):
+    pending = index.filter("state = 'pending'").groupBy("account_id").agg(F.count("*").alias("pending_remote_count"))
+    enabled = links.filter("is_enabled").groupBy("account_id").agg(F.count("*").alias("link_count"))
+    for child in (M.account_counters(files, M.cover()), J.active_job(jobs), E.last_open_error(log), pending, enabled):
         out = out.join(child, "account_id", "left")
-    pending = pending_counts(accounts, index, links, log).drop("unresolved_error_count")
-    out = out.join(pending, "account_id", "left").fillna(0, ["image_count", "video_count", "other_count", "total_bytes", "unresolved_error_count"])
+    out = out.fillna(0, ["image_count", "video_count", "other_count", "total_bytes", "unresolved_error_count", "pending_remote_count", "link_count"])
     return out.withColumns(
         {
             "media_count": F.col("image_count") + F.col("video_count") + F.col("other_count"),

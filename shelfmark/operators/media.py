@@ -127,11 +127,11 @@ def media_with_account(files: DataFrame, accounts: DataFrame) -> DataFrame:
     return files.join(a, "account_id").select("id", "account_id", "account_name", "rel_path")
 
 
-def account_counters(files: DataFrame) -> DataFrame:
-    """Counts and sizes of live rows; missing files still count."""
+def account_counters(files: DataFrame, *more: Column) -> DataFrame:
+    """Counts and sizes of live rows; missing files still count. ``more`` aggregates join the same pass."""
     return files.filter("deleted_at IS NULL").groupBy("account_id").agg(
         *(F.count_if(F.col("media_type") == t).alias(f"{t}_count") for t in ("image", "video", "other")),
-        F.sum("bytes").alias("total_bytes"), F.max("downloaded_at").alias("last_download_at"), F.max("imported_at").alias("last_import_at"),
+        F.sum("bytes").alias("total_bytes"), F.max("downloaded_at").alias("last_download_at"), F.max("imported_at").alias("last_import_at"), *more,
     )
 
 
@@ -187,8 +187,13 @@ def inventory_digest(files: DataFrame, most: int = 20 * 1024**3) -> DataFrame:
 
 def cover_media(files: DataFrame) -> DataFrame:
     """Newest present image of each account."""
-    rows = files.filter(PRESENT).filter("media_type = 'image'")
-    return rows.groupBy("account_id").agg(F.max_by("id", F.struct(F.coalesce("captured_at", "first_seen_at"), "id")).alias("cover_media_id"))
+    return files.filter(PRESENT).filter("media_type = 'image'").groupBy("account_id").agg(cover())
+
+
+def cover() -> Column:
+    """Aggregate: the newest present image among live rows."""
+    fits = (F.col("media_type") == "image") & ~F.col("is_missing")
+    return F.max_by("id", F.when(fits, F.struct(F.coalesce("captured_at", "first_seen_at"), "id"))).alias("cover_media_id")
 
 
 def recent_media(files: DataFrame, n: int = 24) -> DataFrame:
