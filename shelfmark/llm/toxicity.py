@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -300,14 +301,27 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def steps(batch: pa.RecordBatch, where: int, rows: int = 64, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows whose texts have about ``size`` bytes together, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(where)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row and the score of its whole text; null text is empty."""
+    """The columns ``keep`` of each row and the score of its whole text; null text is empty.
+
+    Equal texts score alike, repeated rows each for itself; no rows give no rows.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in steps(batch, batch.num_columns - 1):
                 made = scorer.score(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.float64())], names=[*keep, "score"])
 
@@ -316,14 +330,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, as they are."""
+    """The rows of ``docs`` whose text scores below ``threshold``, as they are; null text is empty, no rows give no rows."""
     where = docs.columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in steps(batch, where):
                 texts = [t or "" for t in part.column(where).to_pylist()]
                 yield part.filter(pa.array(scorer.score(texts) < threshold))
 

@@ -498,3 +498,9 @@ def test_traversal_visits_the_nearest_cells():
     for k in range(50):
         assert set(cell[row == k]) == set(np.argsort(far[k])[:9]) and set(np.flatnonzero(far[k] <= reach[k])) == set(cell[row == k])
         assert embeddings.ranks_of(x[k : k + 1], np.argsort(far[k])[3:4], books) == [4]
+
+
+def test_steps_are_bounded_by_rows_and_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 90, "c" * 200, "d", "", "e" * 99])], names=["text"])
+    got = [p.num_rows for p in toxicity.steps(batch, 0, rows=2, size=100)]
+    assert got == [2, 1, 1, 2, 1] and sum(got) == batch.num_rows
