@@ -21,30 +21,36 @@ class Pace:
 
 
 def plan_run(backlog: Column, is_new: Column, favorite: Column, failures: Column, pace: Pace = Pace(), spread: float = 1.0) -> dict[str, Column]:
-    """budget, base_delay_ms, spread_over_runs, requeue_delay_seconds, paced and reason of one run."""
-    low, high = sorted((pace.min_delay_ms, pace.max_delay_ms))
-    ceiling, runs = max(1, pace.items_per_run), max(1, pace.ramp_runs)
-    some = backlog > 0
-    paced = some & (is_new | (backlog >= max(1, pace.backlog_threshold)))
-    ramped = F.least(F.lit(ceiling), F.greatest(F.lit(1), F.ceil(backlog / runs)))
-    budget = F.when(~some, 0).when(is_new, ramped).otherwise(F.least(F.lit(ceiling), backlog)).cast("long")
-    weight = F.least(F.lit(1.0), backlog / float(pace.saturation))
-    base = F.when(paced, low + (high - low) * (0.35 + 0.65 * weight)).otherwise(low + (high - low) * 0.2)
-    base = F.when(favorite, base - (base - low) * 0.25).otherwise(base)
-    delay = F.greatest(F.lit(low), F.least(F.lit(high), base)).cast("int")
-    slowed = F.least(F.lit(float(pace.max_delay_ms * 4)), delay * F.pow(F.lit(1.5), F.least(failures, F.lit(4)).cast("double")))
-    delay = F.when(~some, pace.min_delay_ms).when(failures > 0, slowed.cast("int")).otherwise(delay).cast("int")
-    left = F.greatest(F.lit(0), backlog - budget)
-    wait = F.greatest(F.lit(300.0), F.least(F.lit(4 * 3600.0), left * delay / 1000.0 * 0.25)) * spread
-    reason = F.when(~some, "nothing to download").when(is_new, F.concat(F.lit(f"first sync ramped over ~{runs} runs ("), backlog.cast("string"), F.lit(" items outstanding)")))
-    reason = reason.when(paced, F.concat(F.lit("paced catch-up: "), backlog.cast("string"), F.lit(" items missing"))).otherwise(F.concat(F.lit("incremental top-up: "), backlog.cast("string"), F.lit(" items")))
+    """budget, base_delay_ms, spread_over_runs, requeue_delay_seconds, paced and reason of one run.
+
+    The kind of a run decides all: idle without a backlog, first for a new account, catch-up from
+    ``backlog_threshold`` open items on, else top-up.
+    """
+    runs, batch = max(1, pace.ramp_runs), max(1, pace.items_per_run)
+    quick, slow = min(pace.min_delay_ms, pace.max_delay_ms), max(pace.min_delay_ms, pace.max_delay_ms)
+    kind = F.when(backlog <= 0, "idle").when(is_new, "first").when(backlog >= max(1, pace.backlog_threshold), "catch-up").otherwise("top-up")
+    idle, paced = kind == "idle", kind.isin("first", "catch-up")
+
+    wanted = F.when(kind == "first", F.ceil(backlog / runs)).otherwise(F.greatest(backlog, F.lit(0)))
+    budget = F.when(idle, 0).otherwise(F.least(wanted, F.lit(batch))).cast("long")
+    rest = F.greatest(backlog - budget, F.lit(0))
+
+    # share of the way from the quick to the slow delay
+    share = F.when(paced, 0.35 + 0.65 * F.least(backlog / float(pace.saturation), F.lit(1.0))).otherwise(0.2)
+    planned = quick + (slow - quick) * share
+    planned = planned - F.when(favorite, (planned - quick) * 0.25).otherwise(0.0)
+    planned = F.least(F.greatest(planned, F.lit(quick)), F.lit(slow)).cast("int")
+    backoff = F.pow(F.lit(1.5), F.least(failures, F.lit(4)).cast("double"))
+    delay = F.when(idle, pace.min_delay_ms).when(failures > 0, F.least(planned * backoff, F.lit(4.0 * pace.max_delay_ms)).cast("int")).otherwise(planned).cast("int")
+
+    pause = F.least(F.greatest(rest * delay / 1000.0 * 0.25, F.lit(300.0)), F.lit(4 * 3600.0)) * spread
     return {
         "budget": budget,
         "base_delay_ms": delay,
-        "spread_over_runs": F.when(some, F.greatest(F.lit(1), F.ceil(backlog / F.greatest(budget, F.lit(1))))).otherwise(1).cast("long"),
-        "requeue_delay_seconds": F.when(some & (left > 0), wait).otherwise(0.0),
+        "spread_over_runs": F.when(idle, 1).otherwise(F.ceil(backlog / F.greatest(budget, F.lit(1)))).cast("long"),
+        "requeue_delay_seconds": F.when(rest > 0, pause).otherwise(0.0),
         "paced": paced,
-        "reason": reason,
+        "reason": F.concat_ws(" ", kind, F.lit("run:"), budget.cast("string"), F.lit("of"), F.greatest(backlog, F.lit(0)).cast("string"), F.lit("open items")),
     }
 
 
@@ -57,3 +63,8 @@ def percent_complete(downloaded: Column, skipped: Column, expected: Column, half
 
 def estimated_missing(expected: Column, have: Column) -> Column:
     return F.greatest(F.lit(0), F.coalesce(expected, have) - have)
+
+
+def expected_items(pending: Column, missing: Column) -> Column:
+    """Items that a job is expected to take: the open backlog, or what seems to be missing if there is none."""
+    return F.when(pending > 0, pending).otherwise(F.coalesce(missing, F.lit(0)))

@@ -2,27 +2,67 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# What each enumerated column may hold.
+ENUMS: dict[str, dict[str, tuple[str, ...]]] = {
+    "accounts": {"status": ("active", "legacy", "flagged"), "platform_state": ("unknown", "ok", "private", "unavailable", "banned")},
+    "links": {"provider": ("instagram", "imginn", "pixnoy", "picuki", "dumpor", "sotwe", "twitter", "custom"), "kind": ("primary", "derived", "manual")},
+    "media": {"media_type": ("image", "video", "other")},
+    "remote": {"media_type": ("image", "video", "other"), "state": ("pending", "downloaded", "duplicate", "failed", "gone", "skipped")},
+    "jobs": {
+        "job_type": ("sync", "discover", "backfill", "verify", "probe"),
+        "status": ("queued", "claimed", "running", "succeeded", "failed", "cancelled", "deferred"),
+        "trigger": ("manual", "schedule", "batch", "retry", "bootstrap"),
+    },
+    "events": {"level": ("debug", "info", "warn", "error", "critical"), "source": ("backend", "scraper", "scheduler", "scanner", "web")},
+    "workers": {"status": ("starting", "idle", "working", "paused", "backoff", "stopping", "error")},
+}
+
+#: Other conditions that no row may meet.
+FORBIDDEN = {"media": {"bytes": "bytes < 0"}, "jobs": {"lease": "status IN ('claimed', 'running') AND lease_expires_at IS NULL"}}
+
+#: Expressions that together occur once, among the rows of a condition.
+UNIQUE = {
+    "accounts": {"name": (("lower(name)",), "true")},
+    "links": {"url": (("account_id", "url"), "true")},
+    "media": {"path": (("account_id", "rel_path"), "true"), "live_hash": (("account_id", "content_hash"), "deleted_at IS NULL AND content_hash IS NOT NULL")},
+    "remote": {"key": (("account_id", "provider", "remote_id"), "true")},
+    "jobs": {"live": (("account_id",), "status IN ('queued', 'claimed', 'running') AND account_id IS NOT NULL")},
+}
+
+#: Columns that name a row of another table.
+REFERENCES = (
+    ("links", "account_id", "accounts"), ("media", "account_id", "accounts"), ("remote", "account_id", "accounts"), ("jobs", "account_id", "accounts"), ("events", "account_id", "accounts"),
+    ("media", "duplicate_of", "media"), ("remote", "media_file_id", "media"), ("events", "job_id", "jobs"), ("workers", "current_job_id", "jobs"),
+)
+
+
+def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule, violations) for the tables given, by the names above: one pass of conditional counts a
+    table, one grouping a key and one a reference.
 
-def integrity_audit(accounts: DataFrame, files: DataFrame, jobs: DataFrame, index: DataFrame) -> DataFrame:
-    """(rule, violations): one pass of conditional counts a table, one grouping a key."""
-    twice = lambda rows, *keys: rows.groupBy(*keys).count().filter("count > 1").agg(F.count("*").alias("n"))
-    stack = lambda row, *rules: row.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*rules))).alias("rule", "violations"))
-    a = accounts.agg(F.count_if(~F.col("status").isin("active", "legacy", "flagged")).alias("account_status"))
-    m = files.agg(F.count_if(~F.col("media_type").isin("image", "video", "other")).alias("media_type"), F.count_if(F.col("bytes") < 0).alias("media_bytes"))
-    j = jobs.agg(F.count_if(F.col("status").isin("claimed", "running") & F.col("lease_expires_at").isNull()).alias("job_lease"))
-    ids = accounts.select(F.col("id").alias("account_id")).distinct()
-    checks = {
-        "account_name_unique": twice(accounts.select(F.lower("name").alias("k")), "k"),
-        "media_path_unique": twice(files, "account_id", "rel_path"),
-        "media_one_live_hash": twice(files.filter("deleted_at IS NULL AND content_hash IS NOT NULL"), "account_id", "content_hash"),
-        "job_one_live": twice(jobs.filter("status IN ('queued', 'claimed', 'running')"), "account_id"),
-        "remote_key_unique": twice(index, "account_id", "provider", "remote_id"),
-        "media_orphan": files.join(ids, "account_id", "left_anti").agg(F.count("*").alias("n")),
-    }
-    out = stack(a, "account_status").unionByName(stack(m, "media_type", "media_bytes")).unionByName(stack(j, "job_lease"))
-    for rule, row in checks.items():
-        out = out.unionByName(row.select(F.lit(rule).alias("rule"), F.col("n").alias("violations")))
-    return out
+    Rules of columns that a table lacks are left out. Nulls break no enumeration and no reference.
+    References are counted by their value before they meet the other table, so a value that most rows
+    share is one row there. Flags are booleans and can't be wrong.
+    """
+    out = []
+    for name, rows in tables.items():
+        has = set(rows.columns)
+        counts = [F.count_if(~F.col(c).isin(*allowed)).alias(f"{name}.{c}") for c, allowed in ENUMS.get(name, {}).items() if c in has]
+        counts += [F.count_if(F.expr(condition)).alias(f"{name}.{rule}") for rule, condition in FORBIDDEN.get(name, {}).items()]
+        if counts:
+            found = rows.agg(*counts)
+            out.append(found.select(F.inline(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("violations")) for c in found.columns)))))
+        for rule, (keys, among) in UNIQUE.get(name, {}).items():
+            groups = rows.filter(among).groupBy(*map(F.expr, keys)).agg(F.count("*").alias("n"))
+            out.append(groups.agg(F.lit(f"{name}.{rule}_unique").alias("rule"), F.count_if(F.col("n") > 1).alias("violations")))
+    for child, column, parent in REFERENCES:
+        if child in tables and parent in tables and column in tables[child].columns:
+            named = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n"))
+            lost = named.join(tables[parent].select("id"), "id", "left_anti")
+            out.append(lost.agg(F.lit(f"{child}.{column}_orphan").alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations")))
+    return reduce(DataFrame.unionByName, out)

@@ -172,16 +172,21 @@ def soft_delete(files: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return files.join(hit, "id", "left").withColumn("deleted_at", F.when(F.col("hit"), F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at"))).drop("hit")
 
 
-def inventory_digest(files: DataFrame, most: int = 20 * 1024**3) -> DataFrame:
+def inventory_digest(files: DataFrame, most: int = 20 * 1024**3, media_type: str | None = None) -> DataFrame:
     """Digest of an account's present files in path order, with size, number and an oversize flag.
 
-    All paths of one account meet in one row: about 100 bytes a file.
+    With ``media_type``, size and number are those of its folder (photos for images, else videos), and
+    the digest, still of all files, names the type. All paths of one account meet in one row: about
+    100 bytes a file.
     """
     line = lambda x: F.concat(x["rel_path"], F.lit(":"), F.coalesce(x["bytes"].cast("string"), F.lit("None")), F.lit(":"), F.coalesce(x["mtime_ns"].cast("string"), F.lit("None")))
     listed = F.array_sort(F.collect_list(F.struct("rel_path", "bytes", "mtime_ns")))
+    digest = F.substring(F.sha2(F.array_join(F.transform(listed, line), "").cast("binary"), 256), 1, 16)
+    inside = F.lit(True) if media_type is None else F.col("rel_path").startswith("photos/" if media_type == "image" else "videos/")
+    size = F.coalesce(F.sum(F.when(inside, F.col("bytes"))), F.lit(0))
     return files.filter(PRESENT).groupBy("account_id").agg(
-        F.substring(F.sha2(F.array_join(F.transform(listed, line), "").cast("binary"), 256), 1, 16).alias("digest"),
-        F.sum("bytes").alias("total_bytes"), F.count("*").alias("file_count"), (F.sum("bytes") > most).alias("oversize"),
+        (digest if media_type is None else F.concat(digest, F.lit(f"-{media_type}"))).alias("digest"),
+        size.alias("total_bytes"), F.count_if(inside).alias("file_count"), (size > most).alias("oversize"),
     )
 
 

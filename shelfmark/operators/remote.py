@@ -156,9 +156,20 @@ def path_collisions(items: DataFrame) -> DataFrame:
     return items.groupBy("account_id", "path").agg(F.count_distinct("remote_id").alias("remote_ids")).filter("remote_ids > 1")
 
 
-def rolling_eta(samples: DataFrame, remaining: Column, window: int = 20, by: str = "account_id", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
-    """Median of the last samples times what remains; null under two samples, 0 when nothing remains."""
-    last = Window.partitionBy(by).orderBy(*order).rowsBetween(1 - max(3, window), 0)
-    rows = samples.filter("seconds > 0").withColumn("n", F.count("*").over(last)).withColumn("per_item", F.percentile("seconds", F.lit(0.5)).over(last))
+def seed_seconds(base_delay_ms: Column, transfer_seconds: float = 2.5) -> Column:
+    """A guess of an item's seconds before anything was measured: the planned delay and a transfer."""
+    return base_delay_ms / 1000.0 + transfer_seconds
+
+
+def rolling_eta(samples: DataFrame, remaining: Column, window: int = 20, by: str = "account_id", order: tuple[str, ...] = ("ts", "id"), seeds: DataFrame | None = None) -> DataFrame:
+    """Median of the last samples times what remains; null under two samples, 0 when nothing remains.
+
+    ``seeds(by, seconds)``, one row a value of ``by``, count as the sample before all others.
+    """
+    rows = samples.filter("seconds > 0").withColumn("__seed", F.lit(False))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select(by, "seconds").withColumn("__seed", F.lit(True)), allowMissingColumns=True)
+    last = Window.partitionBy(by).orderBy(F.desc("__seed"), *order).rowsBetween(1 - max(3, window), 0)
+    rows = rows.withColumn("n", F.count("*").over(last)).withColumn("per_item", F.percentile("seconds", F.lit(0.5)).over(last))
     eta = F.when(remaining <= 0, F.lit(0).cast("long")).when(F.col("n") >= 2, F.bround(F.col("per_item") * remaining).cast("long"))
-    return rows.withColumn("eta_seconds", eta)
+    return rows.withColumn("eta_seconds", eta).filter("NOT __seed").drop("__seed")

@@ -191,6 +191,16 @@ def _(files):
     return M.inventory_digest(files)
 
 
+@query(
+    "A11_inventory_digest_video", "media_files",
+    f"""SELECT account_id, substring(sha256(string_agg(rel_path || ':' || bytes || ':' || mtime_ns, '' ORDER BY rel_path)), 1, 16) || '-video' AS digest,
+      coalesce(sum(bytes) FILTER (rel_path LIKE 'videos/%'), 0)::BIGINT AS total_bytes, count(*) FILTER (rel_path LIKE 'videos/%') AS file_count, coalesce(sum(bytes) FILTER (rel_path LIKE 'videos/%'), 0) > 100000 AS oversize
+    FROM media_files WHERE {PRESENT} GROUP BY 1""",
+)
+def _(files):
+    return M.inventory_digest(files, most=100_000, media_type="video")
+
+
 @query("P5_media_listing", "media_files", f"SELECT account_id, place, id, rel_path FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY coalesce(captured_at, downloaded_at, first_seen_at) DESC NULLS LAST, id DESC) AS place FROM media_files WHERE {PRESENT}) WHERE place BETWEEN 6 AND 25")
 def _(files):
     return M.media_listing(files, limit=20, offset=5)
@@ -264,6 +274,11 @@ def _(accounts, files):
     return counted.select("id", fp.estimated_missing(F.col("expected_image_count"), F.col("image_count")).alias("missing_images"))
 
 
+@query("A12_expected_items", BOARD_TABLES, f"SELECT account_id, CASE WHEN pending_remote_count > 0 THEN pending_remote_count ELSE estimated_missing_count END AS items_expected FROM ({BOARD})")
+def _(*t):
+    return A.dashboard(*t).select("account_id", fp.expected_items(F.col("pending_remote_count"), F.col("estimated_missing_count")).alias("items_expected"))
+
+
 @query("P3_account_search", BOARD_TABLES, f"SELECT account_id, name, unresolved_error_count, count(*) OVER () AS total FROM ({BOARD}) WHERE (name ILIKE '%mer#0_0%' OR display_name ILIKE '%mer#0_0%') AND scrape_enabled ORDER BY is_favorite DESC, unresolved_error_count DESC, last_error_ts DESC NULLS LAST, account_id LIMIT 40 OFFSET 3")
 def _(*t):
     return A.search(A.dashboard(*t), " mer#0_0 ", scrape_enabled=True, sort="errors", limit=40, offset=3).select("account_id", "name", "unresolved_error_count", "total")
@@ -474,7 +489,9 @@ BASE = "CASE WHEN b = 0 THEN 4000.0 WHEN n OR b >= 5 THEN 4000 + 11000 * (0.35::
 
 @query(
     "M1_plan_run", "accounts remote_index",
-    f"""SELECT account_id, b AS backlog, budget, delay AS base_delay_ms, CASE WHEN b > 0 THEN greatest(1, CAST(ceil(b / greatest(budget, 1)::DOUBLE) AS BIGINT)) ELSE 1 END AS spread_over_runs, b > 0 AND (n OR b >= 5) AS paced
+    f"""SELECT account_id, b AS backlog, budget, delay AS base_delay_ms, CASE WHEN b > 0 THEN greatest(1, CAST(ceil(b / greatest(budget, 1)::DOUBLE) AS BIGINT)) ELSE 1 END AS spread_over_runs, b > 0 AND (n OR b >= 5) AS paced,
+      CASE WHEN b > budget THEN greatest(300000, least(14400000, (b - budget) * delay / 4)) ELSE 0 END::BIGINT AS requeue_delay_ms,
+      CASE WHEN b = 0 THEN 'idle' WHEN n THEN 'first' WHEN b >= 5 THEN 'catch-up' ELSE 'top-up' END || ' run: ' || budget || ' of ' || b || ' open items' AS reason
     FROM (SELECT *, CASE WHEN b = 0 THEN 0 WHEN n THEN least(25, greatest(1, CAST(ceil(b / 6.0::DOUBLE) AS BIGINT))) ELSE least(25, b) END AS budget,
       CASE WHEN b = 0 THEN 4000 WHEN f > 0 THEN CAST(trunc(least(60000.0::DOUBLE, CAST(trunc(greatest(4000, least(15000, d))) AS INT) * pow(1.5::DOUBLE, least(f, 4)))) AS INT) ELSE CAST(trunc(greatest(4000, least(15000, d))) AS INT) END AS delay
       FROM (SELECT *, CASE WHEN fav THEN x - (x - 4000) * 0.25::DOUBLE ELSE x END AS d FROM (SELECT *, {BASE} AS x FROM (
@@ -484,7 +501,7 @@ def _(accounts, index):
     pending = index.filter("state = 'pending'").groupBy("account_id").agg(F.count("*").alias("backlog"))
     rows = accounts.withColumnRenamed("id", "account_id").join(pending, "account_id", "left").fillna(0, ["backlog"])
     plan = fp.plan_run(F.col("backlog"), F.col("last_success_at").isNull(), F.col("is_favorite"), F.col("consecutive_failures"))
-    return rows.select("account_id", "backlog", *(plan[c].alias(c) for c in ("budget", "base_delay_ms", "spread_over_runs", "paced")))
+    return rows.select("account_id", "backlog", *(plan[c].alias(c) for c in ("budget", "base_delay_ms", "spread_over_runs", "paced", "reason")), F.round(plan["requeue_delay_seconds"] * 1000).cast("long").alias("requeue_delay_ms"))
 
 
 @query("W5_budget_slice", "remote_index held", f"SELECT account_id, provider, remote_id, place FROM ({BACKLOG}) WHERE place <= 3 + account_id % 5")
@@ -583,6 +600,19 @@ def _(log):
     return R.rolling_eta(log.withColumn("seconds", F.col("id") % 17), F.col("id") % 10 + 1).select("id", "eta_seconds")
 
 
+@query(
+    "W6_rolling_eta_seeded", "event_log",
+    """SELECT id, CASE WHEN n >= 2 THEN CAST(round_even(m * (id % 10 + 1), 0) AS BIGINT) END AS eta_seconds FROM (SELECT id, count(*) OVER w AS n, quantile_cont(seconds, 0.5) OVER w AS m
+    FROM (SELECT id, account_id, ts, 1 AS turn, (id % 17)::DOUBLE AS seconds FROM event_log WHERE id % 17 > 0
+      UNION ALL SELECT NULL, account_id, NULL, 0, (4000 + account_id % 7 * 500) / 1000.0::DOUBLE + 2.5::DOUBLE FROM (SELECT DISTINCT account_id FROM event_log))
+    WINDOW w AS (PARTITION BY account_id ORDER BY turn, ts, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE id IS NOT NULL""",
+)
+def _(log):
+    seeds = log.select("account_id").distinct().withColumn("seconds", R.seed_seconds(4000 + F.col("account_id") % 7 * 500))
+    samples = log.withColumn("seconds", (F.col("id") % 17).cast("double"))
+    return R.rolling_eta(samples, F.col("id") % 10 + 1, window=5, seeds=seeds).select("id", "eta_seconds")
+
+
 # ---- names, links, accounts ----
 
 
@@ -682,14 +712,40 @@ def _(accounts):
     return A.record_profile(accounts, probes, at(JOBS_NOW))
 
 
-@query(
-    "Q1_integrity_audit", "accounts media_files scrape_jobs remote_index",
-    """SELECT 'account_status' AS rule, count(*) FILTER (status NOT IN ('active', 'legacy', 'flagged')) AS violations FROM accounts UNION ALL SELECT 'media_type', count(*) FILTER (media_type NOT IN ('image', 'video', 'other')) FROM media_files
-    UNION ALL SELECT 'media_bytes', count(*) FILTER (bytes < 0) FROM media_files UNION ALL SELECT 'job_lease', count(*) FILTER (status IN ('claimed', 'running') AND lease_expires_at IS NULL) FROM scrape_jobs
-    UNION ALL SELECT 'account_name_unique', count(*) FROM (SELECT lower(name) FROM accounts GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'media_path_unique', count(*) FROM (SELECT account_id, rel_path FROM media_files GROUP BY 1, 2 HAVING count(*) > 1)
-    UNION ALL SELECT 'media_one_live_hash', count(*) FROM (SELECT account_id, content_hash FROM media_files WHERE deleted_at IS NULL AND content_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
-    UNION ALL SELECT 'job_one_live', count(*) FROM (SELECT account_id FROM scrape_jobs WHERE status IN ('queued', 'claimed', 'running') GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'remote_key_unique', count(*) FROM (SELECT account_id, provider, remote_id FROM remote_index GROUP BY 1, 2, 3 HAVING count(*) > 1)
-    UNION ALL SELECT 'media_orphan', count(*) FROM media_files WHERE account_id NOT IN (SELECT id FROM accounts)""",
-)
-def _(accounts, files, jobs, index):
-    return audit.integrity_audit(accounts, files, jobs, index)
+def _counts(table: str, **rules: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{rule.replace('__', '.')}' AS rule, count(*) FILTER ({condition}) AS violations FROM {table}" for rule, condition in rules.items())
+
+
+def _twice(rule: str, keys: str, rows: str) -> str:
+    return f"SELECT '{rule}_unique', count(*) FROM (SELECT {keys} FROM {rows} GROUP BY ALL HAVING count(*) > 1)"
+
+
+def _orphans(name: str, column: str, child: str, parent: str) -> str:
+    return f"SELECT '{name}.{column}_orphan', count(*) FROM {child} c WHERE {column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{column})"
+
+
+AUDIT = " UNION ALL ".join(
+    [
+        _counts("accounts", accounts__status="status NOT IN ('active', 'legacy', 'flagged')"),
+        _counts("links", links__provider="provider NOT IN ('instagram', 'imginn', 'pixnoy', 'picuki', 'dumpor', 'sotwe', 'twitter', 'custom')"),
+        _counts("media_files", media__media_type="media_type NOT IN ('image', 'video', 'other')", media__bytes="bytes < 0"),
+        _counts("remote_index", remote__media_type="media_type NOT IN ('image', 'video', 'other')", remote__state="state NOT IN ('pending', 'downloaded', 'duplicate', 'failed', 'gone', 'skipped')"),
+        _counts("scrape_jobs", jobs__status="status NOT IN ('queued', 'claimed', 'running', 'succeeded', 'failed', 'cancelled', 'deferred')", jobs__lease="status IN ('claimed', 'running') AND lease_expires_at IS NULL"),
+        _counts("event_log", events__level="level NOT IN ('debug', 'info', 'warn', 'error', 'critical')", events__source="source NOT IN ('backend', 'scraper', 'scheduler', 'scanner', 'web')"),
+        _counts("heartbeats", workers__status="status NOT IN ('starting', 'idle', 'working', 'paused', 'backoff', 'stopping', 'error')"),
+        _twice("accounts.name", "lower(name)", "accounts"),
+        _twice("links.url", "account_id, url", "links"),
+        _twice("media.path", "account_id, rel_path", "media_files"),
+        _twice("media.live_hash", "account_id, content_hash", "media_files WHERE deleted_at IS NULL AND content_hash IS NOT NULL"),
+        _twice("remote.key", "account_id, provider, remote_id", "remote_index"),
+        _twice("jobs.live", "account_id", "scrape_jobs WHERE status IN ('queued', 'claimed', 'running') AND account_id IS NOT NULL"),
+        *(_orphans(n, "account_id", t, "accounts") for n, t in (("links", "links"), ("media", "media_files"), ("remote", "remote_index"), ("jobs", "scrape_jobs"), ("events", "event_log"))),
+        _orphans("media", "duplicate_of", "media_files", "media_files"),
+        _orphans("events", "job_id", "event_log", "scrape_jobs"),
+    ]
+)
+
+
+@query("Q1_integrity_audit", "accounts links media_files remote_index scrape_jobs event_log heartbeats", AUDIT)
+def _(*t):
+    return audit.integrity_audit(dict(zip(("accounts", "links", "media", "remote", "jobs", "events", "workers"), t)))

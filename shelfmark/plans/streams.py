@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import tables, with_tables
-from ..sources.listing import read_table, shared_folder, write_table
+from ..sources.listing import TABLES, load_table, read_table, save_table, shared_folder, write_table
+from ..sources.listing import list_files as lister
 from ..streaming import streams as S
 from .catalog import COALESCED, PRINT
 
@@ -17,6 +19,10 @@ from .catalog import COALESCED, PRINT
 BATCHES, FILES = 6, 2
 
 
+#: A text column of each data table.
+TABLE_TEXT = {"accounts": "name", "links": "url", "media_files": "rel_path", "remote_index": "remote_url", "scrape_jobs": "error_summary", "event_log": "message", "heartbeats": "version"}
+
+
 def _landed(spark: SparkSession, rows: DataFrame, label: str, order: str | None = "ts") -> DataFrame:
     """Land rows as files, BATCHES slices one after the other, and read them as a stream with event time.
 
@@ -43,10 +49,33 @@ def _last(rows: DataFrame, *keys: str) -> DataFrame:
 def tables_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     (files,) = tables(spark, sf_dir, "media_files")
     path = shared_folder(spark, "media_files")
-    write_table(files, path, "account_id")
+    write_table(files, path, "account_id", "rel_path")
     return read_table(spark, path, files.schema).select("id", "account_id", "rel_path", "bytes")
 
 
+def all_tables_io(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and checksums of every data table, written and read back."""
+    folder = shared_folder(spark, "catalogue")
+    out = []
+    for name, rows in zip(TABLES, tables(spark, sf_dir, *TABLES)):
+        save_table(rows, name, folder)
+        found = load_table(spark, name, folder)
+        key = F.col("account_id" if "account_id" in found.columns else "id" if "id" in found.columns else "worker_id")
+        text = F.col(TABLE_TEXT[name])
+        out.append(found.agg(F.lit(name).alias("name"), F.count("*").alias("row_count"), F.count_distinct(key).alias("keys"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("text_length")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents written as text files below a folder an account, and what the lister finds there."""
+    (files,) = tables(spark, sf_dir, "media_files")
+    folder = shared_folder(spark, "archive")
+    files.select("account_id", F.coalesce("content", F.lit("")).alias("value")).write.partitionBy("account_id").text(folder)
+    found = lister(files.select(F.concat(F.lit("account_id="), F.col("account_id").cast("string")).alias("account")), folder.removeprefix("file:"))
+    seen = found.filter("error IS NULL AND NOT startswith(element_at(split(rel_path, '/'), -1), '.')")
+    return seen.groupBy(F.substring_index("account", "=", -1).cast("long").alias("account_id")).agg(F.sum("bytes").alias("bytes"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     (log,) = tables(spark, sf_dir, "event_log")
     stream = _landed(spark, log.select("id", "ts", "level", "account_id"), "events")
@@ -94,7 +123,9 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "S1_list_files": list_files,
     "S3_tables_io": tables_io,
+    "S3_all_tables_io": all_tables_io,
     "S5_event_stream": event_stream,
     "T1_stream_coalesce": coalesce,
     "T2_stream_liveness": liveness,
@@ -105,6 +136,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "S3_tables_io": with_tables("SELECT id, account_id, rel_path, bytes FROM media_files", "media_files"),
+    "S1_list_files": with_tables("SELECT account_id, sum(strlen(coalesce(content, '')) + 1)::BIGINT AS bytes FROM media_files GROUP BY 1", "media_files"),
+    "S3_all_tables_io": with_tables(
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS name, count(*) AS row_count, count(DISTINCT {'id' if t == 'accounts' else 'worker_id' if t == 'heartbeats' else 'account_id'}) AS keys, coalesce(sum(length({c})), 0)::BIGINT AS text_length FROM {t}" for t, c in TABLE_TEXT.items()
+        ),
+        *TABLE_TEXT,
+    ),
     "S5_event_stream": with_tables("SELECT id, ts, level, account_id FROM event_log", "event_log"),
     "T1_stream_coalesce": with_tables(
         f"SELECT fingerprint, level, id, occurrences, first_seen_at, ts, message, detail, job_id, source, error_type FROM ({COALESCED.format(minutes=24 * 60, print=PRINT)})",

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MANIFEST = "account string, rel_path string, bytes long, mtime_ns long, error string"
 
@@ -42,9 +43,53 @@ def list_files(accounts: DataFrame, root: str) -> DataFrame:
     return accounts.select("account").distinct().repartition("account").mapInArrow(walk, MANIFEST)
 
 
-def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
-    """Write a catalogue table, sorted within files by ``by`` so that readers can skip row groups."""
-    (rows.repartition(by).sortWithinPartitions(by) if by else rows).write.mode("overwrite").parquet(path)
+# Layout of the data tables, as columns and types, and the order that they are written in: by
+# account where there is one, then by a column that parts the rows of a large account.
+TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "accounts": (
+        "id long, name string, display_name string, status string, is_favorite boolean, scrape_enabled boolean, priority int, expected_image_count long, expected_video_count long,"
+        " consecutive_failures long, next_eligible_at timestamp_ntz, last_scrape_at timestamp_ntz, last_success_at timestamp_ntz",
+        ("id",),
+    ),
+    "links": ("id long, account_id long, url string, provider string, label string, is_enabled boolean, sort_order long", ("account_id", "id")),
+    "media_files": (
+        "id long, account_id long, content string, bytes long, media_type string, rel_path string, mtime_ns long, content_hash string, duplicate_of long, remote_id string,"
+        " captured_at timestamp_ntz, first_seen_at timestamp_ntz, downloaded_at timestamp_ntz, imported_at timestamp_ntz, is_missing boolean, deleted_at timestamp_ntz",
+        ("account_id", "rel_path"),
+    ),
+    "remote_index": ("account_id long, provider string, remote_id string, remote_url string, media_type string, remote_hash string, remote_bytes long, posted_at timestamp_ntz, state string, attempts int", ("account_id", "remote_id")),
+    "scrape_jobs": (
+        "id long, account_id long, status string, priority int, scheduled_for timestamp_ntz, finished_at timestamp_ntz, lease_expires_at timestamp_ntz, attempts int, max_attempts int,"
+        " error_summary string, items_expected long, items_downloaded long, items_skipped long, items_failed long",
+        ("account_id", "id"),
+    ),
+    "event_log": (
+        "id long, ts timestamp_ntz, level string, source string, account_id long, job_id long, event string, message string, detail string, error_type string, retryable boolean,"
+        " traceback string, resolved_at timestamp_ntz",
+        ("account_id", "ts", "id"),
+    ),
+    "heartbeats": ("worker_id string, status string, version string, beat_at timestamp_ntz", ("worker_id", "beat_at")),
+}
+
+
+def write_table(rows: DataFrame, path: str, *by: str) -> None:
+    """Write a catalogue table in ranges of ``by``, sorted in each file, so that readers skip files and row groups.
+
+    Ranges go by all columns of ``by``, so the rows of one large account are parted too.
+    """
+    (rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows).write.mode("overwrite").parquet(path)
+
+
+def save_table(rows: DataFrame, name: str, folder: str) -> None:
+    """Write one of TABLES below ``folder`` with its own columns and types."""
+    schema, by = TABLES[name]
+    columns = [c.split() for c in schema.split(", ")]
+    write_table(rows.select(*(F.col(c).cast(t).alias(c) for c, t in columns)), f"{folder}/{name}", *by)
+
+
+def load_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """Read one of TABLES below ``folder``; its schema is declared, not inferred."""
+    return read_table(spark, f"{folder}/{name}", TABLES[name][0])
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:

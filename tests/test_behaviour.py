@@ -10,10 +10,11 @@ from shelfmark.functions import hashing as fh
 from shelfmark.functions import names as fn
 from shelfmark.functions import pacing as fp
 from shelfmark.operators import accounts as A
+from shelfmark.operators import audit
 from shelfmark.operators import events as E
 from shelfmark.operators import media as M
 from shelfmark.operators import remote as R
-from shelfmark.sources.listing import list_files
+from shelfmark.sources.listing import TABLES, list_files, load_table, save_table
 
 
 def one(spark, expression, **values):
@@ -183,3 +184,45 @@ def test_list_files(spark, tmp_path):
     assert [r["account"] for r in got if r["error"]] == ["gone"]
     digests = fh.hash_files(spark.createDataFrame([(os.path.join(tmp_path, "b/two.mp4"),), ("/no/file",)], "path string")).collect()
     assert [r["content_hash"] is None for r in digests] == [False, True]
+
+
+def test_audit_counts_rows_behind_each_lost_reference(spark):
+    accounts = spark.createDataFrame([(1, "A", "active"), (2, "a", "odd"), (3, None, None)], "id long, name string, status string")
+    files = spark.createDataFrame([(1, 9, "x", None), (2, 9, "x", 7), (3, 1, "y", 1), (4, None, "z", None)], "id long, account_id long, rel_path string, duplicate_of long")
+    files = files.withColumns({"media_type": F.lit("image"), "bytes": F.lit(-1), "content_hash": F.lit(None).cast("string"), "deleted_at": F.lit(None).cast("timestamp")})
+    found = {r["rule"]: r["violations"] for r in audit.integrity_audit({"accounts": accounts, "media": files}).collect()}
+    assert found == {
+        "accounts.status": 1, "accounts.name_unique": 1, "media.media_type": 0, "media.bytes": 4, "media.path_unique": 1, "media.live_hash_unique": 0,
+        "media.account_id_orphan": 2, "media.duplicate_of_orphan": 1,
+    }
+
+
+def test_seeded_eta_answers_after_one_sample(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 3.5), (2, 2, 2, 4.0)], "account_id long, ts long, id long, seconds double")
+    seeds = spark.createDataFrame([(1, 6.5)], "account_id long, seconds double")
+    found = {r["id"]: r["eta_seconds"] for r in R.rolling_eta(rows, F.lit(2), seeds=seeds).collect()}
+    assert found == {1: 10, 2: None}
+
+
+def test_expected_items_prefer_the_backlog(spark):
+    assert [one(spark, fp.expected_items(F.lit(p), F.lit(m).cast("long"))) for p, m in ((3, 9), (0, 9), (0, None))] == [3, 9, 0]
+
+
+def test_digest_by_type_keeps_the_whole_accounts_digest(spark):
+    rows = [(1, "photos/a.jpg", 5, 1), (1, "videos/b.mp4", 7, 2), (1, "videos/c.mp4", None, 3)]
+    files = spark.createDataFrame(rows, "account_id long, rel_path string, bytes long, mtime_ns long").withColumns({"deleted_at": F.lit(None).cast("timestamp"), "is_missing": F.lit(False)})
+    every, video, image = (M.inventory_digest(files, most=6, media_type=t).first() for t in (None, "video", "image"))
+    assert video["digest"] == every["digest"] + "-video" and image["digest"] == every["digest"] + "-image"
+    assert [(r["total_bytes"], r["file_count"], r["oversize"]) for r in (every, video, image)] == [(12, 3, True), (7, 2, True), (5, 1, False)]
+
+
+def test_data_tables_part_a_large_account_and_keep_their_layout(spark, tmp_path):
+    rows = spark.range(4000).select("id", F.lit(1).cast("int").alias("account_id"), F.concat(F.lit("u"), "id").alias("url"), *(F.lit(None).cast(t).alias(c) for c, t in (("provider", "string"), ("label", "string"), ("is_enabled", "boolean"), ("sort_order", "long"), ("extra", "int"))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be one file
+    save_table(rows, "links", str(tmp_path))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = load_table(spark, "links", str(tmp_path))
+    assert found.columns == [c.split()[0] for c in TABLES["links"][0].split(", ")] and dict(found.dtypes)["account_id"] == "bigint"
+    assert found.count() == 4000 and len(list((tmp_path / "links").glob("*.parquet"))) > 1
+    save_table(rows.filter("false"), "links", str(tmp_path))
+    assert load_table(spark, "links", str(tmp_path)).count() == 0
