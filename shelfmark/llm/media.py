@@ -3,7 +3,8 @@
 A payload is dealt to frames of 24 x 24 samples of 8 bits. Frames are lossless JPEG (predictor 1,
 a restart marker after every line), each an intra frame of an AVI with an ``idx1`` index. Reading
 goes the other way: RIFF chunks, the index, each frame's markers and Huffman codes. Coding works on
-all lines of a batch at once, since every line begins at a byte and predicts from 128.
+all lines of a block of frames at once, since every line begins at a byte and predicts from 128; a
+long payload is many blocks.
 
 Shots: the sum of absolute differences of two frames' 16-bin histograms cuts where it exceeds the
 mean of the up to ``MEMORY`` differences before by two standard deviations and by ``LEAST``.
@@ -29,8 +30,9 @@ SIDE = 24
 FRAME = SIDE * SIDE
 MS = 40
 MEMORY, LEAST = 8, FRAME // 8
-#: Payload bytes that are coded at a time.
+#: Payload bytes whose rows are coded together, and frames that are coded at a time within them.
 AT_ONCE = 1 << 21
+BLOCK = AT_ONCE // FRAME
 
 # A frame's head (start, Huffman table of nine 4-bit codes, lossless frame, restart interval, scan).
 HEAD = b"".join(
@@ -108,9 +110,9 @@ def avi(frames: list[bytes]) -> bytes:
 def encode(payloads: list[bytes]) -> list[bytes]:
     """An AVI for each payload; payloads are positive multiples of 576 bytes."""
     lines = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, SIDE)
-    coded, sizes = encode_lines(lines)
-    edge = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    data, out, at = coded.tobytes(), [], 0
+    coded, sizes = zip(*(encode_lines(lines[a : a + BLOCK * SIDE]) for a in range(0, len(lines), BLOCK * SIDE)))
+    edge = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).tolist()
+    data, out, at = b"".join(coded), [], 0
     for p in payloads:
         n = len(p) // FRAME
         out.append(avi([HEAD + data[a:b] + END for a, b in zip(edge[at : at + n], edge[at + 1 : at + n + 1])]))
@@ -182,7 +184,7 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
     if len(heads) != 1:  # files of other makers: one by one
         return [decode([f])[0] for f in files] if len(files) > 1 else _mixed(found[0])
     head = heads.pop()
-    samples = decode_scans([f[len(head) : -2] for f in every], *head_of(head))
+    samples = np.concatenate([decode_scans([f[len(head) : -2] for f in every[a : a + BLOCK]], *head_of(head)) for a in range(0, len(every), BLOCK)])
     edge = np.cumsum([len(x) for x in found])[:-1]
     return np.split(samples, edge)
 
@@ -224,13 +226,18 @@ def decode_scans(scans: list[bytes], height: int, width: int, restart: int, cate
     return out.reshape(len(scans), height * width)
 
 
+def histograms(frames: np.ndarray) -> np.ndarray:
+    """How many samples of each frame fall in each of 16 bins."""
+    key = np.arange(len(frames))[:, None] * 16 + (frames >> 4)
+    return np.bincount(key.ravel(), minlength=len(frames) * 16).reshape(-1, 16)
+
+
 def cuts(samples: list[np.ndarray]) -> list[list[int]]:
     """First frames of each file's shots."""
     frames = np.concatenate(samples)
     n = np.array([len(s) for s in samples])
     first = np.cumsum(n) - n
-    key = np.arange(len(frames))[:, None] * 16 + (frames >> 4)
-    histogram = np.bincount(key.ravel(), minlength=len(frames) * 16).reshape(-1, 16)
+    histogram = np.concatenate([histograms(frames[a : a + BLOCK]) for a in range(0, len(frames), BLOCK)])
     jump = np.concatenate([[0], np.abs(np.diff(histogram, axis=0)).sum(axis=1)])
     jump[first] = 0
     start = np.repeat(first, n)
