@@ -32,6 +32,8 @@ HIDDEN, INPUT = 8, 12
 TRIGRAMS = 1 << 13
 #: Documents of either label that are fitted, rounds over them; documents that make a word known.
 PER_CLASS, ROUNDS, LEAST_DOCS = 800, 12, 5
+#: Bytes of the longest text that is fitted.
+FIT_BYTES = 1 << 17
 #: Steps of a round.
 BATCHES = 13
 #: Distinct words whose inputs a worker keeps before it starts anew.
@@ -192,8 +194,11 @@ def window_ids(texts: list[str], lookup) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(owner)
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
-    """Train on whole texts; with one label only, the model is that label's share."""
+def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, guess: bool = True) -> Model:
+    """Train on whole texts; with one label only, the model is that label's share.
+
+    With ``guess``, word vectors start from how much more often texts of label 1 hold the word.
+    """
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return Model(float(y.mean()) if len(y) else 0.0)
@@ -204,10 +209,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     known = sorted(w for w, c in (counts[0] + counts[1]).items() if c >= LEAST_DOCS and w not in ("", "~"))
     model = Model.start({w: k for k, w in enumerate(known, 1)})
     w = model.weights
-    # a first guess at each word: how much more often texts of label 1 hold it
-    rate = [np.array([counts[c][x] + 4 for x in known]) / ((y == c).sum() + 8) for c in (0, 1)]
     w["word"][0] = 0
-    w["word"][1:, 0] += np.clip(np.log(rate[1] / rate[0]), -2, 4).astype(np.float32)
+    if guess:
+        rate = [np.array([counts[c][x] + 4 for x in known]) / ((y == c).sum() + 8) for c in (0, 1)]
+        w["word"][1:, 0] += np.clip(np.log(rate[1] / rate[0]), -2, 4).astype(np.float32)
     word, tri, n = model.numbers(data.words)
     size = np.bincount(data.owner)
     first = np.cumsum(size) - size
@@ -285,14 +290,16 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(logit, first).astype(np.float64))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_bytes: int = FIT_BYTES) -> tuple[list[str], list[int]]:
     """Texts and labels to fit: labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
+    At most ``per_class`` rows of a label are drawn, and those with texts of over ``most_bytes`` are not
+    fitted (they are scored like all others), so what reaches the driver is bounded by their product.
     Null ids, labels other than 0 and 1 are left out; repeated rows count once.
     """
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).distinct()
     chosen = [usable.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(chosen[0].unionByName(chosen[1]), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).filter(F.octet_length("text") <= most_bytes).join(chosen[0].unionByName(chosen[1]), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = sorted(rows.select("doc_id", "toxic", "text").collect())
     return [r["text"] for r in found], [r["toxic"] for r in found]
 

@@ -16,6 +16,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmark.llm import embeddings, encoding, licenses, media, mixing, packing, queries, secrets, simhash, suffixdedup, tokenbin, toxicity
@@ -279,6 +280,14 @@ def test_toxicity_held_out_accuracy(spark):
     assert (got.predicted == got.toxic).mean() > 0.96 and toxic.predicted.mean() > 0.85
 
 
+def test_toxicity_fits_no_text_above_the_bound(spark):
+    docs = spark.createDataFrame([(k, "ab " * (1 + 50 * (k % 2))) for k in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    texts, marks = toxicity.sample(docs, labels, most_bytes=60)
+    assert set(texts) == {"ab "} and set(marks) == {0, 1}
+    assert toxicity.sample(docs, labels, most_bytes=0) == ([], []) and toxicity.fit([], []).prior == 0.0
+
+
 def test_toxicity_gradient_is_right():
     model = toxicity.Model.start({"aa": 1, "bb": 2})
     for k in model.weights:
@@ -409,6 +418,15 @@ def test_media_round_trip(data):
     assert files == [media.encode([p])[0] for p in payloads] and all(f[:4] == b"RIFF" and f[8:12] == b"AVI " for f in files)
 
 
+def test_media_of_a_long_text_is_coded_in_blocks(monkeypatch):
+    payload = np.random.default_rng(3).integers(0, 256, 576 * 41, np.uint8).tobytes()
+    whole = media.encode([payload])
+    shots = media.cuts(media.decode(whole))
+    monkeypatch.setattr(media, "BLOCK", 7)
+    assert media.encode([payload]) == whole and media.decode(whole)[0].tobytes() == payload
+    assert media.cuts(media.decode(whole)) == shots
+
+
 def test_media(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     got = sorted(str((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])) for r in run(spark, "op9_media_avi", odd))
