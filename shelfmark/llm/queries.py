@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, secrets, suffixdedup, toxicity
+from . import fim, langid, licenses, manifest, media, mixing, secrets, suffixdedup, toxicity
 from .common import table
 from .embeddings import near_duplicate_vectors
 from .packing import pack_documents
@@ -71,6 +71,20 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.pieces(table(spark, sf_dir, "documents")))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(langid.learnable(docs)))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix_sources": op2_mix_sources,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_media_avi": op9_media_avi,
     "op10_embedding_near_dup": op10_embedding_near_dup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language_id": op13_language_id,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op8_license_scan": licenses.oracle()}
+ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op8_license_scan": licenses.oracle(), "op11_merkle_manifest": manifest.oracle(), "op12_fill_in_middle": fim.oracle()}
