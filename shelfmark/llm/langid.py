@@ -48,16 +48,13 @@ def grams(text: str) -> np.ndarray:
 
 def counts(text: str, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a whole text, ascending, and how often each occurs."""
-    if len(text) <= block:
-        return np.unique(grams(f" {PLAIN.sub(' ', text.lower())} "), return_counts=True)
-    total, tail = np.zeros(SLOTS, np.int64), " "
-    for k in range(0, len(text), block):
-        now = tail + PLAIN.sub(" ", text[k : k + block].lower())
-        now = now.replace("  ", " ") + (" " if k + block >= len(text) else "")
-        total += np.bincount(grams(now), minlength=SLOTS)
-        # what the next block begins with has been counted here already
-        tail = now[-(ORDERS - 1) :]
-        total -= np.bincount(grams(tail), minlength=SLOTS) if k + block < len(text) else 0
+    plain = PLAIN.sub(" ", f" {text.lower()} ")
+    if len(plain) <= block:
+        return np.unique(grams(plain), return_counts=True)
+    total = np.zeros(SLOTS, np.int64)
+    for k in range(0, len(plain), block):
+        before = plain[max(0, k - ORDERS + 1) : k]  # n-grams that begin in the block before; those within it were counted there
+        total += np.bincount(grams(before + plain[k : k + block]), minlength=SLOTS) - np.bincount(grams(before), minlength=SLOTS)
     slots = np.flatnonzero(total)
     return slots, total[slots]
 
