@@ -10,9 +10,13 @@ LEVELS = ("debug", "info", "warn", "error", "critical")
 FAILING = ("error", "critical")
 
 
+# What a fingerprint doesn't tell apart.
+MASKED = r"\d+|'[^']*'|\"[^\"]*\""
+
+
 def fingerprint(account_id: Column, event: Column, error_type: Column, message: Column) -> Column:
     """32 hex digits of account, event, error type and the message without numbers and quoted parts."""
-    masked = F.substring(F.regexp_replace(F.lower(message), r"\d+|'[^']*'|\"[^\"]*\"", "#"), 1, 200)
+    masked = F.substring(F.regexp_replace(F.lower(message), MASKED, "#"), 1, 200)
     raw = F.concat_ws("|", F.coalesce(account_id, F.lit(0)).cast("string"), event, F.coalesce(error_type, F.lit("")), masked)
     return F.substring(F.sha2(raw.cast("binary"), 256), 1, 32)
 

@@ -120,7 +120,7 @@ def apply_patch(accounts: DataFrame, patch: DataFrame) -> DataFrame:
 
 
 def record_profile(accounts: DataFrame, probes: DataFrame, now: Column) -> DataFrame:
-    """Expected counts and last run from profile probes; unavailable accounts are flagged and disabled."""
+    """Expected counts, last run and the platform's state from profile probes; unavailable accounts are flagged and disabled."""
     p = probes.select("id", "state", F.col("images").alias("p_i"), F.col("videos").alias("p_v"))
     rows = accounts.join(p, "id")
     ok = F.col("state") == "ok"
@@ -128,6 +128,7 @@ def record_profile(accounts: DataFrame, probes: DataFrame, now: Column) -> DataF
         "id", F.when(ok, F.coalesce("p_i", "expected_image_count")).otherwise(F.col("expected_image_count")).alias("expected_image_count"),
         F.when(ok, F.coalesce("p_v", "expected_video_count")).otherwise(F.col("expected_video_count")).alias("expected_video_count"),
         F.when(ok, F.col("status")).otherwise("flagged").alias("status"), (ok & F.col("scrape_enabled")).alias("scrape_enabled"), F.when(ok, now).otherwise(F.col("last_scrape_at")).alias("last_scrape_at"),
+        F.col("state").alias("platform_state"),
     )
 
 

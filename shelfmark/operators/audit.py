@@ -31,7 +31,7 @@ UNIQUE = {
     "links": {"url": (("account_id", "url"), "true")},
     "media": {"path": (("account_id", "rel_path"), "true"), "live_hash": (("account_id", "content_hash"), "deleted_at IS NULL AND content_hash IS NOT NULL")},
     "remote": {"key": (("account_id", "provider", "remote_id"), "true")},
-    "jobs": {"live": (("account_id",), "status IN ('queued', 'claimed', 'running') AND account_id IS NOT NULL")},
+    "jobs": {"live": (("account_id", "job_type"), "status IN ('queued', 'claimed', 'running') AND account_id IS NOT NULL")},
 }
 
 #: Columns that name a row of another table.
@@ -58,7 +58,7 @@ def integrity_audit(tables: dict[str, DataFrame]) -> DataFrame:
             found = rows.agg(*counts)
             out.append(found.select(F.inline(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("violations")) for c in found.columns)))))
         for rule, (keys, among) in UNIQUE.get(name, {}).items():
-            groups = rows.filter(among).groupBy(*map(F.expr, keys)).agg(F.count("*").alias("n"))
+            groups = rows.filter(among).groupBy(*(F.expr(k) for k in keys if k in has or not k.isidentifier())).agg(F.count("*").alias("n"))
             out.append(groups.agg(F.lit(f"{name}.{rule}_unique").alias("rule"), F.count_if(F.col("n") > 1).alias("violations")))
     for child, column, parent in REFERENCES:
         if child in tables and parent in tables and column in tables[child].columns:

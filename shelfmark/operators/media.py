@@ -209,3 +209,37 @@ def recent_media(files: DataFrame, n: int = 24) -> DataFrame:
 
 def hash_content(files: DataFrame) -> DataFrame:
     return files.select("id", content_hash(F.col("content")).alias("content_hash"))
+
+
+def scan(manifest: DataFrame, index: DataFrame, hashes: DataFrame, now: Column) -> DataFrame:
+    """The index rows that a scan changes, whole: with ``duplicate_of_path`` where another file holds the content.
+
+    ``manifest(account_id, rel_path, bytes, mtime_ns, media_type)`` is the listing, ``hashes(account_id,
+    rel_path, content_hash)`` has at least the files that need one: what ``scan_reconcile`` calls new or
+    changed. Listed files come back from missing and deleted; files that aren't listed become missing. Of
+    live rows with equal content one holds it, a row that held it before or else the first by path parts;
+    the others have no hash and point at its path. New rows have no id yet. Unchanged rows are left out,
+    but for those that the content of another one concerns.
+    """
+    at = ["account_id", "rel_path"]
+    listed = manifest.select(*at, *(F.col(c).alias(f"m_{c}") for c in ("bytes", "mtime_ns", "media_type")), F.lit(True).alias("listed"))
+    rows = index.join(listed, at, "full_outer").join(hashes.select(*at, F.col("content_hash").alias("m_hash")), at, "left")
+    same = F.col("content_hash").isNotNull() & F.col("bytes").eqNullSafe(F.col("m_bytes")) & F.col("mtime_ns").eqNullSafe(F.col("m_mtime_ns"))
+    met, fresh = F.col("listed").isNotNull(), F.col("listed").isNotNull() & ~F.coalesce(same, F.lit(False))
+    after = rows.select(
+        "id", *at, F.coalesce("m_bytes", "bytes").alias("bytes"), F.coalesce("m_mtime_ns", "mtime_ns").alias("mtime_ns"), F.coalesce("media_type", "m_media_type").alias("media_type"),
+        F.when(fresh, F.col("m_hash")).otherwise(F.col("content_hash")).alias("hash"), (F.col("content_hash").isNotNull() & ~fresh).alias("holds"),
+        F.when(fresh, F.lit(None)).otherwise(F.col("duplicate_of_path")).alias("duplicate_of_path"),
+        F.when(met, False).otherwise(F.coalesce("is_missing", F.lit(False)) | F.col("deleted_at").isNull()).alias("is_missing"),
+        F.when(~met, F.col("deleted_at")).alias("deleted_at"), F.coalesce("first_seen_at", now).alias("first_seen_at"),
+        (fresh | (met & (F.col("is_missing") | F.col("deleted_at").isNotNull())) | (~met & ~F.col("is_missing") & F.col("deleted_at").isNull())).alias("touched"),
+    )
+    live = F.col("deleted_at").isNull() & F.col("hash").isNotNull()
+    turn = F.struct((~F.col("holds")).alias("later"), F.split("rel_path", "/").alias("parts"), "id", "rel_path")
+    keeper = after.filter(live).groupBy("account_id", "hash").agg(F.min(turn)["rel_path"].alias("keeper"))
+    done = after.join(keeper, ["account_id", "hash"], "left")
+    loses = live & (F.col("keeper") != F.col("rel_path"))
+    return done.filter(F.col("touched") | loses).select(
+        "id", *at, "bytes", "mtime_ns", "media_type", F.when(~loses | F.col("keeper").isNull(), F.col("hash")).alias("content_hash"),
+        F.when(loses, F.col("keeper")).otherwise(F.col("duplicate_of_path")).alias("duplicate_of_path"), "is_missing", "deleted_at", "first_seen_at",
+    )

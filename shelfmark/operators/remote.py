@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 KEY = ["account_id", "provider", "remote_id"]
 STREAK, MOST, TRIES = 12, 5000, 4
+# Notes of what was found before fetching.
+NOTES = {"id": "already indexed by remote id", "hash": "remote hash already held", "held": "present on disk", "new": "adopted existing file"}
+
+
+def newest() -> list[Column]:
+    """Order of a work list; rows that have no id yet are the newest of their time."""
+    return [F.coalesce("posted_at", "discovered_at").desc_nulls_last(), F.col("id").desc_nulls_first(), F.col("provider"), F.col("remote_id")]
 
 
 def number_listing(listing: DataFrame, *ties: str) -> DataFrame:
@@ -32,8 +39,8 @@ def discovery_cutoff(listing: DataFrame, known: DataFrame, streak: int = STREAK,
     return rows.withColumn("full", full).filter("full = 0").drop("known", "since", "full")
 
 
-def upsert_remote(index: DataFrame, listing: DataFrame) -> DataFrame:
-    """Insert new keys; on known ones newer non-null url, hash, size and date win; state stays."""
+def upsert_remote(index: DataFrame, listing: DataFrame, now: Column) -> DataFrame:
+    """Insert new keys, discovered now; on known ones newer non-null url, hash, size and date win; state stays."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("position")))
     new = listing.groupBy(*KEY).agg(last("url").alias("n_url"), last("content_hash").alias("n_hash"), last("size_bytes").alias("n_bytes"), last("posted_at").alias("n_posted"), F.min_by("media_type", "position").alias("n_type"))
     both = index.join(new, KEY, "full_outer")
@@ -41,12 +48,12 @@ def upsert_remote(index: DataFrame, listing: DataFrame) -> DataFrame:
         *KEY,
         F.coalesce("n_url", "remote_url").alias("remote_url"), F.coalesce("media_type", "n_type").alias("media_type"),
         F.coalesce("n_hash", "remote_hash").alias("remote_hash"), F.coalesce("n_bytes", "remote_bytes").alias("remote_bytes"),
-        F.coalesce("n_posted", "posted_at").alias("posted_at"), F.coalesce("state", F.lit("pending")).alias("state"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
+        F.coalesce("n_posted", "posted_at").alias("posted_at"), F.coalesce("discovered_at", now).alias("discovered_at"), "id", F.coalesce("state", F.lit("pending")).alias("state"), F.coalesce("attempts", F.lit(0)).alias("attempts"),
     )
 
 
-def pending_backlog(index: DataFrame, held: DataFrame) -> DataFrame:
-    """Open items that are neither held nor tombstoned, numbered newest first within the account.
+def open_items(index: DataFrame, held: DataFrame) -> DataFrame:
+    """Items still to be fetched: neither held nor tombstoned, not settled, under four attempts.
 
     Held rows without a remote id go before the shuffle: they match nothing and would pile up.
     """
@@ -54,9 +61,18 @@ def pending_backlog(index: DataFrame, held: DataFrame) -> DataFrame:
     live = with_id.filter("NOT is_tombstone").select("account_id", F.col("source_provider").alias("provider"), "remote_id").distinct()
     dead = with_id.filter("is_tombstone").select("account_id", "remote_id").distinct()
     open_ = index.filter(F.col("state").isin("pending", "failed") & (F.col("attempts") < TRIES))
-    rows = open_.join(live, KEY, "left_anti").join(dead, ["account_id", "remote_id"], "left_anti")
-    order = Window.partitionBy("account_id").orderBy(F.col("posted_at").desc_nulls_last(), "provider", "remote_id")
-    return rows.withColumn("place", F.row_number().over(order).cast("long"))
+    return open_.join(live, KEY, "left_anti").join(dead, ["account_id", "remote_id"], "left_anti")
+
+
+def pending_backlog(index: DataFrame, held: DataFrame, most: int | None = None) -> DataFrame:
+    """Open items, numbered newest first within the account: by when they were posted, or else discovered, then by id.
+
+    With ``most``, only the first so many of an account. Up to about a thousand, that limit goes down
+    before the exchange by account, so each task sends that many rows of an account at most.
+    """
+    order = Window.partitionBy("account_id").orderBy(*newest())
+    rows = open_items(index, held).withColumn("place", F.row_number().over(order))
+    return (rows if most is None else rows.filter(F.col("place") <= most)).withColumn("place", F.col("place").cast("long"))
 
 
 def budget_slice(backlog: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -65,15 +81,20 @@ def budget_slice(backlog: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def dedup_guards(items: DataFrame, held: DataFrame, on_disk: DataFrame) -> DataFrame:
-    """Outcome before fetching: known id, known hash, file in place, or fetch; in that order."""
+    """Outcome before fetching: known id, known hash, file in place, or fetch; in that order.
+
+    ``on_disk(account_id, path, bytes, content_hash)`` are the files found where items would go. One whose
+    content the account holds already is adopted too, but as a duplicate (its note tells).
+    """
     live = held.filter("NOT is_tombstone")
     ids = live.select("account_id", F.col("source_provider").alias("provider"), "remote_id").distinct().withColumn("g1", F.lit(True))
     hashes = live.filter("content_hash IS NOT NULL").select("account_id", F.col("content_hash").alias("remote_hash")).distinct().withColumn("g2", F.lit(True))
-    paths = on_disk.filter("bytes > 0").select("account_id", "path").distinct().withColumn("g3", F.lit(True))
+    local = hashes.select("account_id", F.col("remote_hash").alias("content_hash"), F.lit(True).alias("there"))
+    paths = on_disk.filter("bytes > 0").join(local, ["account_id", "content_hash"], "left").groupBy("account_id", "path").agg(F.lit(True).alias("g3"), F.coalesce(F.bool_or("there"), F.lit(False)).alias("there"))
     rows = items.join(ids, KEY, "left").join(hashes, ["account_id", "remote_hash"], "left").join(paths, ["account_id", "path"], "left")
     outcome = F.when(F.col("g1") | F.col("g2"), "duplicate").when(F.col("g3"), "adopted").otherwise("fetch")
-    note = F.when(F.col("g1"), "already indexed by remote id").when(F.col("g2"), "remote hash already held").when(F.col("g3"), "adopted existing file")
-    return rows.withColumn("outcome", outcome).withColumn("note", note).drop("g1", "g2", "g3")
+    note = F.when(F.col("g1"), NOTES["id"]).when(F.col("g2"), NOTES["hash"]).when(F.col("there"), NOTES["held"]).when(F.col("g3"), NOTES["new"])
+    return rows.withColumn("outcome", outcome).withColumn("note", note).drop("g1", "g2", "g3", "there")
 
 
 def post_fetch_dedup(fetched: DataFrame, held: DataFrame) -> DataFrame:
@@ -121,8 +142,8 @@ def index_media(media: DataFrame, files: DataFrame, now: Column) -> DataFrame:
     return kept.unionByName(added)
 
 
-def mark_outcomes(index: DataFrame, outcomes: DataFrame, media: DataFrame) -> DataFrame:
-    """The remote rows after a run: state, note, one more attempt and the media row of finished items.
+def mark_outcomes(index: DataFrame, outcomes: DataFrame, media: DataFrame, now: Column) -> DataFrame:
+    """The remote rows after a run: state, note, one more attempt, its time, and the media row of finished items.
 
     Items that were only chosen to be fetched, or not reached, stay as they are.
     """
@@ -130,10 +151,10 @@ def mark_outcomes(index: DataFrame, outcomes: DataFrame, media: DataFrame) -> Da
     live = media.filter("deleted_at IS NULL AND remote_id IS NOT NULL").groupBy("account_id", "remote_id").agg(F.min("id").alias("media_id"))
     rows = index.join(done, KEY, "left").join(live, ["account_id", "remote_id"], "left")
     met = F.col("outcome").isNotNull()
-    state = F.when(F.col("outcome") == "duplicate", "duplicate").when(met, "downloaded").otherwise(F.col("state"))
+    state = F.when((F.col("outcome") == "duplicate") | (F.col("note") == NOTES["held"]), "duplicate").when(met, "downloaded").otherwise(F.col("state"))
     return rows.select(
         *KEY, state.alias("state"), (F.col("attempts") + met.cast("int")).alias("attempts"), F.when(met, F.col("note")).otherwise(F.col("last_error")).alias("last_error"),
-        F.when(met, F.coalesce("media_id", "media_file_id")).otherwise(F.col("media_file_id")).alias("media_file_id"),
+        F.when(met, F.coalesce("media_id", "media_file_id")).otherwise(F.col("media_file_id")).alias("media_file_id"), F.when(met, now).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"),
     )
 
 

@@ -17,7 +17,9 @@ from ..operators import events as E
 from ..operators import jobs as J
 from ..operators import media as M
 from ..operators import remote as R
+from ..operators import sync
 from ..sources.fixtures import tables, with_tables
+from ..sources.listing import read_table, shared_folder, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -436,6 +438,13 @@ PATH = f"""CASE WHEN media_type = 'video' THEN 'videos' ELSE 'photos' END || '/'
   || CASE WHEN {EXT} <> '' THEN '.' || {EXT} WHEN media_type = 'image' THEN '.jpg' WHEN media_type = 'video' THEN '.mp4' ELSE '.bin' END"""
 
 
+MERGED = """SELECT account_id, provider, remote_id, coalesce(n.url, i.remote_url) AS remote_url, coalesce(i.media_type, n.t) AS media_type, coalesce(n.h, i.remote_hash) AS remote_hash, coalesce(n.b, i.remote_bytes) AS remote_bytes, coalesce(n.p, i.posted_at) AS posted_at,
+    coalesce(i.discovered_at, TIMESTAMP '2001-08-02 00:00:00') AS discovered_at, i.id, coalesce(i.state, 'pending') AS state, coalesce(i.attempts, 0) AS attempts
+    FROM (SELECT * FROM remote_index WHERE remote_bytes > 25000) i FULL JOIN
+    (SELECT account_id, provider, remote_id, arg_max(url, position) FILTER (url IS NOT NULL) AS url, arg_max(content_hash, position) FILTER (content_hash IS NOT NULL) AS h, arg_max(size_bytes, position) FILTER (size_bytes IS NOT NULL) AS b, arg_max(posted_at, position) FILTER (posted_at IS NOT NULL) AS p, arg_min(media_type, position) AS t
+      FROM {listing} GROUP BY 1, 2, 3) n USING (account_id, provider, remote_id)"""
+
+
 def with_path(index: DataFrame) -> DataFrame:
     return index.withColumn("path", fn.target_path(F.col("remote_id"), F.col("remote_url"), F.col("media_type"), F.col("posted_at")))
 
@@ -466,15 +475,13 @@ def _(listing, index):
 
 @query(
     "G1_upsert_remote", "remote_index listing",
-    """SELECT account_id, provider, remote_id, coalesce(n.url, i.remote_url) AS remote_url, coalesce(i.media_type, n.t) AS media_type, coalesce(n.h, i.remote_hash) AS remote_hash, coalesce(n.b, i.remote_bytes) AS remote_bytes, coalesce(n.p, i.posted_at) AS posted_at, coalesce(i.state, 'pending') AS state, coalesce(i.attempts, 0) AS attempts
-    FROM (SELECT * FROM remote_index WHERE remote_bytes > 25000) i FULL JOIN
-    (SELECT account_id, provider, remote_id, arg_max(url, position) FILTER (url IS NOT NULL) AS url, arg_max(content_hash, position) FILTER (content_hash IS NOT NULL) AS h, arg_max(size_bytes, position) AS b, arg_max(posted_at, position) AS p, arg_min(media_type, position) AS t FROM listing GROUP BY 1, 2, 3) n USING (account_id, provider, remote_id)""",
+    MERGED.format(listing="listing"),
 )
 def _(index, listing):
-    return R.upsert_remote(index.filter("remote_bytes > 25000"), listing)
+    return R.upsert_remote(index.filter("remote_bytes > 25000"), listing, at(JOBS_NOW))
 
 
-BACKLOG = """SELECT r.*, row_number() OVER (PARTITION BY account_id ORDER BY posted_at DESC NULLS LAST, provider, remote_id) AS place FROM remote_index r WHERE state IN ('pending', 'failed') AND attempts < 4
+BACKLOG = """SELECT r.*, row_number() OVER (PARTITION BY account_id ORDER BY coalesce(posted_at, discovered_at) DESC NULLS LAST, id DESC NULLS FIRST, provider, remote_id) AS place FROM remote_index r WHERE state IN ('pending', 'failed') AND attempts < 4
   AND NOT EXISTS (SELECT 1 FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.remote_id = r.remote_id AND h.source_provider = r.provider)
   AND NOT EXISTS (SELECT 1 FROM held h WHERE h.is_tombstone AND h.account_id = r.account_id AND h.remote_id = r.remote_id)"""
 
@@ -490,7 +497,7 @@ BASE = "CASE WHEN b = 0 THEN 4000.0 WHEN n OR b >= 5 THEN 4000 + 11000 * (0.35::
 @query(
     "M1_plan_run", "accounts remote_index",
     f"""SELECT account_id, b AS backlog, budget, delay AS base_delay_ms, CASE WHEN b > 0 THEN greatest(1, CAST(ceil(b / greatest(budget, 1)::DOUBLE) AS BIGINT)) ELSE 1 END AS spread_over_runs, b > 0 AND (n OR b >= 5) AS paced,
-      CASE WHEN b > budget THEN greatest(300000, least(14400000, (b - budget) * delay / 4)) ELSE 0 END::BIGINT AS requeue_delay_ms,
+      CASE WHEN b > budget THEN greatest(300.0::DOUBLE, least(14400.0::DOUBLE, (b - budget) * delay / 1000.0::DOUBLE * 0.25::DOUBLE)) ELSE 0.0::DOUBLE END AS requeue_delay_seconds,
       CASE WHEN b = 0 THEN 'idle' WHEN n THEN 'first' WHEN b >= 5 THEN 'catch-up' ELSE 'top-up' END || ' run: ' || budget || ' of ' || b || ' open items' AS reason
     FROM (SELECT *, CASE WHEN b = 0 THEN 0 WHEN n THEN least(25, greatest(1, CAST(ceil(b / 6.0::DOUBLE) AS BIGINT))) ELSE least(25, b) END AS budget,
       CASE WHEN b = 0 THEN 4000 WHEN f > 0 THEN CAST(trunc(least(60000.0::DOUBLE, CAST(trunc(greatest(4000, least(15000, d))) AS INT) * pow(1.5::DOUBLE, least(f, 4)))) AS INT) ELSE CAST(trunc(greatest(4000, least(15000, d))) AS INT) END AS delay
@@ -501,26 +508,27 @@ def _(accounts, index):
     pending = index.filter("state = 'pending'").groupBy("account_id").agg(F.count("*").alias("backlog"))
     rows = accounts.withColumnRenamed("id", "account_id").join(pending, "account_id", "left").fillna(0, ["backlog"])
     plan = fp.plan_run(F.col("backlog"), F.col("last_success_at").isNull(), F.col("is_favorite"), F.col("consecutive_failures"))
-    return rows.select("account_id", "backlog", *(plan[c].alias(c) for c in ("budget", "base_delay_ms", "spread_over_runs", "paced", "reason")), F.round(plan["requeue_delay_seconds"] * 1000).cast("long").alias("requeue_delay_ms"))
+    return rows.select("account_id", "backlog", *(plan[c].alias(c) for c in ("budget", "base_delay_ms", "spread_over_runs", "paced", "reason", "requeue_delay_seconds")))
 
 
 @query("W5_budget_slice", "remote_index held", f"SELECT account_id, provider, remote_id, place FROM ({BACKLOG}) WHERE place <= 3 + account_id % 5")
 def _(index, held):
-    backlog = R.pending_backlog(index, held)
-    return R.budget_slice(backlog, backlog.select("account_id", (3 + F.col("account_id") % 5).alias("budget")).distinct()).select(*R.KEY, "place")
+    budgets = index.groupBy("account_id").agg((3 + F.col("account_id") % 5).alias("budget"))
+    return R.budget_slice(R.pending_backlog(index, held, most=7), budgets).select(*R.KEY, "place")
 
 
-DISK = f"SELECT account_id, {PATH} AS path FROM remote_index WHERE remote_bytes % 7000 = 0"
+DISK = f"SELECT account_id, {PATH} AS path, CASE WHEN attempts > 1 THEN remote_hash ELSE 'h' || remote_id END AS content_hash FROM remote_index WHERE remote_bytes % 7000 = 0"
 GUARDS = f"""SELECT account_id, provider, remote_id, remote_bytes, CASE WHEN g1 OR g2 THEN 'duplicate' WHEN g3 THEN 'adopted' ELSE 'fetch' END AS outcome,
-  CASE WHEN g1 THEN 'already indexed by remote id' WHEN g2 THEN 'remote hash already held' WHEN g3 THEN 'adopted existing file' END AS note FROM (
+  CASE WHEN g1 THEN 'already indexed by remote id' WHEN g2 THEN 'remote hash already held' WHEN g3h THEN 'present on disk' WHEN g3 THEN 'adopted existing file' END AS note FROM (
   SELECT r.*, EXISTS (SELECT 1 FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.source_provider = r.provider AND h.remote_id = r.remote_id) AS g1,
     EXISTS (SELECT 1 FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.content_hash = r.remote_hash) AS g2,
-    EXISTS (SELECT 1 FROM ({DISK}) d WHERE d.account_id = r.account_id AND d.path = r.path) AS g3 FROM (SELECT *, {PATH} AS path FROM remote_index) r)"""
+    EXISTS (SELECT 1 FROM ({DISK}) d WHERE d.account_id = r.account_id AND d.path = r.path) AS g3,
+    EXISTS (SELECT 1 FROM ({DISK}) d JOIN held h ON NOT h.is_tombstone AND h.account_id = d.account_id AND h.content_hash = d.content_hash WHERE d.account_id = r.account_id AND d.path = r.path) AS g3h FROM (SELECT *, {PATH} AS path FROM remote_index) r)"""
 
 
 def guards(index: DataFrame, held: DataFrame) -> DataFrame:
     items = with_path(index)
-    disk = items.filter("remote_bytes % 7000 = 0").select("account_id", "path", F.lit(1).alias("bytes"))
+    disk = items.filter("remote_bytes % 7000 = 0").select("account_id", "path", F.lit(1).alias("bytes"), F.when(F.col("attempts") > 1, F.col("remote_hash")).otherwise(F.concat(F.lit("h"), "remote_id")).alias("content_hash"))
     return R.dedup_guards(items, held, disk)
 
 
@@ -532,7 +540,7 @@ def _(index, held):
 @query(
     "J3_post_fetch_dedup", "remote_index held",
     """SELECT account_id, provider, remote_id, CASE WHEN size <= 0 THEN 'failed' WHEN k OR seq > min(seq) FILTER (size > 0) OVER (PARTITION BY account_id, remote_hash) THEN 'duplicate' ELSE 'downloaded' END AS outcome
-    FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY posted_at, provider, remote_id) AS seq, CASE WHEN remote_bytes % 11000 = 0 THEN 0 ELSE remote_bytes END AS size, EXISTS (SELECT 1 FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.content_hash = r.remote_hash) AS k FROM remote_index r)""",
+    FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY posted_at NULLS FIRST, provider, remote_id) AS seq, CASE WHEN remote_bytes % 11000 = 0 THEN 0 ELSE remote_bytes END AS size, EXISTS (SELECT 1 FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.content_hash = r.remote_hash) AS k FROM remote_index r)""",
 )
 def _(index, held):
     from pyspark.sql import Window
@@ -544,7 +552,7 @@ def _(index, held):
 
 # final outcomes: what the guards settle, and what is fetched after them, oldest first; every eleventh is empty
 OUTCOMES = f"""SELECT account_id, provider, remote_id, remote_bytes, note, CASE WHEN outcome <> 'fetch' THEN outcome WHEN size <= 0 THEN 'failed' WHEN seq > min(seq) FILTER (outcome = 'fetch' AND size > 0) OVER (PARTITION BY account_id, remote_hash) THEN 'duplicate' ELSE 'downloaded' END AS outcome
-  FROM (SELECT g.*, r.remote_hash, row_number() OVER (PARTITION BY account_id ORDER BY r.posted_at, provider, remote_id) AS seq, CASE WHEN g.remote_bytes % 11000 = 0 THEN 0 ELSE g.remote_bytes END AS size FROM ({GUARDS}) g JOIN remote_index r USING (account_id, provider, remote_id))"""
+  FROM (SELECT g.*, r.remote_hash, row_number() OVER (PARTITION BY account_id ORDER BY r.posted_at NULLS FIRST, provider, remote_id) AS seq, CASE WHEN g.remote_bytes % 11000 = 0 THEN 0 ELSE g.remote_bytes END AS size FROM ({GUARDS}) g JOIN remote_index r USING (account_id, provider, remote_id))"""
 
 
 def outcomes(index: DataFrame, held: DataFrame) -> DataFrame:
@@ -560,16 +568,16 @@ def outcomes(index: DataFrame, held: DataFrame) -> DataFrame:
 
 @query(
     "G2_index_media", "remote_index held",
-    f"""SELECT account_id, provider, remote_id, CASE WHEN o IS NULL THEN state WHEN o = 'duplicate' THEN o ELSE 'downloaded' END AS state, attempts + (o IS NOT NULL)::INT AS attempts, CASE WHEN o IS NULL THEN last_error ELSE note END AS last_error, CASE WHEN o IS NULL THEN file ELSE coalesce(m, file) END AS media_file_id
+    f"""SELECT account_id, provider, remote_id, CASE WHEN o IS NULL THEN state WHEN o = 'duplicate' OR note = 'present on disk' THEN 'duplicate' ELSE 'downloaded' END AS state, attempts + (o IS NOT NULL)::INT AS attempts, CASE WHEN o IS NULL THEN last_error ELSE note END AS last_error, CASE WHEN o IS NULL THEN file ELSE coalesce(m, file) END AS media_file_id, CASE WHEN o IS NOT NULL THEN TIMESTAMP '2001-08-02 00:00:00' WHEN attempts > 0 THEN posted_at END AS last_attempt_at
     FROM (SELECT r.*, CASE WHEN r.attempts > 2 THEN 'timed out' END AS last_error, CASE WHEN r.attempts = 3 THEN 7::BIGINT END AS file, CASE WHEN g.outcome <> 'failed' THEN g.outcome END AS o, g.note,
       (SELECT min(strlen(h.content_hash) + 100)::BIGINT FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.remote_id = r.remote_id) AS m
       FROM remote_index r JOIN ({OUTCOMES}) g USING (account_id, provider, remote_id))""",
 )
 def _(index, held):
     done = outcomes(index, held)
-    index = index.withColumns({"last_error": F.when(F.col("attempts") > 2, "timed out"), "media_file_id": F.when(F.col("attempts") == 3, F.lit(7).cast("long"))})
+    index = index.withColumns({"last_error": F.when(F.col("attempts") > 2, "timed out"), "media_file_id": F.when(F.col("attempts") == 3, F.lit(7).cast("long")), "last_attempt_at": F.when(F.col("attempts") > 0, F.col("posted_at"))})
     media = held.select("account_id", "remote_id", (F.length("content_hash") + 100).cast("long").alias("id"), F.when(F.col("is_tombstone"), at(JOBS_NOW)).alias("deleted_at"))
-    return R.mark_outcomes(index, done, media)
+    return R.mark_outcomes(index, done, media, at(JOBS_NOW))
 
 
 @query("P10_item_failure_transition", "remote_index", "SELECT account_id, provider, remote_id, CASE WHEN attempts + 1 >= 4 THEN 'gone' ELSE 'failed' END AS state, attempts + 1 AS attempts, substring('Timeout: ' || repeat(remote_id || ' ', 100), 1, 500) AS last_error FROM remote_index WHERE remote_bytes % 2000 = 0")
@@ -591,6 +599,68 @@ def _(index, held):
     return R.run_summary(done, index.filter("attempts = 0"), backlog)
 
 
+# a run of every account: what the listing shows, upserted; what is open; budgets; the first items of each, guarded
+RUN = f"""idx AS ({MERGED.format(listing="(SELECT l.* FROM listing l JOIN (" + DISCOVERED.replace(">= 3 THEN", ">= 12 THEN") + ") d USING (account_id, provider, remote_id, position))")}),
+  work AS ({BACKLOG.replace("FROM remote_index r", "FROM idx r")}),
+  planned AS (SELECT *, CASE WHEN b = 0 THEN 0 WHEN n THEN least(25, greatest(1, CAST(ceil(b / 6.0::DOUBLE) AS BIGINT))) ELSE least(25, b) END AS budget,
+    CASE WHEN b = 0 THEN 4000 WHEN f > 0 THEN CAST(trunc(least(60000.0::DOUBLE, CAST(trunc(greatest(4000, least(15000, d))) AS INT) * pow(1.5::DOUBLE, least(f, 4)))) AS INT) ELSE CAST(trunc(greatest(4000, least(15000, d))) AS INT) END AS delay
+    FROM (SELECT *, CASE WHEN fav THEN x - (x - 4000) * 0.25::DOUBLE ELSE x END AS d FROM (SELECT *, {BASE} AS x FROM (
+      SELECT a.id AS account_id, count(r.remote_id) AS b, a.last_success_at IS NULL AS n, a.is_favorite AS fav, a.consecutive_failures AS f FROM accounts a LEFT JOIN work r ON r.account_id = a.id GROUP BY ALL))))"""
+
+
+def run_of(listing: DataFrame, index: DataFrame, held: DataFrame, accounts: DataFrame, limit: int = sync.GIANT) -> sync.Run:
+    index = index.filter("remote_bytes > 25000")
+    settings = accounts.select("id", F.col("last_success_at").isNull().alias("is_new"), "is_favorite", "consecutive_failures")
+    return sync.sync_run(listing, index, held, settings, at(JOBS_NOW), sync.giant_accounts(index, held, limit))
+
+
+def guarded(run: sync.Run, held: DataFrame) -> DataFrame:
+    """The items of a run with what the guards say, where files of odd sizes are on disk already."""
+    # the work list is stored, as a run's is: it is read twice here
+    path = shared_folder(run.work.sparkSession, "work")
+    write_table(run.work, path)
+    items = with_path(read_table(run.work.sparkSession, path, run.work.schema))
+    disk = items.filter("remote_bytes % 7000 = 0").select("account_id", "path", F.lit(1).alias("bytes"), F.when(F.col("attempts") > 1, F.col("remote_hash")).otherwise(F.concat(F.lit("h"), "remote_id")).alias("content_hash"))
+    return R.dedup_guards(items, held, disk).select(*R.KEY, "place", "backlog", "budget", "base_delay_ms", "outcome", "note")
+
+
+RUN_TABLES = "listing remote_index held accounts"
+
+
+@query(
+    "WL2_sync_run", RUN_TABLES,
+    f"""SELECT account_id, provider, remote_id, place, b AS backlog, budget, delay AS base_delay_ms, CASE WHEN g2 THEN 'duplicate' WHEN g3 THEN 'adopted' ELSE 'fetch' END AS outcome, CASE WHEN g2 THEN 'remote hash already held' WHEN g3h THEN 'present on disk' WHEN g3 THEN 'adopted existing file' END AS note
+    FROM (SELECT r.*, EXISTS (SELECT 1 FROM held h WHERE NOT h.is_tombstone AND h.account_id = r.account_id AND h.content_hash = r.remote_hash) AS g2, EXISTS (SELECT 1 FROM disk d WHERE d.account_id = r.account_id AND d.path = r.path) AS g3,
+      EXISTS (SELECT 1 FROM disk d JOIN held h ON NOT h.is_tombstone AND h.account_id = d.account_id AND h.content_hash = d.content_hash WHERE d.account_id = r.account_id AND d.path = r.path) AS g3h FROM items r)""",
+)
+def _(*t):
+    return guarded(run_of(*t), t[2])
+
+
+ORACLES["WL2_sync_run"] = with_tables("", *RUN_TABLES.split()).rstrip() + f""",
+{RUN}, items AS (SELECT w.*, p.b, p.budget, p.delay, {PATH} AS path FROM work w JOIN planned p USING (account_id) WHERE place <= budget),
+disk AS (SELECT account_id, path, CASE WHEN attempts > 1 THEN remote_hash ELSE 'h' || remote_id END AS content_hash FROM items WHERE remote_bytes % 7000 = 0)
+""" + ORACLES["WL2_sync_run"][ORACLES["WL2_sync_run"].index("SELECT account_id, provider, remote_id, place, b AS backlog"):]
+
+
+@query("WL2_sync_index", RUN_TABLES, "SELECT 1")
+def _(*t):
+    return run_of(*t).index.select(*R.KEY, "remote_url", "remote_hash", "remote_bytes", "posted_at", "state", "attempts", "open")
+
+
+ORACLES["WL2_sync_index"] = with_tables("", *RUN_TABLES.split()).rstrip() + f""",
+{RUN} SELECT i.account_id, i.provider, i.remote_id, i.remote_url, i.remote_hash, i.remote_bytes, i.posted_at, i.state, i.attempts, w.place IS NOT NULL AS open FROM idx i LEFT JOIN work w USING (account_id, provider, remote_id)"""
+
+
+@query("WL2_sync_budgets", RUN_TABLES, "SELECT 1")
+def _(*t):
+    return run_of(*t).plan.drop("requeue_delay_seconds")
+
+
+ORACLES["WL2_sync_budgets"] = with_tables("", *RUN_TABLES.split()).rstrip() + f""",
+{RUN} SELECT account_id, b AS backlog, budget, delay AS base_delay_ms FROM planned"""
+
+
 @query(
     "W6_rolling_eta", "event_log",
     """SELECT id, CASE WHEN n >= 2 THEN CAST(round_even(m * (id % 10 + 1), 0) AS BIGINT) END AS eta_seconds FROM (SELECT id, count(*) OVER w AS n, quantile_cont(seconds::DOUBLE, 0.5) OVER w AS m
@@ -706,7 +776,7 @@ def _(accounts):
     return A.apply_patch(accounts, patch).select("id", "priority", "scrape_enabled", "next_eligible_at", "consecutive_failures")
 
 
-@query("J15_record_profile", "accounts", f"SELECT id, CASE WHEN id % 5 <> 1 THEN coalesce(CASE WHEN id % 3 = 0 THEN 77 END, expected_image_count) ELSE expected_image_count END AS expected_image_count, expected_video_count, CASE WHEN id % 5 <> 1 THEN status ELSE 'flagged' END AS status, id % 5 <> 1 AND scrape_enabled AS scrape_enabled, CASE WHEN id % 5 <> 1 THEN TIMESTAMP '{JOBS_NOW}' ELSE last_scrape_at END AS last_scrape_at FROM accounts WHERE id % 2 = 0")
+@query("J15_record_profile", "accounts", f"SELECT id, CASE WHEN id % 5 <> 1 THEN coalesce(CASE WHEN id % 3 = 0 THEN 77 END, expected_image_count) ELSE expected_image_count END AS expected_image_count, expected_video_count, CASE WHEN id % 5 <> 1 THEN status ELSE 'flagged' END AS status, id % 5 <> 1 AND scrape_enabled AS scrape_enabled, CASE WHEN id % 5 <> 1 THEN TIMESTAMP '{JOBS_NOW}' ELSE last_scrape_at END AS last_scrape_at, CASE WHEN id % 5 <> 1 THEN 'ok' ELSE 'private' END AS platform_state FROM accounts WHERE id % 2 = 0")
 def _(accounts):
     probes = accounts.filter("id % 2 = 0").select("id", F.when(F.col("id") % 5 == 1, "private").otherwise("ok").alias("state"), F.when(F.col("id") % 3 == 0, 77).cast("long").alias("images"), F.lit(None).cast("long").alias("videos"))
     return A.record_profile(accounts, probes, at(JOBS_NOW))
@@ -726,11 +796,11 @@ def _orphans(name: str, column: str, child: str, parent: str) -> str:
 
 AUDIT = " UNION ALL ".join(
     [
-        _counts("accounts", accounts__status="status NOT IN ('active', 'legacy', 'flagged')"),
+        _counts("accounts", accounts__status="status NOT IN ('active', 'legacy', 'flagged')", accounts__platform_state="platform_state NOT IN ('unknown', 'ok', 'private', 'unavailable', 'banned')"),
         _counts("links", links__provider="provider NOT IN ('instagram', 'imginn', 'pixnoy', 'picuki', 'dumpor', 'sotwe', 'twitter', 'custom')"),
         _counts("media_files", media__media_type="media_type NOT IN ('image', 'video', 'other')", media__bytes="bytes < 0"),
         _counts("remote_index", remote__media_type="media_type NOT IN ('image', 'video', 'other')", remote__state="state NOT IN ('pending', 'downloaded', 'duplicate', 'failed', 'gone', 'skipped')"),
-        _counts("scrape_jobs", jobs__status="status NOT IN ('queued', 'claimed', 'running', 'succeeded', 'failed', 'cancelled', 'deferred')", jobs__lease="status IN ('claimed', 'running') AND lease_expires_at IS NULL"),
+        _counts("scrape_jobs", jobs__status="status NOT IN ('queued', 'claimed', 'running', 'succeeded', 'failed', 'cancelled', 'deferred')", jobs__job_type="job_type NOT IN ('sync', 'discover', 'backfill', 'verify', 'probe')", jobs__lease="status IN ('claimed', 'running') AND lease_expires_at IS NULL"),
         _counts("event_log", events__level="level NOT IN ('debug', 'info', 'warn', 'error', 'critical')", events__source="source NOT IN ('backend', 'scraper', 'scheduler', 'scanner', 'web')"),
         _counts("heartbeats", workers__status="status NOT IN ('starting', 'idle', 'working', 'paused', 'backoff', 'stopping', 'error')"),
         _twice("accounts.name", "lower(name)", "accounts"),
@@ -738,7 +808,7 @@ AUDIT = " UNION ALL ".join(
         _twice("media.path", "account_id, rel_path", "media_files"),
         _twice("media.live_hash", "account_id, content_hash", "media_files WHERE deleted_at IS NULL AND content_hash IS NOT NULL"),
         _twice("remote.key", "account_id, provider, remote_id", "remote_index"),
-        _twice("jobs.live", "account_id", "scrape_jobs WHERE status IN ('queued', 'claimed', 'running') AND account_id IS NOT NULL"),
+        _twice("jobs.live", "account_id, job_type", "scrape_jobs WHERE status IN ('queued', 'claimed', 'running') AND account_id IS NOT NULL"),
         *(_orphans(n, "account_id", t, "accounts") for n, t in (("links", "links"), ("media", "media_files"), ("remote", "remote_index"), ("jobs", "scrape_jobs"), ("events", "event_log"))),
         _orphans("media", "duplicate_of", "media_files", "media_files"),
         _orphans("events", "job_id", "event_log", "scrape_jobs"),

@@ -12,7 +12,7 @@ SOURCES = ("customer", "supplier", "documents", "lineitem", "orders", "events",
 SELECTS: dict[str, str] = {
     "accounts": """
       SELECT c_custkey AS id, c_name AS name, c_mktsegment AS display_name,
-        CASE c_custkey % 10 WHEN 0 THEN 'legacy' WHEN 1 THEN 'flagged' ELSE 'active' END AS status,
+        CASE c_custkey % 10 WHEN 0 THEN 'legacy' WHEN 1 THEN 'flagged' ELSE 'active' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'unknown' ELSE 'ok' END AS platform_state,
         c_custkey % 7 = 0 AS is_favorite, c_custkey % 5 <> 0 AS scrape_enabled, c_nationkey % 4 AS priority,
         CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 END AS expected_image_count,
         CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 30 END AS expected_video_count,
@@ -28,7 +28,7 @@ SELECTS: dict[str, str] = {
         1000000007 * (doc_id % 1000) AS mtime_ns,
         CASE WHEN doc_id % 31 = 0 THEN NULL ELSE SHA(text) END AS content_hash,
         CASE WHEN doc_id % 31 = 0 AND doc_id > 0 THEN doc_id - 1 END AS duplicate_of,
-        concat('r', CAST(doc_id % 500 AS STRING)) AS remote_id,
+        concat('r', CAST(doc_id % 500 AS STRING)) AS remote_id, CASE WHEN doc_id % 3 > 0 THEN 'imginn' END AS source_provider, CASE WHEN doc_id % 4 > 0 THEN concat('https://m.example.com/', CAST(doc_id AS STRING)) END AS remote_url,
         CASE WHEN doc_id % 3 = 0 THEN TS('2001-01-01 00:00:00') + INTERVAL '1' HOUR * CAST(doc_id % 700 AS INT) END AS captured_at,
         TS('2001-02-01 00:00:00') + INTERVAL '1' HOUR * CAST(doc_id % 300 AS INT) AS first_seen_at,
         CASE WHEN doc_id % 2 = 0 THEN TS('2001-02-02 00:00:00') + INTERVAL '1' MINUTE * CAST(doc_id % 999 AS INT) END AS downloaded_at,
@@ -50,7 +50,8 @@ SELECTS: dict[str, str] = {
         min(concat('https://m.example.com/p/', CAST(l_partkey AS STRING), CASE WHEN l_partkey % 3 = 0 THEN '.jpeg?x=1' ELSE '/' END)) AS remote_url,
         min(CASE WHEN l_linenumber % 3 = 0 THEN 'video' ELSE 'image' END) AS media_type,
         min(concat('h', CAST(l_partkey % 400 AS STRING))) AS remote_hash,
-        max(CAST(l_quantity AS BIGINT) * 1000) AS remote_bytes, max(l_shipdate) AS posted_at,
+        max(CAST(l_quantity AS BIGINT) * 1000) AS remote_bytes, CASE WHEN min(l_linenumber) < 7 THEN max(l_shipdate) END AS posted_at,
+        max(l_shipdate) + INTERVAL '5' DAY AS discovered_at, min(l_orderkey * 8 + l_linenumber) AS id,
         min(CASE WHEN l_linestatus = 'O' THEN 'pending' WHEN l_linenumber = 2 THEN 'failed' ELSE 'downloaded' END) AS state,
         CAST(min(l_linenumber % 5) AS INT) AS attempts
       FROM {lineitem} GROUP BY 1, 2, 3""",
@@ -71,7 +72,7 @@ SELECTS: dict[str, str] = {
     "scrape_jobs": """
       SELECT o_orderkey AS id, o_custkey AS account_id,
         CASE o_orderstatus WHEN 'P' THEN 'succeeded' WHEN 'F' THEN 'failed' ELSE CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'claimed' WHEN 2 THEN 'running' ELSE 'deferred' END END AS status,
-        CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS scheduled_for, o_orderdate AS finished_at,
+        CASE o_orderkey % 3 WHEN 0 THEN 'sync' WHEN 1 THEN 'verify' ELSE 'discover' END AS job_type, CAST(substr(o_orderpriority, 1, 1) AS INT) AS priority, o_orderdate AS scheduled_for, o_orderdate AS finished_at,
         CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL '1' DAY END AS lease_expires_at,
         CAST(o_orderkey % 5 AS INT) AS attempts, 3 AS max_attempts,
         CASE WHEN o_orderkey % 6 = 0 THEN 'timed out' END AS error_summary,

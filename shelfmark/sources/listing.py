@@ -47,19 +47,19 @@ def list_files(accounts: DataFrame, root: str) -> DataFrame:
 # account where there is one, then by a column that parts the rows of a large account.
 TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "accounts": (
-        "id long, name string, display_name string, status string, is_favorite boolean, scrape_enabled boolean, priority int, expected_image_count long, expected_video_count long,"
+        "id long, name string, display_name string, status string, platform_state string, is_favorite boolean, scrape_enabled boolean, priority int, expected_image_count long, expected_video_count long,"
         " consecutive_failures long, next_eligible_at timestamp_ntz, last_scrape_at timestamp_ntz, last_success_at timestamp_ntz",
         ("id",),
     ),
     "links": ("id long, account_id long, url string, provider string, label string, is_enabled boolean, sort_order long", ("account_id", "id")),
     "media_files": (
-        "id long, account_id long, content string, bytes long, media_type string, rel_path string, mtime_ns long, content_hash string, duplicate_of long, remote_id string,"
+        "id long, account_id long, content string, bytes long, media_type string, rel_path string, mtime_ns long, content_hash string, duplicate_of long, remote_id string, source_provider string, remote_url string,"
         " captured_at timestamp_ntz, first_seen_at timestamp_ntz, downloaded_at timestamp_ntz, imported_at timestamp_ntz, is_missing boolean, deleted_at timestamp_ntz",
         ("account_id", "rel_path"),
     ),
-    "remote_index": ("account_id long, provider string, remote_id string, remote_url string, media_type string, remote_hash string, remote_bytes long, posted_at timestamp_ntz, state string, attempts int", ("account_id", "remote_id")),
+    "remote_index": ("account_id long, provider string, remote_id string, remote_url string, media_type string, remote_hash string, remote_bytes long, posted_at timestamp_ntz, discovered_at timestamp_ntz, id long, state string, attempts int", ("account_id", "remote_id")),
     "scrape_jobs": (
-        "id long, account_id long, status string, priority int, scheduled_for timestamp_ntz, finished_at timestamp_ntz, lease_expires_at timestamp_ntz, attempts int, max_attempts int,"
+        "id long, account_id long, status string, job_type string, priority int, scheduled_for timestamp_ntz, finished_at timestamp_ntz, lease_expires_at timestamp_ntz, attempts int, max_attempts int,"
         " error_summary string, items_expected long, items_downloaded long, items_skipped long, items_failed long",
         ("account_id", "id"),
     ),

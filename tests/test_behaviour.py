@@ -122,7 +122,7 @@ def test_unfinished_items_keep_their_state(spark):
     index = spark.createDataFrame([(1, "p", k, "pending", 1, "old", None) for k in "abcd"], "account_id long, provider string, remote_id string, state string, attempts int, last_error string, media_file_id long")
     done = spark.createDataFrame([(1, "p", "a", "downloaded", None), (1, "p", "b", "duplicate", "known"), (1, "p", "c", "fetch", None)], "account_id long, provider string, remote_id string, outcome string, note string")
     media = spark.createDataFrame([(9, 1, "a", None)], "id long, account_id long, remote_id string, deleted_at string")
-    got = {r["remote_id"]: tuple(r)[3:] for r in R.mark_outcomes(index, done, media).collect()}
+    got = {r["remote_id"]: tuple(r)[3:7] for r in R.mark_outcomes(index, done, media, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).collect()}
     assert got == {"a": ("downloaded", 2, None, 9), "b": ("duplicate", 2, "known", None), "c": ("pending", 1, "old", None), "d": ("pending", 1, "old", None)}
 
 
