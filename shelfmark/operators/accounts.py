@@ -75,11 +75,17 @@ def cards(board: DataFrame) -> DataFrame:
     )
 
 
+#: What a detail tells of a file and of a job.
+MEDIA = ("id", "media_type", "rel_path", "bytes", "content_hash", "captured_at", "downloaded_at")
+JOBS = ("id", "status", "priority", "scheduled_for", "finished_at", "attempts", "error_summary", "items_expected", "items_downloaded")
+
+
 def detail(board: DataFrame, files: DataFrame, jobs: DataFrame, links: DataFrame) -> DataFrame:
-    """Cards with links in order, recent media and recent jobs."""
-    listed = links.groupBy("account_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "id", "url"))), lambda x: x["url"]).alias("links"))
+    """Cards with links in order, recent media and recent jobs, as rows of theirs."""
+    rows = F.array_sort(F.collect_list(F.struct("sort_order", "id", "url", "provider", "label", "is_enabled")))
+    listed = links.groupBy("account_id").agg(rows.alias("links"))
     out = cards(board)
-    for child in (listed, M.recent_media(files), J.recent_jobs(jobs)):
+    for child in (listed, M.recent_media(files, fields=MEDIA), J.recent_jobs(jobs, fields=JOBS)):
         out = out.join(child, "account_id", "left")
     return out
 

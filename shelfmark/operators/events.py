@@ -16,8 +16,8 @@ def with_fingerprint(events: DataFrame) -> DataFrame:
 
 
 def time_slice(seconds: int) -> Column:
-    """Number of the slice of ``seconds`` that ``ts`` is in."""
-    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000))
+    """Number of the slice of ``seconds`` that ``ts`` is in; rows without a time come before all others."""
+    return F.coalesce(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(seconds * 1_000_000)), F.lit(-(2**62)))
 
 
 def coalesce_events(events: DataFrame, minutes: int = 30, slice_seconds: int = SLICE) -> DataFrame:

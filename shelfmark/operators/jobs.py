@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pacing import percent_complete
+from .media import in_place
 
 LIVE = ("queued", "claimed", "running")
 
@@ -47,10 +48,11 @@ def job_listing(jobs: DataFrame, accounts: DataFrame, status: str | None = None,
     return rows.orderBy(F.desc("scheduled_for"), F.desc("id")).offset(offset).limit(limit)
 
 
-def recent_jobs(jobs: DataFrame, n: int = 10) -> DataFrame:
+def recent_jobs(jobs: DataFrame, n: int = 10, fields: tuple[str, ...] = ()) -> DataFrame:
+    """The latest jobs of each account, as a list of ids, or of structs of ``fields``."""
     place = F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("scheduled_for"), F.desc("id")))
     rows = jobs.withColumn("place", place).filter(F.col("place") <= n)
-    return rows.groupBy("account_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("recent_jobs"))
+    return rows.groupBy("account_id").agg(in_place(fields).alias("recent_jobs"))
 
 
 def heartbeat_upsert(beats: DataFrame) -> DataFrame:

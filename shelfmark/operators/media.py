@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +115,16 @@ def duplicate_members(files: DataFrame, limit: int = 100) -> DataFrame:
     return hit.select(F.col("effective_hash").alias("content_hash"), F.row_number().over(order).cast("long").alias("place"), F.col("id").alias("media_id"), "account_id", "rel_path", "bytes", "is_duplicate")
 
 
+def duplicate_report(files: DataFrame, limit: int = 100, members: int = 1000) -> DataFrame:
+    """The largest groups of equal content, each with the list of its members, the first ``members`` of them.
+
+    Members go by account, holder first, path; ``copies`` counts all. The long form, ``duplicate_members``,
+    has no such limit.
+    """
+    listed = duplicate_members(files, limit).filter(F.col("place") <= members).groupBy("content_hash").agg(in_place(("media_id", "account_id", "rel_path", "bytes", "is_duplicate")).alias("members"))
+    return duplicate_groups(files, limit).join(listed, "content_hash")
+
+
 def find_duplicate(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """The best live holder of each (hash, account): of the account itself, then the lowest id.
 
@@ -176,18 +192,44 @@ def inventory_digest(files: DataFrame, most: int = 20 * 1024**3, media_type: str
     """Digest of an account's present files in path order, with size, number and an oversize flag.
 
     With ``media_type``, size and number are those of its folder (photos for images, else videos), and
-    the digest, still of all files, names the type. All paths of one account meet in one row: about
-    100 bytes a file.
+    the digest, still of all files, names the type. Files come to an account's task in path order, sorted
+    by Spark, and go into a running digest one by one: memory doesn't grow with the account.
     """
-    line = lambda x: F.concat(x["rel_path"], F.lit(":"), F.coalesce(x["bytes"].cast("string"), F.lit("None")), F.lit(":"), F.coalesce(x["mtime_ns"].cast("string"), F.lit("None")))
-    listed = F.array_sort(F.collect_list(F.struct("rel_path", "bytes", "mtime_ns")))
-    digest = F.substring(F.sha2(F.array_join(F.transform(listed, line), "").cast("binary"), 256), 1, 16)
-    inside = F.lit(True) if media_type is None else F.col("rel_path").startswith("photos/" if media_type == "image" else "videos/")
-    size = F.coalesce(F.sum(F.when(inside, F.col("bytes"))), F.lit(0))
-    return files.filter(PRESENT).groupBy("account_id").agg(
-        (digest if media_type is None else F.concat(digest, F.lit(f"-{media_type}"))).alias("digest"),
-        size.alias("total_bytes"), F.count_if(inside).alias("file_count"), (size > most).alias("oversize"),
-    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    inside = F.lit(True) if media_type is None else F.coalesce(F.col("rel_path").startswith("photos/" if media_type == "image" else "videos/"), F.lit(False))
+    rows = files.filter(PRESENT).withColumn("inside", inside)
+    lines = rows.withColumn("line", F.concat("rel_path", F.lit(":"), text("bytes"), F.lit(":"), text("mtime_ns"))).withColumn("size", F.when(F.col("inside"), F.coalesce("bytes", F.lit(0))).otherwise(F.lit(0)))
+    sorted_ = lines.repartition("account_id").sortWithinPartitions("account_id", "rel_path", "bytes", "mtime_ns").select("account_id", "line", "size", "inside")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, digest, size, number, out = None, None, 0, 0, []
+        close = lambda: out.append((account, digest.hexdigest()[:16], size, number))
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["account_id", "digest", "total_bytes", "file_count"])
+        for batch in batches:
+            accounts = batch.column(0)
+            # where one account's rows end within the batch
+            edges = [0, *(pc.indices_nonzero(pc.not_equal(pc.fill_null(accounts[1:], -(2**63)), pc.fill_null(accounts[:-1], -(2**63)))).to_numpy() + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for begin, end in itertools.pairwise(edges):
+                part = batch.slice(begin, end - begin)
+                now = part.column(0)[0].as_py()
+                if digest is None or now != account:
+                    if digest is not None:
+                        close()
+                    account, digest, size, number = now, hashlib.sha256(), 0, 0
+                digest.update("".join(x for x in part.column(1).to_pylist() if x is not None).encode())
+                size += pc.sum(part.column(2)).as_py()
+                number += pc.sum(part.column(3)).as_py()
+            if len(out) >= 10_000:
+                yield table()
+                out.clear()
+        if digest is not None:
+            close()
+        if out:
+            yield table()
+
+    found = sorted_.mapInArrow(digests, "account_id long, digest string, total_bytes long, file_count long")
+    name = F.col("digest") if media_type is None else F.concat("digest", F.lit(f"-{media_type}"))
+    return found.withColumn("digest", name).withColumn("oversize", F.col("total_bytes") > most)
 
 
 def cover_media(files: DataFrame) -> DataFrame:
@@ -201,10 +243,16 @@ def cover() -> Column:
     return F.max_by("id", F.when(fits, F.struct(F.coalesce("captured_at", "first_seen_at"), "id"))).alias("cover_media_id")
 
 
-def recent_media(files: DataFrame, n: int = 24) -> DataFrame:
+def recent_media(files: DataFrame, n: int = 24, fields: tuple[str, ...] = ()) -> DataFrame:
+    """The newest present files of each account, as a list of ids, or of structs of ``fields``."""
     place = F.row_number().over(Window.partitionBy("account_id").orderBy(*media_sorts()["newest"]))
     rows = files.filter(PRESENT).withColumn("place", place).filter(F.col("place") <= n)
-    return rows.groupBy("account_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("recent_media"))
+    return rows.groupBy("account_id").agg(in_place(fields).alias("recent_media"))
+
+
+def in_place(fields: tuple[str, ...]) -> Column:
+    """Aggregate: ids, or structs of ``fields``, in the order of ``place``."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*fields).alias("v") if fields else F.col("id").alias("v")))), lambda x: x["v"])
 
 
 def hash_content(files: DataFrame) -> DataFrame:

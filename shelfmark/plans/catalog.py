@@ -138,6 +138,16 @@ def _(files):
     return M.duplicate_members(files)
 
 
+@query(
+    "A5_duplicate_report", "media_files",
+    f"""SELECT g.*, m.members FROM ({GROUPS}) g JOIN (SELECT h AS content_hash, array_to_string(list(concat_ws('/', account_id, rel_path, is_duplicate::VARCHAR, id) ORDER BY place), ' ') AS members
+      FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY account_id, is_duplicate, rel_path, id) AS place FROM ({EFFECTIVE})) WHERE place <= 1000 GROUP BY 1) m USING (content_hash)""",
+)
+def _(files):
+    member = lambda x: F.concat_ws("/", x["account_id"].cast("string"), x["rel_path"], x["is_duplicate"].cast("string"), x["media_id"].cast("string"))
+    return M.duplicate_report(files).withColumn("members", F.array_join(F.transform("members", member), " "))
+
+
 @query(
     "J5_find_duplicate", "media_files",
     """SELECT w.content_hash, w.account_id, coalesce(o.own, f.first) AS media_id, o.own IS NOT NULL AS same_account
@@ -296,17 +306,21 @@ def _(*t):
     return A.cards(A.dashboard(*t)).select("account_id", "name", "is_favorite", "scrape_enabled", "is_new", F.col("active_job.id").alias("job_id"), F.col("active_job.status").alias("job_status"), F.col("last_error.id").alias("error_id"), "cover_url")
 
 
+def _listed(*fields: str) -> str:
+    return "concat_ws('/', " + ", ".join(f"coalesce({f}::VARCHAR, '-')" for f in fields) + ")"
+
+
 @query(
     "D4_account_detail", BOARD_TABLES,
     f"""SELECT b.account_id, b.name, l.n AS links, m.n AS recent_media, j.n AS recent_jobs FROM ({BOARD}) b
-    LEFT JOIN (SELECT account_id, array_to_string(list(url ORDER BY sort_order, id), ' ') AS n FROM links GROUP BY 1) l USING (account_id)
-    LEFT JOIN (SELECT account_id, least(24, count(*)) AS n FROM media_files WHERE {PRESENT} GROUP BY 1) m USING (account_id)
-    LEFT JOIN (SELECT account_id, least(10, count(*)) AS n FROM scrape_jobs GROUP BY 1) j USING (account_id)""",
+    LEFT JOIN (SELECT account_id, array_to_string(list({_listed('id', 'url', 'provider', 'is_enabled')} ORDER BY sort_order, id), ' ') AS n FROM links GROUP BY 1) l USING (account_id)
+    LEFT JOIN (SELECT account_id, array_to_string(list({_listed('id', 'media_type', 'rel_path', 'bytes', 'content_hash')} ORDER BY r), ' ') AS n FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY coalesce(captured_at, downloaded_at, first_seen_at) DESC NULLS LAST, id DESC) AS r FROM media_files WHERE {PRESENT}) WHERE r <= 24 GROUP BY 1) m USING (account_id)
+    LEFT JOIN (SELECT account_id, array_to_string(list({_listed('id', 'status', 'priority', 'attempts', 'error_summary', 'items_expected')} ORDER BY r), ' ') AS n FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY scheduled_for DESC, id DESC) AS r FROM scrape_jobs) WHERE r <= 10 GROUP BY 1) j USING (account_id)""",
 )
 def _(accounts, files, index, jobs, log, link):
     out = A.detail(A.dashboard(accounts, files, index, jobs, log, link), files, jobs, link)
-    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long")).alias(c)
-    return out.select("account_id", "name", F.array_join("links", " ").alias("links"), size("recent_media"), size("recent_jobs"))
+    text = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields))), " ").alias(c)
+    return out.select("account_id", "name", text("links", "id", "url", "provider", "is_enabled"), text("recent_media", "id", "media_type", "rel_path", "bytes", "content_hash"), text("recent_jobs", "id", "status", "priority", "attempts", "error_summary", "items_expected"))
 
 
 @query(

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import tables, with_tables
-from ..sources.listing import TABLES, load_table, read_table, save_table, shared_folder, write_table
+from ..functions.hashing import hash_files
+from ..sources.listing import TABLES, land_files, load_table, read_table, save_table, shared_folder, write_table
 from ..sources.listing import list_files as lister
 from ..streaming import streams as S
 from .catalog import COALESCED, PRINT
@@ -23,21 +24,23 @@ BATCHES, FILES = 6, 2
 TABLE_TEXT = {"accounts": "name", "links": "url", "media_files": "rel_path", "remote_index": "remote_url", "scrape_jobs": "error_summary", "event_log": "message", "heartbeats": "version"}
 
 
-def _landed(spark: SparkSession, rows: DataFrame, label: str, order: str | None = "ts") -> DataFrame:
+def _landed(spark: SparkSession, rows: DataFrame, label: str, order: str | None = "ts", late_days: int = 0, watermark: str = S.WATERMARK) -> DataFrame:
     """Land rows as files, BATCHES slices one after the other, and read them as a stream with event time.
 
-    Slices go by the time in ``order``, or by hash (None), as rows do that come in no order.
+    Slices go by the time in ``order``, or by hash (None), as rows do that come in no order. With
+    ``late_days``, each row comes up to so many days late, by hash.
     """
     folder = shared_folder(spark, label)
     if order:
         seconds = F.unix_micros(F.col(order).cast("timestamp"))
+        seconds = seconds + F.pmod(F.xxhash64(*rows.columns), F.lit(late_days * 86_400_000_000 + 1))
         first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
         slice_ = F.least(F.floor((seconds - F.lit(first or 0)) * BATCHES / F.lit(max((last or 0) - (first or 0), 1))), F.lit(BATCHES - 1))
     else:
         slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
     for k in range(BATCHES):
         rows.filter(F.coalesce(slice_, F.lit(0)) == k).repartition(FILES, F.rand(k)).write.mode("append").parquet(folder)
-    return S.event_stream(spark, folder, rows.schema, FILES)
+    return S.event_stream(spark, folder, rows.schema, FILES, watermark)
 
 
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
@@ -66,14 +69,26 @@ def all_tables_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents written as text files below a folder an account, and what the lister finds there."""
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Contents landed as files below a folder an account, and that folder."""
     (files,) = tables(spark, sf_dir, "media_files")
-    folder = shared_folder(spark, "archive")
-    files.select("account_id", F.coalesce("content", F.lit("")).alias("value")).write.partitionBy("account_id").text(folder)
-    found = lister(files.select(F.concat(F.lit("account_id="), F.col("account_id").cast("string")).alias("account")), folder.removeprefix("file:"))
-    seen = found.filter("error IS NULL AND NOT startswith(element_at(split(rel_path, '/'), -1), '.')")
-    return seen.groupBy(F.substring_index("account", "=", -1).cast("long").alias("account_id")).agg(F.sum("bytes").alias("bytes"))
+    root = shared_folder(spark, "archive").removeprefix("file:")
+    land_files(files.select(F.col("account_id").cast("string").alias("account"), "rel_path", "content"), root)
+    return files.select(F.col("account_id").cast("string").alias("account")).distinct(), root
+
+
+def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lister finds of landed files."""
+    found = lister(*_archive(spark, sf_dir)).filter("error IS NULL")
+    return found.select(F.col("account").cast("long").alias("account_id"), "rel_path", "bytes")
+
+
+def hash_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of landed files as listed, read in tasks of about equal bytes."""
+    accounts, root = _archive(spark, sf_dir)
+    found = lister(accounts, root).filter("error IS NULL").select(F.concat(F.lit(f"{root}/"), "account", F.lit("/"), "rel_path").alias("path"), "bytes")
+    place = F.split(F.substring("path", len(root) + 2, 1_000_000), "/", 2)
+    return hash_files(found, tasks=16).select(place[0].cast("long").alias("account_id"), place[1].alias("rel_path"), "content_hash")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +98,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), "level", "account_id")
 
 
-def coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coalesced(spark: SparkSession, sf_dir: str, minutes: int) -> DataFrame:
     (log,) = tables(spark, sf_dir, "event_log")
-    stream = _landed(spark, log.select("id", "ts", "level", "account_id", "event", "error_type", "message", "detail", "job_id", "source", "resolved_at"), "events")
-    out = S.run_to_table(S.stream_coalesce(stream, minutes=24 * 60), shared_folder(spark, "coalesced"))
-    runs = _last(out, "fingerprint", "level", "id")
+    columns = ("id", "ts", "level", "account_id", "event", "error_type", "message", "detail", "job_id", "source", "traceback", "retryable", "resolved_at")
+    out = S.run_to_table(S.stream_coalesce(_landed(spark, log.select(*columns), "events"), minutes), shared_folder(spark, "coalesced"))
     back = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    return runs.select("fingerprint", "level", "id", "occurrences", back("first_us").alias("first_seen_at"), back("last_us").alias("ts"), "message", "detail", "job_id", "source", "error_type")
+    return S.standing(out).select("fingerprint", "level", "id", "occurrences", back("first_us").alias("first_seen_at"), back("last_us").alias("ts"), "message", "detail", "job_id", "source", "error_type", "traceback", "retryable")
+
+
+def coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coalesced(spark, sf_dir, 24 * 60).drop("traceback", "retryable")
+
+
+def coalesce_half_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coalesced(spark, sf_dir, 30)
 
 
 def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,26 +130,32 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that come up to thirty days late, over a watermark of forty."""
     (jobs,) = tables(spark, sf_dir, "scrape_jobs")
-    stream = _landed(spark, jobs.select("account_id", "status", "finished_at", F.col("finished_at").alias("ts")), "jobs", None)
+    stream = _landed(spark, jobs.select("account_id", "status", F.col("finished_at").alias("ts")), "jobs", late_days=30, watermark="40 days")
     out = S.run_to_table(S.stream_job_outcomes(stream), shared_folder(spark, "outcomes"))
     return _last(out, "account_id").select("account_id", F.timestamp_micros("last_success_us").cast("timestamp_ntz").alias("last_success_at"), F.timestamp_micros("last_error_us").cast("timestamp_ntz").alias("last_error_at"), "consecutive_failures")
 
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed keys in the order of their times, years in all, against a stored index and what was admitted before."""
     listing, index = tables(spark, sf_dir, "listing", "remote_index")
-    # one instant of arrival, so that all rows are within the watermark of each other
-    rows = listing.select("account_id", "provider", "remote_id", F.to_timestamp_ntz(F.lit("2001-08-02 00:00:00")).alias("ts"))
-    out = S.run_to_table(S.stream_first_seen(_landed(spark, rows, "listing", None), index.filter("remote_bytes > 25000")), shared_folder(spark, "seen"), "append")
-    return out.select("account_id", "provider", "remote_id")
+    rows = listing.select("account_id", "provider", "remote_id", F.col("posted_at").alias("ts"))
+    known = shared_folder(spark, "known")
+    write_table(index.filter("remote_bytes > 25000").select("account_id", "provider", "remote_id"), known, "account_id", "remote_id")
+    known = read_table(spark, known)
+    out = S.stream_first_seen(_landed(spark, rows, "listing"), known, shared_folder(spark, "seen"))
+    return known.limit(0) if out is None else out.select("account_id", "provider", "remote_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S1_list_files": list_files,
+    "S2_hash_files": hash_listed,
     "S3_tables_io": tables_io,
     "S3_all_tables_io": all_tables_io,
     "S5_event_stream": event_stream,
     "T1_stream_coalesce": coalesce,
+    "T1_stream_coalesce_half_hour": coalesce_half_hour,
     "T2_stream_liveness": liveness,
     "T3_stream_counters": counters,
     "T4_stream_job_outcomes": job_outcomes,
@@ -136,7 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "S3_tables_io": with_tables("SELECT id, account_id, rel_path, bytes FROM media_files", "media_files"),
-    "S1_list_files": with_tables("SELECT account_id, sum(strlen(coalesce(content, '')) + 1)::BIGINT AS bytes FROM media_files GROUP BY 1", "media_files"),
+    "S1_list_files": with_tables("SELECT account_id, rel_path, strlen(coalesce(content, ''))::BIGINT AS bytes FROM media_files", "media_files"),
+    "S2_hash_files": with_tables("SELECT account_id, rel_path, sha256(coalesce(content, '')) AS content_hash FROM media_files", "media_files"),
     "S3_all_tables_io": with_tables(
         " UNION ALL ".join(
             f"SELECT '{t}' AS name, count(*) AS row_count, count(DISTINCT {'id' if t == 'accounts' else 'worker_id' if t == 'heartbeats' else 'account_id'}) AS keys, coalesce(sum(length({c})), 0)::BIGINT AS text_length FROM {t}" for t, c in TABLE_TEXT.items()
@@ -148,6 +177,10 @@ ORACLES: dict[str, str] = {
         f"SELECT fingerprint, level, id, occurrences, first_seen_at, ts, message, detail, job_id, source, error_type FROM ({COALESCED.format(minutes=24 * 60, print=PRINT)})",
         "event_log",
     ),
+    "T1_stream_coalesce_half_hour": with_tables(
+        f"SELECT fingerprint, level, id, occurrences, first_seen_at, ts, message, detail, job_id, source, error_type, traceback, retryable FROM ({COALESCED.format(minutes=30, print=PRINT)})",
+        "event_log",
+    ),
     "T2_stream_liveness": with_tables("SELECT worker_id, arg_max(status, (beat_at, status)) AS status, max(beat_at) AS beat_at, max(beat_at) + INTERVAL 90 SECOND >= (SELECT max(beat_at) FROM heartbeats) - INTERVAL 10 MINUTE AS online FROM heartbeats GROUP BY 1", "heartbeats"),
     "T3_stream_counters": with_tables(
         """SELECT account_id, count(*) FILTER (t = 'image') AS image_count, count(*) FILTER (t = 'video') AS video_count, count(*) FILTER (t = 'other') AS other_count, coalesce(sum(b), 0)::BIGINT AS total_bytes

@@ -14,33 +14,87 @@ from pyspark.sql import functions as F
 MANIFEST = "account string, rel_path string, bytes long, mtime_ns long, error string"
 
 
+#: Rows that a listing or hashing task sends at once.
+SENT = 10_000
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
 def list_files(accounts: DataFrame, root: str) -> DataFrame:
-    """Files below ``root/<account>`` for each row of ``accounts(account)``, one task's work a folder.
+    """Files below ``root/<account>`` for each row of ``accounts(account)``.
 
+    Level by level: each round reads the folders that the last one found, dealt by name, and sends names
+    as the file system gives them, so no folder is held. Sizes and times are read after that, file by
+    file, dealt anew: the files of one large folder are many tasks' work.
     Folders that begin with a dot are skipped at the top level. What can't be read comes as a row
     with an error instead of failing the job. Names that begin with _ are kept.
     """
+    spark, found = accounts.sparkSession, "account string, path string, folder boolean, error string"
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in MANIFEST.split(", ")]
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for account, folder in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    with os.scandir(os.path.join(root, account, folder)) as entries:
+                        for entry in entries:
+                            inner = entry.is_dir(follow_symlinks=False)
+                            if inner and not folder and entry.name.startswith("."):
+                                continue
+                            rows.append((account, f"{folder}/{entry.name}" if folder else entry.name, inner, None))
+                            if len(rows) >= SENT:
+                                yield _arrow(rows, found)
+                                rows = []
+                except OSError as e:
+                    rows.append((account, folder or ".", False, str(e)))
+        if rows:
+            yield _arrow(rows, found)
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for account, path, error in zip(*(c.to_pylist() for c in batch.columns)):
+                size = mtime = None
+                if error is None:
+                    try:
+                        stat = os.stat(os.path.join(root, account, path))
+                        size, mtime = stat.st_size, stat.st_mtime_ns
+                    except OSError as e:
+                        error = str(e)
+                rows.append((account, path, size, mtime, error))
+            if rows:
+                yield _arrow(rows, MANIFEST)
+
+    level, files = accounts.select("account", F.lit("").alias("folder")).distinct(), None
+    while level is not None:
+        path = shared_folder(spark, "level")
+        level.repartition("account", "folder").mapInArrow(names, found).write.parquet(path)
+        read = spark.read.schema(found).parquet(path)
+        files = read.filter("NOT folder") if files is None else files.unionByName(read.filter("NOT folder"))
+        inner = read.filter("folder").select("account", F.col("path").alias("folder"))
+        level = None if inner.isEmpty() else inner
+    return files.select("account", "path", "error").repartition("account", "path").mapInArrow(stats, MANIFEST)
+
+
+def land_files(rows: DataFrame, root: str) -> None:
+    """Write ``rows(account, rel_path, content)`` as files below ``root/<account>``, null content as an empty one."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for account in batch.column(0).to_pylist():
-                top, rows = os.path.join(root, account), []
-                problem = lambda e: rows.append((account, os.path.relpath(e.filename or top, top), None, None, str(e)))  # noqa: B023, E731
-                for folder, folders, files in os.walk(top, onerror=problem):
-                    if folder == top:
-                        folders[:] = [d for d in folders if not d.startswith(".")]
-                    for name in files:
-                        full = os.path.join(folder, name)
-                        try:
-                            stat = os.stat(full)
-                            rows.append((account, os.path.relpath(full, top).replace(os.sep, "/"), stat.st_size, stat.st_mtime_ns, None))
-                        except OSError as e:
-                            problem(e)
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
-
-    return accounts.select("account").distinct().repartition("account").mapInArrow(walk, MANIFEST)
+            for account, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                full = os.path.join(root, account, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                aside = f"{full}.{uuid.uuid4().hex}.part"
+                with open(aside, "wb") as out:
+                    out.write((content or "").encode())
+                os.replace(aside, full)
+            yield pa.RecordBatch.from_pydict({"written": pa.array([batch.num_rows], pa.int64())})
+
+    rows.select("account", "rel_path", "content").mapInArrow(write, "written long").agg(F.sum("written")).collect()
 
 
 # Layout of the data tables, as columns and types, and the order that they are written in: by

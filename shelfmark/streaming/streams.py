@@ -6,61 +6,130 @@ the watermark are dropped here and picked up by the batch operators.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.events import fingerprint
 
 WATERMARK = "10 minutes"
+#: The store of ``transformWithState``.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def event_stream(spark: SparkSession, folder: str, schema, files: int | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema, files: int | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Events that land as Parquet files in ``folder``, with event time and watermark; ``files`` a batch."""
     source = spark.readStream.schema(schema)
     rows = (source.option("maxFilesPerTrigger", files) if files else source).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def stream_coalesce(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """Repeats of a fingerprint, level and resolution under ``minutes`` apart as one row (update mode).
+#: A run of repeats as the state holds it, and as it comes out.
+RUN = "id long, occurrences long, first_us long, last_us long, last_id long, message string, detail string, detail_us long, detail_id long, job_id long, job_us long, job_id_id long, source string, error_type string, traceback string, retryable boolean"
+OUT = "fingerprint string, level string, epoch long, id long, occurrences long, first_us long, last_us long, message string, detail string, job_id long, source string, error_type string, traceback string, retryable boolean, closed boolean"
+_FIELDS = [f.split()[0] for f in RUN.split(", ")]
+_SHOWN = [f.split()[0] for f in OUT.split(", ")][3:-1]
+#: Rows of a key that are joined to its runs at once.
+CHUNK = 4096
+
+
+def _joined(a: dict, b: dict) -> dict:
+    """Two runs as one: the first fields of the earlier, the last ones of the later that aren't null."""
+    first, last = (a, b) if (a["first_us"], a["id"]) <= (b["first_us"], b["id"]) else (b, a)
+    out = first | {"occurrences": a["occurrences"] + b["occurrences"]}
+    end = max((a, b), key=lambda r: (r["last_us"], r["last_id"]))
+    out |= {c: end[c] for c in ("last_us", "last_id", "message")}
+    for value, us, at in (("detail", "detail_us", "detail_id"), ("job_id", "job_us", "job_id_id")):
+        known = [r for r in (a, b) if r[value] is not None]
+        if known:
+            newest = max(known, key=lambda r: (r[us], r[at]))
+            out |= {c: newest[c] for c in (value, us, at)}
+    return out
 
-    A row comes whenever its run changes, and again with ``closed`` when no repeat can follow; state is
-    kept for a key only until then. Message, detail and job are the last that aren't null, the other
-    fields the first row's, as in the batch operator.
+
+class Coalescer(StatefulProcessor):
+    """Open runs of a key, in RocksDB; a run closes when the watermark is past the last repeat it could get.
+
+    Rows of a key come in chunks and in any order; each is a run of its own, and runs less than
+    ``minutes`` apart are joined, so memory holds a chunk and the runs that are still open.
     """
-    fields = "fingerprint string, level string, epoch long, id long, occurrences long, first_us long, last_us long, message string, detail string, job_id long, source string, error_type string, closed boolean"
-    names = [c.split()[0] for c in fields.split(", ")]
-    state = ", ".join(fields.split(", ")[3:-1])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        run, out = (list(kept.get) if kept.exists else None), []
-        if kept.hasTimedOut:
-            kept.remove()
-            yield pd.DataFrame([(*key, *run, True)], columns=names)
-            return
-        some = lambda new, old: old if pd.isna(new) else new
-        for r in pd.concat(list(batches)).sort_values(["us", "id"]).itertuples():
-            if run and r.us - run[3] >= minutes * 60_000_000:
-                out.append((*key, *run, True))
-                run = None
-            if run:
-                run = [run[0], run[1] + 1, run[2], max(r.us, run[3]), r.message, some(r.detail, run[5]), some(r.job_id, run[6]), *run[7:]]
+    def __init__(self, minutes: int):
+        self.gap = minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.runs = handle, handle.getListState("runs", RUN)
+
+    def open_runs(self) -> list[dict]:
+        return [dict(zip(_FIELDS, r)) for r in self.runs.get()] if self.runs.exists() else []
+
+    def fold(self, runs: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for run in sorted(runs, key=lambda r: (r["first_us"], r["id"])):
+            if out and run["first_us"] - out[-1]["last_us"] < self.gap:
+                out[-1] = _joined(out[-1], run)
             else:
-                run = [int(r.id), 1, r.us, r.us, r.message, *(some(v, None) for v in (r.detail, r.job_id, r.source, r.error_type))]
-            run[6] = None if run[6] is None else int(run[6])
-        out.append((*key, *run, False))
-        kept.update(tuple(run))
-        kept.setTimeoutTimestamp(max(run[3] // 1000 + minutes * 60_000, kept.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names).astype({"job_id": "Int64"})
+                out.append(run)
+        return out
+
+    def emit(self, key: tuple, runs: list[dict], watermark_ms: int) -> Iterator[Row]:
+        """All runs of the key; those that the watermark closes leave the state."""
+        # a repeat that isn't late is at the watermark or after it
+        done = [r["last_us"] + self.gap <= watermark_ms * 1000 for r in runs]
+        kept = [r for r, closed in zip(runs, done) if not closed]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.runs.put([Row(*(r[c] for c in _FIELDS)) for r in kept])
+            self.handle.registerTimer(max(-(-(min(r["last_us"] for r in kept) + self.gap) // 1000), watermark_ms + 1))
+        else:
+            self.runs.clear()
+        for run, closed in zip(runs, done):
+            yield Row(fingerprint=key[0], level=key[1], epoch=key[2], **{c: run[c] for c in _SHOWN}, closed=closed)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        runs = self.open_runs()
+        for chunk in itertools.batched(rows, CHUNK):
+            runs = self.fold(runs + [self.one(r) for r in chunk])
+        yield from self.emit(key, runs, timerValues.getCurrentWatermarkInMs())
+
+    def one(self, r: Row) -> dict:
+        """A row as a run of its own."""
+        at = {"detail": (r.us, r.id) if r.detail is not None else (None, None), "job_id": (r.us, r.id) if r.job_id is not None else (None, None)}
+        first = {c: r[c] for c in ("message", "detail", "job_id", "source", "error_type", "traceback", "retryable")}
+        return first | {"id": r.id, "occurrences": 1, "first_us": r.us, "last_us": r.us, "last_id": r.id, "detail_us": at["detail"][0], "detail_id": at["detail"][1], "job_us": at["job_id"][0], "job_id_id": at["job_id"][1]}
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self.emit(key, self.open_runs(), timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
 
+def stream_coalesce(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """Repeats of a fingerprint, level and resolution under ``minutes`` apart as one row (update mode).
+
+    When a key gets rows or one of its runs ends, all of its runs come: those that no repeat can follow
+    with ``closed``, once, and the open ones as they stand; the latest such output of a key counts.
+    Message, detail and job are the last that aren't null, the other fields the first row's, as in the
+    batch operator. Run it with ``ROCKS`` set.
+    """
     keyed = events.withColumn("fingerprint", fingerprint(F.col("account_id"), F.col("event"), F.col("error_type"), F.col("message")))
     keyed = keyed.withColumns({"us": F.unix_micros("ts"), "epoch": F.coalesce(F.unix_micros(F.col("resolved_at").cast("timestamp")), F.lit(-1))})
-    rows = keyed.select("fingerprint", "level", "epoch", "id", "us", "ts", "message", "detail", "job_id", "source", "error_type").groupBy("fingerprint", "level", "epoch")
-    return rows.applyInPandasWithState(step, fields, state, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = keyed.select("fingerprint", "level", "epoch", "id", "us", "ts", "message", "detail", "job_id", "source", "error_type", "traceback", "retryable")
+    return rows.groupBy("fingerprint", "level", "epoch").transformWithState(Coalescer(minutes), OUT, "update", "eventTime")
+
+
+def standing(out: DataFrame) -> DataFrame:
+    """The runs after all of ``out`` (``run_to_table`` of ``stream_coalesce``): closed ones, and open ones of a key's latest output."""
+    key = ["fingerprint", "level", "epoch"]
+    latest = out.groupBy(*key).agg(F.max("batch").alias("latest"))
+    return out.join(latest, key).filter("closed OR batch = latest").drop("latest")
 
 
 def stream_liveness(beats: DataFrame, timeout_seconds: int = 90) -> DataFrame:
@@ -95,30 +164,74 @@ def stream_counters(changes: DataFrame) -> DataFrame:
 
 
 def stream_job_outcomes(jobs: DataFrame) -> DataFrame:
-    """Last success, last error and failures since of each account from finished jobs (update mode).
+    """Last success, last error and failures since of each account from ``jobs(account_id, status, ts)`` (update mode).
 
-    Jobs may come in any order: the state holds the last success and the times of failures after it.
+    Jobs may come in any order within the watermark. The state holds the last success, the number of
+    failures after it that are before the watermark (only a later success, which ends them all, can
+    change it) and the times of those after, so an account that never succeeds keeps no more than the
+    watermark's delay of times.
     """
     schema = "account_id long, last_success_us long, last_error_us long, consecutive_failures long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        ok, bad, since = kept.get if kept.exists else (None, None, [])
-        since = list(since)
+        ok, bad, before, recent = kept.get if kept.exists else (None, None, 0, [])
+        recent, mark = list(recent), kept.getCurrentWatermarkMs() * 1000
         for rows in batches:
             won, lost = (rows.us[(rows.status == "succeeded") == w].tolist() for w in (True, False))
-            ok, bad = (max([*([old] if old is not None else []), *new], default=None) for old, new in ((ok, won), (bad, lost)))
-            since = [t for t in since + lost if ok is None or t > ok]
-        kept.update((ok, bad, since))
-        yield pd.DataFrame([(*key, ok, bad, len(since))], columns=[c.split()[0] for c in schema.split(", ")]).astype({"last_success_us": "Int64", "last_error_us": "Int64"})
+            later = max(won, default=None)
+            if later is not None and (ok is None or later > ok):
+                ok, before = later, 0 if later >= mark else before
+            bad = max([*([] if bad is None else [bad]), *lost], default=None)
+            recent = [t for t in recent + lost if ok is None or t > ok]
+            before, recent = before + sum(t < mark for t in recent), [t for t in recent if t >= mark]
+        kept.update((ok, bad, before, recent))
+        yield pd.DataFrame([(*key, ok, bad, before + len(recent))], columns=names).astype({"last_success_us": "Int64", "last_error_us": "Int64"})
+
+    rows = jobs.filter("status IN ('succeeded', 'failed') AND account_id IS NOT NULL").select("account_id", "status", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("account_id").applyInPandasWithState(step, schema, "ok long, bad long, before long, recent array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
-    rows = jobs.filter("status IN ('succeeded', 'failed') AND account_id IS NOT NULL").select("account_id", "status", F.unix_micros(F.col("finished_at").cast("timestamp")).alias("us"))
-    return rows.groupBy("account_id").applyInPandasWithState(step, schema, "ok long, bad long, since array<long>", "update", GroupStateTimeout.NoTimeout)
 
+KEY = ["account_id", "provider", "remote_id"]
+
+
+def first_seen(folder: str, known: DataFrame) -> Callable[[DataFrame, int], None]:
+    """What a batch of listed keys does to the table of admitted ones in ``folder``; for ``foreachBatch``.
+
+    A key is admitted that neither ``known`` nor an earlier batch has. A batch writes a folder of its
+    own number, and looks at lower numbers only: one that is run again, after a failure or a restart,
+    writes the same rows over, so each key is admitted once however often it is listed.
+    """
 
-def stream_first_seen(listing: DataFrame, known: DataFrame) -> DataFrame:
-    """Each remote key that the table ``known`` lacks, once within the watermark (append mode)."""
-    key = ["account_id", "provider", "remote_id"]
-    return listing.join(known.select(*key), key, "left_anti").dropDuplicatesWithinWatermark(key)
+    def admit(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        new = rows.groupBy(*KEY).agg(F.min("ts").alias("ts")).join(known.select(*KEY), KEY, "left_anti")
+        earlier = admitted(spark, folder, below=batch)
+        (new if earlier is None else new.join(earlier.select(*KEY), KEY, "left_anti")).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return admit
+
+
+def admitted(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
+    """The keys admitted in all batches, or in those of lower numbers; None if there was none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+    batches = sorted(int(n.split("=")[1]) for n in found if n.startswith("batch=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+    chosen = [f"{folder}/batch={b}" for b in batches if below is None or b < below]
+    return spark.read.schema("account_id long, provider string, remote_id string, ts timestamp").option("basePath", folder).parquet(*chosen) if chosen else None
+
+
+def stream_first_seen(listing: DataFrame, known: DataFrame, folder: str) -> DataFrame | None:
+    """Run ``listing(account_id, provider, remote_id, ts)`` over what there is; the table of all keys admitted so far.
+
+    Repeats within the watermark are dropped by the stream's state, those that come later by the table.
+    Run it again when more has landed: it goes on where it stopped.
+    """
+    live = listing.select(*KEY, "ts").dropDuplicatesWithinWatermark(KEY)
+    run = live.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    run.foreachBatch(first_seen(f"{folder}/admitted", known)).start().awaitTermination()
+    return admitted(listing.sparkSession, f"{folder}/admitted")
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
@@ -128,7 +241,13 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "update") -> DataFr
     def write(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/rows/{batch:06d}")
 
-    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    started.awaitTermination()
+    before = {name: spark.conf.get(name, None) for name in ROCKS}
+    for name, value in ROCKS.items():
+        spark.conf.set(name, value)
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     schema = stream.schema.add("batch", "integer")
     return spark.read.schema(schema).parquet(f"{folder}/rows/*")

@@ -69,8 +69,11 @@ def test_discovery_stops_after_known_streak(spark):
 def test_guards_in_order(spark):
     held = spark.createDataFrame([(1, "p", "a", "h1", False), (1, "p", "t", "h9", True)], "account_id long, source_provider string, remote_id string, content_hash string, is_tombstone boolean")
     items = spark.createDataFrame([(1, "p", "a", "x", "f1"), (1, "p", "b", "h1", "f2"), (1, "p", "c", "x", "f3"), (1, "p", "d", None, "f4"), (1, "p", "e", "h9", "f5")], "account_id long, provider string, remote_id string, remote_hash string, path string")
-    disk = spark.createDataFrame([(1, "f3", 5), (1, "f4", 0)], "account_id long, path string, bytes long")
-    assert {r["remote_id"]: r["outcome"] for r in R.dedup_guards(items, held, disk).collect()} == {"a": "duplicate", "b": "duplicate", "c": "adopted", "d": "fetch", "e": "fetch"}
+    items = items.unionByName(items.limit(1).selectExpr("account_id", "provider", "'f' AS remote_id", "'y' AS remote_hash", "'f6' AS path"))
+    disk = spark.createDataFrame([(1, "f3", 5, "new"), (1, "f4", 0, "h1"), (1, "f6", 5, "h1")], "account_id long, path string, bytes long, content_hash string")
+    found = R.dedup_guards(items, held, disk).collect()
+    assert {r["remote_id"]: r["outcome"] for r in found} == {"a": "duplicate", "b": "duplicate", "c": "adopted", "d": "fetch", "e": "fetch", "f": "adopted"}
+    assert {r["remote_id"]: r["note"] for r in found if r["outcome"] == "adopted"} == {"c": "adopted existing file", "f": "present on disk"}
 
 
 def log(spark, *rows):
@@ -119,7 +122,7 @@ def test_indexing_inserts_and_fills(spark):
 
 
 def test_unfinished_items_keep_their_state(spark):
-    index = spark.createDataFrame([(1, "p", k, "pending", 1, "old", None) for k in "abcd"], "account_id long, provider string, remote_id string, state string, attempts int, last_error string, media_file_id long")
+    index = spark.createDataFrame([(1, "p", k, "pending", 1, "old", None) for k in "abcd"], "account_id long, provider string, remote_id string, state string, attempts int, last_error string, media_file_id long").withColumn("last_attempt_at", F.lit(None).cast("timestamp_ntz"))
     done = spark.createDataFrame([(1, "p", "a", "downloaded", None), (1, "p", "b", "duplicate", "known"), (1, "p", "c", "fetch", None)], "account_id long, provider string, remote_id string, outcome string, note string")
     media = spark.createDataFrame([(9, 1, "a", None)], "id long, account_id long, remote_id string, deleted_at string")
     got = {r["remote_id"]: tuple(r)[3:7] for r in R.mark_outcomes(index, done, media, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).collect()}
