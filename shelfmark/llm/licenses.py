@@ -2,7 +2,9 @@
 
 A text's sentences are normalised and looked up among known licence sentences; the identifiers of
 those found, in the order of the text, are matched against rules: a rule holds if its identifiers
-occur in its order, others in between allowed, and none of those that it excludes occurs.
+occur in its order, others in between allowed, and none of those that it excludes occurs. A sentence
+that names somebody is known whoever that is; one of its kind in words of its own is an identifier too,
+so that a rule can exclude it.
 
 Sentences end at marks before white space and at lines without a letter or digit (so that a blank
 comment line counts); a single line break is white space, and what a line begins with before its
@@ -100,7 +102,7 @@ RULES: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = [
     ("AGPL-3.0", "copyleft", ("agpl3-later",), ()),
     ("BSD-3-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ()),
     ("BSD-3-Clause", "permissive", ("spdx-bsd3",), ()),
-    ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary"), ("bsd-names",)),
+    ("BSD-2-Clause", "permissive", ("bsd-grant", "bsd-source", "bsd-binary"), ("bsd-names", "endorsement-other")),
     ("BSD-2-Clause", "permissive", ("spdx-bsd2",), ()),
     ("ISC", "permissive", ("isc-grant",), ()),
     ("ISC", "permissive", ("spdx-isc",), ()),
@@ -121,7 +123,12 @@ RULES: list[tuple[str, str, tuple[str, ...], tuple[str, ...]]] = [
 ]
 
 #: Every known sentence holds one of these, so a text without them has none.
-HINTS = ("licens", "permission", "copyright", "software", "redistribut")
+HINTS = ("licens", "permission", "copyright", "software", "redistribut", "endorse")
+
+# A sentence that names somebody, as it is normalised, and what stands for it; and what tells a
+# sentence of the same kind in other words, which then counts as an identifier of its own.
+NAMED = ("neither the name", "neither the names? of .+ nor the names of (its|their|any) contributors may", "neither the name of the copyright holder nor the names of its contributors may")
+KIND_OF = ("endorse or promote products", "endorsement-other")
 
 #: Steps before the split at END, which no lower-cased text holds: (pattern, what takes its place).
 END = "Z"
@@ -143,19 +150,30 @@ def sentences(low: Column) -> Column:
     return F.split(low, END)
 
 
+def holds_hint(text: Column) -> Column:
+    out = F.lit(False)
+    for hint in HINTS:
+        out = out | F.contains(text, F.lit(hint))
+    return out
+
+
 def known(text: Column) -> Column:
-    """Identifiers of the known sentences of ``text``, in its order."""
+    """Identifiers of the known sentences of ``text``, in its order.
+
+    A text, a sentence, a line without any hint is left at that, before anything is made of it.
+    """
     lookup = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    named = lambda s: F.try_element_at(lookup, F.trim(F.regexp_replace(s, APART, " ")))
-    # a sentence that isn't known is looked at line by line, if it has several
-    each = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).when(F.contains(x["text"], F.lit("\n")), F.transform(F.split(x["text"], "\n"), named))
+    plain = lambda s: F.trim(F.regexp_replace(s, APART, " "))
+    unnamed = lambda s: F.when(F.startswith(s, F.lit(NAMED[0])), F.regexp_replace(s, NAMED[1], NAMED[2])).otherwise(s)
+    named = lambda s: F.coalesce(F.try_element_at(lookup, s), F.when(F.contains(s, F.lit(KIND_OF[0])), F.lit(KIND_OF[1])))
+    look = lambda parts: F.transform(F.transform(F.transform(parts, plain), unnamed), named)
     low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    looked = F.transform(sentences(low), lambda s: F.struct(named(s).alias("id"), s.alias("text")))
-    found = F.filter(F.flatten(F.filter(F.transform(looked, each), lambda x: x.isNotNull())), lambda x: x.isNotNull())
-    hinted = F.lit(False)
-    for hint in HINTS:
-        hinted = hinted | F.contains(low, F.lit(hint))
-    return F.when(hinted, found).otherwise(F.array().cast("array<string>"))
+    hinted = F.filter(sentences(low), holds_hint)
+    # a sentence that isn't known is looked at line by line, if it has several
+    lines = lambda t: F.filter(look(F.filter(F.split(t, "\n"), holds_hint)), lambda x: x.isNotNull())
+    whole = F.zip_with(hinted, look(hinted), lambda t, i: F.struct(t.alias("text"), i.alias("id")))
+    each = lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).when(F.contains(x["text"], F.lit("\n")), lines(x["text"])).otherwise(F.array().cast("array<string>"))
+    return F.when(holds_hint(low), F.flatten(F.transform(whole, each))).otherwise(F.array().cast("array<string>"))
 
 
 def pattern(ids: tuple[str, ...]) -> str:
@@ -167,7 +185,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     n_known: known sentences, repeats counted; sentence_ids: their identifiers in order, comma-joined;
     licenses: licences whose rules hold, in the order of the rules; kinds: likewise, each once.
-    Null text is empty; a text without known sentences has zero and empty strings.
+    Null text is empty; a text without known sentences has zero and empty strings. Rows that repeat
+    have rows of their own; no rows give no rows.
     """
     rows = docs.select(*(F.col(c) for c in keep), known(text_of()).alias("__found"))
     marked = F.concat_ws("", F.transform("__found", lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
@@ -196,7 +215,9 @@ def oracle() -> str:
     parts = low
     for found, new in STEPS:
         parts = f"regexp_replace({parts}, '{found}', {'chr(10)' if new == chr(10) else repr(new)}, 'g')"
-    named = lambda x: f"{lookup}[trim(regexp_replace({x}, '{APART}', ' ', 'g'))]"
+    plain = lambda x: f"trim(regexp_replace({x}, '{APART}', ' ', 'g'))"
+    unnamed = lambda x: f"CASE WHEN starts_with({plain(x)}, '{NAMED[0]}') THEN regexp_replace({plain(x)}, '{NAMED[1]}', '{NAMED[2]}', 'g') ELSE {plain(x)} END"
+    named = lambda x: f"coalesce({lookup}[{unnamed(x)}], CASE WHEN contains({unnamed(x)}, '{KIND_OF[0]}') THEN '{KIND_OF[1]}' END)"
     first = lambda k: f"array_to_string(list_filter(l{k}, lambda x, i: list_position(l{k}, x) = i), ',')"
     hold = lambda r: " AND ".join([f"marked LIKE '{pattern(r[2])}'", *(f"marked NOT LIKE '{pattern((x,))}'" for x in r[3])])
     each = lambda k: "list_filter([" + ", ".join(f"CASE WHEN {hold(r)} THEN '{r[k]}' END" for r in RULES) + "], lambda x: x IS NOT NULL)"

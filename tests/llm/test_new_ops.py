@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fim, langid, manifest, queries
+from shelfmark.llm import fim, langid, licenses, manifest, queries
 
 
 
@@ -252,3 +252,64 @@ def test_one_language_and_none(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(langid.learnable(docs))).collect()} == {"aa"}
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(none, langid.fit(langid.learnable(none))).collect()} == {("und", 0.0)}
+
+
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+
+
+def plain_sentences(text):
+    """Identifiers by loops over characters, without the operator's patterns."""
+    lines, blocks = [], [[]]
+    for line in text.lower().replace("\r\n", "\n").split("\n"):
+        body = line if not lines else line.lstrip("".join(c for c in set(line) if not (c.isascii() and c.isalnum())))
+        lines.append(body)
+        if body.strip():
+            blocks[-1].append(body)
+        else:
+            blocks.append([])
+    out = []
+    for block in blocks:
+        sentence = ""
+        for word in " ".join(block).split():
+            bare = word.rstrip(".!?;:")
+            sentence += " " + bare
+            if bare != word:
+                out.append(sentence)
+                sentence = ""
+        out.append(sentence)
+    known = {v: k for k, v in licenses.SENTENCES.items()}
+    found = []
+    for sentence in out:
+        words = "".join(c if c.isascii() and (c.isalnum() or c == ".") else " " for c in sentence).split()
+        if words[:4] == ["neither", "the", "name", "of"] and "nor" in words:
+            words[4 : words.index("nor")] = ["the", "copyright", "holder"]
+        text = " ".join(words)
+        if text in known:
+            found.append(known[text])
+        elif "endorse or promote products" in text:
+            found.append("endorsement-other")
+    return found
+
+
+def test_licence_sentences_that_name_somebody(spark):
+    other = "3. The authors' names may never be used to endorse or promote products derived from this software.\n"
+    cases = {
+        "BSD-2-Clause": [BSD2, BSD2 + "\nTHIS SOFTWARE IS PROVIDED AS IT COMES.\n"],
+        "BSD-3-Clause": [BSD2 + "\n" + NAMES.format(n) for n in ("the University", "the copyright holder", "Example Corp., Inc", "The Regents of the University of X")],
+        "": [BSD2 + "\n" + other, NAMES.format("the University")],
+    }
+    docs = [(k, t, want) for k, (want, t) in enumerate((w, t) for w, texts in cases.items() for t in (*texts, *("\n".join("# " + x for x in t.split("\n")) for t in texts)))]
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string, want string"), keep=("doc_id", "text", "want")).collect():
+        assert r["licenses"] == r["want"], r["text"]
+        if not r["text"].startswith("#"):
+            assert r["sentence_ids"].split(",") == plain_sentences(r["text"])
