@@ -281,7 +281,11 @@ def with_media(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a shot of ``media(key, media)``: its number, frames and time."""
+    """One row a shot of ``media(key, media)``: its number, frames and time.
+
+    A null key is kept; repeated rows give their shots each; no rows give no rows. Every file has a frame,
+    as ``with_media`` writes it, so a shot at least.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +300,10 @@ def clips(media: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Digests of what is stored and of what is read back, with shots as frames=N shots=a-b,c-d."""
+    """Digests of what is stored and of what is read back, with shots as frames=N shots=a-b,c-d.
+
+    A row for each row of ``media``, repeated ones too; null doc_ids are kept; no rows give no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

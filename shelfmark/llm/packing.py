@@ -89,7 +89,9 @@ def pack_round(items: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(found: DataFrame, capacity: int, slack: int = 16, group_limit: int = 50_000) -> DataFrame:
-    """Add sequence_id and offset to ``found(item, length, ...)``.
+    """Add sequence_id and offset to ``found(item, length, ...)``; no rows give no rows.
+
+    ``item`` is unique and not null, and no length exceeds ``capacity``. Other columns are kept.
 
     ``slack``: a bin with this many ids of room or fewer is full. ``group_limit``: the most bins
     that one group packs again; a further round follows until a single group held all open bins,
@@ -115,5 +117,9 @@ def pack(found: DataFrame, capacity: int, slack: int = 16, group_limit: int = 50
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, capacity: int) -> DataFrame:
-    """Encode, cut and pack ``docs(doc_id, text)``: one row a piece, with its sequence and place."""
+    """Encode, cut and pack ``docs(doc_id, text)``: one row a piece, with its sequence and place.
+
+    Null text is empty: its end id alone is a piece. Null doc_ids are kept, repeated rows are packed each
+    for itself, other columns don't count, no rows give no rows.
+    """
     return pack(pieces(docs, tokenizer, spaces, end_id, capacity), capacity)

@@ -104,7 +104,8 @@ def spans_of(text: str, least: float) -> list[tuple[int, int, str]]:
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_novelty: float = 0.55) -> DataFrame:
     """The columns ``keep`` of each row with ``found``: array of (start, end, kind), by start, then kind.
 
-    Places are code points, ends are exclusive. Null text is empty. ``least_novelty``: added
+    Places are code points, ends are exclusive. Null text is empty; repeated rows are scanned each for
+    itself, other columns don't count, no rows give no rows. ``least_novelty``: added
     compressed bytes per character from which a string counts as incompressible (hexadecimal
     digits need 0.5, base64 0.75).
     """
@@ -121,7 +122,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_novelty: fl
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and spans as text: kind:start:end by start, then kind, comma-joined."""
+    """Counts and spans as text: kind:start:end by start, then kind, comma-joined.
+
+    A row for each row of ``found``; without spans, zeros and empty text; no rows give no rows.
+    """
     named = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     base = F.filter("found", lambda x: x["kind"] != "novel")
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -377,7 +377,10 @@ def mark_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
 
 def digest(marked: DataFrame) -> DataFrame:
-    """Sizes and the checksum of what is kept of each document."""
+    """Sizes and the checksum of what is kept of each document.
+
+    A row for each row of ``marked``, repeated ones too; no spans (null or empty) keep all; no rows give no rows.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

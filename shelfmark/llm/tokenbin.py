@@ -110,7 +110,10 @@ def mapped(folder: str, name: str):
 
 
 def read_tokens(spark: SparkSession, folder: str, shards: list[Shard]) -> DataFrame:
-    """One row a document, from the files alone: its place among all ids and their checksum."""
+    """One row a document, from the files alone: its place among all ids and their checksum.
+
+    Null doc_ids come back null, repeated ones as often as they were written; no shards give no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
