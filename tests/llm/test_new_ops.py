@@ -13,10 +13,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfmark.llm import fim, langid, licenses, manifest, queries
+from shelfmark.llm import fim, langid, licenses, manifest, queries, toxicity
 
 
 
+WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -313,3 +314,53 @@ def test_licence_sentences_that_name_somebody(spark):
         assert r["licenses"] == r["want"], r["text"]
         if not r["text"].startswith("#"):
             assert r["sentence_ids"].split(",") == plain_sentences(r["text"])
+
+
+def plain_toxicity(model, text):
+    """A text's score by loops over windows, words and units."""
+    w, words = model.weights, text.lower().split()
+    dot = lambda v, m: [sum(float(v[i]) * float(m[i][j]) for i in range(len(v))) for j in range(len(m[0]))]
+    gate = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        stem = word if word.isalpha() else re.sub(r"[\W\d_]+", "", word)
+        data = f"^{stem}$".encode()
+        tri = [w["tri"][zlib.crc32(data[k : k + 3]) % toxicity.TRIGRAMS] for k in range(max(1, len(data) - 2))]
+        known = [w["word"][model.vocabulary.get(f, 0)] for f in (stem, stem[:5] + "~")]
+        return [sum(float(t[i]) for t in tri) / len(tri) + sum(float(k[i]) for k in known) for i in range(toxicity.INPUT)]
+
+    def states(inputs, side):
+        h, out, n = [0.0] * toxicity.HIDDEN, [], toxicity.HIDDEN
+        for x in inputs:
+            p = [a + float(c) for a, c in zip(dot(x, w[f"w{side}"]), w[f"c{side}"])]
+            a = dot(h, w[f"u{side}"])
+            z, r = ([gate(p[j] + a[j]) for j in range(k, k + n)] for k in (0, n))
+            new = [np.tanh(p[2 * n + j] + r[j] * a[2 * n + j]) for j in range(n)]
+            h = [new[j] + z[j] * (h[j] - new[j]) for j in range(n)]
+            out.append(h)
+        return out
+
+    best, at = -np.inf, 0
+    while True:
+        part = words[at : at + toxicity.WINDOW]
+        inputs = [vector(x) for x in part] + [[0.0] * toxicity.INPUT] * (toxicity.WINDOW - len(part))
+        both = [f + b for f, b in zip(states(inputs, "f"), states(inputs[::-1], "b")[::-1])]
+        here = both[: len(part)] or both  # a text without words is all padding
+        share = np.exp([sum(np.tanh(x) * float(a) for x, a in zip(h, w["attend"])) for h in here])
+        pooled = [sum(s * h[j] for s, h in zip(share / share.sum(), here)) for j in range(2 * toxicity.HIDDEN)]
+        best = max(best, sum(p * float(o) for p, o in zip(pooled, w["out"])) + float(w["bias"][0]))
+        if at + toxicity.WINDOW >= len(words):
+            return gate(best)
+        at += toxicity.STRIDE
+
+
+def test_toxicity_scores_by_loops(spark):
+    """Whole texts, by the operator and by loops: no word, one, a window's edge, several windows, unknown words."""
+    model = toxicity.Model.start({f: k for k, f in enumerate(["alpha", "alpha~", "beta", "beta~", "gamma~"], 1)})
+    rng = random.Random(6)
+    texts = ["", "alpha", "Alpha, BETA! 42 é日", *(" ".join(rng.choice([*WORDS, "gamma", "x-9", "ALPHA"]) for _ in range(n)) for n in (31, 32, 33, 56, 57, 90))]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[99] == got[0]
+    for k, t in enumerate(texts):
+        assert got[k] == pytest.approx(plain_toxicity(model, t), abs=1e-5), t
