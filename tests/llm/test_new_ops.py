@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import fim, langid, licenses, manifest, queries, toxicity
 
-
-
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
