@@ -8,6 +8,7 @@ never has more than ``group_limit`` items, so no task grows with the input.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -88,31 +89,32 @@ def pack_round(items: DataFrame, capacity: int) -> DataFrame:
     return items.select("item", "length").mapInArrow(pack, "item long, bin long, place long, used long")
 
 
-def pack(found: DataFrame, capacity: int, slack: int = 16, group_limit: int = 50_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int, slack: int = 16, group_limit: int = 50_000, least_gain: int = 1) -> DataFrame:
     """Add sequence_id and offset to ``found(item, length, ...)``; no rows give no rows.
 
     ``item`` is unique and not null, and no length exceeds ``capacity``. Other columns are kept.
 
     ``slack``: a bin with this many ids of room or fewer is full. ``group_limit``: the most bins
-    that one group packs again; a further round follows until a single group held all open bins,
-    or until a round saves less than a hundredth of them (what is left doesn't fit together).
+    that one group packs again; a further round, dealt anew, follows until a single group held all
+    open bins, or until a round saves fewer than ``least_gain`` of them: by default none.
     """
     found = materialize(found, "pieces")
     level = materialize(pack_round(found, capacity), "packed")
     placed = level.select("item", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    while True:
+    for turn in itertools.count():
         # the item at place 0 stands for its bin
         waiting = level.filter((F.col("place") == 0) & (F.col("used") < capacity - slack)).select(F.col("bin").alias("item"), F.col("used").alias("length"))
         n = waiting.count()
         groups = -(-n // group_limit)
         if n < 2:
             break
-        dealt = waiting.repartition(1) if groups == 1 else waiting.repartition(groups, F.xxhash64("item"))
+        dealt = waiting.repartition(1) if groups == 1 else waiting.repartition(groups, F.xxhash64("item", F.lit(turn)))
         level = materialize(pack_round(dealt, capacity), "packed")
         moved = level.select(F.col("item").alias("sequence_id"), F.col("bin").alias("to"), "place")
         placed = placed.join(moved, "sequence_id", "left").select("item", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("place", F.lit(0))).alias("offset"))
-        if groups == 1 or level.filter("place = 0").count() > 0.99 * n:
+        if groups == 1 or n - level.filter("place = 0").count() < least_gain:
             break
+        placed = materialize(placed, "placed")  # many rounds would make one long plan
     return found.join(placed, "item").drop("item")
 
 
