@@ -1,16 +1,25 @@
 """Secret scans: three fixed patterns, and zstandard novelty against primed dictionaries.
 
 Novelty: a long unbroken string near a word that speaks of credentials is measured by the bytes
-that it adds to a compressed piece of its surroundings, with a dictionary of common identifiers
-primed beforehand. Prose, identifiers and paths compress well there; keys and tokens don't.
+that it adds to the compressed text around it. The compressor is primed with a dictionary that
+zstandard's trainer makes of identifiers: words of the whole corpus and names of Python's own
+library, joined as names and paths are. What counts as incompressible is no constant: the string
+must add more than ordinary names of its length, put into the same surroundings, some of whose
+words the dictionary doesn't hold.
 """
 
 from __future__ import annotations
 
+import builtins
+import collections
 import functools
 import hashlib
+import importlib
+import random
 import re
+import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -29,34 +38,135 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # those maximal runs of [0-9a-f]+ that
 LEAST = {"assign": 6, "access": 20}
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-# Words near which an incompressible string is reported, and the primed identifiers.
+# Words near which an incompressible string is reported; modules whose names are primed.
 SENSITIVE = re.compile(r"passw|secret|token|api[_-]?key|access[_-]?key|private|credential|auth|bearer|signature|session|certificate|\bkey\b|\bpwd\b", re.I | re.A)
-IDENTIFIERS = """
-import from class public static final void return self None True False null true false this const let var function def
-string integer boolean double float object array list dict map set value values key keys name names type types index
-config configuration settings environment variable parameter argument option options default request response header
-headers content body status error message exception handler logger logging debug info warning user username password
-passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret session_id
-Authorization Bearer Basic signature certificate credential credentials example placeholder changeme undefined
-http:// https:// www. .com .org .net /usr/local/bin /etc/ /home/ /var/log/ application/json text/html utf-8
-abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx 0000000000000000 ----------------
+MODULES = """
+argparse ast asyncio codecs collections configparser csv datetime email.message http.client http.server importlib inspect io
+json logging logging.handlers multiprocessing os pathlib pickle re shelve shutil socket sqlite3 ssl string subprocess tarfile
+tempfile threading tokenize typing unittest urllib.parse urllib.request xml.dom.minidom zipfile pyspark.sql.functions
 """
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CONTEXT = 160
+#: The shortest candidate, the characters on either side that count as its surroundings, and those before it that hold the sensitive word.
+SHORTEST, AROUND, NEAR = 16, 160, 64
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Corpus words that are primed (the most frequent of all), bytes of the dictionary, and names that it is trained on.
+WORDS, SIZE, TRAINED = 4000, 1 << 16, 20_000
+#: Ordinary names of each length, how many of them may add as much as a novel string, one word in how many is not primed, and the longest names.
+NAMES, ABOVE, UNKNOWN, LONGEST = 64, 0, 4, 64
+LEVEL = 19
+#: A whole word: no digit or sign of base64 adjoins it, so no part of a key with a digit is one.
+WORD = re.compile(r"(?<![A-Za-z0-9+=])[A-Za-z]{3,}(?![A-Za-z0-9+=])")
+#: Parts of names in camel case.
+PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+CUT = re.compile(r"(?<=[a-z])(?=[A-Z])|[_/-]+")
+LONGEST_WORD = 20
+#: Different words that a task holds before it hands them on.
+HELD = 200_000
 
 
-@functools.cache
-def compressor() -> zstandard.ZstdCompressor:
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
+class Model(NamedTuple):
+    """A trained dictionary, and ordinary names of each length from SHORTEST to LONGEST, in ``plain`` spelling."""
 
+    dictionary: bytes
+    names: tuple[tuple[str, ...], ...]
 
-def novelty(before: str, candidate: str, after: str) -> float:
-    """Compressed bytes that ``candidate`` adds to its surroundings, per character."""
-    around = (before + after).encode()
-    size = lambda data: len(compressor().compress(data))
-    return (size(around + b"\n" + candidate.encode()) - size(around)) / len(candidate)
+
+def parts(name: str) -> list[str]:
+    return [p.lower() for p in PART.findall(name) if 3 <= len(p) <= LONGEST_WORD]
+
+
+def library_words() -> set[str]:
+    """Words of the names in MODULES and their classes."""
+    names = {*dir(builtins), *sys.stdlib_module_names, *SENSITIVE.pattern.split("|")}
+    for module in map(importlib.import_module, MODULES.split()):
+        names.update(dir(module))
+        for value in vars(module).values():
+            if isinstance(value, type):
+                names.update(dir(value))
+    return {p for n in names for p in parts(n)}
+
+
+def corpus_words(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """The ``most`` most frequent words of all whole texts, parts of names in camel case each for themselves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: collections.Counter = collections.Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            each: collections.Counter = collections.Counter()
+            for word, n in held.items():
+                for part in [word] if word.islower() and len(word) <= LONGEST_WORD else parts(word):
+                    each[part] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(each.keys(), pa.string()), pa.array(each.values(), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(m[0] for m in WORD.finditer(text))
+                if len(held) > HELD:
+                    yield hand_on()
+        yield hand_on()
+
+    counted = docs.select(text_of().alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def ordinary_name(words: list[str], rng: random.Random) -> str:
+    """Words joined as in names, constants, paths and options, with a number at the end."""
+    some, number = [rng.choice(words) for _ in range(rng.randint(2, 6))], str(rng.randrange(10 ** rng.randint(1, 3)))
+    return rng.choice(("".join(w.title() for w in some), some[0] + "".join(w.title() for w in some[1:]), "_".join(some) + "_v", "/".join(some), "-".join(some) + "-")) + number
+
+
+def train(corpus: list[str]) -> Model:
+    """The dictionary and the names, from words of the corpus and of MODULES; equal words give an equal model."""
+    words = sorted(library_words().union(corpus))
+    rng = random.Random(3)
+    rng.shuffle(words)
+    primed = [w for k, w in enumerate(words) if k % UNKNOWN]
+    samples = [plain(ordinary_name(primed, rng)).encode() for _ in range(TRAINED)] + [w.encode() for w in primed for _ in (0, 1)]
+    dictionary = zstandard.train_dictionary(SIZE, samples, level=LEVEL).as_bytes()
+    names: dict[int, list[str]] = {n: [] for n in range(SHORTEST, LONGEST + 1)}
+    while any(len(x) < NAMES for x in names.values()):
+        name = plain(ordinary_name(words, rng))
+        if len(name) in names and len(names[len(name)]) < NAMES:
+            names[len(name)].append(name)
+    return Model(dictionary, tuple(map(tuple, names.values())))
+
+
+def learn(docs: DataFrame) -> Model:
+    """The model for ``docs``: words are counted in every whole text, null ones as empty; no rows leave the library's words."""
+    return train(corpus_words(docs))
+
+
+@functools.lru_cache(4)
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    primed = zstandard.ZstdCompressionDict(dictionary)
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    primed.precompute_compress(compression_params=settings)
+    return zstandard.ZstdCompressor(compression_params=settings, dict_data=primed)
+
+
+def plain(text: str) -> str:
+    """Small letters, parts of names set apart by spaces: one spelling for all ways to write a name."""
+    return CUT.sub(" ", text).lower()
+
+
+def is_novel(model: Model, before: str, candidate: str, after: str) -> bool:
+    """Whether ``candidate`` adds more compressed bytes to its surroundings than ordinary names of its length do.
+
+    The names stand in the same surroundings; all but ABOVE of them must add less. Strings longer than
+    the names are compared by bytes a character. Most names are told by the first few comparisons.
+    """
+    around, tested = plain(f"{before} {after}\n").encode(), plain(candidate)
+    press, size = compressor(model.dictionary).compress, max(SHORTEST, min(len(tested), LONGEST))
+    alone = len(press(around))
+    added = (len(press(around + tested.encode())) - alone) * size / max(size, len(tested))
+    above = 0
+    for name in model.names[size - SHORTEST]:
+        above += len(press(around + name.encode())) - alone >= added
+        if above > ABOVE:
+            return False
+    return True
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -79,7 +189,7 @@ def longest_word(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], least: float) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, base: list[tuple[int, int, str]], model: Model) -> list[tuple[int, int, str]]:
     """Candidates near a sensitive word that base spans don't touch and that hardly compress."""
     found, k, covered = [], 0, 0
     for m in CANDIDATE.finditer(text):
@@ -88,32 +198,32 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], least: float) -> li
             covered, k = max(covered, base[k][1]), k + 1
         if covered > s or not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
             continue
-        before, after = text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
-        if SENSITIVE.search(before[-64:]) and novelty(before, m[0], after) >= least:
+        before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
+        if SENSITIVE.search(before[-NEAR:]) and is_novel(model, before, m[0], after):
             found.append((s, e, "novel"))
     return found
 
 
-def spans_of(text: str, least: float) -> list[tuple[int, int, str]]:
+def spans_of(text: str, model: Model) -> list[tuple[int, int, str]]:
     base = base_spans(text)
-    if longest_word(text) < 16:  # no candidate
+    if longest_word(text) < SHORTEST:  # no candidate
         return base
-    return sorted(base + novel_spans(text, base, least), key=in_order)
+    return sorted(base + novel_spans(text, base, model), key=in_order)
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), least_novelty: float = 0.55) -> DataFrame:
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: Model | None = None) -> DataFrame:
     """The columns ``keep`` of each row with ``found``: array of (start, end, kind), by start, then kind.
 
     Places are code points, ends are exclusive. Null text is empty; repeated rows are scanned each for
-    itself, other columns don't count, no rows give no rows. ``least_novelty``: added
-    compressed bytes per character from which a string counts as incompressible (hexadecimal
-    digits need 0.5, base64 0.75).
+    itself, other columns don't count, no rows give no rows. ``model``: what ``learn`` made; without
+    one it is learned from ``docs``, whose texts are then read twice.
     """
+    model = model or learn(docs)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [[dict(zip(("start", "end", "kind"), x)) for x in spans_of(t, least_novelty)] for t in batch.column(batch.num_columns - 1).to_pylist()]
+            spans = [[dict(zip(("start", "end", "kind"), x)) for x in spans_of(t, model)] for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=[*keep, "found"])
 
     rows = docs.select(*(F.col(c) for c in keep), text_of().alias("__text"))
@@ -137,18 +247,19 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", least_novelty: float = 0.55) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", model: Model | None = None) -> DataFrame:
     """The rows of ``docs``, each span of its text replaced by ``mask``; overlapping spans are one.
 
     Null stays null, and every other column is as it was but for n_chars, where there is one: it
-    counts the new text.
+    counts the new text. ``model`` as in ``scan``.
     """
+    model = model or learn(docs)
     names = docs.columns
     schema = docs.schema
     where = names.index("text")
 
     def cover(text: str | None) -> str | None:
-        if not text or not (found := spans_of(text, least_novelty)):
+        if not text or not (found := spans_of(text, model)):
             return text
         out, at, end = [], 0, -1
         for s, e, _ in found:

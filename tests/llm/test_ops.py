@@ -3,7 +3,9 @@
 import collections
 import functools
 import hashlib
+import random
 import re
+import string
 import textwrap
 import zlib
 
@@ -123,10 +125,55 @@ def test_secrets(spark, odd):
     assert got == sorted(want)
 
 
-def test_novelty_reports_keys_and_leaves_prose():
-    assert [k for *_, k in secrets.spans_of("the private key is Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg here", 0.55)] == ["novel"]
-    assert secrets.spans_of("the private key is internationalization1internationalization1 here", 0.55) == []
-    assert secrets.spans_of("see Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg here", 0.55) == []
+@pytest.fixture(scope="module")
+def secret_model():
+    return secrets.train([])
+
+
+def test_novelty_reports_keys_and_leaves_prose(secret_model):
+    assert [k for *_, k in secrets.spans_of("the private key is Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg here", secret_model)] == ["novel"]
+    assert secrets.spans_of("the private key is internationalization1internationalization1 here", secret_model) == []
+    assert secrets.spans_of("see Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg here", secret_model) == []
+    for name in ("GetUserTokenFactory42", "store/index/node7", "user_config_cache_v2", "MAX_SESSION_HEADER_SIZE_16", "----------------1a"):
+        assert secrets.spans_of(f"the private key is {name} here", secret_model) == []
+
+
+#: Words that the tests make names of; a third of them the dictionary doesn't hold.
+NAME_WORDS = """get set user token factory config cache path node store index client server session request response header value build order
+invoice payment customer shipping basket widget parser reader writer buffer queue worker thread signal handler loader render canvas layout
+button dialog table column schema filter merge update remove insert account profile avatar locale country billing metric counter report export"""
+NEARBY = ["the private key is ", 'const token_value = "', "auth header for this build uses: ", "People sing and dance in many places, and the signature was ", "session_key: "]
+
+
+def test_novelty_recall_and_false_reports(secret_model):
+    rng = random.Random(12)
+    words = NAME_WORDS.split()
+    reported = lambda x: any(k == "novel" for *_, k in secrets.spans_of(f"{rng.choice(NEARBY)}{x} and some more of the text", secret_model))
+    styles = [lambda w: "".join(x.title() for x in w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "_".join(w) + "_v", lambda w: "/".join(w) + "/node", lambda w: "_".join(w).upper()]
+    every = []
+    for style in styles:
+        names = [n for n in (style(rng.choices(words, k=rng.randint(2, 5))) + str(rng.randrange(100)) for _ in range(400)) if len(n) >= 16]
+        every += [reported(n) for n in names]
+        assert np.mean(every[-len(names) :]) <= 0.08
+    assert np.mean(every) <= 0.05
+    letters = string.ascii_letters + string.digits
+    for alphabet in (letters, letters + "+/", string.ascii_lowercase + string.digits, "0123456789ABCDEF"):
+        for size in (24, 32, 40, 88):
+            keys = [k for k in ("".join(rng.choices(alphabet, k=size)) for _ in range(100)) if re.search("[0-9]", k) and not k.startswith("AKIA")]
+            assert np.mean([reported(k) for k in keys]) >= 0.9
+
+
+def test_secret_words_of_the_corpus(spark):
+    texts = [("zorbal zorbal zorbalQuint quint A1zorbalX",), (None,), ("",), ("zorbal " * 5,), ("k9zzz+zzz=quint " * 50,), ("w" * 10_000,)]
+    docs = spark.createDataFrame(texts, "text string").repartition(3)
+    assert secrets.corpus_words(docs) == ["zorbal", "quint"] and secrets.corpus_words(docs, 1) == ["zorbal"]
+    assert secrets.corpus_words(docs.limit(0)) == []
+    assert secrets.learn(docs) == secrets.train(["quint", "zorbal"])
+
+
+def test_redact_masks_novel_keys_and_leaves_names(spark):
+    docs = spark.createDataFrame([(1, "private key Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg and name GetUserTokenFactory42."), (2, "see Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg")], "doc_id long, text string")
+    assert sorted(map(tuple, secrets.redact(docs).collect())) == [(1, "private key [SECRET] and name GetUserTokenFactory42."), (2, "see Zx9Kq2Lm8Vt4Rw7Yp1Bn3Cd5Fg")]
 
 
 def test_redact_masks_and_keeps_rows(spark, odd):
@@ -241,7 +288,7 @@ def test_packing_merges_in_several_rounds(spark):
     rows = spark.createDataFrame(items, "item long, length long").repartition(64).selectExpr("item", "length", "item AS n")
     got = packing.pack(rows, 100, slack=0, group_limit=20).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 100 and len(got) == 3000
-    assert got.sequence_id.nunique() <= 1.15 * sum(n for _, n in items) / 100
+    assert got.sequence_id.nunique() <= 1.02 * sum(n for _, n in items) / 100
     ordered = got.sort_values(["sequence_id", "offset"])
     assert (ordered.offset == ordered.groupby("sequence_id").length.cumsum() - ordered.length).all()
 
