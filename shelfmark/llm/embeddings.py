@@ -10,9 +10,15 @@ planted at just the threshold from sampled vectors (so the figure doesn't hang o
 sample happens to hold), and the true links of sampled queries among all vectors, by brute force, each
 query counting as one. TARGET of either must be met. Nothing bounds the number but the grid itself.
 
-Cells are cut into blocks of at most MEMBERS members by VISITORS visitors; a block reports counts and a
-spanning forest, never its pairs. Vectors of different length have no cosine: each length has an
-index of its own.
+Large groups of near copies are balls: leaders are found in the sample that the codebooks are fitted on,
+and every vector within half the threshold's angle of its nearest leader is in that leader's ball. Two
+vectors of one ball link whatever they are, so a ball is counted and linked as a whole and its pairs are
+neither dealt nor compared.
+
+Cells are cut into blocks of at most MEMBERS members by VISITORS visitors; a ball that is large in a cell has
+blocks of its own there, which never meet each other. A block reports counts and a spanning forest, never its
+pairs. Vectors of different length have no cosine: each length has an index of its own, and lengths whose
+grid would have one cell need none.
 """
 
 from __future__ import annotations
@@ -28,8 +34,14 @@ from .common import discard, materialize
 from .components import connected_components, join_labels
 from .simhash import runs
 
-#: Rows that the codebooks are fitted on, queries and planted pairs that the traversal is measured with.
-FIT_ROWS, QUERIES, PLANTED = 20_000, 1024, 4000
+#: Rows that the codebooks are fitted on, queries and planted pairs that the traversal is measured with, and
+#: the numbers that the driver holds of either set of rows (128 MB): longer vectors, fewer rows.
+FIT_ROWS, QUERIES, PLANTED, NUMBERS = 20_000, 1024, 4000, 1 << 24
+#: Rows of the sample that leaders are sought among, and how many of them make a ball: groups of about a
+#: two-thousandth of all vectors.
+LEADER_ROWS, LEAST = 8192, 4
+#: Rows of a small table up to which it is broadcast (about 40 MB).
+SMALL = 1_000_000
 TARGET = 0.97
 MEMBERS, VISITORS = 2048, 8192
 #: A grid has no more cells than CODES * CODES, whatever the number of vectors.
@@ -39,6 +51,8 @@ ROOM, TIE = 1 << 21, 1e-9
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1. Each is divided by its largest component first, so that no square leaves the doubles."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True, initial=0)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -112,12 +126,64 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x.isNotNull() & (x != 0)), F.lit(False))
 
 
-def fit(vectors: DataFrame, total: int, width: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Codebooks of the two halves, from at most FIT_ROWS rows in the order of a hash, and those rows."""
-    size = int(np.clip(round((total / MEMBERS_PER_CELL) ** 0.5), 1, CODES))
-    sample = unit(np.array([r[0] for r in vectors.select("vector").orderBy(F.xxhash64("vector"), "node").limit(FIT_ROWS if size > 1 else 1).collect()], np.float64))
-    half = max(1, width // 2)
-    return (codebook(sample[:, :half], size), codebook(sample[:, half:], size)), sample
+def grid_side(total: Column | int) -> Column | int:
+    """Codes of a half for ``total`` vectors."""
+    if isinstance(total, Column):
+        return F.greatest(F.lit(1), F.least(F.lit(CODES), F.rint(F.sqrt(total / MEMBERS_PER_CELL)).cast("int")))
+    return int(np.clip(np.rint((total / MEMBERS_PER_CELL) ** 0.5), 1, CODES))
+
+
+def sampled(vectors: DataFrame, rows: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and vectors of at most ``rows`` rows (and ``NUMBERS`` numbers) in the order of a hash."""
+    got = vectors.orderBy(F.xxhash64("packed", F.lit(seed)), "node").select("node", "packed").limit(max(1, min(rows, NUMBERS // width))).toArrow()
+    return got["node"].to_numpy(), unit(array_of(got["packed"].combine_chunks(), width))
+
+
+def fit(sample: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codebooks of the two halves."""
+    size, half = grid_side(total), max(1, sample.shape[1] // 2)
+    return codebook(sample[:, :half], size), codebook(sample[:, half:], size)
+
+
+def inner(threshold: float) -> float:
+    """The cosine with a leader from which on two vectors link in any case: half the threshold's angle, less a margin for rounding."""
+    return ((1 + threshold) / 2) ** 0.5 + TIE
+
+
+def leaders(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """Middles of the sample's dense groups: at least LEAST rows within a ball, each row in one ball at most.
+
+    Tries as many rows, those with most neighbours first, as there could be balls. A group that isn't found
+    is compared in blocks like all else: only the work depends on it.
+    """
+    x = sample[:LEADER_ROWS]
+    near = np.concatenate([x[at : at + 1024] @ x.T >= threshold for at in range(0, len(x), 1024)])
+    count, free, found, tries = near.sum(axis=1), np.ones(len(x), bool), [], len(x) // LEAST
+    for k in np.argsort(-count, kind="stable"):
+        if count[k] < LEAST or not tries:
+            break
+        group = np.flatnonzero(near[k] & free)
+        if not free[k] or len(group) < LEAST:
+            continue
+        tries -= 1
+        middle = unit(x[group].sum(axis=0)[None])[0]  # of vectors that share a half-space, so not zero
+        ball = group[x[group] @ middle >= inner(threshold)]
+        free[k] = False
+        if len(ball) >= LEAST:
+            free[ball] = False
+            found.append(middle)
+    return np.array(found).reshape(-1, x.shape[1])
+
+
+def balls_of(x: np.ndarray, middles: np.ndarray, threshold: float) -> np.ndarray:
+    """The ball of each row: its nearest leader's, -1 if that is too far."""
+    out = np.full(len(x), -1, np.int64)
+    if len(middles):
+        for at in range(0, len(x), step := max(1, ROOM // len(middles))):
+            near = x[at : at + step] @ middles.T
+            best = near.argmax(axis=1)
+            out[at : at + step] = np.where(near[np.arange(len(near)), best] >= inner(threshold), best, -1)
+    return out
 
 
 def planted_ranks(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
@@ -141,8 +207,7 @@ def enough(ranks: np.ndarray, weights: np.ndarray) -> int:
 def measured_visits(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray], sample: np.ndarray, threshold: float) -> int:
     """Cells to visit, from planted pairs and from the true links of sampled queries."""
     visits = enough(planted_ranks(sample, books, threshold), np.ones(PLANTED))
-    ask = [(r[0], r[1]) for r in vectors.select("node", "vector").orderBy(F.xxhash64("vector", F.lit(1)), "node").limit(QUERIES).collect()]
-    nodes, queries = np.array([a for a, _ in ask]), unit(np.array([v for _, v in ask], np.float64))
+    nodes, queries = sampled(vectors, QUERIES, sample.shape[1], 1)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,14 +224,67 @@ def measured_visits(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray], sa
     return visits
 
 
+#: What names a block: a cell, a ball (-1: the rest) and a part of its members, a ball and a part of the visitors.
+BLOCK = ("width", "cell", "ma", "a", "vb", "b")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` to be broadcast if it has at most SMALL rows; beyond that the join deals both sides."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def blocks_of(indexed: DataFrame) -> DataFrame:
+    """Members and visitors of every cell, dealt to blocks named by BLOCK.
+
+    A ball with more rows in a cell than a block holds is cut into blocks of its own. They meet all blocks of that
+    cell but their own ball's, so a hot group isn't dealt against itself.
+    """
+    members = indexed.groupBy("width", F.col("home").alias("cell"), "ball").agg(F.count("*").alias("m"))
+    visitors = indexed.select("width", "ball", F.explode("cells").alias("cell")).groupBy("width", "cell", "ball").agg(F.count("*").alias("v"))
+    counts = members.join(visitors, ["width", "cell", "ball"], "full").fillna(0, ["m", "v"])
+    alone = (F.col("ball") >= 0) & ((F.col("m") > MEMBERS) | (F.col("v") > VISITORS))
+    counts = counts.groupBy("width", "cell", F.when(alone, F.col("ball")).otherwise(-1).alias("g")).agg(F.sum("m").alias("m"), F.sum("v").alias("v"))
+    group = F.struct("g", F.ceil(F.col("m") / MEMBERS).alias("m"), F.ceil(F.col("v") / VISITORS).alias("v"))
+    # a row for each cell that has members
+    cut = materialize(counts.groupBy("width", "cell").agg(F.collect_list(group).alias("groups"), F.sum("m").alias("n")).filter("n > 0").drop("n"), "cut")
+    cells = small(cut)
+
+    def dealt(rows: DataFrame, own: str, other: str, seed: int) -> DataFrame:
+        """Each row in its own part, ``(g, k)``, once for every part of the ``other`` side, ``(og, ok)``."""
+        rows = rows.join(cells, ["width", "cell"])
+        rows = rows.withColumn("mine", F.try_element_at(F.filter("groups", lambda x: (x["g"] == F.col("ball")) & (x["g"] >= 0)), F.lit(1)))
+        rows = rows.withColumn("mine", F.coalesce("mine", F.try_element_at(F.filter("groups", lambda x: x["g"] == -1), F.lit(1))))
+        rows = rows.withColumns({"g": F.col("mine")["g"], "k": F.pmod(F.xxhash64("node", F.lit(seed)), F.greatest(F.col("mine")[own], F.lit(1).cast("long")))})
+        numbers = lambda x: F.when(x[other] > 0, F.sequence(F.lit(1).cast("long"), x[other])).otherwise(F.array().cast("array<long>"))
+        meets = F.filter("groups", lambda x: (x["g"] == -1) | (x["g"] != F.col("g")))
+        parts = F.flatten(F.transform(meets, lambda x: F.transform(numbers(x), lambda k: F.struct(x["g"].alias("og"), (k - 1).alias("ok")))))
+        return rows.withColumn("part", F.explode(parts)).withColumns({"og": F.col("part")["og"], "ok": F.col("part")["ok"]})
+
+    rest = ("node", "copies", "home", "reach", "ball", "member", "packed")
+    stay = dealt(indexed.withColumn("cell", F.col("home")), "m", "v", 1).withColumn("member", F.lit(True))
+    come = dealt(indexed.withColumn("cell", F.explode("cells")), "v", "m", 2).withColumn("member", F.lit(False))
+    stay = stay.select("width", "cell", F.col("g").alias("ma"), F.col("k").alias("a"), F.col("og").alias("vb"), F.col("ok").alias("b"), *rest)
+    come = come.select("width", "cell", F.col("og").alias("ma"), F.col("ok").alias("a"), F.col("g").alias("vb"), F.col("k").alias("b"), *rest)
+    out = stay.unionByName(come).repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    out.reads = cut
+    return out
+
+
+def within_balls(indexed: DataFrame) -> DataFrame:
+    """Links of vectors in the same ball: (node, links, peer), as ``compare`` gives them."""
+    inside = indexed.filter("ball >= 0").select("width", "ball", "node", "copies")
+    totals = inside.groupBy("width", "ball").agg(F.sum("copies").alias("total"), F.min("node").alias("peer"))
+    return inside.join(small(totals), ["width", "ball"]).filter("total > copies").select("node", (F.col("total") - F.col("copies")).alias("links"), "peer")
+
+
 def compare(rows: DataFrame, index: dict[int, tuple], threshold: float) -> DataFrame:
     """Links within each block: (node, links, peer), peer being in the same component."""
 
     def block(t: pa.Table) -> pa.RecordBatch | None:
         member = t["member"].to_numpy()
-        node, copies, home, reach = (t[c].to_numpy() for c in ("node", "copies", "home", "reach"))
+        node, copies, home, reach, ball = (t[c].to_numpy() for c in ("node", "copies", "home", "reach", "ball"))
         width = t["width"][0].as_py()
-        books = index[width][0]
+        books = index[width][0] if width in index else None
         m, v = np.flatnonzero(member), np.flatnonzero(~member)
         if not len(m) or not len(v):
             return None
@@ -174,16 +292,19 @@ def compare(rows: DataFrame, index: dict[int, tuple], threshold: float) -> DataF
         links = np.zeros(len(node), np.int64)
         names, same = np.unique(node, return_inverse=True)
         label = np.arange(len(names))
-        near = half_distances(x[m], books)  # of members, to know which visitors' cells they visit themselves
+        near = None if books is None else half_distances(x[m], books)  # of members, to know which visitors' cells they visit themselves
         row = np.zeros(len(node), np.int64)
         row[m] = np.arange(len(m))
         for at in range(0, len(v), step := max(1, ROOM // len(m))):
             b, a = np.nonzero(x[v[at : at + step]] @ x[m].T >= threshold)
             a, b = m[a], v[at + b]
-            # a pair met in both cells counts in the lower one; within a cell, from the lower node
-            i, j = np.divmod(home[b], len(books[1]))
-            both = near[0][row[a], i] + near[1][row[a], j] <= reach[a]
-            once = np.where(home[a] == home[b], node[a] < node[b], ~both | (home[a] < home[b]))
+            # a pair met in both cells counts in the lower one; within a cell, from the lower node; in a ball, not here
+            once = node[a] < node[b]
+            if near is not None:
+                i, j = np.divmod(home[b], len(books[1]))
+                both = near[0][row[a], i] + near[1][row[a], j] <= reach[a]
+                once = np.where(home[a] == home[b], once, ~both | (home[a] < home[b]))
+            once &= (ball[a] < 0) | (ball[a] != ball[b])
             a, b = a[once], b[once]
             links += (np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))).astype(np.int64)
             label = join_labels(label, same[a], same[b])
@@ -191,7 +312,7 @@ def compare(rows: DataFrame, index: dict[int, tuple], threshold: float) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(names[label[same[some]]])], names=["node", "links", "peer"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 4):
+        for t in runs(batches, len(BLOCK)):
             if (out := block(t)) is not None:
                 yield out
 
@@ -219,46 +340,37 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
     nodes = good.groupBy("packed").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), (F.octet_length("packed") / 8).cast("int").alias("width"), "least", "copies", "packed"), "nodes")
 
-    def unpacked(width: int) -> DataFrame:
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = array_of(batch.column(1), width)
-                made = pa.ListArray.from_arrays(np.arange(0, x.size + 1, width, dtype=np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["node", "packed", "vector"])
-
-        return nodes.filter(F.col("width") == width).select("node", "packed").mapInArrow(unpack, "node long, packed binary, vector array<double>")
-
+    # lengths with a grid of several cells, at most one for every few thousand vectors; all others are one cell each
     index: dict[int, tuple] = {}
-    for width, total in sorted(map(tuple, nodes.groupBy("width").count().collect())):
-        vectors = unpacked(width)
-        books, sample = fit(vectors, total, width)
-        index[width] = books, measured_visits(vectors, books, sample, threshold) if len(books[0]) * len(books[1]) > 1 else 1
+    for width, total in sorted(map(tuple, nodes.groupBy("width").count().filter(grid_side(F.col("count")) > 1).collect())):
+        vectors = nodes.filter(F.col("width") == width)
+        sample = sampled(vectors, FIT_ROWS, width, 42)[1]
+        books = fit(sample, total)
+        index[width] = books, measured_visits(vectors, books, sample, threshold), leaders(sample, threshold)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths = batch.column(1).to_numpy()
-            for width in np.unique(widths).tolist():
+            plain = ~np.isin(widths, list(index))
+            if n := int(plain.sum()):
+                part, nothing = batch.filter(pa.array(plain)), pa.array(np.zeros(n, np.int64))
+                listed = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32), nothing)
+                yield pa.RecordBatch.from_arrays([*part.columns, nothing, pa.array(np.zeros(n)), pa.array(np.full(n, -1)), listed], names=names)
+            for width in np.unique(widths[~plain]).tolist():
                 part = batch.filter(pa.array(widths == width))
-                books, visits = index[width]
+                books, visits, middles = index[width]
                 x = unit(array_of(part.column(3), width))
                 row, cell, reach = traverse(x, books, visits)
                 order = np.argsort(row, kind="stable")
                 listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.bincount(row, minlength=len(x)))).astype(np.int32), pa.array(cell[order]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(homes(x, books)), pa.array(reach), listed], names=["node", "width", "copies", "packed", "home", "reach", "cells"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(homes(x, books)), pa.array(reach), pa.array(balls_of(x, middles, threshold)), listed], names=names)
 
-    indexed = nodes.select("node", "width", "copies", "packed").mapInArrow(visit, "node long, width int, copies long, packed binary, home long, reach double, cells array<long>")
+    names = ["node", "width", "copies", "packed", "home", "reach", "ball", "cells"]
+    indexed = nodes.select("node", "width", "copies", "packed").mapInArrow(visit, "node long, width int, copies long, packed binary, home long, reach double, ball long, cells array<long>")
     indexed = materialize(indexed, "index")
-    members = indexed.groupBy("width", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).alias("m"))
-    visitors = indexed.select("width", F.explode("cells").alias("cell")).groupBy("width", "cell").agg(F.ceil(F.count("*") / VISITORS).alias("v"))
-    # one row a cell at most: bounded by the codebooks, so it may be broadcast
-    cut = F.broadcast(materialize(members.join(visitors, ["width", "cell"]), "cut"))
-    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    stay = indexed.withColumn("cell", F.col("home")).join(cut, ["width", "cell"]).withColumns({"a": part(F.col("m"), 1), "b": every(F.col("v")), "member": F.lit(True)})
-    come = indexed.withColumn("cell", F.explode("cells")).join(cut, ["width", "cell"]).withColumns({"a": every(F.col("m")), "b": part(F.col("v"), 2), "member": F.lit(False)})
-    columns = ("width", "cell", "a", "b", "node", "copies", "home", "reach", "member", "packed")
-    dealt = stay.select(*columns).unionByName(come.select(*columns)).repartition("width", "cell", "a", "b").sortWithinPartitions("width", "cell", "a", "b")
-    met = materialize(compare(dealt, index, threshold), "met")
+    dealt = blocks_of(indexed)
+    met = materialize(compare(dealt, index, threshold).unionByName(within_balls(indexed)), "met")
+    discard(dealt.reads)
     found = connected_components(met.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.join(links, "node", "left").join(found, "node", "left").select("packed", "least", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("label"))

@@ -572,6 +572,72 @@ def test_embedding_lengths_have_their_own_index(spark):
     assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, 4, 0) for k in range(5)} | {(10 + k, 2, 10) for k in range(3)} | {(20, 0, 20)}
 
 
+def recorded(monkeypatch):
+    """Rows that are dealt to blocks."""
+    count, deal = [], embeddings.blocks_of
+
+    def blocks_of(indexed):
+        out = deal(indexed)
+        count.append(out.count())
+        return out
+
+    monkeypatch.setattr(embeddings, "blocks_of", blocks_of)
+    return count
+
+
+def test_embedding_balls_against_brute_force(spark, tmp_path, monkeypatch):
+    """Two large tight groups whose pairs link in part, repeated vectors, a loose group, and the rest."""
+    for name, value in (("MEMBERS", 200), ("VISITORS", 400), ("MEMBERS_PER_CELL", 300)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(12)
+    u = np.linalg.qr(rng.standard_normal((24, 24)))[0]
+    first, second = u[0], 0.9 * u[0] + 0.19**0.5 * u[1]
+    x = [first + 0.02 * rng.standard_normal((1500, 24)), second + 0.02 * rng.standard_normal((900, 24)), np.repeat(u[2][None], 300, axis=0), u[3] + 0.06 * rng.standard_normal((800, 24)), rng.standard_normal((2500, 24))]
+    x = rng.permutation(np.concatenate(x))
+    middles = embeddings.leaders(embeddings.unit(x), 0.9)
+    balls = embeddings.balls_of(embeddings.unit(x), middles, 0.9)
+    assert np.sort(np.bincount(balls[balls >= 0]))[-2] >= 890
+    for k in range(len(middles)):
+        inside = embeddings.unit(x[balls == k])
+        assert not len(inside) or (inside @ inside.T >= 0.9).all()
+    got = embeddings.near_duplicate_vectors(vectors_of(spark, tmp_path, x)).toPandas().sort_values("vec_id")
+    links, label = plain_links(x)
+    some = links > 0
+    assert (got.n_links.to_numpy() <= links).all() and (got.n_links.to_numpy()[some] / links[some]).mean() >= 0.95
+    assert (got.component_id.to_numpy()[some] == label[some]).mean() >= 0.95
+    # where the traversal visits all cells, the answer is exact
+    monkeypatch.setattr(embeddings, "measured_visits", lambda vectors, books, sample, threshold: len(books[0]) * len(books[1]))
+    got = embeddings.near_duplicate_vectors(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == label).all()
+
+
+def test_embedding_hot_group_is_dealt_in_proportion(spark, tmp_path, monkeypatch):
+    """Rows dealt for each vector don't grow with a group of near copies that is a third of the table."""
+    dealt = recorded(monkeypatch)
+    for name, value in (("MEMBERS", 256), ("VISITORS", 512), ("MEMBERS_PER_CELL", 256)):
+        monkeypatch.setattr(embeddings, name, value)
+    monkeypatch.setattr(embeddings, "measured_visits", lambda *_: 4)
+    for n in (4_000, 16_000):
+        rng = np.random.default_rng(n)
+        x = rng.permutation(np.concatenate([rng.standard_normal(32) + 0.05 * rng.standard_normal((n, 32)), rng.standard_normal((2 * n, 32))]))
+        (tmp_path / str(n)).mkdir()
+        got = embeddings.near_duplicate_vectors(vectors_of(spark, tmp_path / str(n), x)).toPandas()
+        assert (got.n_links >= n - 1).sum() == n and (got.n_links > 0).sum() < n + 20
+    assert dealt[1] < 1.5 * 4 * dealt[0]
+
+
+def test_embedding_extreme_components_keep_their_links(spark):
+    rows = [(k, [s * 1.0, s * 0.01 * k]) for k, s in enumerate((1e200, 1e-200, 1.0, 1e300, 1e-300))] + [(9, [-1e200, 0.0])]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(k, 4, 0) for k in range(5)} | {(9, 0, 9)}
+
+
+def test_embedding_many_lengths_are_one_job_each_step(spark):
+    rows = [(10 * n + k, [1.0] * n + [0.001 * k]) for n in range(1, 200) for k in range(3)]
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(10 * n + k, 2, 10 * n) for n in range(1, 200) for k in range(3)}
+
+
 def test_traversal_visits_the_nearest_cells():
     rng = np.random.default_rng(9)
     books, x = (rng.standard_normal((7, 3)), rng.standard_normal((5, 4))), rng.standard_normal((50, 7))
