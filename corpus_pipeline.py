@@ -77,15 +77,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next.
 
-    A stage's table is deleted once the next one is written. Odd rows are treated as the stages say;
-    an empty ``documents`` gives no sequences.
+    A stage's tables are deleted once the next one is written; packing has read the last of them when it
+    returns its pieces. Odd rows are treated as the stages say; an empty ``documents`` gives no sequences.
     """
     from shelfmark.llm.common import discard, materialize, table
 
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        after = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        if k:
-            discard(docs)
+        result = stage(spark, docs, sf_dir)
+        after = materialize(result, f"stage-{name}")
+        discard(*getattr(result, "reads", ()), *([docs] if k else []))
         docs = after
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return packed

@@ -43,6 +43,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, which still reads ``tables`` of ``materialize``: whoever writes it discards ``df.reads``."""
+    df.reads = tables
+    return df
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for each in tables:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, reading
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating stars: a round first points every larger neighbour of a node at the smallest node
     near it, then gathers each node's smaller neighbours under the smallest of them. Rounds grow
     with the logarithm of the longest path. Each round is written to the shared folder; the driver
-    only learns whether one more is due. Null ends and loops are dropped; no edges give no rows.
+    only learns whether one more is due. Null ends and loops are dropped; no edges give no rows. The
+    result reads one table (``reads``); ``edges`` isn't read any more.
     """
     high, low = F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")
     links = materialize(edges.filter("a <> b").select(high, low).distinct(), "links")
@@ -30,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(links, nearest, large)
         links = after
     roots = links.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()
-    return links.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(roots)
+    return reading(links.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(roots), links)
 
 
 def stars(links: DataFrame) -> bool:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, reading
 from .components import connected_components, join_labels
 from .simhash import runs
 
@@ -265,9 +265,7 @@ def blocks_of(indexed: DataFrame) -> DataFrame:
     come = dealt(indexed.withColumn("cell", F.explode("cells")), "v", "m", 2).withColumn("member", F.lit(False))
     stay = stay.select("width", "cell", F.col("g").alias("ma"), F.col("k").alias("a"), F.col("og").alias("vb"), F.col("ok").alias("b"), *rest)
     come = come.select("width", "cell", F.col("og").alias("ma"), F.col("ok").alias("a"), F.col("g").alias("vb"), F.col("k").alias("b"), *rest)
-    out = stay.unionByName(come).repartition(*BLOCK).sortWithinPartitions(*BLOCK)
-    out.reads = cut
-    return out
+    return reading(stay.unionByName(come).repartition(*BLOCK).sortWithinPartitions(*BLOCK), cut)
 
 
 def within_balls(indexed: DataFrame) -> DataFrame:
@@ -370,7 +368,7 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
     indexed = materialize(indexed, "index")
     dealt = blocks_of(indexed)
     met = materialize(compare(dealt, index, threshold).unionByName(within_balls(indexed)), "met")
-    discard(dealt.reads)
+    discard(*dealt.reads)
     found = connected_components(met.select(F.col("node").alias("a"), F.col("peer").alias("b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.join(links, "node", "left").join(found, "node", "left").select("packed", "least", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("label"))
@@ -379,7 +377,7 @@ def near_duplicate_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "
     smallest = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
     known = labelled.join(smallest, "label").select("packed", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = materialize(good.join(known, "packed").select(F.col("key").alias(key), "n_links", "component_id"), "linked")
-    discard(good, nodes, indexed, met, labelled, smallest)
+    discard(good, nodes, indexed, met, labelled, smallest, *found.reads)
     # vectors that can have no cosine are alone
     alone = values.filter(~usable("vector")).select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, keyed, materialize, text_of
+from .common import WORD, attach, discard, keyed, materialize, reading, text_of
 
 #: Weights by rank of the source, repeating; the most copies of a source.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), weights: tuple[int
     placed = base.withColumn("__place", place).join(starts, ["__key", "__class", "__bin"]).withColumn("__upto", F.col("__start") + F.col("__place"))
     crossed = F.floor(F.col("__draw") + F.col("__rate") * F.col("__upto")) - F.floor(F.col("__draw") + F.col("__rate") * (F.col("__upto") - 1))
     copies = F.least(crossed, F.lit(cap).cast("long")).alias("copies")
-    return placed.select(*keep, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return reading(placed.select(*keep, "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size")), base)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
@@ -92,9 +92,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     in every column are taken together. Null text has size 0; no rows give no rows.
     """
     rows = keyed(docs, *docs.columns)
-    taken = mix(rows, ("__id", "__mark"), weights, cap, seed).groupBy("__id", "__mark").agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
-    taken = materialize(taken, "taken")
-    return attach(rows, taken).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    made = mix(rows, ("__id", "__mark"), weights, cap, seed)
+    taken = materialize(made.groupBy("__id", "__mark").agg(F.sum("copies").alias("__copies")).filter("__copies > 0"), "taken")
+    discard(*made.reads)
+    return reading(attach(rows, taken).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns), taken)
 
 
 #: The same mix in DuckDB's SQL.

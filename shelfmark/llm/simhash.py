@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, discard, keyed, materialize, text_of
+from .common import attach, discard, keyed, materialize, reading, text_of
 from .components import connected_components, join_labels
 
 FAN_OUT = 16
@@ -234,7 +234,8 @@ def open_blocks(members: DataFrame, classes: DataFrame, columns: tuple[str, ...]
     rows = labelled.join(cut, "group")
     asking = rows.filter(outside).withColumns({"k1": part_of(F.col("i"), 1), "k2": each_part(F.col("j")), "left": F.lit(True)})
     asked = rows.withColumns({"k1": each_part(F.col("i")), "k2": part_of(F.col("j"), 2), "left": F.lit(False)})
-    return asking.unionByName(asked).select(F.col("group").alias("k0"), "k1", "k2", "left", "node", "label", *columns)
+    blocks = asking.unionByName(asked).select(F.col("group").alias("k0"), "k1", "k2", "left", "node", "label", *columns)
+    return reading(blocks, leads, labelled, cut)
 
 
 def block_edges(blocks: DataFrame, limit: int) -> DataFrame:
@@ -265,16 +266,21 @@ def link_fingerprints(distinct: DataFrame, limit: int = 4, leaf: int = 2048, mos
     large = materialize(large.select("group", F.ceil(F.col("n") / most).alias("many"), "lead"), "large")
     found = large.count()
     if not found:
+        discard(large)
         return connected_components(group_edges(dealt.withColumn("part", F.lit(0)), limit))
     cut = F.broadcast(large) if found <= 100_000 else large
     parted = dealt.join(cut, "group", "left").withColumn("part", F.coalesce(part_of(F.col("many"), 1, "fingerprint"), F.lit(0)))
     leads = large.select("group", each_part(F.col("many")).alias("part"), F.col("lead").alias("fingerprint"))
     first = materialize(group_edges(parted.select("group", "part", "fingerprint").unionByName(leads), limit), "first")
-    classes = materialize(connected_components(first), "classes")
+    joined = connected_components(first)
+    classes = materialize(joined, "classes")
+    discard(*joined.reads)
     members = dealt.join(cut, "group").select("group", "lead", F.col("fingerprint").alias("node"))
     parts = lambda c: F.ceil(F.count(F.when(c, 1)) / most)
-    second = block_edges(open_blocks(members, classes, (), parts), limit)
-    return connected_components(first.unionByName(second))
+    blocks = open_blocks(members, classes, (), parts)
+    found = connected_components(first.unionByName(block_edges(blocks, limit)))
+    discard(large, first, classes, *blocks.reads)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit: int = 4) -> DataFrame:
@@ -289,6 +295,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 4, limit:
     labelled = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("label"))
     # written, so that a join on a label that many share is between plain exchanges
     labelled = materialize(labelled, "labelled")
+    discard(distinct, *found.reads)
     smallest = materialize(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
     return made.join(labelled.join(smallest, "label").select("fingerprint", "component_id"), "fingerprint").select(key, "fingerprint", "component_id")
 
@@ -450,6 +457,7 @@ def links_of(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     groups = dealt.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("lead")).filter("n > 1")
     groups = materialize(groups.select("group", "lead"), "groups")
     members = materialize(dealt.join(groups, "group"), "members")
+    discard(groups)
 
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "__id", "__mark")
     known_sets = materialize(attach(keyed(docs, "text").select("__id", "__mark", text_of().alias("text")), wanted).select("node", "text").mapInArrow(set_writer(size), "node long, held binary"), "sets")
@@ -465,12 +473,13 @@ def links_of(nodes: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     discard(pairs, leads)
 
     # in groups of several classes, each row outside the least node's class against all of another class
-    classes = materialize(connected_components(first), "classes")
+    joined = connected_components(first)
+    classes = materialize(joined, "classes")
     count = lambda c: parts(F.count(F.when(c, 1)), F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0)))
     blocks = open_blocks(members, classes, own[1:], count)
     second = materialize(verified(in_question(blocks, similarity), known_sets, similarity), "second")
-    discard(known_sets, members, classes)
-    return first.unionByName(second)
+    discard(known_sets, members, classes, *joined.reads, *blocks.reads)
+    return reading(first.unionByName(second), first, second)
 
 
 def set_writer(size: int):
@@ -515,8 +524,10 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     with the same text being as good. No rows give no rows.
     """
     nodes = nodes_of(docs, size)
-    found = connected_components(links_of(nodes, docs, size, similarity))
+    links = links_of(nodes, docs, size, similarity)
+    found = connected_components(links)
+    discard(*links.reads)
     chosen = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     chosen = materialize(chosen.select("least.__id", "least.__mark"), "chosen")
-    discard(nodes)
-    return attach(keyed(docs, "text"), chosen).select(*docs.columns)
+    discard(nodes, *found.reads)
+    return reading(attach(keyed(docs, "text"), chosen).select(*docs.columns), chosen)

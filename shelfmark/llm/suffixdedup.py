@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, text_of
+from .common import discard, materialize, new_folder, reading, text_of
 
 DEPTH, GRAM = 200, 32
 REACH = DEPTH - GRAM
@@ -322,6 +322,7 @@ def repeated_spans(texts: DataFrame, n: int) -> DataFrame:
     # written, so that the join on grams that many places share is between plain exchanges
     more = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "more")
     seen = materialize(around(texts, found.join(more, "gram", "left_semi"), n), "around")
+    discard(found, more)
 
     wholes = seen.groupBy("gram", "w0", "w1").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("one"))
     wholes = materialize(wholes.select("gram", "w0", "w1", "n", "one.row", "one.at"), "wholes")
@@ -330,24 +331,30 @@ def repeated_spans(texts: DataFrame, n: int) -> DataFrame:
 
     # one of each context, where a context seen once has company
     size = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("*").alias("contexts"), F.min("n").alias("fewest")).filter("contexts > 1 and fewest = 1").drop("fewest")
-    wanted = materialize(wholes.drop("w0", "w1").join(materialize(size(wholes, "gram"), "companies"), "gram"), "wanted")
+    companies = materialize(size(wholes, "gram"), "companies")
+    wanted = materialize(wholes.drop("w0", "w1").join(companies, "gram"), "wanted")
+    discard(companies)
+    reads = [seen, wholes, wanted]
     keys = ["gram", "side", "mark"]
     few = wanted.filter(F.col("contexts") <= LOCAL).withColumns({"side": F.lit(2).cast("long"), "mark": F.lit(0).cast("long")}).select(*keys, "row", "at")
     many, windows = wanted.filter(F.col("contexts") > LOCAL), None
     if not many.isEmpty():
-        sided = materialize(beside(texts, many.select("gram", "row", "at", "n"), n), "sided")
-        sided = materialize(sided.join(size(sided, *keys), keys), "sided")
+        both = materialize(beside(texts, many.select("gram", "row", "at", "n"), n), "sided")
+        sided = materialize(both.join(size(both, *keys), keys), "sided")
+        discard(both)
+        reads.append(sided)
         few = few.unionByName(sided.filter(F.col("contexts") <= LOCAL).select(*keys, "row", "at"))
         hot = sided.filter(F.col("contexts") > LOCAL)
         windows = None if hot.isEmpty() else materialize(fetch(texts, hot, n, True), "windows")
     dealt = fetch(texts, few, n, False).repartition(*keys).sortWithinPartitions(*keys)
     spans = spans.unionByName(compare_local(dealt))
     if windows is not None:
+        reads.append(windows)
         at = [*keys, "place", "c0", "c1"]
         twice = windows.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1").select(*at)
         ends = windows.join(twice, at, "left_semi").groupBy("row", "at").agg(F.min("place").alias("low"), F.max("place").alias("high"))
         spans = spans.unionByName(ends.select("row", (F.col("at") - F.col("high")).alias("start"), (F.col("at") + DEPTH - F.col("low")).alias("end")))
-    return spans
+    return reading(spans, *reads)
 
 
 def mark_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -357,7 +364,9 @@ def mark_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     of their own. ``keep`` may not name __data or __row.
     """
     texts, n = store(docs, keep)
-    spans = materialize(repeated_spans(texts, n), "spans")
+    found = repeated_spans(texts, n)
+    spans = materialize(found, "spans")
+    discard(*found.reads)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

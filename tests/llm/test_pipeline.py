@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from shelfmark.llm import components, mixing, simhash
+from shelfmark.llm import common, components, mixing, queries, simhash
 
 
 @pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
@@ -145,3 +145,14 @@ def test_run(spark, odd):
         docs = stage(spark, docs, odd)
     # without the tables between the stages the same documents arrive
     assert sorted(got[got.piece == 0].doc_id.fillna(-1).astype(int)) == sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("name, stay", [("op4_simhash", {"fingerprints", "labelled", "smallest"}), ("op6_suffix_dedup", {"texts", "spans"}), ("op10_embedding_near_dup", {"linked"}), ("pipeline", {"pieces", "packed", "placed"})])
+def test_tables_that_nothing_reads_are_deleted(spark, tmp_path, monkeypatch, name, stay):
+    """What is left in the shared folder is what the returned plan reads."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    rows = out.count()
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "shelfmark").iterdir()}
+    assert left <= stay, left - stay
+    assert rows == out.count() > 0
