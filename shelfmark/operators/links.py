@@ -19,11 +19,15 @@ def derive_links(accounts: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(links.select("account_id", "url").distinct(), ["account_id", "url"], "left_anti")
 
 
-def add_manual_links(new: DataFrame, links: DataFrame, hints: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """Users' URLs that their account doesn't have: provider inferred, label by provider."""
-    rows = new.select("account_id", F.trim("url").alias("url"), F.coalesce("provider", infer_provider(F.col("url"), hints)).alias("provider"), F.col("label").alias("given"))
-    label = F.coalesce("given", F.initcap("provider"))
-    rows = rows.groupBy("account_id", "url").agg(F.min(F.struct("provider", label.alias("label"))).alias("k")).select("account_id", "url", "k.provider", "k.label", F.lit("manual").alias("kind"))
+def add_manual_links(new: DataFrame, links: DataFrame, hints: tuple[tuple[str, str], ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """Users' URLs that their account doesn't have: provider inferred, label by provider.
+
+    Of a URL that an account is given more than once, the first by ``order`` stays, as when they are
+    inserted one by one; rows that this leaves open go by provider and label.
+    """
+    rows = new.withColumns({"url": F.trim("url"), "provider": F.coalesce("provider", infer_provider(F.trim("url"), hints))})
+    kept = F.struct("provider", F.coalesce("label", F.initcap("provider")).alias("label"))
+    rows = rows.groupBy("account_id", "url").agg(F.min_by(kept, F.struct(*order, kept.alias("__kept"))).alias("k")).select("account_id", "url", "k.provider", "k.label", F.lit("manual").alias("kind"))
     return rows.join(links.select("account_id", "url").distinct(), ["account_id", "url"], "left_anti")
 
 

@@ -12,6 +12,7 @@ from shelfmark.functions import pacing as fp
 from shelfmark.operators import accounts as A
 from shelfmark.operators import audit
 from shelfmark.operators import events as E
+from shelfmark.operators import links
 from shelfmark.operators import media as M
 from shelfmark.operators import remote as R
 from shelfmark.sources.listing import TABLES, list_files, load_table, save_table
@@ -229,3 +230,10 @@ def test_data_tables_part_a_large_account_and_keep_their_layout(spark, tmp_path)
     assert found.count() == 4000 and len(list((tmp_path / "links").glob("*.parquet"))) > 1
     save_table(rows.filter("false"), "links", str(tmp_path))
     assert load_table(spark, "links", str(tmp_path)).count() == 0
+
+
+def test_the_first_of_a_repeated_link_stays(spark):
+    rows = [(9, 1, " https://a.example/x", "b", None), (4, 1, "https://a.example/x", "z", "mine"), (5, 1, "https://a.example/x", "a", "theirs"), (2, 2, "https://a.example/x", None, None), (3, 1, "https://a.example/y", "c", "old")]
+    given = spark.createDataFrame(rows, "id long, account_id long, url string, provider string, label string")
+    found = links.add_manual_links(given, given.filter("id = 3"), order=("id",)).select("account_id", "url", "provider", "label")
+    assert sorted(map(tuple, found.collect())) == [(1, "https://a.example/x", "z", "mine"), (2, "https://a.example/x", "custom", "Custom")]
