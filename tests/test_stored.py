@@ -260,3 +260,16 @@ def test_outcomes_keep_a_bounded_state(spark, tmp_path):
     state = spark.read.format("statestore").load(f"{out}/checkpoint")
     sizes = [len(r["v"]["groupState"]["recent"]) for r in state.select(F.col("value").alias("v")).collect()]
     assert sizes and max(sizes) <= 1100
+
+
+def test_buckets_share_the_coalescing_state(spark, tmp_path):
+    """Two buckets for 60 keys: as many states, and the runs of the batch operator."""
+    folder, out, rng = f"{tmp_path}/in", f"{tmp_path}/out", random.Random(3)
+    for k in range(3):
+        land(spark, folder, [(100 * k + j, 10_000 * k + rng.randrange(9_000), "error", j % 60, "e", "X", f"m {j}", None if j % 3 else f"d{j}", j if j % 4 else None, "s", None, None, None) for j in range(100)], EVENTS)
+    log = spark.read.parquet(folder)
+    found = S.standing(S.run_to_table(S.stream_coalesce(S.event_stream(spark, folder, log.schema, 1, "1 hour"), buckets=2), out))
+    show = lambda rows: sorted(map(str, rows.select("fingerprint", "id", "occurrences", "message", "detail", "job_id").collect()))
+    assert show(found) == show(E.coalesce_events(log)) and len(show(found)) > 60
+    state = spark.read.format("statestore").option("stateVarName", "runs").load(f"{out}/checkpoint")
+    assert 0 < state.select("key").distinct().count() <= 2
