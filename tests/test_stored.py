@@ -273,3 +273,23 @@ def test_buckets_share_the_coalescing_state(spark, tmp_path):
     assert show(found) == show(E.coalesce_events(log)) and len(show(found)) > 60
     state = spark.read.format("statestore").option("stateVarName", "runs").load(f"{out}/checkpoint")
     assert 0 < state.select("key").distinct().count() <= 2
+
+
+def test_buckets_share_the_outcomes(spark, tmp_path):
+    """Three buckets for 200 accounts, later and earlier successes: as the jobs in a row tell."""
+    folder, out, rng = f"{tmp_path}/in", f"{tmp_path}/out", random.Random(4)
+    every = []
+    for k in range(3):
+        rows = [(a, rng.choice(("failed", "failed", "succeeded")) if a % 3 else "failed", 50_000 * k + rng.randrange(49_000)) for a in range(200) for _ in range(4)]
+        land(spark, folder, rows, "account_id long, status string, at long")
+        every += rows
+    schema = spark.read.parquet(folder).schema
+    found = S.run_to_table(S.stream_job_outcomes(S.event_stream(spark, folder, schema, 1, "1 day"), buckets=3), out)
+    last = {r["account_id"]: r for r in found.groupBy("account_id").agg(F.max_by(F.struct("*"), "batch").alias("r")).select("r.*").collect()}
+    assert len(last) == 200
+    for a, r in last.items():
+        won, lost = (max((t for b, s, t in every if b == a and s == kind), default=None) for kind in ("succeeded", "failed"))
+        us = lambda t: None if t is None else (t + 1_000_000) * 1_000_000
+        assert (r["last_success_us"], r["last_error_us"]) == (us(won), us(lost))
+        assert r["consecutive_failures"] == sum(b == a and s == "failed" and (won is None or t > won) for b, s, t in every)
+    assert spark.read.format("statestore").load(f"{out}/checkpoint").count() <= 3
