@@ -16,8 +16,8 @@ from ..streaming import streams as S
 from .catalog import COALESCED, PRINT
 
 
-#: Batches that a stream's rows land in, and files of each.
-BATCHES, FILES = 6, 2
+#: Batches that a stream's rows land in, least files of each, and rows that a batch lands in one file.
+BATCHES, FILES, FILE_ROWS = 6, 2, 250_000
 
 
 #: A text column of each data table.
@@ -38,9 +38,13 @@ def _landed(spark: SparkSession, rows: DataFrame, label: str, order: str | None
         slice_ = F.least(F.floor((seconds - F.lit(first or 0)) * BATCHES / F.lit(max((last or 0) - (first or 0), 1))), F.lit(BATCHES - 1))
     else:
         slice_ = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES))
+    slice_ = F.coalesce(slice_, F.lit(0))
+    counts = [r["count"] for r in rows.groupBy(slice_.alias("slice")).count().collect()]
+    # a batch takes whole slices: every slice lands in as many files, and none of them may stay empty
+    files = max(FILES, min(-(-max(counts, default=0) // FILE_ROWS), min(counts, default=0) // 100))
     for k in range(BATCHES):
-        rows.filter(F.coalesce(slice_, F.lit(0)) == k).repartition(FILES, F.rand(k)).write.mode("append").parquet(folder)
-    return S.event_stream(spark, folder, rows.schema, FILES, watermark)
+        rows.filter(slice_ == k).repartition(files, F.rand(k)).write.mode("append").parquet(folder)
+    return S.event_stream(spark, folder, rows.schema, files, watermark)
 
 
 def _last(rows: DataFrame, *keys: str) -> DataFrame:

@@ -293,3 +293,17 @@ def test_buckets_share_the_outcomes(spark, tmp_path):
         assert (r["last_success_us"], r["last_error_us"]) == (us(won), us(lost))
         assert r["consecutive_failures"] == sum(b == a and s == "failed" and (won is None or t > won) for b, s, t in every)
     assert spark.read.format("statestore").load(f"{out}/checkpoint").count() <= 3
+
+
+def test_slices_land_in_files_by_their_rows(spark, monkeypatch):
+    """Large slices are many tasks' work, and each lands in as many files, as a batch is so many."""
+    from shelfmark.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 300)
+    rows = spark.range(6000).select("id", (F.timestamp_seconds(F.col("id") * 60)).cast("timestamp_ntz").alias("ts"))
+    seen = {}
+    monkeypatch.setattr(S, "event_stream", lambda spark, folder, schema, files, watermark: seen.update(folder=folder, files=files))
+    streams._landed(spark, rows, "sliced")
+    assert seen["files"] == 4
+    assert len([f for f in os.listdir(seen["folder"].removeprefix("file:")) if f.endswith(".parquet")]) == 4 * streams.BATCHES
+    assert spark.read.parquet(seen["folder"]).count() == 6000
