@@ -307,3 +307,10 @@ def test_slices_land_in_files_by_their_rows(spark, monkeypatch):
     assert seen["files"] == 4
     assert len([f for f in os.listdir(seen["folder"].removeprefix("file:")) if f.endswith(".parquet")]) == 4 * streams.BATCHES
     assert spark.read.parquet(seen["folder"]).count() == 6000
+
+
+@pytest.mark.parametrize("name", ["A10_sync_run_summary", "G2_index_media", "J2_dedup_guards", "WL2_sync_index"])
+def test_the_index_is_made_once(spark, name):
+    """What is returned reads the stored index; the raw rows are aggregated only to make it."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(l_shipdate" not in plan
