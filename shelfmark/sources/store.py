@@ -84,14 +84,17 @@ def _write(rows: DataFrame, table: Table, version: int) -> list[int]:
     return sorted(int(s.getPath().getName().split("=")[1]) for s in store.listStatus(path(base)) if s.getPath().getName().startswith("bucket="))
 
 
-def create(rows: DataFrame, folder: str, keys: tuple[str, ...], buckets: int = 64, giant: int = 5_000_000) -> Table:
+def create(rows: DataFrame, folder: str, keys: tuple[str, ...], buckets: int = 64, giant: int = 5_000_000, bucket_rows: int = 500_000) -> Table:
     """Store ``rows``, unique by ``keys`` (which begin with account_id).
 
     Accounts of over ``giant`` rows are dealt by all keys; their ids, at most the rows divided by ``giant``,
-    are part of the manifest.
+    are part of the manifest. ``buckets`` is the least number: there are more where one would hold over
+    ``bucket_rows`` on average, as a bucket is sorted and written by one task.
     """
-    found = rows.groupBy("account_id").agg(F.count("*").alias("n")).filter((F.col("n") > giant) & F.col("account_id").isNotNull()).collect()
-    table = Table(folder, rows.schema, tuple(keys), buckets, tuple(sorted(r["account_id"] for r in found)), 0, {})
+    sizes = rows.groupBy("account_id").agg(F.count("*").alias("n"))
+    large = F.when((F.col("n") > giant) & F.col("account_id").isNotNull(), F.col("account_id"))
+    found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(large)).alias("giants")).first()
+    table = Table(folder, rows.schema, tuple(keys), max(buckets, -(-found["n"] // bucket_rows)), tuple(found["giants"]), 0, {})
     written = _write(rows, table, 0)
     return _switch(rows.sparkSession, Table(**vars(table) | {"places": {b: 0 for b in written}}))
 

@@ -314,3 +314,10 @@ def test_the_index_is_made_once(spark, name):
     """What is returned reads the stored index; the raw rows are aggregated only to make it."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "max(l_shipdate" not in plan
+
+
+def test_larger_tables_take_more_buckets(spark, tmp_path):
+    rows = spark.createDataFrame([(a % 50, f"k{a}", "x") for a in range(1000)], ROWS)
+    made = [store.create(rows, f"{tmp_path}/{n}", ("account_id", "key"), buckets=4, bucket_rows=n) for n in (1000, 50)]
+    assert [m.buckets for m in made] == [4, 20]
+    assert stored(spark, f"{tmp_path}/50") == stored(spark, f"{tmp_path}/1000")
