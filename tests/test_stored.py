@@ -12,8 +12,9 @@ from shelfmark.functions import hashing as fh
 from shelfmark.operators import events as E
 from shelfmark.operators import media as M
 from shelfmark.operators import sync
+from shelfmark.operators import audit
 from shelfmark.plans import catalog
-from shelfmark.sources import store
+from shelfmark.sources import fixtures, store
 from shelfmark.sources.fixtures import tables
 from shelfmark.streaming import streams as S
 
@@ -321,3 +322,18 @@ def test_larger_tables_take_more_buckets(spark, tmp_path):
     made = [store.create(rows, f"{tmp_path}/{n}", ("account_id", "key"), buckets=4, bucket_rows=n) for n in (1000, 50)]
     assert [m.buckets for m in made] == [4, 20]
     assert stored(spark, f"{tmp_path}/50") == stored(spark, f"{tmp_path}/1000")
+
+
+def test_the_index_is_grouped_in_more_tasks_the_larger_it_is(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "DEALT_ROWS", 300)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    (index,) = tables(spark, "/root/testdata/sf0.001", "remote_index")
+    assert index.groupBy("account_id", "provider", "remote_id").count().rdd.getNumPartitions() == -(-rows // 300)
+
+
+def test_keys_are_counted_in_the_partitions_asked_for(spark):
+    rows = [("a", "active"), ("A", "active"), ("b", "odd"), (None, "flagged"), (None, "legacy"), (None, None)]
+    accounts = {"accounts": spark.createDataFrame(rows, "name string, status string")}
+    count = lambda parts: audit.integrity_audit(accounts, parts)
+    assert sorted(map(tuple, count({"accounts": 37}).collect())) == sorted(map(tuple, count(None).collect())) == [("accounts.name_unique", 2), ("accounts.status", 1)]
+    assert ", 37), REPARTITION_BY_NUM" in count({"accounts": 37})._jdf.queryExecution().executedPlan().toString()
