@@ -20,6 +20,9 @@ from .catalog import COALESCED, PRINT
 BATCHES, FILES, FILE_ROWS = 6, 2, 250_000
 
 
+#: Groups that stand-in tables are dealt in ranges of where they are stored: account and remote id of the index, as in TABLES.
+RANGES = {"remote_index": (0, 2)}
+
 #: A text column of each data table.
 TABLE_TEXT = {"accounts": "name", "links": "url", "media_files": "rel_path", "remote_index": "remote_url", "scrape_jobs": "error_summary", "event_log": "message", "heartbeats": "version"}
 
@@ -64,8 +67,8 @@ def all_tables_io(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and checksums of every data table, written and read back."""
     folder = shared_folder(spark, "catalogue")
     out = []
-    for name, rows in zip(TABLES, tables(spark, sf_dir, *TABLES)):
-        save_table(rows, name, folder)
+    for name, rows in zip(TABLES, tables(spark, sf_dir, *TABLES, ranges=RANGES)):
+        save_table(rows, name, folder, ranged=name in RANGES)
         found = load_table(spark, name, folder)
         key = F.col("account_id" if "account_id" in found.columns else "id" if "id" in found.columns else "worker_id")
         text = F.col(TABLE_TEXT[name])

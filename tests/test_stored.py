@@ -13,8 +13,8 @@ from shelfmark.operators import events as E
 from shelfmark.operators import media as M
 from shelfmark.operators import sync
 from shelfmark.operators import audit
-from shelfmark.plans import catalog
-from shelfmark.sources import fixtures, store
+from shelfmark.plans import catalog, streams
+from shelfmark.sources import fixtures, listing, store
 from shelfmark.sources.fixtures import tables
 from shelfmark.streaming import streams as S
 
@@ -337,3 +337,22 @@ def test_keys_are_counted_in_the_partitions_asked_for(spark):
     count = lambda parts: audit.integrity_audit(accounts, parts)
     assert sorted(map(tuple, count({"accounts": 37}).collect())) == sorted(map(tuple, count(None).collect())) == [("accounts.name_unique", 2), ("accounts.status", 1)]
     assert ", 37), REPARTITION_BY_NUM" in count({"accounts": 37})._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_index_is_stored_in_ranges_without_a_second_deal(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixtures, "DEALT_ROWS", 600)
+    (index,) = tables(spark, "/root/testdata/sf0.001", "remote_index", ranges=streams.RANGES)
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    listing.save_table(index, "remote_index", str(tmp_path), ranged=True)
+    files = listing.load_table(spark, "remote_index", str(tmp_path)).withColumn("file", F.input_file_name())
+    ends = files.groupBy("file").agg(F.min(F.struct("account_id", "remote_id")), F.max(F.struct("account_id", "remote_id"))).collect()
+    ends = sorted((tuple(low), tuple(high)) for _, low, high in ends)
+    assert len(ends) > 4 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert sorted(map(str, files.drop("file").collect())) == sorted(map(str, tables(spark, "/root/testdata/sf0.001", "remote_index")[0].collect()))
+
+
+def test_all_tables_are_stored_with_the_index_in_ranges(spark, monkeypatch):
+    dealt = {}
+    monkeypatch.setattr(streams, "save_table", lambda rows, name, folder, ranged=False: (dealt.update({name: ranged}), listing.save_table(rows, name, folder, ranged))[1])
+    assert streams.all_tables_io(spark, "/root/testdata/sf0.001").count() == len(dealt) == 7
+    assert [n for n in dealt if dealt[n]] == ["remote_index"]
