@@ -65,7 +65,7 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts deleted with all that belongs to them, from stored tables; what pointed at deleted rows points at nothing."""
     accounts, links, files, index, jobs, log = tables(spark, sf_dir, "accounts", "links", "media_files", "remote_index", "scrape_jobs", "event_log")
-    gone = accounts.filter("id % 4 = 0").select("id")
+    gone = accounts.filter("id % 4 = 0").select(F.col("id").alias("account_id"))
     children = {
         "links": links.select("account_id", F.col("id").cast("string").alias("key"), F.lit(None).cast("long").alias("ref")),
         "media": files.select("account_id", F.col("id").cast("string").alias("key"), F.col("duplicate_of").alias("ref")),
@@ -76,8 +76,7 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, stored = None, {}
     for name, rows in children.items():
         table = store.create(rows, shared_folder(spark, f"cascade-{name}"), ("account_id", "key"), BUCKETS)
-        dead = store.read(spark, table).join(gone.select(F.col("id").alias("account_id")), "account_id", "left_semi")
-        stored[name] = store.read(spark, store.merge(spark, table.folder, rows.limit(0), gone=dead))
+        stored[name] = store.read(spark, store.merge(spark, table.folder, rows.limit(0), gone=gone))
     for name, parent in (("links", None), ("media", "media"), ("remote", "media"), ("jobs", None), ("events", "jobs")):
         rows = stored[name]
         if parent:

@@ -104,26 +104,37 @@ def merge(spark: SparkSession, folder: str, rows: DataFrame, gone: DataFrame | N
 
     ``rows`` has the table's columns, one row a key; it may be all of the table or a part. Only buckets
     with a row that differs from what is stored are rewritten. Keys that are both given and gone go.
+    ``gone`` may lack keys but account_id: all rows of its other keys go then, and none of them is dealt to be found.
     """
     table = open_table(spark, folder)
     keys, names = list(table.keys), table.schema.names
     given = rows.select(*(F.col(f.name).cast(f.dataType) for f in table.schema))
-    match = lambda a, b, how: a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], how)
+    match = lambda a, b, how, by=keys: a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by], how)
     stored = read(spark, table)
     same = stored.withColumn("__stored", F.struct(*names)).select(*keys, "__stored")
     changed = match(given, same, "left").filter(~F.struct(*(F.col(f"a.{c}") for c in names)).eqNullSafe(F.col("b.__stored"))).select("a.*")
+    by = [] if gone is None else [k for k in keys if k in gone.columns]
+    if gone is not None and "account_id" not in by:
+        raise ValueError("gone must name accounts at least")
     if gone is not None:
-        changed = match(changed, gone.select(*keys), "left_anti")
+        changed = match(changed, gone.select(*by), "left_anti", by)
     aside = f"{folder}/changes/version={table.version + 1}"
     changed.withColumn("__gone", F.lit(False)).write.mode("overwrite").parquet(f"{aside}/rows")
     marked = spark.read.parquet(f"{aside}/rows")
-    if gone is not None:
+    if by == keys:
         lost = match(stored, gone.select(*keys).distinct(), "left_semi")
         lost.withColumn("__gone", F.lit(True)).write.mode("overwrite").parquet(f"{aside}/gone")
         marked = marked.unionByName(spark.read.parquet(f"{aside}/gone"))
-    touched = [r["bucket"] for r in marked.select(table.bucket.alias("bucket")).distinct().collect()]
+    buckets = marked.select(table.bucket.alias("bucket"))
+    if by and by != keys:
+        gone.select(*by).distinct().write.mode("overwrite").parquet(f"{aside}/gone")
+        gone = spark.read.parquet(f"{aside}/gone")
+        buckets = buckets.unionByName(match(stored.select(*by, table.bucket.alias("bucket")).distinct(), gone, "left_semi", by).select("bucket"))
+    touched = [r["bucket"] for r in buckets.distinct().collect()]
     if touched:
         kept = match(read(spark, table, touched), marked.select(*keys), "left_anti")
+        if by and by != keys:
+            kept = match(kept, gone, "left_anti", by)
         written = _write(kept.unionByName(marked.filter("NOT __gone").drop("__gone")), table, table.version + 1)
         places = {b: v for b, v in table.places.items() if b not in touched} | {b: table.version + 1 for b in written}
         table = _switch(spark, Table(**vars(table) | {"version": table.version + 1, "places": places}))

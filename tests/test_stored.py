@@ -67,6 +67,21 @@ def test_keys_that_are_gone(spark, table):
     assert stored(spark, folder) == sorted((r for r in rows if r[0] != 4), key=str)
 
 
+def test_accounts_that_are_gone_go_with_all_their_rows(spark, table):
+    folder, rows, made = table
+    names = "account_id long"
+    before = files_of(folder)
+    after = store.merge(spark, folder, spark.createDataFrame([(4, "k1", "new"), (5, "k1", "new")], ROWS), gone=spark.createDataFrame([(4,), (4,), (12345,)], names))
+    want = [(*r[:2], "new" if r[:2] == (5, "k1") else r[2]) for r in rows if r[0] != 4]
+    assert stored(spark, folder) == sorted(want, key=str)
+    assert 1 <= len({b for b, v in after.places.items() if v == 1}) <= 2 and before.items() <= files_of(folder).items()
+    store.merge(spark, folder, spark.createDataFrame([], ROWS), gone=spark.createDataFrame([(99,), (None,)], names))  # a giant, and rows of no account
+    assert stored(spark, folder) == sorted((r for r in want if r[0] not in (99, None)), key=str)
+    version = store.open_table(spark, folder).version
+    store.merge(spark, folder, spark.createDataFrame([], ROWS), gone=spark.createDataFrame([(99,), (None,)], names))
+    assert store.open_table(spark, folder).version == version
+
+
 def test_of_two_merges_one_fails_and_readers_see_all_or_nothing(spark, table):
     folder, rows, made = table
     with pytest.raises(RuntimeError):
