@@ -146,7 +146,7 @@ def job_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed keys in the order of their times, years in all, against a stored index and what was admitted before."""
-    listing, index = tables(spark, sf_dir, "listing", "remote_index")
+    listing, index = tables(spark, sf_dir, "listing", "remote_index", plain=("listing",))
     rows = listing.select("account_id", "provider", "remote_id", F.col("posted_at").alias("ts"))
     known = shared_folder(spark, "known")
     write_table(index.filter("remote_bytes > 25000").select("account_id", "provider", "remote_id"), known, "account_id", "remote_id")

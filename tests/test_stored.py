@@ -371,3 +371,12 @@ def test_all_tables_are_stored_with_the_index_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(streams, "save_table", lambda rows, name, folder, ranged=False: (dealt.update({name: ranged}), listing.save_table(rows, name, folder, ranged))[1])
     assert streams.all_tables_io(spark, "/root/testdata/sf0.001").count() == len(dealt) == 7
     assert [n for n in dealt if dealt[n]] == ["remote_index"]
+
+
+def test_a_listing_is_dealt_before_its_texts_are_made(spark):
+    of = lambda **how: tables(spark, "/root/testdata/sf0.001", "listing", **how)[0]._jdf.queryExecution().executedPlan().toString()
+    above, below = of().split("Exchange")
+    assert "https://" in above and "https://" not in below
+    (rows,) = tables(spark, "/root/testdata/sf0.001", "listing", plain=("listing",))
+    assert "Exchange" not in rows.select("account_id", "remote_id")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, tables(spark, "/root/testdata/sf0.001", "listing")[0].collect()))
