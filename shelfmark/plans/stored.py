@@ -13,7 +13,7 @@ from ..operators import accounts as A
 from ..operators import media as M
 from ..operators import remote as R
 from ..sources import store
-from ..sources.fixtures import tables, with_tables
+from ..sources.fixtures import account_parts, tables, with_tables
 from ..sources.listing import shared_folder
 from .catalog import JOBS_NOW, MERGED, at
 
@@ -24,12 +24,14 @@ MEDIA_KEYS, MEDIA = ("account_id", "rel_path"), ["id", "account_id", "rel_path",
 
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings upserted into a stored index; the second merge of the same rows changes nothing."""
-    index, listing = tables(spark, sf_dir, "remote_index", "listing")
+    parts = account_parts(spark, sf_dir)
+    index, listing = tables(spark, sf_dir, "remote_index", "listing", parts=parts)
     index = index.filter("remote_bytes > 25000").select(*R.KEY, "remote_url", "media_type", "remote_hash", "remote_bytes", "posted_at", "discovered_at", "id", "state", "attempts")
     folder = shared_folder(spark, "remote-store")
-    table = store.create(index, folder, tuple(R.KEY), BUCKETS)
+    store.create(index, folder, tuple(R.KEY), BUCKETS, dealt=parts)
     for _ in range(2):
-        table = store.merge(spark, folder, R.upsert_remote(store.read(spark, table), listing, at(JOBS_NOW)))
+        table = store.upsert(spark, folder, R.listed(listing), R.upserted(at(JOBS_NOW)), parts)
+        store.vacuum(spark, folder)
     return store.read(spark, table)
 
 

@@ -4,12 +4,13 @@ A table is a folder of buckets by account, each a folder of Parquet files, and a
 folder of every bucket. A merge writes new folders for the buckets that its changes touch, next to the
 old ones, and then puts a new manifest in place by one rename: readers see all of a merge or nothing,
 a merge that fails leaves the table as it was, and of two merges at once the later one fails. Rows that
-agree with what is stored are no changes, so a merge that was done before writes no file.
+agree with what is stored are no changes, so a merge that was done before adds no file to the table.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,13 @@ class Table:
     version: int
     #: Bucket to the version whose folder holds it.
     places: dict[int, int]
+    #: Function that deals accounts; ``hash`` is the one that repartition goes by.
+    deal: str = "xxhash64"
 
     @property
     def bucket(self) -> Column:
         whole = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
-        by_account = F.pmod(F.xxhash64("account_id"), F.lit(self.buckets))
+        by_account = F.pmod(getattr(F, self.deal)("account_id"), F.lit(self.buckets))
         return (F.when(F.col("account_id").isin(*self.giants), whole).otherwise(by_account) if self.giants else by_account).cast("int")
 
 
@@ -48,7 +51,7 @@ def _switch(spark: SparkSession, table: Table) -> Table:
     store.mkdirs(path(f"{table.folder}/manifest"))
     aside, place = path(f"{table.folder}/.{table.version}-{spark._jvm.java.util.UUID.randomUUID()}"), path(f"{table.folder}/manifest/{table.version:09d}.json")
     out = store.create(aside)
-    text = {"schema": table.schema.json(), "keys": table.keys, "buckets": table.buckets, "giants": table.giants, "places": table.places}
+    text = {"schema": table.schema.json(), "keys": table.keys, "buckets": table.buckets, "giants": table.giants, "places": table.places, "deal": table.deal}
     out.write(bytearray(json.dumps(text).encode()))
     out.close()
     if store.exists(place) or not store.rename(aside, place):
@@ -64,7 +67,7 @@ def open_table(spark: SparkSession, folder: str) -> Table:
     file = store.open(path(f"{folder}/manifest/{last}"))
     text = json.loads(bytes(file.readAllBytes()))
     file.close()
-    return Table(folder, StructType.fromJson(json.loads(text["schema"])), tuple(text["keys"]), text["buckets"], tuple(text["giants"]), int(last.split(".")[0]), {int(b): v for b, v in text["places"].items()})
+    return Table(folder, StructType.fromJson(json.loads(text["schema"])), tuple(text["keys"]), text["buckets"], tuple(text["giants"]), int(last.split(".")[0]), {int(b): v for b, v in text["places"].items()}, text.get("deal", "xxhash64"))
 
 
 def read(spark: SparkSession, table: Table, buckets: list[int] | None = None) -> DataFrame:
@@ -75,26 +78,30 @@ def read(spark: SparkSession, table: Table, buckets: list[int] | None = None) ->
     return spark.read.schema(table.schema).parquet(*chosen)
 
 
-def _write(rows: DataFrame, table: Table, version: int) -> list[int]:
-    """Write buckets as folders of ``version``; those that have rows."""
+def _write(rows: DataFrame, table: Table, version: int, dealt: bool = False) -> list[int]:
+    """Write buckets as folders of ``version``; those that have rows. Rows that come ``dealt`` aren't moved."""
     spark, base = rows.sparkSession, f"{table.folder}/data/version={version}"
-    dealt = rows.withColumn("bucket", table.bucket).repartition("bucket").sortWithinPartitions("bucket", *table.keys)
-    dealt.write.partitionBy("bucket").mode("overwrite").parquet(base)
+    rows = rows.withColumn("bucket", table.bucket)
+    (rows if dealt else rows.repartition("bucket")).sortWithinPartitions("bucket", *table.keys).write.partitionBy("bucket").mode("overwrite").parquet(base)
     store, path = _files(spark, base)
     return sorted(int(s.getPath().getName().split("=")[1]) for s in store.listStatus(path(base)) if s.getPath().getName().startswith("bucket="))
 
 
-def create(rows: DataFrame, folder: str, keys: tuple[str, ...], buckets: int = 64, giant: int = 5_000_000, bucket_rows: int = 500_000) -> Table:
+def create(rows: DataFrame, folder: str, keys: tuple[str, ...], buckets: int = 64, giant: int = 5_000_000, bucket_rows: int = 500_000, dealt: int | None = None) -> Table:
     """Store ``rows``, unique by ``keys`` (which begin with account_id).
 
     Accounts of over ``giant`` rows are dealt by all keys; their ids, at most the rows divided by ``giant``,
     are part of the manifest. ``buckets`` is the least number: there are more where one would hold over
-    ``bucket_rows`` on average, as a bucket is sorted and written by one task.
+    ``bucket_rows`` on average, as a bucket is sorted and written by one task. Rows that come dealt by account
+    into ``dealt`` partitions, with no giant among them, are as many buckets and neither counted nor dealt again.
     """
+    if dealt:
+        table = Table(folder, rows.schema, tuple(keys), dealt, (), 0, {}, "hash")
+        return _switch(rows.sparkSession, Table(**vars(table) | {"places": {b: 0 for b in _write(rows, table, 0, True)}}))
     sizes = rows.groupBy("account_id").agg(F.count("*").alias("n"))
     large = F.when((F.col("n") > giant) & F.col("account_id").isNotNull(), F.col("account_id"))
     found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_sort(F.collect_list(large)).alias("giants")).first()
-    table = Table(folder, rows.schema, tuple(keys), max(buckets, -(-found["n"] // bucket_rows)), tuple(found["giants"]), 0, {})
+    table = Table(folder, rows.schema, tuple(keys), max(buckets, -(-found["n"] // bucket_rows)), tuple(found["giants"]), 0, {}, "hash")
     written = _write(rows, table, 0)
     return _switch(rows.sparkSession, Table(**vars(table) | {"places": {b: 0 for b in written}}))
 
@@ -143,6 +150,52 @@ def merge(spark: SparkSession, folder: str, rows: DataFrame, gone: DataFrame | N
     return table
 
 
+def _remade(spark: SparkSession, table: Table, given: DataFrame, made: dict[str, Column], dealt: int | None) -> DataFrame:
+    """All rows as ``made`` of what is stored and given, with bucket and ``__changed``; stored and given rows move once."""
+    keys, extra = list(table.keys), [c for c in given.columns if c not in table.keys]
+    rest = [f for f in table.schema if f.name not in keys]
+    stored = read(spark, table).select(*keys, F.struct(*(f.name for f in rest)).alias("__stored"))
+    given = given.select(*(F.col(k).cast(table.schema[k].dataType).alias(k) for k in keys), F.struct(*extra).alias("__given"))
+    meet = lambda rows, *by: rows.groupBy(*by, *keys).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("__stored", "__given")))
+    if dealt == table.buckets and not table.giants and table.deal == "hash":
+        both = meet(stored.repartition(dealt, "account_id").unionByName(given, allowMissingColumns=True)).withColumn("bucket", table.bucket)
+    else:
+        both = meet(stored.unionByName(given, allowMissingColumns=True).withColumn("bucket", table.bucket).repartition(table.buckets, "bucket"), "bucket")
+    both = both.select("bucket", *keys, "__stored", *(F.col("__stored")[f.name].alias(f.name) for f in rest), *(F.col("__given")[c].alias(c) for c in extra))
+    after = [made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in rest]
+    return both.select("bucket", *keys, *after, (~F.col("__stored").eqNullSafe(F.struct(*after))).alias("__changed"))
+
+
+def upsert(spark: SparkSession, folder: str, given: DataFrame, made: dict[str, Column], dealt: int | None = None) -> Table:
+    """Make every row anew from what is stored (nulls for new keys) and what ``given``, one row a key, says of it.
+
+    ``made`` holds the columns made of both; others stay. For changes all over the table: stored and given rows
+    meet in one deal, which writes all buckets aside; those with a row that differs are moved in, the others deleted.
+    ``given`` that comes dealt by account into ``dealt`` partitions isn't moved if the table has as many buckets and no giants.
+    """
+    table = open_table(spark, folder)
+    rows = _remade(spark, table, given, made, dealt)
+    aside = f"{folder}/changes/{uuid.uuid4().hex}"
+    store, path = _files(spark, aside)
+    try:
+        rows.sortWithinPartitions("bucket", *table.keys).write.partitionBy("bucket").parquet(aside)
+        touched = [r["bucket"] for r in spark.read.schema("__changed boolean, bucket int").parquet(aside).filter("__changed").select("bucket").distinct().collect()]
+        if touched:
+            version = table.version + 1
+            if store.exists(path(f"{folder}/manifest/{version:09d}.json")):
+                raise RuntimeError(f"version {version} of {folder} was written by another merge")
+            store.mkdirs(path(f"{folder}/data/version={version}"))
+            for b in touched:
+                place = path(f"{folder}/data/version={version}/bucket={b}")
+                store.delete(place, True)  # what a merge that failed left there
+                if not store.rename(path(f"{aside}/bucket={b}"), place):
+                    raise RuntimeError(f"{place} could not be moved in")
+            table = _switch(spark, Table(**vars(table) | {"version": version, "places": table.places | {b: version for b in touched}}))
+    finally:
+        store.delete(path(aside), True)
+    return table
+
+
 def vacuum(spark: SparkSession, folder: str) -> None:
     """Delete folders of buckets that the last manifest doesn't name, and older manifests; readers of these must be done."""
     table = open_table(spark, folder)

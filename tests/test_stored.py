@@ -380,3 +380,54 @@ def test_a_listing_is_dealt_before_its_texts_are_made(spark):
     (rows,) = tables(spark, "/root/testdata/sf0.001", "listing", plain=("listing",))
     assert "Exchange" not in rows.select("account_id", "remote_id")._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, rows.collect())) == sorted(map(str, tables(spark, "/root/testdata/sf0.001", "listing")[0].collect()))
+
+
+def test_an_upsert_is_one_deal(spark):
+    """Listing and stored index move once each, by account; what is stored lands in a file a bucket and isn't counted before."""
+    parts = fixtures.account_parts(spark, "/root/testdata/sf0.001")
+    index, rows = tables(spark, "/root/testdata/sf0.001", "remote_index", "listing", parts=parts)
+    folder = listing.shared_folder(spark, "dealt")
+    table = store.create(index, folder, tuple(catalog.R.KEY), dealt=parts)
+    assert table.buckets == parts and len(files_of(folder.removeprefix("file:"))) == len(table.places) > 1
+    plan = store._remade(spark, table, catalog.R.listed(rows), catalog.R.upserted(F.current_timestamp()), parts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2
+
+
+@pytest.mark.parametrize(("giant", "dealt"), [(200, None), (10**9, None), (10**9, 16)])
+def test_an_upsert_remakes_rows(spark, tmp_path, giant, dealt):
+    """As a full join would, however rows are dealt; only buckets with a difference are new, a second time adds nothing."""
+    old = [(a, f"k{k}", None if k % 7 == 0 else "v") for a in range(40) for k in range(5)] + [(99, f"k{k}", "hot") for k in range(300)] + [(None, "k", "v")]
+    new = [(3, "k1", "w"), (3, "k2", None), (5, "k1", "v"), (777, "k1", None), (99, "k7", "w"), (None, "k", "w")]
+    deal = lambda rows: rows.repartition(dealt, "account_id") if dealt else rows
+    folder = str(tmp_path / "t")
+    made = store.create(deal(spark.createDataFrame(old, ROWS)), folder, ("account_id", "key"), buckets=16, giant=giant, dealt=dealt)
+    assert made.giants == ((99,) if giant == 200 else ())
+    before = files_of(folder)
+    given = deal(spark.createDataFrame(new, "account_id long, key string, said string"))
+    after = store.upsert(spark, folder, given, {"value": F.coalesce("said", "value")}, dealt)
+    want = {(a, k): v for a, k, v in old} | {(3, "k1"): "w", (777, "k1"): None, (99, "k7"): "w", (None, "k"): "w"}
+    assert stored(spark, folder) == sorted(((a, k, v) for (a, k), v in want.items()), key=str)
+    assert 1 <= len({b for b, v in after.places.items() if v == 1}) <= 4 and before.items() <= files_of(folder).items()
+    files = files_of(folder)
+    assert store.upsert(spark, folder, given, {"value": F.coalesce("said", "value")}, dealt).version == 1
+    assert files_of(folder) == files and not os.listdir(f"{folder}/changes")
+    store.merge(spark, folder, spark.createDataFrame([(3, "k1", "x")], ROWS))  # what was moved in is merged into as any
+    assert ((3, "k1", "x") in stored(spark, folder)) and len(stored(spark, folder)) == len(want)
+
+
+def test_an_upsert_that_fails_leaves_the_table(spark, table):
+    folder, rows, _ = table
+    given = spark.createDataFrame([(3, "k1", "x")], "account_id long, key string, said string")
+    with pytest.raises(Exception, match="stop"):
+        store.upsert(spark, folder, given, {"value": F.when(F.col("said") == "x", F.raise_error(F.lit("stop")).cast("string"))})
+    assert stored(spark, folder) == sorted(rows, key=str) and not os.listdir(f"{folder}/changes")
+
+
+def test_giant_accounts_are_not_dealt_as_a_whole(spark, monkeypatch):
+    from shelfmark.plans import stored as stored_plans
+
+    show = lambda: sorted(map(str, stored_plans.upsert(spark, "/root/testdata/sf0.001").collect()))
+    want = show()
+    monkeypatch.setattr(fixtures, "GIANT_ROWS", 100)
+    assert fixtures.account_parts(spark, "/root/testdata/sf0.001") is None
+    assert show() == want
