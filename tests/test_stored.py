@@ -455,7 +455,7 @@ def agrees(spark, name, folder):
     return sorted(map(str, (tuple(r) for r in want))) == sorted(map(str, (tuple(r) for r in got.select(*columns).collect())))
 
 
-GUARDED = ["G2_index_media", "J2_dedup_guards"]
+GUARDED = ["A10_sync_run_summary", "G2_index_media", "J2_dedup_guards"]
 
 
 @pytest.mark.parametrize("name", GUARDED)
@@ -465,7 +465,7 @@ def test_odd_rows_agree_with_sql(spark, odd_tables, name):
 
 @pytest.mark.parametrize("name", GUARDED)
 def test_guards_move_index_and_held_rows_once(spark, monkeypatch, name):
-    """One table is stored, in whose plan the index and the held rows are dealt by account and nothing else moves."""
+    """One table is stored; in its plan the index and the held rows are dealt by account and nothing else moves."""
     plans = []
     monkeypatch.setattr(catalog, "landed", lambda rows, label: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or rows)
     catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
